@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from tidewire.llm import chat, langid, quality
 from tidewire.llm.common import table
 from tidewire.llm.packing import pack_documents
 from tidewire.llm.sentencepieces import piece_digests
@@ -14,6 +15,12 @@ def op5_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_chat(spark, sf_dir):
+    given = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(given)
+    return chat.read_back(chat.prefix_target_examples(turns))
+
+
 def op7_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -22,13 +29,51 @@ def op8_sentencepiece(spark, sf_dir):
     return piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_language(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries():
     return {
         "op5_packing": op5_packing,
+        "op6_chat": op6_chat,
         "op7_token_counts": op7_token_counts,
         "op8_sentencepiece": op8_sentencepiece,
+        "op9_quality": op9_quality,
+        "op10_language": op10_language,
     }
 
 
+#: From the contract alone: what reading the formatted conversations back must give.
+OP6_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, row_number() OVER w AS k,
+    6 + length(role) + length(text) + 4 + length(regexp_replace(role || text, '[^\\\\<\\[\\]]', '', 'g')) AS size
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), f AS (
+  SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY k) AS upto,
+    k = max(k) OVER (PARTITION BY conv_id) AS final FROM e
+), g AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY k) AS turns,
+    coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '') AS loss,
+    sum(upto) FILTER (role = 'assistant' OR final) AS formatted_chars
+  FROM f GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars,
+  sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM g
+"""
+
+
 def oracle_sql():
-    return {}
+    return {"op6_chat": OP6_SQL}

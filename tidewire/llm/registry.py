@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidewire.llm import chat, langid, quality
+from tidewire.llm import chat, embeddup, langid, quality, topk
 from tidewire.llm.common import table
 from tidewire.llm.packing import pack_documents
 from tidewire.llm.sentencepieces import piece_digests
 from tidewire.llm.tokencount import token_counts
 
 
+def op1_topk_search(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+def op2_embedding_dedup(spark, sf_dir):
+    return embeddup.near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op5_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -40,6 +49,8 @@ def op10_language(spark, sf_dir):
 
 def queries():
     return {
+        "op1_topk_search": op1_topk_search,
+        "op2_embedding_dedup": op2_embedding_dedup,
         "op5_packing": op5_packing,
         "op6_chat": op6_chat,
         "op7_token_counts": op7_token_counts,
@@ -75,5 +86,43 @@ FROM g
 """
 
 
+#: Brute force over all pairs of a query and a candidate.
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    CAST(list_inner_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.x) = len(q.x)
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+#: Brute force over all pairs, and a recursive walk along the links.
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.9
+), walk(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings WHERE vec_id IS NOT NULL
+  UNION SELECT w.a, e.b FROM walk w JOIN e ON w.b = e.a
+), c AS (SELECT a, min(b) AS component_id FROM walk GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT d.vec_id, coalesce(n_links, 0) AS n_links, component_id,
+  coalesce(d.vec_id = component_id, false) AS kept
+FROM embeddings d LEFT JOIN c ON c.a = d.vec_id LEFT JOIN n ON n.a = d.vec_id
+"""
+
+
 def oracle_sql():
-    return {"op6_chat": OP6_SQL}
+    return {"op1_topk_search": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op6_chat": OP6_SQL}

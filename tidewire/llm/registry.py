@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidewire.llm import chat, embeddup, langid, quality, topk
+from tidewire.llm import chat, embeddup, langid, minhash, quality, topk
 from tidewire.llm.common import table
 from tidewire.llm.packing import pack_documents
 from tidewire.llm.sentencepieces import piece_digests
@@ -20,6 +20,10 @@ def op2_embedding_dedup(spark, sf_dir):
     return embeddup.near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
 
 
+def op3_minhash_dedup(spark, sf_dir):
+    return minhash.near_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -51,6 +55,7 @@ def queries():
     return {
         "op1_topk_search": op1_topk_search,
         "op2_embedding_dedup": op2_embedding_dedup,
+        "op3_minhash_dedup": op3_minhash_dedup,
         "op5_packing": op5_packing,
         "op6_chat": op6_chat,
         "op7_token_counts": op7_token_counts,

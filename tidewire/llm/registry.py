@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidewire.llm import chat, embeddup, langid, minhash, quality, topk
+from tidewire.llm import chat, embeddup, langid, minhash, pii, quality, topk
 from tidewire.llm.common import table
 from tidewire.llm.packing import pack_documents
 from tidewire.llm.sentencepieces import piece_digests
@@ -24,6 +24,11 @@ def op3_minhash_dedup(spark, sf_dir):
     return minhash.near_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_pii_surrogates(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_entities(docs, "tidewire", count_col="n_entities")
+
+
 def op5_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -56,6 +61,7 @@ def queries():
         "op1_topk_search": op1_topk_search,
         "op2_embedding_dedup": op2_embedding_dedup,
         "op3_minhash_dedup": op3_minhash_dedup,
+        "op4_pii_surrogates": op4_pii_surrogates,
         "op5_packing": op5_packing,
         "op6_chat": op6_chat,
         "op7_token_counts": op7_token_counts,

@@ -192,6 +192,41 @@ def _scorer(model: str, probs: bytes, langs: int) -> Unigrams:
     return _MODELS[key][1]
 
 
+def _predictor(fitted, model: str):
+    langs, probs = fitted
+    packed, width = probs.astype(np.float32).tobytes(), probs.shape[1]
+
+    def predicted(texts) -> tuple[list[str], list[float]]:
+        scorer, preds, scores = _scorer(model, packed, width), [], []
+        for lo in range(0, len(texts), 256):
+            held = [words_of(t.as_py()) if t.is_valid else [] for t in texts.slice(lo, 256)]
+            scorer.add(held)
+            for words in held:
+                if not words or not langs:
+                    preds.append("und")
+                    scores.append(0.0)
+                    continue
+                total = scorer.totals(words)
+                k = int(np.argmax(total))
+                preds.append(langs[k])
+                scores.append(float(1.0 / np.exp((total - total[k]) / math.sqrt(len(words))).sum()))
+        return preds, scores
+
+    return predicted
+
+
+def keep_known(docs: DataFrame, fitted, model: str, *, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, with a language: not ``und``, and a score of at least ``least``."""
+    predicted = _predictor(fitted, model)
+
+    def run(batches):
+        for b in batches:
+            preds, scores = predicted(b.column(b.schema.get_field_index(text_col)))
+            yield b.filter(pa.array([p != "und" and s >= least for p, s in zip(preds, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, fitted, model: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, lang_pred, score in 0..1.
 
@@ -201,26 +236,11 @@ def predict(docs: DataFrame, fitted, model: str, *, id_col: str = "doc_id", text
     likelihoods go to the first language by name. Null ids and repeated rows are kept;
     other columns aren't carried.
     """
-    langs, probs = fitted
-    packed = probs.astype(np.float32).tobytes()
+    predicted = _predictor(fitted, model)
 
     def run(batches):
-        scorer = _scorer(model, packed, probs.shape[1])
         for b in batches:
-            texts = b.column(1)
-            preds, scores = [], []
-            for lo in range(0, len(texts), 256):
-                held = [words_of(t.as_py()) if t.is_valid else [] for t in texts.slice(lo, 256)]
-                scorer.add(held)
-                for words in held:
-                    if not words or not langs:
-                        preds.append("und")
-                        scores.append(0.0)
-                        continue
-                    total = scorer.totals(words)
-                    k = int(np.argmax(total))
-                    preds.append(langs[k])
-                    scores.append(float(1.0 / np.exp((total - total[k]) / math.sqrt(len(words))).sum()))
+            preds, scores = predicted(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     picked = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))

@@ -45,7 +45,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these has no entity; far cheaper to look for.
-HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|api[_-]?key)|ghp_|sk-|xox|\b(?:{_TITLE}|{_GIVEN})\b"
+HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|api[_-]?key)|ghp_|sk-|xox|(?=[A-ZА-ЯЁ])\b(?:{_TITLE}|{_GIVEN})\b"
 
 
 def mentions(text: Column) -> Column:

@@ -191,3 +191,20 @@ def score(docs: DataFrame, model: CoTrained | None, *, threshold: float = 0.5) -
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return _picked(docs).mapInArrow(run, "doc_id long, score double").withColumn("kept", F.col("score") >= F.lit(threshold))
+
+
+def keep_good(docs: DataFrame, model: CoTrained | None, *, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose score reaches the threshold; see score()."""
+    if model is None:
+        return docs
+
+    def run(batches):
+        for b in batches:
+            rows = b.select(["text", "source", "lang", "n_chars"]).to_pydict()
+            if not rows["text"]:
+                continue
+            text = np.array([text_view(t or "") for t in rows.pop("text")])
+            kept = model.score(text, _spread([meta_view(*x) for x in zip(*rows.values(), strict=True)])) >= threshold
+            yield b.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 
 from tidewire.llm import chat, embeddup, langid, minhash, pii, quality, topk
@@ -68,6 +69,7 @@ def queries():
         "op8_sentencepiece": op8_sentencepiece,
         "op9_quality": op9_quality,
         "op10_language": op10_language,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from tidewire.plans import pages
+
+_ALL = {**pages.QUERIES}
+
 
 def flagship(spark, sf_dir):
-    return queries()["page_quality_by_domain"](spark, sf_dir)
+    return pages.page_quality_by_domain(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {name: fn for name, (fn, _) in _ALL.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}

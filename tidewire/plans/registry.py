@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewire.plans import pages
+from tidewire.plans import articles, pages
 
-_ALL = {**pages.QUERIES}
+_ALL = {**pages.QUERIES, **articles.QUERIES}
 
 
 def flagship(spark, sf_dir):

@@ -1,7 +1,8 @@
-"""Connected components by alternating large-star and small-star steps."""
+"""Connected components: of a table of edges by alternating star steps, and within a task."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +31,18 @@ def components(edges: DataFrame) -> DataFrame:
         now = cut(small.where("u > v").distinct())
     # every id now points at its root, and roots at nothing
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def merge_roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """root, each index's smallest one in its component, with links (i, j) added."""
+    a, b = root[i], root[j]
+    while True:
+        apart = a != b
+        if not apart.any():
+            return root
+        edge = np.unique(np.minimum(a, b)[apart] * len(root) + np.maximum(a, b)[apart])
+        a, b = edge // len(root), edge % len(root)
+        np.minimum.at(root, b, a)
+        while (root != root[root]).any():
+            root = root[root]
+        a, b = root[a], root[b]

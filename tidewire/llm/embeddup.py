@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import cut
-from tidewire.llm.components import components
+from tidewire.llm.components import components, merge_roots
 from tidewire.llm.topk import usable
 
 #: Rounding of a rotated product is far below this; such pairs are compared again.
@@ -36,13 +36,15 @@ def principal_axes(sample: np.ndarray) -> np.ndarray:
 
 
 def linked(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, step: int = 16, rows: int = 256):
-    """Index pairs (i, j) of rows of a and b, unit vectors, with cosine >= threshold."""
+    """Index pairs (i, j) of rows of a and b, unit vectors, with cosine >= threshold.
+
+    Yields them for ``rows`` rows of a at a time.
+    """
     ra, rb = a @ axes, b @ axes
     d = ra.shape[1]
     cuts = list(range(step, d, step)) + [d]
     left_a, left_b = (np.sqrt(np.maximum(0.0, np.cumsum((r * r)[:, ::-1], axis=1)[:, ::-1])) for r in (ra, rb))
     suffix = lambda s, at: s[:, at] if at < d else np.zeros(len(s))
-    out_i, out_j = [], []
     for lo in range(0, len(ra), rows):
         part = ra[lo : lo + rows]
         dense, at = part[:, : cuts[0]] @ rb[:, : cuts[0]].T, 0
@@ -62,25 +64,8 @@ def linked(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, ste
         if close.size:
             got[close] = np.einsum("nd,nd->n", a[lo + i[close]], b[j[close]])
         on = got >= threshold
-        out_i.append((lo + i[on]).astype(np.int32))
-        out_j.append(j[on].astype(np.int32))
-    return np.concatenate(out_i or [np.zeros(0, np.int32)]), np.concatenate(out_j or [np.zeros(0, np.int32)])
-
-
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest index of each index's component in a small graph."""
-    root = np.arange(n)
-    while len(i):
-        low = np.minimum(root[i], root[j])
-        before = root.copy()
-        np.minimum.at(root, i, low)
-        np.minimum.at(root, j, low)
-        np.minimum.at(root, before[i], low)
-        np.minimum.at(root, before[j], low)
-        root = root[root]
-        if (root == before).all():
-            break
-    return root
+        if on.any():
+            yield lo + i[on], j[on]
 
 
 def near_vectors(
@@ -152,15 +137,17 @@ def near_vectors(
         side, rep, copies = (np.asarray(t.column(n)) for n in ("side", "rep", "copies"))
         one = np.flatnonzero(side == 0)
         two = np.flatnonzero(side == 1)
-        i, j = linked(x[one], x[two if len(two) else one], axes[d], threshold)
-        i, j = one[i], (two if len(two) else one)[j]
-        on = i != j if len(two) else i < j
-        i, j = i[on], j[on]
-        n = np.bincount(i, weights=copies[j], minlength=len(rep)) + np.bincount(j, weights=copies[i], minlength=len(rep))
         by = np.argsort(rep, kind="stable")  # so that a root is the smallest rep
         place = np.empty_like(by)
         place[by] = np.arange(len(by))
-        root = rep[by[_roots(len(rep), place[i], place[j])[place]]]
+        n, root = np.zeros(len(rep)), np.arange(len(rep))
+        for i, j in linked(x[one], x[two if len(two) else one], axes[d], threshold):
+            i, j = one[i], (two if len(two) else one)[j]
+            if not len(two):
+                i, j = i[i < j], j[i < j]
+            n += np.bincount(i, weights=copies[j], minlength=len(rep)) + np.bincount(j, weights=copies[i], minlength=len(rep))
+            root = merge_roots(root, place[i], place[j])
+        root = rep[by[root[place]]]
         at = np.flatnonzero(n > 0)
         return pa.table({"rep": pa.array(rep[at], pa.int64()), "n": pa.array(n[at].astype(np.int64)), "root": pa.array(root[at], pa.int64())})
 

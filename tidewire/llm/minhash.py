@@ -7,9 +7,11 @@ its earliest dart. Two documents agree on a coordinate with the probability of t
 weighted Jaccard similarity. Bands of coordinates propose pairs, and the similarity of
 each proposed pair is then computed in full.
 
-Pairs aren't listed within a band's group. Members first meet a few leaders of their
-group, and whoever passes joins the leader's component. Only members of a group that
-are in different components after that meet each other.
+Pairs aren't listed within a band's group. Members first meet a leader of their group,
+drawn at random, and whoever passes joins the leader's component. Only members of a
+group that are in different components after that meet each other: as pairs in a small
+group, and in a large one in blocks that a task compares as a whole, giving out no more
+than a spanning forest of the links it finds.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import cut
-from tidewire.llm.components import components
+from tidewire.llm.components import components, merge_roots
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -120,7 +122,7 @@ def signatures(sets: list[np.ndarray], k: int) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
-    rows = sig.reshape(len(sig), bands, -1)
+    rows = sig.reshape(len(sig), bands, sig.shape[1] // bands)
     h = np.zeros(rows.shape[:2], np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * GOLD
     for i in range(rows.shape[2]):
         h = mix(h ^ rows[:, :, i])
@@ -185,6 +187,73 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int)
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """(a, b): how many elements each two sets share."""
+    both = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)), assume_unique=True)
+    places = []
+    for sets in (a, b):
+        flat = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(both, flat), max(0, len(both) - 1))
+        on = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+        places.append((row[on], at[on]))
+    out = np.zeros((len(a), len(b)), np.float32)
+    for lo in range(0, len(both), columns):
+        parts = []
+        for sets, (row, at) in zip((a, b), places, strict=True):
+            on = (at >= lo) & (at < lo + columns)
+            m = np.zeros((len(sets), columns), np.float32)
+            m[row[on], at[on] - lo] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _block_links(groups: DataFrame, texts: DataFrame, threshold: float, width: int, block: int) -> DataFrame:
+    """(band, rep, group) -> links (a, b) between different components of a band's group.
+
+    A component larger than a block has blocks of its own, which don't meet each other.
+    """
+    of = ["band", "group"]
+    sizes = groups.groupBy(*of).agg(F.count(F.lit(1)).alias("own"))
+    total = sizes.groupBy("band").agg(F.sum("own").alias("total"))
+    large = F.col("own") > block
+    part = lambda c, n, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.ceil(F.col(n) / F.lit(float(block))))
+    placed = groups.join(sizes, of).join(total, "band").select(
+        "band", "rep", "group",
+        F.struct(F.when(large, F.col("group")).otherwise(F.lit(None)).alias("of"), F.when(large, part("rep", "own", "rep")).otherwise(part("group", "total", "group")).alias("nth")).alias("block"),
+    )
+    blocks = placed.select("band", "block").distinct()
+    met = blocks.select("band", F.col("block").alias("s")).join(blocks.select("band", F.col("block").alias("t")), "band").where("s <= t").where(F.coalesce(F.col("s.of") != F.col("t.of"), F.lit(True)))
+    sides = met.select("band", "s", "t", F.explode(F.when(F.col("s") == F.col("t"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
+    sides = sides.withColumn("block", F.when(F.col("side") == 0, F.col("s")).otherwise(F.col("t")))
+    rows = placed.join(sides, ["band", "block"]).select(F.xxhash64("band", "s", "t").alias("pair"), "side", "rep", "group")
+    rows = rows.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+
+    def compare(t: pa.Table) -> pa.Table:
+        side, rep, group = (np.asarray(t.column(n)) for n in ("side", "rep", "group"))
+        sets = [unit_elements(word_hashes(x.as_py()), width) for x in t.column("text")]
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        two = two if len(two) else one
+        edges = ([], [])
+        if len(one):
+            shared = shared_counts([sets[i] for i in one], [sets[i] for i in two])
+            n = np.array([len(s) for s in sets], np.float64)
+            i, j = np.nonzero(shared >= threshold * (n[one][:, None] + n[two][None] - shared))
+            i, j = one[i], two[j]
+            on = group[i] != group[j]
+            i, j = i[on], j[on]
+            by = np.argsort(rep, kind="stable")
+            place = np.empty_like(by)
+            place[by] = np.arange(len(by))
+            root = rep[by[merge_roots(np.arange(len(rep)), place[i], place[j])[place]]]
+            at = np.flatnonzero(root != rep)
+            edges = (root[at], rep[at])
+        return pa.table({"a": pa.array(edges[0], pa.int64()), "b": pa.array(edges[1], pa.int64())})
+
+    return rows.groupBy("pair").applyInArrow(compare, "a long, b long")
+
+
 def near_documents(
     docs: DataFrame,
     threshold: float = 0.8,
@@ -192,7 +261,8 @@ def near_documents(
     width: int = 5,
     bands: int = 32,
     rows: int = 5,
-    leaders: int = 2,
+    small: int = 64,
+    block: int = 512,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -204,41 +274,33 @@ def near_documents(
     but 3 in a million such pairs. component_id is the smallest doc_id reachable, kept
     marks the row that bears it. Null texts and texts without words link with nothing.
     A null id links with nothing and is kept; repeated rows of an id share its fate.
+    Groups of more than ``small`` classes are compared in blocks of ``block``.
     """
     rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketched = cut(rows_in.where(F.col("doc_id").isNotNull()).mapInArrow(_sketch(width, bands, rows), "doc_id long, key binary, n long, bands array<long>"))
     classes = sketched.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     entries = classes.select("rep", "n", F.explode("bands").alias("band"))
-    shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band")
+    shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     entries = cut(entries.join(shared, "band"))
     involved = entries.select(F.col("rep").alias("doc_id")).distinct()
     texts = cut(rows_in.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    grouped = entries.withColumn("group", F.col("rep"))
-    links = tested = None
-    for turn in range(leaders + 1):
-        if turn < leaders:
-            # each group's members against one leader; the next leader is another
-            order = F.struct(F.lit(0) if turn == 0 else F.xxhash64("rep", F.lit(turn)), F.col("rep"), F.col("n"), F.col("group"))
-            leader = grouped.groupBy("band").agg(F.min(order).alias("lead"), F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1")
-            met = grouped.join(leader.select("band", F.col("lead.rep").alias("other"), F.col("lead.n").alias("other_n"), F.col("lead.group").alias("other_group")), "band")
-        else:
-            # whoever is still apart within a group
-            apart = grouped.groupBy("band").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1").select("band")
-            rest = grouped.join(apart, "band")
-            other = rest.select("band", F.col("rep").alias("other"), F.col("n").alias("other_n"), F.col("group").alias("other_group"))
-            met = rest.join(other, "band").where("rep < other")
-        met = met.where((F.col("group") != F.col("other_group")) & (F.least("n", "other_n") >= F.greatest("n", "other_n") * F.lit(threshold)))
-        pairs = met.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        fresh = _verified(pairs, texts, threshold, width)
-        links = cut(fresh if links is None else links.unionAll(fresh))
-        joined = components(links)
-        grouped = entries.join(joined.withColumnRenamed("id", "rep"), "rep", "left").withColumn("group", F.coalesce("component", "rep")).drop("component")
-        if turn < leaders:
-            grouped = cut(grouped)
+
+    def proposed(met: DataFrame) -> DataFrame:
+        """Distinct pairs of those met whose sizes allow the threshold."""
+        fit = F.least("n", "other_n") >= F.greatest("n", "other_n") * F.lit(threshold)
+        return met.where((F.col("rep") != F.col("other")) & fit).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+
+    leader = entries.groupBy("band").agg(F.min(F.struct(F.xxhash64("rep", "band"), "rep", "n")).alias("lead"))
+    first = cut(proposed(entries.join(leader.select("band", F.col("lead.rep").alias("other"), F.col("lead.n").alias("other_n")), "band")))
+    links = cut(_verified(first, texts, threshold, width))
+    grouped = entries.join(components(links).withColumnRenamed("id", "rep"), "rep", "left").withColumn("group", F.coalesce("component", "rep"))
+    apart = grouped.groupBy("band").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1").select("band")
+    rest = cut(grouped.join(apart, "band").select("band", "rep", "n", "group", "size"))
+    few = rest.where(F.col("size") <= small)
+    other = few.select("band", F.col("rep").alias("other"), F.col("n").alias("other_n"), F.col("group").alias("other_group"))
+    last = proposed(few.join(other, "band").where("rep < other and group <> other_group")).join(first, ["a", "b"], "left_anti")
+    more = _verified(last, texts, threshold, width).unionAll(_block_links(rest.where(F.col("size") > small), texts, threshold, width, block))
+    joined = components(links.unionAll(more))
     named = classes.select("key", "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = sketched.select("doc_id", "key").join(named, "key", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
     out = out.unionAll(rows_in.where(F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("component_id")))

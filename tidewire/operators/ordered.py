@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.operators.checkpoints import cut
+
 
 def first_by(df: DataFrame, keys, order, n: int = 1, rank: str | None = None) -> DataFrame:
     """The first ``n`` rows of each key in a total order; Spark prunes them before the shuffle."""
@@ -53,9 +55,10 @@ def sequential_ids(df: DataFrame, order, start, form: str = "story_%06d") -> Dat
     """Ids that go on from ``start``, in order.
 
     Numbers are dealt by partition after a range sort, so no task sees all rows: each
-    gets the count of the partitions before it, which are few numbers.
+    gets the count of the partitions before it, which are few numbers. The sorted rows
+    are cut, so that both readings of them see the same partitions.
     """
-    ranged = df.sort(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    ranged = cut(df.sort(*order)).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
     counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("n"), F.min("__i").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("__p", "first", before.alias("before"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewire.plans import articles, pages
+from tidewire.plans import articles, pages, stories
 
-_ALL = {**pages.QUERIES, **articles.QUERIES}
+_ALL = {**pages.QUERIES, **articles.QUERIES, **stories.QUERIES}
 
 
 def flagship(spark, sf_dir):

@@ -3,7 +3,7 @@
 A document's cost is linear in its tokens plus quadratic, as attention is. In each
 window of documents the longest go first, each to the cheapest open sequence that
 still has room; a document longer than a sequence fills whole ones, and what fits in
-no open sequence is cut. Only the last sequence of an input partition can be short.
+no open sequence is cut. An input partition is padded by less than one sequence in all.
 """
 
 from __future__ import annotations

@@ -171,9 +171,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 24_000) -> CoTraine
     return cotrain(np.array(got["text"]), _spread(got["meta"]), y, hold)
 
 
-def score(docs: DataFrame, model: CoTrained | None, *, threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: CoTrained | None, *, threshold: float = 0.3) -> DataFrame:
     """One row per input row: doc_id, score (probability of good quality), kept.
 
+    A document goes only where it is likelier bad by more than two to one, so that an
+    odd but clean one stays.
+
     Without a model (no labels of both classes) every score is 1. Null and empty texts
     are scored like others; a null id stays null; repeated rows stay; missing metadata
     columns count as null; other columns aren't carried.
@@ -193,7 +196,7 @@ def score(docs: DataFrame, model: CoTrained | None, *, threshold: float = 0.5) -
     return _picked(docs).mapInArrow(run, "doc_id long, score double").withColumn("kept", F.col("score") >= F.lit(threshold))
 
 
-def keep_good(docs: DataFrame, model: CoTrained | None, *, threshold: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, model: CoTrained | None, *, threshold: float = 0.3) -> DataFrame:
     """The rows of docs, all columns, whose score reaches the threshold; see score()."""
     if model is None:
         return docs

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewire.plans import articles, pages, stories
+from tidewire.plans import articles, identity, pages, stories
 
-_ALL = {**pages.QUERIES, **articles.QUERIES, **stories.QUERIES}
+_ALL = {**pages.QUERIES, **articles.QUERIES, **stories.QUERIES, **identity.QUERIES}
 
 
 def flagship(spark, sf_dir):

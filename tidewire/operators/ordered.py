@@ -51,10 +51,10 @@ def compact(df: DataFrame, key: str, payload: str, order: str, most: int) -> Dat
     return first_by(newest, [key], [F.desc(order)], most)
 
 
-def sequential_ids(df: DataFrame, order, start, form: str = "story_%06d") -> DataFrame:
-    """Ids that go on from ``start``, in order.
+def numbered(df: DataFrame, order, start, name: str = "number") -> DataFrame:
+    """Numbers that go on from ``start``, in order.
 
-    Numbers are dealt by partition after a range sort, so no task sees all rows: each
+    They are dealt by partition after a range sort, so no task sees all rows: each
     gets the count of the partitions before it, which are few numbers. The sorted rows
     are cut, so that both readings of them see the same partitions.
     """
@@ -62,4 +62,9 @@ def sequential_ids(df: DataFrame, order, start, form: str = "story_%06d") -> Dat
     counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("n"), F.min("__i").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("__p", "first", before.alias("before"))
-    return ranged.join(offsets, "__p").withColumn("story_id", F.format_string(form, F.col("before") + F.col("__i") - F.col("first") + F.lit(start))).drop("__p", "__i", "first", "before")
+    return ranged.join(offsets, "__p").withColumn(name, F.col("before") + F.col("__i") - F.col("first") + F.lit(start)).drop("__p", "__i", "first", "before")
+
+
+def sequential_ids(df: DataFrame, order, start, form: str = "story_%06d") -> DataFrame:
+    """As :func:`numbered`, written as ids."""
+    return numbered(df, order, start, "__n").withColumn("story_id", F.format_string(form, F.col("__n").cast("long"))).drop("__n")

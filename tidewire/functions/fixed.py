@@ -233,3 +233,44 @@ TIER = {
 #: Court rulings; what rules out something isn't one.
 TIER_COURT = r"\b(?:supreme court|federal court|appeals court)\b.{0,90}\b(?:rules?|ruled)\b(?!\s+out\b)|\b(?:rules?|ruled)\b(?!\s+out\b).{0,75}\b(?:supreme court|federal court|appeals court)\b"
 BLOCKED_CATEGORIES = ["sports", "entertainment"]
+
+# Places a headline names and the words that ground them, and section misfits.
+PLACES = {
+    "krakow": ["krakow", "poland"], "poland": ["poland", "krakow"], "israel": ["israel"], "gaza": ["gaza"], "louisiana": ["louisiana"], "wisconsin": ["wisconsin"],
+    "moscow": ["moscow", "russia"], "russia": ["russia", "moscow"], "ukraine": ["ukraine"], "paraguay": ["paraguay"], "iran": ["iran"], "china": ["china"],
+    "texas": ["texas"], "florida": ["florida"], "japan": ["japan"], "india": ["india"], "taiwan": ["taiwan"], "korea": ["korea"], "germany": ["germany"],
+    "france": ["france"], "brazil": ["brazil"], "canada": ["canada"], "mexico": ["mexico"], "london": ["london", "england", "britain", "uk"],
+    "manchester": ["manchester", "england", "britain", "uk"], "britain": ["britain", "uk", "british"], "afghanistan": ["afghanistan"], "syria": ["syria"],
+}
+DOMESTIC_PLACES = ["louisiana", "wisconsin", "texas", "florida"]
+GROUNDING_CHARS = 1800
+US_ACTION = r"\b(?:u\.s\.|united states|american|pentagon|white house|state department|us military|us president|washington dc|u\.s\. citizens?|u\.s\. troops?)\b"
+POLITICS_EVENT = r"\b(?:senate race|presidential (?:race|campaign)|runs? for (?:senate|governor|congress|president)|enters? (?:the )?(?:senate|presidential) race|attorney general .*?election|campaigns? for (?:senate|office)|wins? (?:the )?(?:senate|gubernatorial) primary)\b"
+SPORTS_EVENT = r"\b(?:grand prix|formula 1|formula one|ncaa|nba finals|nfl|mlb|nhl|premier league|college football|football game|soccer match|tennis match|boxing match|world cup qualifier)\b"
+
+# Follow-up milestones by token.
+MILESTONES = {
+    "arrest": ["arrest", "arrested", "charge", "charged", "charges"], "identified": ["identified", "named", "identity"], "death": ["dies", "died", "dead", "killed", "death"],
+    "sentencing": ["sentenced", "sentence", "sentencing"], "court_action": ["trial", "hearing", "lawsuit", "sues", "sued", "indicted"],
+    "investigation": ["investigation", "reopen", "reopens", "reopened"], "recovery": ["recovered", "found", "located", "rescued", "reunited"],
+    "release": ["released", "discharged", "returns", "returned"], "resolution": ["contained", "resolved", "cleared", "reopened"],
+}
+
+# Publisher names after a headline.
+PUBLISHER_ENDINGS = ["news", "network", "post", "press", "record", "sentinel", "times", "tribune", "journal", "herald", "observer", "courier", "living"]
+PUBLISHERS = [
+    "ap", "associated press", "reuters", "npr", "bbc", "cnn", "cbs news", "abc news", "nbc news", "fox news", "axios", "politico", "the hill",
+    "the guardian", "new york times", "washington post", "wall street journal", "yahoo", "aol", "msn", "espn", "variety", "rolling stone",
+]
+
+# The section words of image matching and the generic words of source focus.
+CATEGORY_WORDS = {
+    "world": ["world", "war", "military", "foreign", "international", "gaza", "ukraine", "russia", "china", "iran", "israel", "europe"],
+    "us": ["america", "american", "u.s", "us", "state", "federal", "nation", "court", "police", "weather", "storm"],
+    "politics": ["trump", "congress", "senate", "house", "white", "president", "election", "campaign", "federal", "administration"],
+    "business": ["business", "market", "stock", "company", "economy", "bank", "fed", "jobs", "trade", "tariff", "earnings"],
+    "tech": ["technology", "tech", "science", "ai", "software", "chip", "space", "nasa", "apple", "google", "microsoft", "meta"],
+    "sports": ["sports", "game", "team", "league", "nba", "nfl", "mlb", "nhl", "soccer", "football", "baseball", "basketball", "tennis"],
+    "entertainment": ["movie", "film", "music", "tv", "television", "actor", "actress", "singer", "celebrity", "hollywood", "netflix"],
+}
+FOCUS_GENERIC = ["after", "before", "following", "from", "into", "with", "without", "state", "location", "news", "says", "said", "report", "reports", "update", "latest"]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewire.plans import articles, identity, pages, stories
+from tidewire.plans import articles, identity, pages, stories, surface
 
-_ALL = {**pages.QUERIES, **articles.QUERIES, **stories.QUERIES, **identity.QUERIES}
+_ALL = {**pages.QUERIES, **articles.QUERIES, **stories.QUERIES, **identity.QUERIES, **surface.QUERIES}
 
 
 def flagship(spark, sf_dir):

@@ -119,9 +119,8 @@ CLAIMS_SQL = f"""WITH {ARTICLES_SQL} SELECT article_id, array_to_string({_money_
 
 def quality_reasons(spark, sf_dir):
     """Why an article fails as a card: lengths, refusal, structure, and headline claims its lead lacks."""
-    a = articles(spark, sf_dir)
-    lead = text.first_paragraph(F.col("body"))
-    n, h = text.word_count(F.col("body")), F.col("headline")
+    a = articles(spark, sf_dir).select("article_id", "headline", "body", text.first_paragraph(F.col("body")).alias("lead"), text.word_count(F.col("body")).alias("n"))
+    lead, n, h = F.col("lead"), F.col("n"), F.col("headline")
     lost = lambda f: F.size(F.array_except(f(h), f(lead))) > 0
     checks = [
         (n < fixed.CARD_WORDS, f"body_under_{fixed.CARD_WORDS}_words"),

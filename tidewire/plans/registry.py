@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewire.plans import articles, identity, pages, stories, surface
+from tidewire.plans import articles, identity, pages, routing, stories, surface
 
-_ALL = {**pages.QUERIES, **articles.QUERIES, **stories.QUERIES, **identity.QUERIES, **surface.QUERIES}
+_ALL = {**pages.QUERIES, **articles.QUERIES, **stories.QUERIES, **identity.QUERIES, **surface.QUERIES, **routing.QUERIES}
 
 
 def flagship(spark, sf_dir):

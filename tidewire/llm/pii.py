@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import cut
+from tidewire.operators.checkpoints import cut
 
 # First names by gender and script, titles by gender.
 FIRST = {
@@ -34,24 +34,35 @@ _TITLE = "|".join(t for titles in TITLES.values() for t in titles)
 _WORD = r"\p{Lu}[\p{L}'’-]+"
 #: By kind, in order of precedence at one place of a text.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63})+",
-    "secret": r"""(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?)[A-Za-z0-9+/_.~-]{8,}=*|(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9_])(?:ghp_|sk-|xox[abp]-)[A-Za-z0-9_-]{16,}""",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,255}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63})+",
+    "secret": r"""(?<=[=:"'\s])(?<=[=:]\s{0,3}["']?)(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?)[A-Za-z0-9+/_.~-]{8,}=*|(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9_])(?:ghp_|sk-|xox[abp]-)[A-Za-z0-9_-]{16,}""",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "card": r"(?<![\d.])\d{4}(?:[ -]\d{4}){3}(?!\d)|(?<![\d.])\d{13,19}(?!\d)",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLE})\.? (?:{_WORD} )?{_WORD}|(?:{_GIVEN}) {_WORD})",
+    "name": rf"(?=[A-ZА-ЯЁ])(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLE})\.? (?:{_WORD} )?{_WORD}|(?:{_GIVEN}) {_WORD})",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A text without any of these has no entity; far cheaper to look for.
-HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|api[_-]?key)|ghp_|sk-|xox|(?=[A-ZА-ЯЁ])\b(?:{_TITLE}|{_GIVEN})\b"
+_NUMBERS = ("ssn", "phone", "ip", "card")
+#: One pattern for all. What starts with a digit, + or ( is looked at only there.
+ANY = "|".join([*(f"(?:{PATTERNS[k]})" for k in ("email", "secret", "iban")), rf"(?=[\d+(])(?:{'|'.join(PATTERNS[k] for k in _NUMBERS)})", f"(?:{PATTERNS['name']})"])
+#: A text without a digit, an @, one of these words or one of these names has no entity.
+HINT_WORDS = ["password", "passwd", "pwd", "secret", "token", "api_key", "api-key", "apikey", "ghp_", "sk-", "xox"]
+HINT_NAMES = rf"(?=[A-ZА-ЯЁ])\b(?:{_TITLE}|{_GIVEN})\b"
+
+
+def hinted(text: Column) -> Column:
+    """Whether a text can have an entity at all; far cheaper than looking for one."""
+    low, out = F.lower(text), text.rlike("[0-9@]")
+    for w in HINT_WORDS:
+        out = out | F.contains(low, F.lit(w))
+    return out | text.rlike(HINT_NAMES)
 
 
 def mentions(text: Column) -> Column:
     """The entities of a text as written, in order, repeats included."""
     none = F.array().cast("array<string>")
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))).otherwise(none)
+    return F.when(hinted(text), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))).otherwise(none)
 
 
 def kind_of(mention: Column) -> Column:
@@ -210,7 +221,9 @@ def replace_entities(docs: DataFrame, key: str, *, text_col: str = "text", count
     found = mentions(text)
     hash_ = F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"), F.length(text).alias("n"))
     plain = docs.where(text.isNull() | (F.size(found) == 0))
-    marked = docs.where(text.isNotNull()).withColumn("__found", found).where(F.size("__found") > 0).withColumn("__hash", hash_)
+    # a generator, so that a filter on the result isn't computed a second time
+    some = F.filter(F.array(found), lambda a: F.size(a) > 0)
+    marked = docs.where(text.isNotNull()).select("*", F.explode(some).alias("__found")).withColumn("__hash", hash_)
     uses = cut(marked.select("__hash", F.explode(F.array_distinct("__found")).alias("mention")).distinct())
     parts = uses.select("mention").distinct().withColumn("kind", kind_of(F.col("mention")))
     parts = cut(parts.select("mention", F.posexplode(_parts(F.col("mention"), F.col("kind"))).alias("at", "part")).select("mention", "at", "part.*"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -11,14 +9,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint.
+_OWNER: list = ["", None]
+
+
+def keep_cache(name: str, drop) -> None:
+    """Let the operator ``name`` keep a cache in this Python worker; drop the one kept before.
 
-    The cluster names the shared folder in ``spark.checkpoint.dir``; only where that
-    is unset, as in local tests, is a temporary folder taken.
+    Workers outlive tasks, and so do their caches. With one at a time, a worker that
+    takes part in all stages of a pipeline holds no more than the largest.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidewire-checkpoint-"))
-    return df.checkpoint()
+    if _OWNER[0] != name:
+        if _OWNER[1] is not None:
+            _OWNER[1]()
+        _OWNER[:] = [name, drop]

@@ -1,36 +1,12 @@
-"""Connected components: of a table of edges by alternating star steps, and within a task."""
+"""Components within one task; those of a table of edges are in tidewire.operators.graph."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidewire.llm.common import cut
+from tidewire.operators.graph import components
 
-
-def components(edges: DataFrame) -> DataFrame:
-    """edges (a, b) -> (id, component): the smallest id reachable, for ids with an edge.
-
-    Null ends and loops don't count. Each round is written to the shared checkpoint
-    folder; a round moves edges towards the smallest id of their neighbourhood, and the
-    number of rounds grows with the logarithm of the longest chain.
-    """
-    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    now, seen = cut(pairs.distinct()), None
-    while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.col("v").cast("decimal(20,0)"))).first()
-        if mark == seen or mark[0] == 0:
-            break
-        seen = mark
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = cut(small.where("u > v").distinct())
-    # every id now points at its root, and roots at nothing
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+__all__ = ["components", "merge_roots"]
 
 
 def merge_roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.common import keep_cache
+
 MARK = "▁"
 _WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 256  #: a longer run of letters is scored in parts of this length
@@ -54,7 +56,7 @@ class Unigrams:
         self.reach = max(map(len, pieces), default=1)
         self.langs = probs.shape[1]
         self.table: dict[str, int] = {}
-        self.most = max(10_000, 1_600_000 // max(1, self.langs))
+        self.most = max(10_000, 1_000_000 // max(1, self.langs))
         self.scores = np.zeros((0, self.langs))
 
     def forward(self, words: list[str]) -> np.ndarray:
@@ -184,6 +186,7 @@ _MODELS: dict[int, tuple[bytes, Unigrams]] = {}
 
 def _scorer(model: str, probs: bytes, langs: int) -> Unigrams:
     """One scorer for each model and worker, so that its table outlives a task."""
+    keep_cache("languages", _MODELS.clear)
     key = hash(probs)
     if key not in _MODELS:
         _MODELS.clear()

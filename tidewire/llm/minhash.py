@@ -24,7 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import cut
+from tidewire.operators.checkpoints import cut
+from tidewire.llm.common import keep_cache
 from tidewire.llm.components import components, merge_roots
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -38,12 +39,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Word hashes that a worker keeps.
+WORDS_KEPT = 200_000
+
+
 class _Words(dict):
     """Hashes of words seen by this worker, emptied at a fixed size."""
 
     def __missing__(self, word: str) -> int:
         h = xxhash.xxh64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < WORDS_KEPT:
             self[word] = h
         return h
 
@@ -53,7 +58,8 @@ _HASHES = _Words()
 
 def word_hashes(text: str) -> np.ndarray:
     """Hashes of a text's words: what white space separates, in lower case."""
-    if len(_HASHES) >= 500_000:
+    keep_cache("words", _HASHES.clear)
+    if len(_HASHES) >= WORDS_KEPT:
         _HASHES.clear()
     words = text.lower().split()
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))

@@ -18,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.common import keep_cache
+
 _LOADED: dict[str, object] = {}
 
 
@@ -35,6 +37,7 @@ def _encoder(path: str):
     lowest id goes first; tiktoken's engine does just that and is several times as
     fast. A file for which this doesn't hold is encoded by the tokenizers library.
     """
+    keep_cache("packing", _LOADED.clear)
     if path not in _LOADED:
         import public_tokenizers
         import tiktoken

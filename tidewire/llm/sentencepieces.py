@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.common import keep_cache
+
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -40,6 +42,7 @@ class PieceTable:
 
     @classmethod
     def of(cls, path: str) -> PieceTable:
+        keep_cache("pieces", cls._held.clear)
         if path not in cls._held:
             cls._held[path] = cls(path)
         return cls._held[path]

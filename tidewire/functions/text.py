@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from tidewire.functions import fixed
 
 
+def bind(value: Column, fn) -> Column:
+    """fn(value) with the value computed once, however often fn uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -164,8 +169,7 @@ def states_in(c: Column) -> Column:
         # the plain search is far cheaper than the pattern, and rules nearly all states out
         return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(s)) & low.rlike(rf"\b\Q{s}\E\b"), F.lit(s)) for s in fixed.STATES]))
 
-    # bound once by the lambda, so that the text isn't put in lower case for each state
-    return F.get(F.transform(F.array(F.lower(collapse(c))), named), F.lit(0))
+    return bind(F.lower(collapse(c)), named)
 
 
 def measure_claims(c: Column) -> Column:
@@ -175,14 +179,17 @@ def measure_claims(c: Column) -> Column:
 
 def relevance_scope(c: Column) -> Column:
     """Federal, foreign and global signals; the first and last are substring tests."""
-    low = F.concat(F.lit(" "), F.lower(collapse(c)), F.lit(" "))
-    states = F.size(states_in(c))
-    foreign = low.rlike(r"\b(?:" + "|".join(fixed.FOREIGN_SIGNALS) + r")\b")
-    major = contains_any(low, fixed.GLOBAL_SIGNALS)
-    return (
-        F.when(contains_any(low, fixed.FEDERAL_SIGNALS), "us_national").when(states >= 2, "us_multistate").when(states == 1, "us_state_regional")
-        .when(foreign & major, "global_major").when(foreign, "international").when(major, "global_major_only").otherwise("unknown")
-    )
+
+    def scope(low):
+        n = F.size(states_in(low))
+        foreign = low.rlike(r"\b(?:" + "|".join(fixed.FOREIGN_SIGNALS) + r")\b")
+        major = contains_any(low, fixed.GLOBAL_SIGNALS)
+        return (
+            F.when(contains_any(low, fixed.FEDERAL_SIGNALS), "us_national").when(n >= 2, "us_multistate").when(n == 1, "us_state_regional")
+            .when(foreign & major, "global_major").when(foreign, "international").when(major, "global_major_only").otherwise("unknown")
+        )
+
+    return bind(F.concat(F.lit(" "), F.lower(collapse(c)), F.lit(" ")), scope)
 
 
 def scope_name(scope: Column) -> Column:
@@ -204,18 +211,21 @@ def fatality_count(c: Column) -> Column:
 
 def importance_reasons(c: Column, scope: Column, updates: Column, agencies: Column) -> Column:
     """array<struct<code, points>> in rule order; phrases are substring tests."""
-    low = F.lower(text(c))
-    dead = fatality_count(c)
     reason = lambda code, points: F.struct(F.lit(code).alias("code"), F.lit(points).alias("points"))
-    rules = [F.when(contains_any(low, phrases), reason(code, points)) for code, points, phrases in fixed.IMPORTANCE]
-    deaths = F.when(dead >= fixed.FATALITY_POINTS[0][0], reason(*fixed.FATALITY_POINTS[0][1:]))
-    for least, code, points in fixed.FATALITY_POINTS[1:]:
-        deaths = deaths.when(dead >= least, reason(code, points))
-    rules.append(deaths.when(low.rlike(fixed.DEATH_PATTERN), reason("single_death", 6)))
-    rules.append(F.when(updates > 1, reason("follow_up", 5)))
-    rules.append(F.when(agencies >= 2, reason("multi_agency", 5)))
-    rules.append(F.when(scope == "us_national", reason("national_scope", 15)).when(scope == "us_multistate", reason("multistate_scope", 10)).when(scope == "global_major", reason("global_scope", 10)))
-    return F.array_compact(F.array(*rules))
+
+    def rules(low):
+        dead = fatality_count(low)
+        out = [F.when(contains_any(low, phrases), reason(code, points)) for code, points, phrases in fixed.IMPORTANCE]
+        deaths = F.when(dead >= fixed.FATALITY_POINTS[0][0], reason(*fixed.FATALITY_POINTS[0][1:]))
+        for least, code, points in fixed.FATALITY_POINTS[1:]:
+            deaths = deaths.when(dead >= least, reason(code, points))
+        out.append(deaths.when(low.rlike(fixed.DEATH_PATTERN), reason("single_death", 6)))
+        out.append(F.when(updates > 1, reason("follow_up", 5)))
+        out.append(F.when(agencies >= 2, reason("multi_agency", 5)))
+        out.append(F.when(scope == "us_national", reason("national_scope", 15)).when(scope == "us_multistate", reason("multistate_scope", 10)).when(scope == "global_major", reason("global_scope", 10)))
+        return F.array_compact(F.array(*out))
+
+    return bind(F.lower(text(c)), rules)
 
 
 def importance_score(reasons: Column) -> Column:

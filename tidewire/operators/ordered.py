@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,24 +18,39 @@ def first_by(df: DataFrame, keys, order, n: int = 1, rank: str | None = None) ->
 def first_seen(df: DataFrame, group: str, order: str, keys: list[str]) -> DataFrame:
     """Rows none of whose keys a kept earlier row of the group has; empty keys don't count.
 
-    Greedy and order-dependent, so that two ranks can't stand in for it: a dropped row's
-    keys are not seen. A group is folded in one task, as its order demands.
+    This is the greedy rule, in which a dropped row's keys are not seen, so that two
+    ranks can't stand in for it. It is computed in rounds: a row that comes first for
+    each of its keys is kept, whatever shares a key with a kept row goes, and the rest
+    plays again. No group is gathered in a task, and a key of many rows is reduced
+    before it is shuffled. Rows of equal order go by their other columns.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        seen: list[set] = [set() for _ in keys]
-        kept = []
-        for values in rows.sort_values(order)[[*keys]].itertuples():
-            mine = values[1:]
-            if any(v and v in s for v, s in zip(mine, seen, strict=True)):
-                continue
-            for v, s in zip(mine, seen, strict=True):
-                if v:
-                    s.add(v)
-            kept.append(values[0])
-        return rows.loc[kept]
-
-    return df.groupBy(group).applyInPandas(fold, df.schema)
+    cols = df.columns
+    at = F.struct(order, *[c for c in cols if c != order])
+    bare = F.lit(True)
+    for k in keys:
+        bare = bare & (F.coalesce(F.col(k), F.lit("")) == "")
+    kept = [df.where(bare).select(at.alias("__at"))]
+    df = df.where(~bare).fillna("", keys)
+    left = cut(df.withColumn("__at", at).groupBy(group, *keys).agg(F.min("__at").alias("__at")))
+    while not left.isEmpty():
+        marked = left
+        for k in keys:
+            first = left.where(F.col(k) != "").groupBy(group, k).agg(F.min("__at").alias(f"__first_{k}"))
+            marked = marked.join(first, [group, k], "left")
+        is_first = F.lit(True)
+        for k in keys:
+            is_first = is_first & F.coalesce(F.col("__at") == F.col(f"__first_{k}"), F.lit(True))
+        now = cut(marked.withColumn("__on", is_first).select(group, *keys, "__at", "__on"))
+        chosen = now.where("__on")
+        kept.append(chosen.select("__at"))
+        rest = now.where("not __on").drop("__on")
+        for k in keys:
+            rest = rest.join(chosen.where(F.col(k) != "").select(group, k).distinct(), [group, k], "left_anti")
+        left = cut(rest.select(group, *keys, "__at"))
+    out = kept[0]
+    for more in kept[1:]:
+        out = out.unionAll(more)
+    return out.select("__at.*").select(*cols)
 
 
 def change_log(df: DataFrame, key: str, order, state: str) -> DataFrame:

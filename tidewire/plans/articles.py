@@ -197,11 +197,10 @@ RELEVANCE_SQL = f"WITH {ARTICLES_SQL} SELECT article_id, CASE WHEN s = 'global_m
 
 def importance(spark, sf_dir):
     """Importance score, level and reason codes of every headline."""
-    a = articles(spark, sf_dir)
-    scope = text.scope_name(text.relevance_scope(F.col("headline")))
-    r = a.select("article_id", text.importance_reasons(F.col("headline"), scope, F.lit(1), F.lit(0)).alias("r"))
-    score = text.importance_score(F.col("r"))
-    return r.select("article_id", score.alias("score"), text.importance_level(score).alias("level"), F.array_join(F.transform("r", lambda x: x["code"]), ",").alias("reasons"))
+    a = articles(spark, sf_dir).withColumn("scope", text.scope_name(text.relevance_scope(F.col("headline"))))
+    r = a.select("article_id", text.importance_reasons(F.col("headline"), F.col("scope"), F.lit(1), F.lit(0)).alias("r"))
+    r = r.withColumn("score", text.importance_score(F.col("r")))
+    return r.select("article_id", "score", text.importance_level(F.col("score")).alias("level"), F.array_join(F.transform("r", lambda x: x["code"]), ",").alias("reasons"))
 
 
 _RULES = ", ".join(f"CASE WHEN {_any('low', p)} THEN {{'c': '{c}', 'p': {n}}} END" for c, n, p in fixed.IMPORTANCE)

@@ -181,8 +181,8 @@ SELECT article_id, u AS update_class, CASE WHEN article_id % 29 = 0 THEN 'hold_f
 
 
 def _cards(spark, sf_dir):
-    a = articles(spark, sf_dir)
-    scope = text.relevance_scope(F.col("headline"))
+    a = articles(spark, sf_dir).withColumn("scope", text.relevance_scope(F.col("headline")))
+    scope = F.col("scope")
     trust = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.when(F.col("quality") == 1, 80).otherwise(40)).alias("trust")).withColumnRenamed("doc_id", "article_id")
     t = a.join(trust, "article_id", "left").select(
         "article_id", "headline", "category_key", "urgency", F.coalesce("trust", F.lit(50)).alias("trust"), F.when(F.col("article_id") % 13 != 0, ranking.age_hours(F.col("published_at"), REFERENCE)).alias("age"),

@@ -115,6 +115,12 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The attempt-th surrogate of an entity, in canonical form."""
     blocks = F.sequence(F.lit(0), F.floor(F.length(canon) / 32).cast("int") + 1)
     stream = F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), b.cast("string"), canon), 512)), "")
+    # bound by the lambda, so that the digest isn't computed for every character
+    return F.get(F.transform(F.array(stream), lambda s: _drawn(kind, canon, attempt, s)), F.lit(0))
+
+
+def _drawn(kind: Column, canon: Column, attempt: Column, stream: Column) -> Column:
+    """A surrogate from the hex digits of a keyed digest, two for each character."""
     byte = lambda i: F.conv(F.substring(stream, 2 * i - 1, F.lit(2)), 16, 10).cast("int")
     pick = lambda letters, b: F.substring(F.lit(letters), b % len(letters) + 1, F.lit(1))
     script = lambda c: F.when(c.rlike("[Ѐ-ӿ]"), F.lit("cyrillic")).otherwise(F.lit("latin"))

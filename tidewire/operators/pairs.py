@@ -17,49 +17,63 @@ def distinct_sets(df: DataFrame) -> DataFrame:
     return df.select("id", F.array_sort("tokens").alias("tokens")).groupBy("tokens").agg(F.collect_list("id").alias("ids"))
 
 
-def prefixes(df: DataFrame, least: int) -> DataFrame:
-    """One row for each token in a set's prefix: all but its ``least - 1`` commonest tokens.
+def ranked(df: DataFrame, least: int) -> DataFrame:
+    """(id, tokens) -> id, tokens by rarity, and prefix: all but the ``least - 1`` commonest.
 
     Two sets that share ``least`` tokens share one in their prefixes, whatever the order;
     ordering by rarity keeps common tokens out of the join keys.
     """
     each = df.select("id", F.explode("tokens").alias("token"))
     counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = each.join(counts, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
-    keep = F.slice("t", F.lit(1), F.greatest(F.lit(0), F.size("t") - (least - 1)))
-    return ranked.select("id", F.explode(keep).alias("t")).select("id", F.col("t.token").alias("token"))
+    sets = each.join(counts, "token").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda t: t["token"]).alias("tokens"))
+    return sets.withColumn("prefix", F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.size("tokens") - (least - 1))))
+
+
+def meet(left: DataFrame, right: DataFrame, keys=(), condition=None) -> DataFrame:
+    """Pairs of ranked rows that share a prefix token and ``keys``: each once, at the first such token.
+
+    Columns come back as l_* and r_*. The sets travel with the tokens, so that pairs need
+    neither a distinct nor a join to get them.
+    """
+    side = lambda df, p: df.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in keys], F.explode("prefix").alias("token"))
+    met = side(left, "l").join(side(right, "r"), ["token", *keys])
+    if condition is not None:
+        met = met.where(condition)
+    return met.where(F.get(F.array_intersect("l_prefix", "r_prefix"), F.lit(0)) == F.col("token")).drop("token", "l_prefix", "r_prefix")
 
 
 def similar_sets(df: DataFrame, least: int) -> DataFrame:
     """(id, tokens) -> pairs with at least ``least`` shared tokens, with containment and Jaccard."""
-    sets = df.select("id", F.array_sort("tokens").alias("tokens"))
-    keys = prefixes(sets, least)
-    met = keys.select(F.col("id").alias("left_id"), "token").join(keys.select(F.col("id").alias("right_id"), "token"), "token").where("left_id < right_id").select("left_id", "right_id").distinct()
-    a, b = sets.select(F.col("id").alias("left_id"), F.col("tokens").alias("lt")), sets.select(F.col("id").alias("right_id"), F.col("tokens").alias("rt"))
-    out = met.join(a, "left_id").join(b, "right_id").withColumn("shared", F.size(F.array_intersect("lt", "rt")).cast("long")).where(F.col("shared") >= least)
-    return out.select("left_id", "right_id", "shared", text.overlap(F.col("lt"), F.col("rt")).alias("containment"), text.jaccard(F.col("lt"), F.col("rt")).alias("jaccard"))
+    sets = ranked(df, least)
+    met = meet(sets, sets, condition=F.col("l_id") < F.col("r_id")).withColumn("shared", F.size(F.array_intersect("l_tokens", "r_tokens")).cast("long"))
+    a, b = F.size("l_tokens"), F.size("r_tokens")
+    out = met.where(F.col("shared") >= least)
+    return out.select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), "shared", (F.col("shared") / F.least(a, b)).alias("containment"), (F.col("shared") / (a + b - F.col("shared"))).alias("jaccard"))
 
 
 def top_candidates(df: DataFrame, window_days: int, least_shared: int, k: int) -> DataFrame:
     """(id, tokens, day) -> each row's ``k`` best earlier rows within the window.
 
-    Blocked on rare shared tokens and on weeks: a row meets its own span of days and the
+    Blocked on rare shared tokens and on spans of days: a row meets its own span and the
     ones beside it, so the band predicate is part of the equality join.
     """
-    keys = prefixes(df, least_shared)
     span = window_days + 1
-    slot = F.floor(F.unix_date("day") / span)
-    days = df.select("id", "day")
-    rows = keys.join(days, "id").withColumn("slot", slot)
-    probes = rows.select(F.col("id").alias("probe_id"), "token", F.col("day").alias("pd"), F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"))
-    others = rows.select(F.col("id").alias("candidate_id"), "token", F.col("day").alias("cd"), "slot")
-    met = probes.join(others, ["token", "slot"]).where("candidate_id < probe_id").withColumn("gap", F.abs(F.datediff("pd", "cd"))).where(F.col("gap") <= window_days)
-    met = met.select("probe_id", "candidate_id", "gap").distinct()
-    a, b = df.select(F.col("id").alias("probe_id"), F.col("tokens").alias("lt")), df.select(F.col("id").alias("candidate_id"), F.col("tokens").alias("rt"))
-    both = met.join(a, "probe_id").join(b, "candidate_id").where(F.size(F.array_intersect("lt", "rt")) >= least_shared)
-    score = F.bround(0.72 * text.overlap(F.col("lt"), F.col("rt")) + 0.28 * text.jaccard(F.col("lt"), F.col("rt")), 4)
-    best = first_by(both.select("probe_id", "candidate_id", "gap", score.alias("score")), ["probe_id"], [F.desc("score"), F.asc("gap"), F.desc("candidate_id")], k, rank="rank")
-    return best.select("probe_id", F.col("rank").cast("int").alias("rank"), "candidate_id", "score", F.col("gap").cast("int").alias("day_gap"))
+    sets = ranked(df, least_shared).join(df.select("id", "day"), "id").withColumn("slot", F.floor(F.unix_date("day") / span))
+    probes = sets.withColumn("slot", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)))
+    gap = F.abs(F.datediff("l_day", "r_day"))
+    met = meet(probes, sets, ["slot"], (F.col("r_id") < F.col("l_id")) & (gap <= window_days)).withColumn("shared", F.size(F.array_intersect("l_tokens", "r_tokens")))
+    a, b, n = F.size("l_tokens"), F.size("r_tokens"), F.col("shared")
+    score = F.bround(0.72 * (n / F.least(a, b)) + 0.28 * (n / (a + b - n)), 4)
+    scored = met.where(n >= least_shared).select(F.col("l_id").alias("probe_id"), F.col("r_id").alias("candidate_id"), gap.cast("int").alias("day_gap"), score.alias("score"))
+    best = first_by(scored, ["probe_id"], [F.desc("score"), F.asc("day_gap"), F.desc("candidate_id")], k, rank="rank")
+    return best.select("probe_id", F.col("rank").cast("int").alias("rank"), "candidate_id", "score", "day_gap")
+
+
+def two_sided(left: DataFrame, right: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables (id, tokens), ranked by rarity in both together."""
+    both = left.select(F.struct(F.lit(0).alias("side"), "id").alias("id"), "tokens").unionAll(right.select(F.struct(F.lit(1).alias("side"), "id").alias("id"), "tokens"))
+    sets = ranked(both, least)
+    return tuple(sets.where(F.col("id.side") == n).withColumn("id", F.col("id.id")) for n in (0, 1))
 
 
 def archive_match(probes: DataFrame, archive: DataFrame) -> DataFrame:
@@ -68,12 +82,10 @@ def archive_match(probes: DataFrame, archive: DataFrame) -> DataFrame:
     Signatures match on 4 shared tokens, 2 of them outside the vocabulary courts share.
     """
     by_story = probes.join(archive.select("pos", "story_id"), "story_id").select("article_id", "pos", F.lit(2).alias("tier"))
-    ids = archive.select((-F.col("pos") - 1).alias("id"), "tokens").unionAll(probes.where(F.size("tokens") >= 3).select(F.col("article_id").alias("id"), "tokens"))
-    keys = prefixes(ids, 4)
-    met = keys.where("id < 0").select((-F.col("id") - 1).alias("pos"), "token").join(keys.where("id >= 0").select(F.col("id").alias("article_id"), "token"), "token").select("article_id", "pos").distinct()
-    both = met.join(archive.select("pos", F.col("tokens").alias("at")), "pos").join(probes.select("article_id", F.col("tokens").alias("pt")), "article_id")
-    shared = F.array_intersect("pt", "at")
-    by_title = both.where((F.size(shared) >= 4) & (F.size(F.array_except(shared, text.strings(fixed.LEGAL_FRAME))) >= 2)).select("article_id", "pos", F.lit(3).alias("tier"))
+    a, b = two_sided(probes.where(F.size("tokens") >= 3).select(F.col("article_id").alias("id"), "tokens"), archive.select(F.col("pos").alias("id"), "tokens"), 4)
+    shared = F.array_intersect("l_tokens", "r_tokens")
+    matched = meet(a, b).where((F.size(shared) >= 4) & (F.size(F.array_except(shared, text.strings(fixed.LEGAL_FRAME))) >= 2))
+    by_title = matched.select(F.col("l_id").alias("article_id"), F.col("r_id").alias("pos"), F.lit(3).alias("tier"))
     best = first_by(by_story.unionAll(by_title), ["article_id"], [F.asc("tier"), F.asc("pos")])
     return best.select("article_id", "tier", F.col("pos").alias("archive_id"))
 

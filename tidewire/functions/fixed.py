@@ -293,3 +293,6 @@ FRESH_WORDS = [
     "new details", "emerges", "emerged", "discovered", "uncovers", "uncovered", "identified", "named", "ruled", "plot", "conspiracy", "indicted", "sentenced",
     "found guilty", "linked", "motive", "cause of death",
 ]
+
+# Path words of sources whose address stays while their story changes.
+ROLLING_PATHS = ["weather", "forecast", "radar", "traffic", "live", "livestream", "updates", "update", "blog", "alerts", "alert"]

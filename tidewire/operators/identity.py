@@ -118,3 +118,50 @@ def repair(stories: DataFrame, aliases: DataFrame, most: int = 16) -> tuple[Data
         renamed = cut(renamed.unionAll(gone).distinct())
         now = merged.select("story_id", "titles", "urls", "custom", "priority")
     return now, graph.flatten_aliases(renamed, now.select(F.col("story_id").alias("id")))
+
+
+def source_match(articles: DataFrame, stories: DataFrame) -> DataFrame:
+    """(article_id, url, title) -> the one story with the same identity URL, and why there is none.
+
+    An address that rolls (weather, live, blogs) joins a story only if the titles agree
+    too: equal, or two tokens shared and .35 of the smaller. More than one story is
+    ambiguous and gives none. stories: story_id, url, title, one row for each title.
+    """
+    a = articles.select("article_id", "url", text.headline_key(F.col("title")).alias("key"), text.source_title_tokens(F.col("title")).alias("t"))
+    s = stories.where("url <> ''").select("url", "story_id", text.headline_key(F.col("title")).alias("skey"), text.source_title_tokens(F.col("title")).alias("st"))
+    rolling = F.arrays_overlap(text.words(F.regexp_replace("url", r"^\w+://[^/]*", "")), text.strings(fixed.ROLLING_PATHS))
+    agrees = (F.col("key") == F.col("skey")) | ((F.size(F.array_intersect("t", "st")) >= 2) & (text.overlap(F.col("t"), F.col("st")) >= 0.35))
+    met = a.where("url <> ''").join(s, "url").groupBy("article_id", "story_id").agg(F.max(~rolling | agrees).alias("ok"))
+    found = met.groupBy("article_id").agg(F.count_if("ok").alias("n"), F.min(F.when(F.col("ok"), F.col("story_id"))).alias("only"))
+    why = F.when(F.col("url") == "", "not_an_identity").when(F.col("n").isNull(), "no_story").when(F.col("n") == 0, "rolling_without_continuity").when(F.col("n") > 1, "ambiguous").otherwise("matched")
+    return articles.select("article_id", "url").join(found, "article_id", "left").select("article_id", why.alias("outcome"), F.when(F.col("n") == 1, F.col("only")).alias("story_id"))
+
+
+def corroborated_identity(cards: DataFrame, stories: DataFrame) -> DataFrame:
+    """(article_id, story_id, slug, url, title) -> the story that evidence supports.
+
+    A card's own story id counts only with its slug, URL or title, or a strongly
+    overlapping title (medium confidence). Else the owner of the slug, the URL, then the
+    title; the first story owns a key. stories: story_id, slug, url, title.
+    """
+    out = cards.withColumn("tk", text.title_tokens(F.col("title")))
+    titled = stories.withColumn("title_key", text.headline_key(F.col("title")))
+    out = out.withColumn("title_key", text.headline_key(F.col("title")))
+    for key in ("slug", "url", "title_key"):
+        owner = titled.where(F.col(key) != "").groupBy(key).agg(F.min("story_id").alias(f"by_{key}"))
+        out = out.join(owner, key, "left")
+    own = stories.select("story_id", F.lit(True).alias("known"), text.title_tokens(F.col("title")).alias("own_tk"))
+    out = out.join(own, "story_id", "left")
+    shared = F.size(F.array_intersect("tk", "own_tk"))
+    strong = F.coalesce((shared >= 4) & ((text.overlap(F.col("tk"), F.col("own_tk")) >= 0.70) | (text.jaccard(F.col("tk"), F.col("own_tk")) >= 0.55)), F.lit(False))
+    sid, known = F.col("story_id"), F.coalesce("known", F.lit(False))
+    basis = (
+        F.when(known & (F.col("by_slug") == sid), "persistent_story_id+canonical_slug").when(known & (F.col("by_url") == sid), "persistent_story_id+source_url")
+        .when(known & (F.col("by_title_key") == sid), "persistent_story_id+exact_title").when(known & strong, "persistent_story_id+strong_title_overlap")
+        .when(F.col("by_slug").isNotNull(), "canonical_slug").when(F.col("by_url").isNotNull(), "source_url").when(F.col("by_title_key").isNotNull(), "title")
+        .when(sid.isNotNull(), "uncorroborated_persistent_story_id").otherwise("unmatched")
+    )
+    out = out.withColumn("basis", basis)
+    story = F.when(F.col("basis").startswith("persistent"), sid).when(F.col("basis") == "canonical_slug", F.col("by_slug")).when(F.col("basis") == "source_url", F.col("by_url")).when(F.col("basis") == "title", F.col("by_title_key"))
+    trust = F.when(F.col("basis") == "persistent_story_id+strong_title_overlap", "medium").when(F.col("basis") == "uncorroborated_persistent_story_id", "low").when(F.col("basis") == "unmatched", "unmatched").otherwise("high")
+    return out.select("article_id", story.alias("story_id"), "basis", trust.alias("confidence"), (sid.isNotNull() & ~F.col("basis").startswith("persistent")).alias("conflict"))

@@ -59,3 +59,23 @@ def capped_urgency(urgency: Column, headline: Column, age: Column) -> Column:
     """Urgency that falls with age, but for headlines that say something happened now."""
     cap = F.when(age > 48, 4).when(age > 36, 5).when(age > 24, 7).when(age > 12, 8).otherwise(10)
     return F.when(age.isNull() | text.contains_any(F.lower(headline), fixed.FRESH_WORDS), urgency).otherwise(F.least(urgency, cap))
+
+
+def hard_rejected(reason: Column) -> Column:
+    """Whether an editor's reason to reject a source rules it out for backfill too."""
+    return text.contains_any(F.lower(text.text(reason)), fixed.HARD_REJECTIONS)
+
+
+def supported_keys(keys: Column, titles: Column) -> Column:
+    """Event keys without deaths of named people that no title speaks of."""
+    spoken = F.exists(titles, lambda t: F.lower(t).rlike(fixed.DEATH_PATTERN))
+    return F.filter(keys, lambda k: spoken | ~F.lower(k).startswith("named-person-death:"))
+
+
+def health(stories: DataFrame) -> DataFrame:
+    """One row on a registry (story_id, event_keys, titles): counters, and clean only if all are 0."""
+    keys = stories.select("story_id", F.explode("event_keys").alias("k"))
+    shared = keys.groupBy("k").agg(F.countDistinct("story_id").alias("n")).agg(F.count_if(F.col("n") > 1).alias("shared_keys"))
+    own = stories.agg(F.count(F.lit(1)).alias("stories"), F.count_if(F.size("titles") == 0).alias("untitled"), F.sum(F.size("event_keys") - F.size(supported_keys(F.col("event_keys"), F.col("titles")))).alias("unsupported_keys"))
+    # one row each
+    return own.join(F.broadcast(shared), F.lit(True)).withColumn("status", F.when((F.col("untitled") + F.col("unsupported_keys") + F.col("shared_keys")) == 0, "clean").otherwise("blocked"))

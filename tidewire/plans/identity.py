@@ -244,7 +244,50 @@ def page_sources(spark, sf_dir):
 
 SOURCES_SQL = f"WITH {pp._WEB_SQL} SELECT page_id, CASE WHEN domain <> '' THEN 'full_source' ELSE 'unknown' END AS source_type, {pp._QUALITY} AS source_quality, n_words >= 80 AS hero_eligible FROM w"
 
+def _cards_and_stories(spark, sf_dir):
+    a = articles(spark, sf_dir).withColumn("title", F.concat_ws(" ", "source_title", (F.col("article_id") % 7).cast("string")))
+    a = a.withColumn("slug", F.concat(F.lit("s"), (F.col("article_id") % 83).cast("string"))).withColumn("url", F.concat(F.when(F.col("article_id") % 2 == 0, F.lit("https://x.org/live/")).otherwise(F.lit("https://x.org/news/")), (F.col("article_id") % 61).cast("string")))
+    stories = a.where("article_id % 3 = 0 and article_id % 5 < 3").select(F.expr("article_id div 3").alias("story_id"), "slug", "url", "title")
+    cards = a.where("article_id % 3 = 1").select("article_id", F.when(F.col("article_id") % 4 != 0, F.expr("(article_id - 1) div 3")).alias("story_id"), F.when(F.col("article_id") % 10 == 1, F.lit("")).otherwise(F.col("slug")).alias("slug"), F.when(F.col("article_id") % 6 == 1, F.lit("")).otherwise(F.col("url")).alias("url"), "title")
+    return cards, stories
+
+
+_CS_SQL = f"""{ARTICLES_SQL}, x AS (SELECT article_id AS id, source_title || ' ' || (article_id % 7) AS title, 's' || (article_id % 83) AS slug, CASE WHEN article_id % 2 = 0 THEN 'https://x.org/live/' ELSE 'https://x.org/news/' END || (article_id % 61) AS url FROM articles),
+k AS (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS tkey FROM x),
+st AS (SELECT id // 3 AS story_id, slug, url, title, tkey FROM k WHERE id % 3 = 0 AND id % 5 < 3),
+cd AS (SELECT id AS article_id, CASE WHEN id % 4 <> 0 THEN (id - 1) // 3 END AS story_id, CASE WHEN id % 10 = 1 THEN '' ELSE slug END AS slug, CASE WHEN id % 6 = 1 THEN '' ELSE url END AS url, title, tkey FROM k WHERE id % 3 = 1)"""
+
+
+def ranking_identity(spark, sf_dir):
+    """The story each card belongs to, on what evidence, and how far that is trusted."""
+    return identity.corroborated_identity(*_cards_and_stories(spark, sf_dir))
+
+
+IDENTITY_SQL = f"""WITH {_CS_SQL}, o AS (SELECT c.*, (SELECT min(story_id) FROM st WHERE st.slug = c.slug) AS bs, (SELECT min(story_id) FROM st WHERE st.url = c.url) AS bu, (SELECT min(story_id) FROM st WHERE st.tkey = c.tkey) AS bt,
+  s.story_id IS NOT NULL AS kn, list_distinct({ap._TITLE('c.title')}) AS a, list_distinct({ap._TITLE("coalesce(s.title, '')")}) AS b FROM cd c LEFT JOIN st s ON s.story_id = c.story_id),
+e AS (SELECT *, {ap._SHARED('a', 'b')} AS n FROM o), b AS (SELECT *, CASE WHEN kn AND bs = story_id THEN 'persistent_story_id+canonical_slug' WHEN kn AND bu = story_id THEN 'persistent_story_id+source_url' WHEN kn AND bt = story_id THEN 'persistent_story_id+exact_title'
+  WHEN kn AND n >= 4 AND (n / least(len(a), len(b)) >= 0.70 OR n / (len(a) + len(b) - n) >= 0.55) THEN 'persistent_story_id+strong_title_overlap' WHEN bs IS NOT NULL THEN 'canonical_slug' WHEN bu IS NOT NULL THEN 'source_url' WHEN bt IS NOT NULL THEN 'title'
+  WHEN story_id IS NOT NULL THEN 'uncorroborated_persistent_story_id' ELSE 'unmatched' END AS basis FROM e)
+SELECT article_id, CASE WHEN starts_with(basis, 'persistent') THEN story_id WHEN basis = 'canonical_slug' THEN bs WHEN basis = 'source_url' THEN bu WHEN basis = 'title' THEN bt END AS story_id, basis,
+  CASE basis WHEN 'persistent_story_id+strong_title_overlap' THEN 'medium' WHEN 'uncorroborated_persistent_story_id' THEN 'low' WHEN 'unmatched' THEN 'unmatched' ELSE 'high' END AS confidence, story_id IS NOT NULL AND NOT starts_with(basis, 'persistent') AS conflict FROM b"""
+
+
+def source_matches(spark, sf_dir):
+    """The one story with each card's URL; rolling addresses need agreeing titles too."""
+    cards, stories = _cards_and_stories(spark, sf_dir)
+    return identity.source_match(cards.select("article_id", "url", "title"), stories.select("story_id", "url", "title"))
+
+
+_STOK = lambda c: f"list_distinct({ap._keep(ap._words(c), 3, fixed.SOURCE_TITLE_NOISE, True)})"
+_SHEAD = ap._SOURCE_HEAD.replace("headline", "title")
+MATCHES_SQL = f"""WITH {_CS_SQL}, ct AS (SELECT article_id, url, tkey, {_STOK(_SHEAD)} AS t FROM cd), sm AS (SELECT story_id, url, tkey, {_STOK(_SHEAD)} AS t FROM st),
+m AS (SELECT c.article_id, s.story_id, bool_or(NOT contains(c.url, '/live/') OR c.tkey = s.tkey OR ({ap._SHARED('c.t', 's.t')} >= 2 AND {ap._SHARED('c.t', 's.t')} / least(len(c.t), len(s.t)) >= 0.35)) AS ok FROM ct c JOIN sm s ON c.url = s.url AND c.url <> '' GROUP BY ALL),
+f AS (SELECT article_id, count(*) FILTER (ok) AS n, min(story_id) FILTER (ok) AS o FROM m GROUP BY 1)
+SELECT cd.article_id, CASE WHEN url = '' THEN 'not_an_identity' WHEN n IS NULL THEN 'no_story' WHEN n = 0 THEN 'rolling_without_continuity' WHEN n > 1 THEN 'ambiguous' ELSE 'matched' END AS outcome, CASE WHEN n = 1 THEN o END AS story_id FROM cd LEFT JOIN f USING (article_id)"""
+
 QUERIES = {
+    "ranking_identity": (ranking_identity, IDENTITY_SQL),
+    "source_matches": (source_matches, MATCHES_SQL),
     "front_page": (front_page, FRONT_SQL),
     "image_checks": (image_checks, IMAGES_SQL),
     "timeline_coherence": (timeline_coherence, COHERENCE_SQL),

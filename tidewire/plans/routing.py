@@ -96,7 +96,34 @@ def urgency_caps(spark, sf_dir):
 CAPS_SQL = f"""WITH {ARTICLES_SQL}, a AS (SELECT *, CASE WHEN article_id % 13 <> 0 THEN greatest(0, (epoch_us(TIMESTAMP '{REFERENCE}') - epoch_us(published_at)) / 3.6e9) END AS age FROM articles)
 SELECT article_id, CAST(CASE WHEN age IS NULL OR {ap._any('lower(headline)', fixed.FRESH_WORDS)} THEN urgency ELSE least(urgency, CASE WHEN age > 48 THEN 4 WHEN age > 36 THEN 5 WHEN age > 24 THEN 7 WHEN age > 12 THEN 8 ELSE 10 END) END AS INTEGER) AS urgency FROM a"""
 
+def rejection_reasons(spark, sf_dir):
+    """Which of the reasons made of headlines rule a source out."""
+    a = articles(spark, sf_dir)
+    words = text.strings(["Duplicate of the lead", "weak angle", "Off category", "needs work", "too thin", "promotional"])
+    reason = F.concat_ws(": ", F.get(words, (F.col("article_id") % 6).cast("int")), "source_title")
+    return a.select("article_id", routing.hard_rejected(reason).alias("rejected"))
+
+
+REJECTION_SQL = f"""WITH {ARTICLES_SQL}, r AS (SELECT article_id, lower(list_extract(['Duplicate of the lead', 'weak angle', 'Off category', 'needs work', 'too thin', 'promotional'], CAST(article_id % 6 AS INTEGER) + 1) || ': ' || source_title) AS r FROM articles)
+SELECT article_id, {ap._any('r', fixed.HARD_REJECTIONS)} AS rejected FROM r"""
+
+
+def registry_health(spark, sf_dir):
+    """Counters of a registry made of articles, and whether it may be published from."""
+    a = articles(spark, sf_dir)
+    key = F.when(F.col("article_id") % 9 == 0, F.concat(F.lit("named-person-death:p"), F.col("article_id").cast("string"))).otherwise(F.concat(F.lit("e"), (F.col("article_id") % 400).cast("string")))
+    s = a.groupBy(F.expr("article_id div 4").alias("story_id")).agg(F.collect_set(key).alias("event_keys"), F.collect_list("source_title").alias("titles"))
+    return routing.health(s)
+
+
+HEALTH_SQL = f"""WITH {ARTICLES_SQL}, a AS (SELECT article_id // 4 AS s, CASE WHEN article_id % 9 = 0 THEN 'named-person-death:p' || article_id ELSE 'e' || (article_id % 400) END AS k, article_id % 9 = 0 AS d, source_title AS t FROM articles),
+g AS (SELECT s, count(DISTINCT k) FILTER (d) AS d, bool_or(regexp_matches(lower(t), '{fixed.DEATH_PATTERN}')) AS spoken FROM a GROUP BY 1), k AS (SELECT count(*) FILTER (n > 1) AS shared FROM (SELECT k, count(DISTINCT s) AS n FROM a GROUP BY 1))
+SELECT count(*) AS stories, 0 AS untitled, CAST(sum(CASE WHEN spoken THEN 0 ELSE d END) AS BIGINT) AS unsupported_keys, (SELECT shared FROM k) AS shared_keys,
+  CASE WHEN sum(CASE WHEN spoken THEN 0 ELSE d END) + (SELECT shared FROM k) = 0 THEN 'clean' ELSE 'blocked' END AS status FROM g"""
+
 QUERIES = {
+    "rejection_reasons": (rejection_reasons, REJECTION_SQL),
+    "registry_health": (registry_health, HEALTH_SQL),
     "production_routes": (production_routes, ROUTES_SQL),
     "deferred_updates": (deferred_updates, DEFERRED_SQL),
     "reuse_checks": (reuse_checks, REUSE_SQL),

@@ -44,65 +44,116 @@ def words_of(text: str) -> list[str]:
     return out
 
 
+class Trie:
+    """The pieces as a trie whose edges lie in one open hash table, so that arrays of steps are looked up at once."""
+
+    def __init__(self, pieces: list[str]):
+        nodes, edges, self.piece = {"": 0}, [], [-1]
+        for n, p in enumerate(pieces):
+            for k in range(1, len(p) + 1):
+                if p[:k] not in nodes:
+                    nodes[p[:k]] = len(nodes)
+                    self.piece.append(-1)
+                    edges.append((nodes[p[: k - 1]] << 21 | ord(p[k - 1]), nodes[p[:k]]))
+            self.piece[nodes[p]] = n
+        self.piece = np.array(self.piece)
+        self.mask = (1 << max(4, (4 * len(edges)).bit_length())) - 1
+        self.keys = np.full(self.mask + 1, -1, np.int64)
+        self.child = np.full(self.mask + 1, -1, np.int64)
+        for key, child in edges:
+            at = int(self._slot(np.array([key]))[0])
+            while self.keys[at] >= 0:
+                at = (at + 1) & self.mask
+            self.keys[at], self.child[at] = key, child
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((h >> np.uint64(32)) & np.uint64(self.mask)).astype(np.int64)
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The nodes that follow; -1 where there is none."""
+        keys = node << 21 | char
+        at = self._slot(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.child[at], -1)
+        more = np.flatnonzero((found != keys) & (found >= 0))
+        while more.size:
+            at[more] = (at[more] + 1) & self.mask
+            found = self.keys[at[more]]
+            out[more] = np.where(found == keys[more], self.child[at[more]], -1)
+            more = more[(found != keys[more]) & (found >= 0)]
+        return out
+
+
 class Unigrams:
     """Scores words: table holds the log probabilities of distinct words by language."""
 
     def __init__(self, pieces: list[str], probs: np.ndarray, unknown: float = 1e-7):
         """probs: (pieces, languages)."""
-        self.ids = {p: i for i, p in enumerate(pieces)}
-        self.none = len(pieces)
-        self.probs = np.vstack([probs, np.zeros((1, probs.shape[1]))])
-        self.unknown = unknown
+        self.trie, self.probs, self.unknown = Trie(pieces), probs, unknown
         self.reach = max(map(len, pieces), default=1)
         self.langs = probs.shape[1]
         self.table: dict[str, int] = {}
         self.most = max(10_000, 1_000_000 // max(1, self.langs))
         self.scores = np.zeros((0, self.langs))
 
-    def forward(self, words: list[str]) -> np.ndarray:
+    def forward(self, words: list[str], cells: int = 1 << 20) -> np.ndarray:
         """(words, languages): log of the summed probability of all segmentations."""
         order = sorted(range(len(words)), key=lambda k: -len(words[k]))
-        ws = [words[k] for k in order]
+        out, lo = np.zeros((len(words), self.langs)), 0
+        while lo < len(order):
+            # words of like length together, so that few cells are empty
+            hi = min(len(order), lo + max(1, cells // ((len(words[order[lo]]) + 1) * self.langs)))
+            out[order[lo:hi]] = self._forward([words[k] for k in order[lo:hi]])
+            lo = hi
+        return out
+
+    def _forward(self, ws: list[str]) -> np.ndarray:
+        """As forward(), of words from the longest to the shortest."""
+        top, n = len(ws[0]), len(ws)
         lengths = np.array([len(w) for w in ws])
-        top = int(lengths[0]) if ws else 0
-        alpha = np.zeros((top + 1, len(ws), self.langs))
+        chars = np.frombuffer("".join(w.ljust(top) for w in ws).encode("utf-32-le"), np.uint32).reshape(n, top).astype(np.int64)
+        longer = [int(np.searchsorted(-lengths, -k, side="right")) for k in range(top + 2)]  # words of length k or more
+        alpha = np.zeros((top + self.reach + 1, n, self.langs))
         alpha[0] = 1.0
-        logs, out = np.zeros((len(ws), self.langs)), np.zeros((len(ws), self.langs))
-        get, none = self.ids.get, self.none
-        for j in range(1, top + 1):
-            n = int(np.searchsorted(-lengths, -j, side="right"))  # words of length j or more
-            part, acc = ws[:n], np.zeros((n, self.langs))
-            for i in range(max(0, j - self.reach), j):
-                ids = np.fromiter((get(w[i:j], none) for w in part), np.int64, n)
-                hit = np.flatnonzero(ids != none)
-                if hit.size:
-                    acc[hit] += alpha[i, hit] * self.probs[ids[hit]]
-                if i == j - 1 and hit.size < n:
-                    miss = ids == none
-                    acc[miss] += alpha[i, :n][miss] * self.unknown
-            alpha[j, :n] = acc
-            if j % 8 == 0:
-                low = acc < 1e-120
+        logs, out = np.zeros((n, self.langs)), np.zeros((n, self.langs))
+        for i in range(top + 1):
+            ends = slice(longer[i + 1], longer[i])
+            out[ends] = np.log(np.maximum(alpha[i, ends], 1e-300)) + logs[ends]
+            m = longer[i + 1]
+            if not m:
+                break
+            if i and i % 8 == 0:
+                low = alpha[i, :m] < 1e-120
                 if low.any():
                     factor = np.where(low, 1e120, 1.0)
-                    alpha[max(0, j - self.reach) : j + 1, :n] *= factor
-                    logs[:n] -= np.log(factor)
-            ends = np.flatnonzero(lengths[:n] == j)
-            if ends.size:
-                out[ends] = np.log(np.maximum(alpha[j, ends], 1e-300)) + logs[ends]
-        back = np.empty_like(out)
-        back[order] = out
-        return back
+                    alpha[i : i + self.reach + 1, :m] *= factor
+                    logs[:m] -= np.log(factor)
+            here, on, node = alpha[i], np.arange(m), np.zeros(m, np.int64)
+            for k in range(1, self.reach + 1):
+                inside = int(np.searchsorted(on, longer[i + k])) if i + k <= top else 0
+                on, node = on[:inside], node[:inside]
+                if not inside:
+                    break
+                node = self.trie.step(node, chars[on, i + k - 1])
+                piece = np.where(node >= 0, self.trie.piece[node], -1)
+                hit = piece >= 0
+                at = on[hit]
+                alpha[i + k, at] += here[at] * self.probs[piece[hit]]
+                if k == 1:
+                    at = on[~hit]
+                    alpha[i + 1, at] += here[at] * self.unknown
+                on, node = on[node >= 0], node[node >= 0]
+        return out
 
     def add(self, texts_words: list[list[str]]) -> None:
         """Score the words that the table lacks; empty it first when it is full."""
         if len(self.table) > self.most:
             self.table, self.scores = {}, np.zeros((0, self.langs))
         new = list({w for ws in texts_words for w in ws if w not in self.table})
-        rows = [self.forward(new[k : k + 2000]) for k in range(0, len(new), 2000)]
-        if rows:
+        if new:
             self.table.update(zip(new, range(len(self.scores), len(self.scores) + len(new)), strict=True))
-            self.scores = np.vstack([self.scores, *rows])
+            self.scores = np.vstack([self.scores, self.forward(new)])
 
     def totals(self, words: list[str]) -> np.ndarray:
         get = self.table.__getitem__

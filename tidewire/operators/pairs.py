@@ -21,12 +21,14 @@ def ranked(df: DataFrame, least: int) -> DataFrame:
     """(id, tokens) -> id, tokens by rarity, and prefix: all but the ``least - 1`` commonest.
 
     Two sets that share ``least`` tokens share one in their prefixes, whatever the order;
-    ordering by rarity keeps common tokens out of the join keys.
+    ordering by rarity keeps common tokens out of the join keys. The prefix holds hashes,
+    which join and intersect faster; tokens that share one only meet once more.
     """
     each = df.select("id", F.explode("tokens").alias("token"))
     counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     sets = each.join(counts, "token").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda t: t["token"]).alias("tokens"))
-    return sets.withColumn("prefix", F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.size("tokens") - (least - 1))))
+    prefix = F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.size("tokens") - (least - 1)))
+    return sets.withColumn("prefix", F.transform(prefix, lambda t: F.xxhash64(t)))
 
 
 def meet(left: DataFrame, right: DataFrame, keys=(), condition=None) -> DataFrame:

@@ -52,6 +52,31 @@ def test_language_keeps_what_can_be_told(stages):
     assert rows(stages["language"]).keys() == rows(stages["quality"]).keys()
 
 
+@pytest.mark.parametrize("langs", [1, 2, 3, 4])
+def test_language_rejects_torn_and_unlearned(spark, langs):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    names = ["en", "de", "es", "fr"][:langs]
+    learned = docs.where(docs.lang.isin(names) & (docs.n_chars > 300)).orderBy("doc_id")
+    long = {k: [r.text.split()[:40] for r in learned.where(learned.lang == k).limit(30).collect()] for k in names}
+    pairs = [(a, b) for a in names for b in names if a < b]
+    torn = [" ".join(x + y) for a, b in pairs for x, y in zip(long[a], long[b], strict=True)]
+    other = [
+        "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+        "Pchnąć w tę łódź jeża lub ośm skrzyń fig, a potem wszyscy poszli do domu na obiad",
+        "Все люди рождаются свободными и равными в своём достоинстве и правах",
+        "すべての人間は生まれながらにして自由であり、かつ、尊厳と権利とについて平等である",
+    ]
+    pure = [" ".join(x) for k in names for x in long[k]]
+    added = [(10_000_000 + i, t, None, "s", len(t)) for i, t in enumerate(torn + other + pure)]
+    both = learned.select(*COLUMNS).unionByName(spark.createDataFrame(added, learned.select(*COLUMNS).schema))
+    kept = set(rows(corpus_pipeline.language_stage(spark, both, SF)))
+    got = [i in kept for i, *_ in added]
+    gone = got[: len(torn)]
+    assert sum(gone) <= 0.05 * len(torn) and not any(got[len(torn) : len(torn) + 4])
+    assert sum(got[len(torn) + 4 :]) >= 0.97 * len(pure)
+    assert sum(i < 10_000_000 for i in kept) >= 0.98 * learned.count()
+
+
 def test_one_document_of_each_group_stays(stages):
     before, after = rows(stages["language"]), rows(stages["near_dedup"])
     groups = brute([(i, r.text) for i, r in before.items()])

@@ -155,9 +155,13 @@ class Unigrams:
             self.table.update(zip(new, range(len(self.scores), len(self.scores) + len(new)), strict=True))
             self.scores = np.vstack([self.scores, self.forward(new)])
 
-    def totals(self, words: list[str]) -> np.ndarray:
+    def of(self, words: list[str]) -> np.ndarray:
+        """(words, languages): the scores of words that add() has met."""
         get = self.table.__getitem__
-        return self.scores[[get(w) for w in words]].sum(axis=0)
+        return self.scores[[get(w) for w in words]]
+
+    def totals(self, words: list[str]) -> np.ndarray:
+        return self.of(words).sum(axis=0)
 
 
 def expected_counts(pieces: list[str], probs: np.ndarray, unknown: float, words: Counter) -> dict[int, float]:
@@ -193,6 +197,18 @@ def expected_counts(pieces: list[str], probs: np.ndarray, unknown: float, words:
     return out
 
 
+def _sample(docs: DataFrame, per_lang: int, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], DataFrame | None]:
+    """The languages in order, and (lang, text) of about ``per_lang`` documents of each."""
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col).cast("string")).count().collect()}
+    langs = sorted(counts)
+    if not langs:
+        return langs, None
+    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1_000_000, math.ceil(1_000_000 * per_lang / counts[k]))))])
+    sample = labelled.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("langid")), F.lit(1_000_000)) < share[F.col(lang_col).cast("string")])
+    return langs, sample.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+
+
 def fit(docs: DataFrame, model: str, *, per_lang: int = 400, rounds: int = 2, smoothing: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
     """(languages, probabilities by piece and language), languages in order.
 
@@ -201,16 +217,11 @@ def fit(docs: DataFrame, model: str, *, per_lang: int = 400, rounds: int = 2, sm
     count for each piece and language. Rows with a null text or language are left out.
     """
     pieces = vocabulary(model)
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col).cast("string")).count().collect()}
-    langs = sorted(counts)
+    langs, sample = _sample(docs, per_lang, id_col, text_col, lang_col)
     start = np.array([1.0 / (10 + i) for i in range(len(pieces))])
     probs = np.tile((start / start.sum())[:, None], (1, max(1, len(langs))))
     if not langs:
         return langs, probs
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1_000_000, math.ceil(1_000_000 * per_lang / counts[k]))))])
-    sample = labelled.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("langid")), F.lit(1_000_000)) < share[F.col(lang_col).cast("string")])
-    sample = sample.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     at = {k: i for i, k in enumerate(langs)}
     for _ in range(rounds):
         now = probs.astype(np.float64)
@@ -232,6 +243,36 @@ def fit(docs: DataFrame, model: str, *, per_lang: int = 400, rounds: int = 2, sm
     return langs, probs
 
 
+def usual(docs: DataFrame, fitted, model: str, *, per_lang: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> np.ndarray:
+    """(languages, 2): the log likelihood of a character of a language in its own documents, and how far a word's strays from it.
+
+    Taken over the documents that fit() drew; for each language six sums reach the driver.
+    """
+    langs, probs = fitted
+    _, sample = _sample(docs, per_lang, id_col, text_col, lang_col)
+    out = np.tile([0.0, np.inf], (max(1, len(langs)), 1))
+    if not langs or sample is None:
+        return out
+    packed, width, at = probs.astype(np.float32).tobytes(), probs.shape[1], {k: i for i, k in enumerate(langs)}
+
+    def sums(batches):
+        for b in batches:
+            scorer = _scorer(model, packed, width)
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                words = words_of(text.as_py())
+                if words and lang in at:
+                    scorer.add([words])
+                    own, size = scorer.of(words)[:, at[lang]], np.array([len(w) for w in words], np.float64)
+                    row = [len(words), size.sum(), own.sum(), own @ own, own @ size, size @ size]
+                    yield pa.RecordBatch.from_arrays([pa.array([at[lang]], pa.int32()), *[pa.array([float(x)]) for x in row]], names=["lang", *"ncltxs"])
+
+    got = sample.mapInArrow(sums, "lang int, n double, c double, l double, t double, x double, s double").groupBy("lang").agg(*[F.sum(x).alias(x) for x in "ncltxs"]).collect()
+    for r in got:
+        rate = r.l / r.c
+        out[r.lang] = rate, math.sqrt(max(0.0, r.t - 2 * rate * r.x + rate * rate * r.s) / r.n)
+    return out
+
+
 _MODELS: dict[int, tuple[bytes, Unigrams]] = {}
 
 
@@ -269,14 +310,40 @@ def _predictor(fitted, model: str):
     return predicted
 
 
-def keep_known(docs: DataFrame, fitted, model: str, *, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, with a language: not ``und``, and a score of at least ``least``."""
-    predicted = _predictor(fitted, model)
+def told(scores: np.ndarray, sizes: np.ndarray, usual_: np.ndarray, *, margin: float = 1 / 3, slack: float = 1.5, strays: float = 3.0) -> bool:
+    """Whether words are of one of the learned languages, by their log likelihoods (words, languages) and lengths.
+
+    Not if they are torn: of the evidence between the best language and any other, the
+    other's words carry over half as much as the best one's (a ``margin`` under 1/3 of
+    all of it). Nor if they are of none: the text is less likely in its best language
+    than ``slack`` times that language's usual log likelihood for its length, and
+    ``strays`` deviations of so many words.
+    """
+    total = scores.sum(axis=0)
+    k = int(np.argmax(total))
+    rate, spread = usual_[k]
+    if total[k] < slack * rate * sizes.sum() - strays * spread * math.sqrt(len(sizes)):
+        return False
+    apart = np.delete(scores[:, [k]] - scores, k, axis=1)
+    return bool((apart.sum(axis=0) > margin * np.abs(apart).sum(axis=0)).all())
+
+
+def keep_known(docs: DataFrame, fitted, usual_: np.ndarray, model: str, *, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose language can be told: with letters, and see told(). None if nothing was learned."""
+    langs, probs = fitted
+    packed, width = probs.astype(np.float32).tobytes(), probs.shape[1]
+
+    def known(scorer: Unigrams, words: list[str]) -> bool:
+        return bool(words and langs) and told(scorer.of(words), np.array([len(w) for w in words], np.float64), usual_)
 
     def run(batches):
         for b in batches:
-            preds, scores = predicted(b.column(b.schema.get_field_index(text_col)))
-            yield b.filter(pa.array([p != "und" and s >= least for p, s in zip(preds, scores, strict=True)], pa.bool_()))
+            scorer, texts, kept = _scorer(model, packed, width), b.column(b.schema.get_field_index(text_col)), []
+            for lo in range(0, len(texts), 256):
+                held = [words_of(t.as_py()) if t.is_valid else [] for t in texts.slice(lo, 256)]
+                scorer.add(held)
+                kept += [known(scorer, words) for words in held]
+            yield b.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

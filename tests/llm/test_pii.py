@@ -50,6 +50,28 @@ def test_coreference_and_distinctness(spark):
     assert again == out and all(other[i] != out[i] for i in out)
 
 
+def test_full_names_stay_apart(spark):
+    men, women = pii.FIRST["m", "latin"], pii.FIRST["f", "latin"]
+    people = [f"{n} Smith" for n in men + women] + [f"Dr Xav{c} Smith" for c in "abcdefghijklmnopqrstuvwxyz"]
+    out = [r.text for r in sorted(replaced(spark, list(enumerate(people)), key="tidewire"), key=lambda r: r.doc_id)]
+    names = [t.removeprefix("Dr ") for t in out]
+    assert len({n.split(" ")[1] for n in names}) == 1 and len(set(names)) == len(people)
+    for old, new, pool in zip(men + women, names, [men] * 20 + [women] * 20, strict=False):
+        assert set(new.split(" ")[0].split("-")) <= set(pool) - {old}
+
+
+def test_more_first_names_than_the_pool(spark):
+    people = [f"Mr X{a}{b} Smith" for a in "abcdefghij" for b in "abcdefghij"]
+    assert len({r.text for r in replaced(spark, list(enumerate(people)))}) == 100
+
+
+def test_neutral_titles_keep_the_person(spark):
+    (row,) = replaced(spark, [(1, "Dr Mary Smith, Mary Smith, Prof. MARY Smith, Dr Xaver Smith, Mr Xaver Smith, Dr Robin Smith, Mr Robin Smith, Mrs Robin Smith")], key="tidewire")
+    a, b, c, d, e, f, g, h = (x.split(" ") for x in row.text.split(", "))
+    assert a[1] == b[0] == c[1].title() and b[0] in pii.FIRST["f", "latin"] and d[1] == e[1] and d[1] in pii.FIRST["m", "latin"]
+    assert len({a[1], d[1], f[1], g[1], h[1]}) == 5
+
+
 def test_collisions_draw_again(spark):
     # ten addresses of one digit: one form for each, and some draws must collide
     rows = [(i, f"{i}@a.io") for i in range(10)]

@@ -4,7 +4,8 @@ Mentions are found by patterns. Equal entities, however written, share a canonic
 form and so a surrogate; the surrogate keeps the mention's format, script and, for
 names, gender. Surrogates come from a keyed hash and are checked over the whole corpus:
 no two entities share one and none is an entity of the input, else the later entity
-draws again. All of it is Spark SQL.
+draws again. A person is a first name with a surname: the first names of one surname
+are told apart, while persons of different surnames may share one. All of it is Spark SQL.
 """
 
 from __future__ import annotations
@@ -99,14 +100,16 @@ def _parts(mention: Column, kind: Column) -> Column:
     )
     words = F.split(mention, " ")
     title = F.regexp_replace(words[0], r"\.$", "")
-    gender = F.when(title.isin(TITLES["m"] + [n for (g, _), ns in FIRST.items() if g == "m" for n in ns]), F.lit("m")).when(
-        title.isin(TITLES["f"] + [n for (g, _), ns in FIRST.items() if g == "f" for n in ns]), F.lit("f")
-    ).otherwise(F.lit("u"))
     titled = title.isin([t for ts in TITLES.values() for t in ts])
+    # a neutral title says nothing of the gender, the given name after it may
+    given = F.lower(F.when(titled, F.get(words, F.lit(1))).otherwise(words[0]))
+    listed = lambda sex: given.isin([n.lower() for (g, _), ns in FIRST.items() if g == sex for n in ns])
+    gender = F.when(title.isin(TITLES["m"]), F.lit("m")).when(title.isin(TITLES["f"]), F.lit("f")).when(listed("m"), F.lit("m")).when(listed("f"), F.lit("f")).otherwise(F.lit("u"))
 
     def word(w, i):
         k = F.when((i == 0) & titled, F.lit("title")).when(i < F.size(words) - 1, F.concat(F.lit("first_"), gender)).otherwise(F.lit("surname"))
-        return part(k, F.when(k == "title", w).otherwise(F.lower(w)), w)
+        whole = F.concat_ws(" ", w, F.element_at(words, -1))
+        return part(k, F.when(k == "title", w).when(k == "surname", F.lower(w)).otherwise(F.lower(whole)), w)
 
     return F.when(kind == "name", F.transform(words, word)).otherwise(F.array(part(kind, canon, mention)))
 
@@ -148,14 +151,17 @@ def _drawn(kind: Column, canon: Column, attempt: Column, stream: Column) -> Colu
     address = F.concat_ws(".", (byte(F.lit(1)) % 223 + 1).cast("string"), byte(F.lit(2)).cast("string"), byte(F.lit(3)).cast("string"), (byte(F.lit(4)) % 254 + 1).cast("string"))
 
     def given(gender):
-        pools = []
-        for s in ("latin", "cyrillic"):
-            names = [n for (g, x), ns in FIRST.items() if x == s and gender in (g, "u") for n in ns]
+        own = F.substring_index(canon, " ", 1)
+
+        def drawn(names):
             pool = F.array(*[F.lit(n) for n in names])
-            at = byte(F.lit(1)) % len(names)
-            mine = F.get(pool, at)
-            pools.append(F.when(F.lower(mine) == canon, F.get(pool, (at + 1) % len(names))).otherwise(mine))
-        return F.when(script(canon) == "cyrillic", pools[1]).otherwise(pools[0])
+            at = lambda i: byte(i) % len(names)
+            one = lambda i: F.when(F.lower(F.get(pool, at(i))) == own, F.get(pool, (at(i) + 1) % len(names))).otherwise(F.get(pool, at(i)))
+            # a surname may have more first names than the pool: every eighth attempt takes one more
+            return F.array_join(F.transform(F.sequence(F.lit(1), 1 + F.floor(attempt / 8).cast("int")), one), "-")
+
+        pools = [drawn([n for (g, x), ns in FIRST.items() if x == s and gender in (g, "u") for n in ns]) for s in ("latin", "cyrillic")]
+        return F.when(script(own) == "cyrillic", pools[1]).otherwise(pools[0])
 
     def surname(s):
         pool = F.array(*[F.lit(x) for x in SYLLABLES[s]])
@@ -193,18 +199,25 @@ def _formatted(kind: Column, raw: Column, new: Column) -> Column:
 def assign(entities: DataFrame, key: str, most: int = 40) -> DataFrame:
     """(kind, canon) -> (kind, canon, new): distinct surrogates, none of them an input.
 
-    First names may share a surrogate, as they don't identify alone; titles stay.
+    The canonical form of a first name is the full name; its surrogate differs from those
+    of the other first names, of any gender, with that surname. As no surname becomes one
+    of the input, no full name does, and the surrogate itself may be a name of the input.
+    Titles stay.
     """
     entities = cut(entities.distinct())
-    free = F.col("kind").startswith("first_") | (F.col("kind") == "title")
+    first = F.col("kind").startswith("first_")
+    free = F.col("kind") == "title"
+    scope = F.when(first, F.concat(F.lit("first|"), F.substring_index("canon", " ", -1))).otherwise(F.col("kind"))
     now = cut(entities.withColumn("attempt", F.lit(0)).withColumn("new", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)))
     for _ in range(most):
         # of those with one surrogate, the one that has held it longest keeps it
-        owner = now.groupBy("kind", "new").agg(F.min(F.struct("attempt", "canon")).alias("own"))
+        now = now.withColumn("scope", scope)
+        owner = now.groupBy("scope", "new").agg(F.min(F.struct("attempt", "canon", "kind")).alias("own"))
         real = entities.select("kind", F.col("canon").alias("new"), F.lit(True).alias("real"))
         lowered = now.withColumn("seen", F.when(F.col("kind") == "surname", F.lower("new")).otherwise(F.col("new")))
-        judged = lowered.join(owner, ["kind", "new"]).join(real.withColumnRenamed("new", "seen"), ["kind", "seen"], "left")
-        again = ~free & (F.col("real").isNotNull() | (F.col("own.canon") != F.col("canon")))
+        judged = lowered.join(owner, ["scope", "new"]).join(real.withColumnRenamed("new", "seen"), ["kind", "seen"], "left")
+        taken = (F.col("own.canon") != F.col("canon")) | (F.col("own.kind") != F.col("kind"))
+        again = ~free & ((F.col("real").isNotNull() & ~first) | taken)
         now = cut(judged.select("kind", "canon", "new", F.col("attempt"), again.alias("again")))
         if now.where("again").isEmpty():
             return now.select("kind", "canon", "new")
@@ -214,6 +227,15 @@ def assign(entities: DataFrame, key: str, most: int = 40) -> DataFrame:
     raise ValueError("a kind of entity has more values than forms for its surrogates")
 
 
+def one_gender(parts: DataFrame) -> DataFrame:
+    """The parts of mentions, a full name of unknown gender taking the one it has elsewhere, if only one."""
+    unknown = F.col("kind") == "first_u"
+    told = parts.where(F.col("kind").isin("first_m", "first_f")).groupBy("canon").agg(F.min("kind").alias("least"), F.max("kind").alias("most"))
+    told = told.where(F.col("least") == F.col("most")).select("canon", F.col("least").alias("told"))
+    found = parts.where(unknown).join(told, "canon", "left").withColumn("kind", F.coalesce("told", "kind"))
+    return parts.where(~unknown).unionByName(found.select(*parts.columns))
+
+
 def replace_entities(docs: DataFrame, key: str, *, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """The rows of docs with the entities of their texts replaced.
 
@@ -233,6 +255,7 @@ def replace_entities(docs: DataFrame, key: str, *, text_col: str = "text", count
     uses = cut(marked.select("__hash", F.explode(F.array_distinct("__found")).alias("mention")).distinct())
     parts = uses.select("mention").distinct().withColumn("kind", kind_of(F.col("mention")))
     parts = cut(parts.select("mention", F.posexplode(_parts(F.col("mention"), F.col("kind"))).alias("at", "part")).select("mention", "at", "part.*"))
+    parts = cut(one_gender(parts))
     named = parts.join(assign(parts.select("kind", "canon"), key), ["kind", "canon"])
     named = named.withColumn("shown", _formatted(F.col("kind"), F.col("raw"), F.col("new")))
     shown = named.groupBy("mention").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "shown"))), lambda p: p["shown"]), " ").alias("shown"))

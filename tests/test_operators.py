@@ -2,11 +2,12 @@
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.functions import scorer
+from tidewire.functions import fixed, scorer, text
 from tidewire.operators import fronts, graph, identity, ordered, pairs, ranking
 from tidewire.sources import feeds, state
 from tidewire.streaming import stories
@@ -70,6 +71,71 @@ def test_cascade_takes_no_ambiguous_owner(spark):
     assert {r.article_id: (r.tier, r.story_id) for r in identity.cascade(a, s).collect()} == {10: (2, 1), 11: (1, 3), 12: (9, None), 13: (3, 1)}
 
 
+def resolved_by_hand(article, stories):
+    """The reference's rules over all stories."""
+    tok = lambda v: {x for x in re.findall("[a-z0-9]+", v.lower()) if len(x) >= 3 and x not in fixed.RESOLVER_STOP}
+    over = lambda a, b: len(a & b) / min(len(a), len(b)) if a and b else 0.0
+
+    def category(types, title):
+        blob = " ".join(types) + " " + title.lower()
+        for name, ws in (("crime", ("crash", "arrest", "shoot")), ("government", ("meeting", "budget", "council")), ("sports", ("baseball", "game")), ("weather", ("storm", "flood")), ("business", ("company", "store"))):
+            if any(w in blob for w in ws):
+                return name
+        return "general"
+
+    best, top = None, 0.0
+    kinds = ("facts", "locations", "agencies", "types", "entities")
+    for s in stories:
+        if s["status"] == "archived":
+            continue
+        a, b = ({k: {v.lower() for v in x[k]} for k in kinds} for x in (article, s))
+        if any(a[k] and b[k] and not a[k] & b[k] for k in ("locations", "agencies")):
+            continue
+        c, d = category(article["types"], article["title"]), category(s["types"], s["title"])
+        if "general" not in (c, d) and c != d:
+            continue
+        n = {k: over(a[k], b[k]) for k in kinds}
+        title = over(tok(article["title"]), tok(s["title"]) | set(s["title_tokens"]))
+        event = over(tok(article["event_key"].replace("-", " ")), {t for e in s["events"] for t in tok(e.replace("-", " "))})
+        anchors = sum(n[k] > 0 for k in kinds[1:])
+        ok = {
+            "crime": anchors >= 2 and (n["facts"] > 0 or n["entities"] > 0 or event >= 0.55), "government": (n["agencies"] > 0 or n["entities"] > 0) and (n["facts"] > 0 or title >= 0.45),
+            "sports": (n["entities"] > 0 or title >= 0.55) and (n["facts"] > 0 or event >= 0.55), "weather": n["types"] > 0 and (n["locations"] > 0 or n["entities"] > 0),
+            "business": n["entities"] > 0 and (n["locations"] > 0 or title >= 0.5), "general": anchors >= 2 and n["facts"] > 0,
+        }[c]
+        score = 0.88 * (0.25 * n["facts"] + 0.18 * n["locations"] + 0.18 * n["agencies"] + 0.14 * n["types"] + 0.25 * n["entities"]) + 0.07 * title + 0.05 * event
+        if ok and round(score, 6) > top:
+            best, top = s["id"], round(score, 6)
+    return best, top
+
+
+@pytest.mark.parametrize("least", [0.3, 0.6, 0.78])
+def test_resolver_takes_the_reference_evidence(spark, least):
+    rng = random.Random(7)
+    pool = {"facts": ["3 people killed", "34-year-old"], "locations": ["Ohio", "texas"], "agencies": ["FBI", "EPA"], "types": ["traffic crash", "election", "fire"], "entities": ["John Roe", "Acme Works", "Main Hall"]}
+    titles = ["storm hits coast", "company opens store", "council budget meeting", "baseball game won", "crash on road", "bread prize won"]
+
+    def one(i):
+        x = {k: rng.sample(v, rng.choice([0, 1, 1, 1, 2])) for k, v in pool.items()}
+        key = rng.choice(["fire-ohio", "election-texas", "traffic-crash-x9"])
+        return {"id": i, "title": rng.choice(titles), "event_key": key, "events": [key], "title_tokens": rng.choice([[], ["bread"]]), "status": rng.choice(["active", "active", "archived", None]), **x}
+
+    both = [one(i) for i in range(160)]
+    schema = "id long, title string, event_key string, events array<string>, title_tokens array<string>, status string, facts array<string>, locations array<string>, agencies array<string>, types array<string>, entities array<string>"
+    a, s = (spark.createDataFrame(x, schema) for x in (both[:80], both[80:]))
+    got = {r.article_id: (r.story_id, r.score) for r in identity.resolve(a, s, least=least).collect()}
+    want = {x["id"]: resolved_by_hand(x, both[80:]) for x in both[:80]}
+    want = {i: v for i, v in want.items() if v[1] >= least}
+    assert want and got.keys() == want.keys()
+    assert all(got[i] == (want[i][0], pytest.approx(want[i][1], abs=2e-6)) for i in want)
+
+
+def test_agencies_and_names_are_found(spark):
+    df = spark.createDataFrame([("EPA and the Justice Department sue Acme Steel Works of Ohio; fed up",)], "t string")
+    r = df.select(text.agencies_in(F.col("t")).alias("a"), text.proper_names(F.col("t")).alias("n")).first()
+    assert r.a == ["U.S. Department of Justice", "EPA"] and "Acme Steel Works of Ohio" in r.n
+
+
 def test_deck_spreads_sections(spark):
     rows = [(i, f"h{i}", "us" if i < 8 else f"c{i}", 90 - i if i < 8 else 70, 1.0, i) for i in range(14)]
     df = spark.createDataFrame(rows, "article_id long, headline string, category_key string, score int, age double, position int")

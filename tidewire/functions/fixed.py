@@ -296,3 +296,23 @@ FRESH_WORDS = [
 
 # Path words of sources whose address stays while their story changes.
 ROLLING_PATHS = ["weather", "forecast", "radar", "traffic", "live", "livestream", "updates", "update", "blog", "alerts", "alert"]
+
+#: National agencies and the patterns that name them; acronyms count in capitals only.
+AGENCIES = [
+    ("U.S. Department of Justice", r"(?i)\b(?:u\.?s\.?\s+)?department of justice\b|\bjustice department\b"),
+    ("FBI", r"\bfederal bureau of investigation\b|\bFBI\b"),
+    ("U.S. Department of Defense", r"(?i)\bdepartment of defense\b|\bPentagon\b"),
+    ("U.S. Department of State", r"(?i)\bdepartment of state\b|\bState Department\b"),
+    ("U.S. Department of the Treasury", r"(?i)\bdepartment of the treasury\b|\bTreasury Department\b"),
+    ("Federal Reserve", r"\bfederal reserve\b|\bFed\b"),
+    ("CDC", r"\bcenters for disease control(?: and prevention)?\b|\bCDC\b"),
+    ("FDA", r"\bfood and drug administration\b|\bFDA\b"),
+    ("EPA", r"\benvironmental protection agency\b|\bEPA\b"),
+    ("NASA", r"\bnational aeronautics and space administration\b|\bNASA\b"),
+    ("NOAA", r"\bnational oceanic and atmospheric administration\b|\bNOAA\b"),
+    ("U.S. Supreme Court", r"(?i)\bsupreme court\b"),
+    ("White House", r"(?i)\bwhite house\b"),
+    ("U.S. Senate", r"\bu\.?s\.? senate\b|\bSenate\b"),
+    ("U.S. House of Representatives", r"(?i)\bu\.?s\.? house(?: of representatives)?\b|\bHouse of Representatives\b"),
+]
+PROPER_NAME = r"\b[A-Z][A-Za-z0-9&.'’/-]+(?:\s+(?:of|the|and|for|[A-Z][A-Za-z0-9&.'’/-]+)){1,5}\b"

@@ -244,6 +244,17 @@ def event_types(c: Column) -> Column:
     return F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(name)) for name, p in fixed.EVENT_PATTERNS]))
 
 
+def agencies_in(c: Column) -> Column:
+    return F.array_compact(F.array(*[F.when(text(c).rlike(p), F.lit(name)) for name, p in fixed.AGENCIES]))
+
+
+def proper_names(c: Column) -> Column:
+    """Runs of two to six capitalized words, small ones between them included, of 5 to 100 characters."""
+    found = F.regexp_extract_all(text(c), F.lit(fixed.PROPER_NAME), F.lit(0))
+    shown = F.transform(found, lambda m: F.btrim(F.regexp_replace(m, r"\s+", " "), F.lit(" ,.;:")))
+    return F.array_distinct(F.filter(shown, lambda m: (F.length(m) >= 5) & (F.length(m) <= 100)))
+
+
 def quantified_facts(c: Column) -> Column:
     """Counts of people killed, hurt or arrested and ages, number words as digits."""
     low = F.lower(text(c))

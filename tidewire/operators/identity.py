@@ -48,34 +48,71 @@ def timeline_pairs(entries: DataFrame) -> DataFrame:
     return pairs.groupBy("story_id", F.col("b_entry_id").alias("entry_id")).agg(F.max(continues).alias("continues"), F.max(conflict).alias("conflicts")).withColumn("reject", ~F.col("continues") & F.col("conflicts"))
 
 
+#: Weights of the shares of each kind of evidence; these make .88 of a score, titles .07 and event keys .05.
+RESOLVER_WEIGHTS = {"facts": 0.25, "locations": 0.18, "agencies": 0.18, "types": 0.14, "entities": 0.25}
+
+
 def resolve(articles: DataFrame, stories: DataFrame, *, least: float = 0.78) -> DataFrame:
     """The story of each article by the best structured evidence, or none.
 
-    Both sides: id, title, facts, locations, types (arrays). Pairs are blocked on a
-    shared location or type; contradicting locations or categories rule a pair out, each
-    category has its own minimum, and the best score must reach ``least``.
+    articles: id, title, event_key, and arrays facts, locations, agencies, types and
+    entities; stories: id, title, those arrays, and if there, arrays events (keys) and
+    title_tokens, and status. Archived stories get nothing. Contradicting locations,
+    agencies or categories rule a pair out, each category has its own minimum, and the
+    best score must reach ``least``. Pairs are blocked on a shared value of the kinds
+    without any of which no score reaches that.
     """
-    cat = lambda: story_category(F.concat_ws(" ", F.array_join("types", " "), "title"))
-    a = articles.select(F.col("id").alias("article_id"), "title", "facts", "locations", "types").withColumn("cat", cat()).withColumn("tokens", text.resolver_tokens(F.col("title")))
-    s = stories.select(F.col("id").alias("story_id"), "title", "facts", "locations", "types").withColumn("cat", cat()).withColumn("tokens", text.resolver_tokens(F.col("title")))
-    anchor = F.explode(F.array_union(F.transform("locations", lambda x: F.concat(F.lit("l:"), x)), F.transform("types", lambda x: F.concat(F.lit("t:"), x))))
+    kinds = list(RESOLVER_WEIGHTS)
+    col = lambda df, name, kind: (F.col(name) if name in df.columns else F.lit(None)).cast(kind)
+    values = lambda c: F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array()), lambda x: F.lower(text.collapse(x))), lambda x: x != ""))
+    cat = story_category(F.concat_ws(" ", F.array_join("types", " "), text.collapse(F.col("title")))).alias("cat")
+    keyed = lambda c: text.resolver_tokens(F.replace(c, F.lit("-"), F.lit(" ")))
+
+    def ready(df: DataFrame, key: str, tokens: Column, events: Column) -> DataFrame:
+        return df.select(F.col("id").alias(key), "title", *[values(col(df, k, "array<string>")).alias(k) for k in kinds], tokens.alias("tokens"), events.alias("events")).select("*", cat)
+
+    live = stories.where(F.coalesce(col(stories, "status", "string"), F.lit("")) != "archived")
+    known = F.array_union(text.resolver_tokens(F.col("title")), F.coalesce(col(live, "title_tokens", "array<string>"), F.array()))
+    a = ready(articles, "article_id", text.resolver_tokens(F.col("title")), keyed(col(articles, "event_key", "string")))
+    s = ready(live, "story_id", known, F.array_distinct(F.flatten(F.transform(F.coalesce(col(live, "events", "array<string>"), F.array()), keyed))))
+    # the kinds with the commonest values are left out of blocking while all of them together can't reach least
+    blocked, spare = list(kinds), 0.0
+    for k in ("types", "locations", "agencies", "facts", "entities"):
+        if 0.88 * (spare + RESOLVER_WEIGHTS[k]) + 0.12 < least - 1e-6:
+            blocked.remove(k)
+            spare += RESOLVER_WEIGHTS[k]
+    anchor = F.explode(F.array_distinct(F.concat(*[F.transform(k, _tagged(k)) for k in blocked])))
     met = a.select("article_id", anchor.alias("k")).join(s.select("story_id", anchor.alias("k")), "k").select("article_id", "story_id").distinct()
-    pre = lambda df, p, key: df.select(key, *[F.col(c).alias(f"{p}_{c}") for c in ("facts", "locations", "types", "cat", "tokens")])
+    pre = lambda df, p, key: df.select(key, *[F.col(c).alias(f"{p}_{c}") for c in (*kinds, "cat", "tokens", "events")])
     j = met.join(pre(a, "a", "article_id"), "article_id").join(pre(s, "s", "story_id"), "story_id")
-    share = {c: text.overlap(F.col(f"a_{c}"), F.col(f"s_{c}")) for c in ("facts", "locations", "types")}
-    clash = (F.size("a_locations") > 0) & (F.size("s_locations") > 0) & (share["locations"] == 0)
+    share = {c: text.overlap(F.col(f"a_{c}"), F.col(f"s_{c}")) for c in kinds}
+    has = {c: share[c] > 0 for c in kinds}
+    clash = F.lit(False)
+    for c in ("locations", "agencies"):
+        clash = clash | ((F.size(f"a_{c}") > 0) & (F.size(f"s_{c}") > 0) & ~has[c])
     other = (F.col("a_cat") != "general") & (F.col("s_cat") != "general") & (F.col("a_cat") != F.col("s_cat"))
-    titles = F.size(F.array_intersect("a_tokens", "s_tokens")) / F.greatest(F.lit(1), F.least(F.size("a_tokens"), F.size("s_tokens")))
-    anchors = (share["locations"] > 0).cast("int") + (share["types"] > 0).cast("int")
+    titles, events = text.overlap(F.col("a_tokens"), F.col("s_tokens")), text.overlap(F.col("a_events"), F.col("s_events"))
+    anchors = has["locations"].cast("int") + has["agencies"].cast("int") + has["types"].cast("int") + has["entities"].cast("int")
+    c = F.col("a_cat")
     enough = (
-        F.when(F.col("a_cat") == "weather", (share["types"] > 0) & (share["locations"] > 0)).when(F.col("a_cat") == "government", (share["facts"] > 0) | (titles >= 0.45))
-        .otherwise((anchors >= 2) & ((share["facts"] > 0) | (titles >= 0.55)))
+        F.when(c == "crime_public_safety", (anchors >= 2) & (has["facts"] | has["entities"] | (events >= 0.55)))
+        .when(c == "government", (has["agencies"] | has["entities"]) & (has["facts"] | (titles >= 0.45)))
+        .when(c == "sports", (has["entities"] | (titles >= 0.55)) & (has["facts"] | (events >= 0.55)))
+        .when(c == "weather", has["types"] & (has["locations"] | has["entities"]))
+        .when(c == "business", has["entities"] & (has["locations"] | (titles >= 0.5)))
+        .otherwise((anchors >= 2) & has["facts"])
     )
-    score = F.bround(0.88 * (0.25 * share["facts"] + 0.43 * share["locations"] + 0.32 * share["types"]) + 0.12 * titles, 6)
+    structured = sum((w * share[k] for k, w in RESOLVER_WEIGHTS.items()), F.lit(0.0))
+    score = F.bround(0.88 * structured + 0.07 * titles + 0.05 * events, 6)
     good = j.where(~clash & ~other & enough).select("article_id", "story_id", score.alias("score")).where(F.col("score") >= least)
     return first_by(good, ["article_id"], [F.desc("score"), F.asc("story_id")])
 
 
+def _tagged(kind: str):
+    """Values of a kind, apart from equal ones of another."""
+    return lambda x: F.concat(F.lit(f"{kind}:"), x)
+
+
 def cascade(articles: DataFrame, stories: DataFrame) -> DataFrame:
     """The story of each article by the first tier that gives exactly one: event key, exact title, source URL.
 

@@ -176,9 +176,13 @@ SELECT r.article_id, coalesce(m.tier, 9) AS tier, m.story_id FROM r LEFT JOIN m
 
 
 def structured_resolution(spark, sf_dir):
-    """The story of each arriving article by facts, places and kinds of event."""
-    a = articles(spark, sf_dir)
-    t = a.select(F.col("article_id").alias("id"), F.col("headline").alias("title"), text.quantified_facts(F.col("headline")).alias("facts"), text.states_in(F.col("headline")).alias("locations"), text.event_types(F.col("headline")).alias("types"))
+    """The story of each arriving article by facts, places, agencies, kinds of event, proper names and event keys.
+
+    Headlines alone seldom name all kinds of evidence, so the threshold is under the resolver's own.
+    """
+    h = F.col("headline")
+    a = articles(spark, sf_dir).join(ap.facts_and_keys(spark, sf_dir).select("article_id", "event_key"), "article_id")
+    t = a.select(F.col("article_id").alias("id"), h.alias("title"), "event_key", F.array("event_key").alias("events"), text.quantified_facts(h).alias("facts"), text.states_in(h).alias("locations"), text.agencies_in(h).alias("agencies"), text.event_types(h).alias("types"), text.proper_names(h).alias("entities"))
     return identity.resolve(t.where("id / 20 % 2 >= 1"), t.where("id / 20 % 2 < 1"), least=0.6)
 
 

@@ -145,6 +145,45 @@ def test_deck_spreads_sections(spark):
     assert ranking.greedy_deck(df.limit(0)).count() == 0
 
 
+def deck_by_hand(cards, limit):
+    """The reference's selection over all cards."""
+    chosen, left = [], sorted(cards, key=lambda r: (-r["score"], r["age"], r["position"], r["headline"].lower(), r["article_id"]))
+    for place in range(1, min(limit, len(left)) + 1):
+        best = next((r for r in left if r["position_locked"] and r["position"] == place), None)
+        if best is None:
+            scored = []
+            for r in left:
+                if not r["position_locked"]:
+                    n = sum(x["category_key"] == r["category_key"] for x in chosen)
+                    cost = 0.0 if n < 2 else 6.0 * (n - 1) if n < 4 else min(24.0, 18.0 + (n - 4) * 3.0)
+                    if len(set(r["regions"])) == 1:
+                        cost += min(8.0, max(0, sum(r["regions"][0] in x["regions"] for x in chosen) - 3) * 2.0)
+                    scored.append((cost - r["score"], -r["score"], r["age"], r["position"], r["headline"].lower(), r["article_id"], r))
+            if not scored:
+                break
+            best = min(scored, key=lambda x: x[:-1])[-1]
+        chosen.append(best)
+        left.remove(best)
+    deck = [r for r in chosen if not r["pin_position"]]
+    for r in sorted((r for r in chosen if r["pin_position"]), key=lambda r: r["pin_position"]):
+        deck.insert(min(max(1, r["pin_position"]) - 1, len(deck)), r)
+    return [r["article_id"] for r in deck]
+
+
+def test_deck_keeps_regions_locks_and_pins(spark):
+    schema = "article_id long, headline string, category_key string, score int, age double, position int, regions array<string>, position_locked boolean, pin_position int"
+    # one category and state: the 13th card, of another state, comes in by the region's penalty
+    same = [(i, f"h{i}", f"c{i % 2}", 90, 1.0, i + 1, ["ohio"], False, None) for i in range(26)] + [(90, "z", "c0", 88, 9.0, 90, ["iowa"], False, None)]
+    rng, runs = random.Random(3), [same]
+    for _ in range(3):
+        runs.append([(i, f"h{i}", rng.choice("abc"), rng.randint(70, 90), float(rng.randint(1, 5)), i + 1, rng.sample(["ohio", "iowa", "utah"], rng.choice([0, 1, 1, 1, 2])), rng.random() < 0.1, rng.choice([None] * 8 + [1, 4])) for i in range(80)])
+    for rows in runs:
+        df = spark.createDataFrame(rows, schema)
+        got = [r.article_id for r in sorted(ranking.greedy_deck(df, 12).collect(), key=lambda r: r.deck_position)]
+        assert got == deck_by_hand([r.asDict() for r in df.collect()], 12)
+    assert 90 in [r.article_id for r in ranking.greedy_deck(spark.createDataFrame(same, schema), 12).collect()]
+
+
 def test_backfill_skips_likeness(spark):
     t = lambda s: s.split()
     rows = [("us", 1, 1, t("storm hits gulf coast town"), "u"), ("us", 2, 2, t("storm hits gulf coast city"), ""), ("us", 3, 3, t("bank cuts rates"), ""), ("us", 4, 4, t("bank fails"), "u")]

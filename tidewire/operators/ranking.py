@@ -65,25 +65,52 @@ def lifecycle(age: Column, headline: Column, level: Column, events: Column) -> C
 
 
 def greedy_deck(cards: DataFrame, limit: int = fixed.DECK) -> DataFrame:
-    """The deck: place after place the best card, less what its category already holds.
+    """The deck: place after place the best card, less what its category and its region already hold.
+
+    Besides article_id, headline, category_key, score, age and position, cards may have
+    regions (array), position_locked and pin_position. A locked card takes the place of
+    its position or none; a chosen card with a pin is put in that place at the end.
 
     Every choice depends on those before, so it is made in one task, over the ``limit``
-    best cards of each category: no other card can be chosen, as a better one of its
-    category always stands before it with the same penalty.
+    best cards of each category and region, and the locked card of each place: no other
+    can be chosen, as a better one with the same penalties always stands before it.
+    Cards of no region or several have no region's penalty, so they are one group.
     """
-    few = first_by(cards, ["category_key"], [F.desc("score"), F.asc("age"), F.asc("position"), F.asc("headline")], limit)
+    col = lambda name, kind: (F.col(name) if name in cards.columns else F.lit(None)).cast(kind)
+    regions = F.array_distinct(F.filter(F.coalesce(col("regions", "array<string>"), F.array()), lambda r: F.trim(r) != ""))
+    cards = cards.select(
+        "article_id", "headline", "category_key", "score", "age", "position", regions.alias("regions"),
+        F.coalesce(col("position_locked", "boolean"), F.lit(False)).alias("locked"), F.coalesce(col("pin_position", "int"), F.lit(0)).alias("pin"),
+    ).withColumn("region", F.when(F.size("regions") == 1, F.get("regions", F.lit(0))).otherwise(""))
+    order = [F.desc("score"), F.asc("age"), F.asc("position"), F.asc(F.lower("headline")), F.asc("article_id")]
+    held = first_by(cards.where(F.col("locked") & F.col("position").between(1, limit)), ["position"], order)
+    few = first_by(cards.where(~F.col("locked")), ["category_key", "region"], order, limit).unionByName(held)
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        left = rows.to_dict("records")
-        held: dict[str, int] = {}
-        out = []
+        left = [{**r, "regions": list(r["regions"])} for r in rows.to_dict("records")]
+        out: list[tuple[dict, float]] = []
+        categories: dict[str, int] = {}
+        places: dict[str, int] = {}
+
+        def cost(r) -> float:
+            return _penalty(categories.get(r["category_key"], 0)) + (_region_penalty(places.get(r["region"], 0)) if r["region"] else 0.0)
+
         while left and len(out) < limit:
-            cost = {r["article_id"]: _penalty(held.get(r["category_key"], 0)) for r in left}
-            best = min(left, key=lambda r: (cost[r["article_id"]] - r["score"], -r["score"], r["age"], r["position"], r["headline"].lower()))
+            best = next((r for r in left if r["locked"] and r["position"] == len(out) + 1), None)
+            if best is None:
+                free = [r for r in left if not r["locked"]]
+                if not free:
+                    break
+                best = min(free, key=lambda r: (cost(r) - r["score"], -r["score"], r["age"], r["position"], r["headline"].lower(), r["article_id"]))
             left.remove(best)
-            held[best["category_key"]] = held.get(best["category_key"], 0) + 1
-            out.append((best["article_id"], len(out) + 1, best["score"], cost[best["article_id"]]))
-        return pd.DataFrame(out, columns=["article_id", "deck_position", "score", "penalty"])
+            out.append((best, 0.0 if best["locked"] else cost(best)))
+            categories[best["category_key"]] = categories.get(best["category_key"], 0) + 1
+            for region in best["regions"]:
+                places[region] = places.get(region, 0) + 1
+        deck = [x for x in out if not x[0]["pin"]]
+        for x in sorted((x for x in out if x[0]["pin"]), key=lambda x: x[0]["pin"]):
+            deck.insert(min(max(1, x[0]["pin"]) - 1, len(deck)), x)
+        return pd.DataFrame([(r["article_id"], n, r["score"], c) for n, (r, c) in enumerate(deck, 1)], columns=["article_id", "deck_position", "score", "penalty"])
 
     return few.withColumn("__one", F.lit(1)).groupBy("__one").applyInPandas(choose, "article_id long, deck_position int, score int, penalty double")
 
@@ -91,3 +118,8 @@ def greedy_deck(cards: DataFrame, limit: int = fixed.DECK) -> DataFrame:
 def _penalty(n: int) -> float:
     """What a card costs whose category holds n places."""
     return 0.0 if n < 2 else 6.0 if n == 2 else 12.0 if n == 3 else min(24.0, 18.0 + (n - 4) * 3.0)
+
+
+def _region_penalty(n: int) -> float:
+    """What a card of one region costs, n places holding that region."""
+    return min(8.0, max(0, n - 3) * 2.0)

@@ -233,8 +233,8 @@ TOP_STORIES_SQL = f"WITH sc AS ({SCORES_SQL}), im AS ({articles_plan.IMPORTANCE_
 
 
 def deck(spark, sf_dir):
-    """The greedy diversified deck over eligible cards."""
-    t = _cards(spark, sf_dir).where(F.col("reason").isin(*ranking.ELIGIBLE)).select("article_id", "headline", "category_key", "score", F.coalesce("age", F.lit(999999.0)).alias("age"), "position")
+    """The greedy diversified deck over eligible cards, by category and state; the tables hold no locks or pins."""
+    t = _cards(spark, sf_dir).where(F.col("reason").isin(*ranking.ELIGIBLE)).select("article_id", "headline", "category_key", "score", F.coalesce("age", F.lit(999999.0)).alias("age"), "position", text.states_in(F.col("headline")).alias("regions"))
     return ranking.greedy_deck(t)
 
 

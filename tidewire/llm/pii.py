@@ -48,8 +48,8 @@ _NUMBERS = ("ssn", "phone", "ip", "card")
 #: One pattern for all. What starts with a digit, + or ( is looked at only there.
 ANY = "|".join([*(f"(?:{PATTERNS[k]})" for k in ("email", "secret", "iban")), rf"(?=[\d+(])(?:{'|'.join(PATTERNS[k] for k in _NUMBERS)})", f"(?:{PATTERNS['name']})"])
 #: A text without a digit, an @, one of these words or one of these names has no entity.
-HINT_WORDS = ["password", "passwd", "pwd", "secret", "token", "api_key", "api-key", "apikey", "ghp_", "sk-", "xox"]
-HINT_NAMES = rf"(?=[A-ZА-ЯЁ])\b(?:{_TITLE}|{_GIVEN})\b"
+HINT_WORDS = ["password", "passwd", "pwd", "secret", "token", "api_key", "api-key", "apikey", "ghp_", "sk-", "xox", "akia", "asia"]
+HINT_NAMES = rf"(?=[A-ZА-ЯЁ])(?<![\p{{L}}\p{{N}}])(?:{_TITLE}|{_GIVEN})\.? "
 
 
 def hinted(text: Column) -> Column:

@@ -127,6 +127,24 @@ def test_quality_is_learned(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i in got if i % 3}
 
 
+def test_labels_are_not_thinned_by_documents_without(spark):
+    docs, labels = graded(6000)
+    few = [x for x in labels if x[0] < 240]
+    model = quality.fit(frame(spark, docs), label_frame(spark, few), sample=300, least=40)
+    got = {r.doc_id: r for r in quality.score(frame(spark, docs[:300]), model).collect()}
+    assert model is not None and all(got[i].kept == (i % 3 != 0) for i in got)
+
+
+def test_a_rare_class_is_kept_and_odds_set_back(spark):
+    rng = random.Random(2)
+    # a tenth is bad and nothing tells which: the score must stay near the share of good ones
+    docs = [(i, " ".join(rng.choices(EN, k=30)), "en", "s", 100) for i in range(4000)]
+    labels = [(i, int(rng.random() > 0.1), 0) for i in range(4000)]
+    model = quality.fit(frame(spark, docs), label_frame(spark, labels), sample=1200, least=300)
+    scores = [r.score for r in quality.score(frame(spark, docs), model).collect()]
+    assert 0.84 < sum(scores) / len(scores) < 0.96
+
+
 def test_views_teach_each_other():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 1200)

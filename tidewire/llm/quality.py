@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.operators.checkpoints import cut
+
 TEXT_FEATURES = 14
 META_BUCKETS = 64
 SCALE = 1_000_000
@@ -143,18 +145,30 @@ def _picked(docs: DataFrame) -> DataFrame:
     return docs.select(col("doc_id", "long"), F.coalesce(F.col("text"), F.lit("")).alias("text"), col("source", "string"), col("lang", "string"), col("n_chars", "long"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 24_000) -> CoTrained | None:
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 24_000, least: int = 2_000) -> CoTrained | None:
     """Fit on about ``sample`` documents (all, if fewer) drawn by a hash of the id.
 
-    Those with a label train and calibrate, a fifth of them by another hash; the rest
-    are the pool for pseudo-labels. Only features reach the driver. A document with
-    several labels takes their mean, rounded; null labels don't count.
+    Half of them have a label: those train and calibrate, a fifth of them by another
+    hash. However many documents have none, labelled ones are drawn at a rate of their
+    own, one for both classes, or a higher one for a class that would fall under
+    ``least``; the scores are set back by what that adds to the odds. The other half,
+    without a label, are the pool for pseudo-labels. Only features reach the driver. A
+    document with several labels takes their mean, rounded; null labels don't count.
     """
-    total = docs.count()
-    drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(SCALE)) < F.lit(min(SCALE, math.ceil(SCALE * sample / max(1, total))))
-    known = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(drawn)
-    known = known.groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("quality"))
-    rows = _picked(docs).where(drawn).join(known, "doc_id", "left")
+    known = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
+    known = cut(known.groupBy("doc_id").agg((F.round(F.avg("quality")) > 0).cast("int").alias("quality")))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    counts = {r[0]: r[1] for r in ids.join(known, "doc_id", "left").groupBy("quality").count().collect()}
+    labelled = counts.get(0, 0) + counts.get(1, 0)
+    both = sample / 2 / max(1, labelled)
+    rates = {q: min(1.0, max(both, least / max(1, counts.get(q, 0)))) for q in (0, 1)}
+    pool = min(1.0, sample / 2 / max(1, counts.get(None, 0)))
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(SCALE))
+    upto = lambda rate: F.lit(math.ceil(SCALE * rate))
+    # about half a sample of ids, so that no text is shuffled to meet its label
+    picked = F.broadcast(known.where(place < F.when(F.col("quality") == 1, upto(rates[1])).otherwise(upto(rates[0]))))
+    rest = _picked(docs).where(place < upto(pool)).join(known.where(place < upto(pool)), "doc_id", "left_anti")
+    rows = _picked(docs).join(picked, "doc_id").unionByName(rest.withColumn("quality", F.lit(None).cast("int")))
 
     def view(batches):
         for b in batches:
@@ -168,7 +182,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 24_000) -> CoTraine
         return None
     y = np.array([-1 if q is None else int(q > 0) for q in got["quality"]])
     hold = np.array([zlib.crc32(f"hold:{i}".encode()) % 5 == 0 for i in got["doc_id"]])
-    return cotrain(np.array(got["text"]), _spread(got["meta"]), y, hold)
+    model = cotrain(np.array(got["text"]), _spread(got["meta"]), y, hold)
+    if model is not None:
+        model.mix[-1] -= math.log(rates[1] / rates[0])
+    return model
 
 
 def score(docs: DataFrame, model: CoTrained | None, *, threshold: float = 0.3) -> DataFrame:

@@ -9,7 +9,6 @@ no open sequence is cut. An input partition is padded by less than one sequence
 from __future__ import annotations
 
 import heapq
-import json
 import zlib
 
 import numpy as np
@@ -18,58 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import keep_cache
-
-_LOADED: dict[str, object] = {}
-
-
-def _byte_of_char() -> dict[str, int]:
-    """The printable stand-ins that byte-level vocabularies use for bytes."""
-    shown = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-def _encoder(path: str):
-    """An encoder with the ids of a byte-level BPE file of the tokenizers library.
-
-    The file's merges, in order, are its vocabulary's ids in order, so the merge of
-    lowest id goes first; tiktoken's engine does just that and is several times as
-    fast. A file for which this doesn't hold is encoded by the tokenizers library.
-    """
-    keep_cache("packing", _LOADED.clear)
-    if path not in _LOADED:
-        import public_tokenizers
-        import tiktoken
-
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        plain = {k: v for k, v in model["vocab"].items() if k not in special}
-        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model.get("merges", [])]
-        ids = [plain.get(m, -1) for m in merged]
-        same = (
-            model["type"] == "BPE"
-            and spec.get("normalizer") is None
-            and pre.get("type") == "ByteLevel"
-            and not pre.get("add_prefix_space")
-            and ids == sorted(set(ids))
-            and len(plain) == len(ids) + 256
-            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", []))
-        )
-        if same:
-            of = _byte_of_char()
-            ranks = {bytes(of[c] for c in k): v for k, v in plain.items()}
-            engine = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-            _LOADED[path] = lambda text: engine.encode_to_numpy(text, allowed_special="all")
-        else:
-            from tokenizers import Tokenizer
-
-            engine = Tokenizer.from_file(path)
-            _LOADED[path] = lambda text: np.array(engine.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-    return _LOADED[path]
-
+from tidewire.llm.bytebpe import Encoder
 
 class Packer:
     """Packs the documents of one input partition.
@@ -121,17 +69,21 @@ class Packer:
                     heapq.heappush(cheap, x)
             if not cheap:
                 cheap = [(float("inf"), i)]
-        spare = [i for _, i in sorted(cheap) if room[i]]
+        # the rest is cut, each cut going to the sequence that is cheapest then
+        spare = [(spent, i) for spent, i in cheap if room[i]]
+        heapq.heapify(spare)
         kept = []
         for doc, start, ids in left:
             while len(ids) and spare:
-                i = spare[0]
+                spent, i = spare[0]
                 take = min(room[i], len(ids))
                 bins[i].append((doc, start, ids[:take]))
                 room[i] -= take
                 start, ids = start + take, ids[take:]
-                if not room[i]:
-                    spare.pop(0)
+                if room[i]:
+                    heapq.heapreplace(spare, (spent + self.cost(take), i))
+                else:
+                    heapq.heappop(spare)
             if len(ids):
                 kept.append((doc, start, ids))
         # outside the last window a sequence that isn't full goes back
@@ -164,13 +116,14 @@ def pack_documents(
     Each token, the end id included, is in exactly one piece; a sequence's pieces lie
     without gaps from 0. A null text counts as empty and gives the end id alone; a null
     id stays null; repeated rows are packed as often as they occur; an empty table gives
-    no pieces; other columns aren't carried. Sequence ids hold the number of the input
-    partition, so a task that runs again gives the same rows.
+    no pieces; other columns aren't carried. A text of any length or make is encoded
+    whole, by the tokenizers library where the faster engine refuses it. Sequence ids
+    hold the number of the input partition, so a task that runs again gives the same rows.
     """
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(batches):
-        encode, packer = _encoder(tokenizer), Packer(capacity, linear, quadratic)
+        encode, packer = Encoder.of(tokenizer).ids, Packer(capacity, linear, quadratic)
         base, done, rows = TaskContext.get().partitionId() << 40, 0, []
 
         def put(pieces):

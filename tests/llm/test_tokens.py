@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidewire.llm import packing
+from tidewire.llm.bytebpe import Encoder
 from tidewire.llm.packing import Packer, pack_documents
 from tidewire.llm.sentencepieces import PieceTable, encode_pieces, piece_digests
 from tidewire.llm.tokencount import split_safely, token_counts
@@ -25,7 +25,7 @@ def rows(spark, texts):
 def test_counts_match_the_libraries(spark, bpe, pieces, odd_texts):
     tok, sp = Tokenizer.from_file(bpe), sentencepiece.SentencePieceProcessor(model_file=pieces)
     for path, count in ((bpe, lambda t: len(tok.encode(t, add_special_tokens=False).ids)), (pieces, lambda t: len(sp.encode(t)))):
-        got = Counter(map(tuple, token_counts(rows(spark, odd_texts), path, part_chars=1000, batch_chars=5000).collect()))
+        got = Counter(map(tuple, token_counts(rows(spark, odd_texts), path, part_chars=1000, batch_bytes=5000).collect()))
         assert got == Counter((i, len((t or "").encode()), count(t or ""), count(t or "") > 1024) for i, t in odd_texts)
 
 
@@ -125,7 +125,29 @@ def test_a_file_of_another_kind_goes_to_its_library(tmp_path, bpe):
 
     other = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(other)
-    assert packing._encoder(other)("Some words.").tolist() == tok.encode("Some words.", add_special_tokens=False).ids
+    assert Encoder.of(other).ids("Some words.").tolist() == tok.encode("Some words.", add_special_tokens=False).ids
+
+
+def test_runs_that_a_pattern_gives_up_on(spark, bpe):
+    tok = Tokenizer.from_file(bpe)
+    texts = [(1, "a" + "\n" * 1_000_000 + "b"), (2, " " * 1_500_000), (3, "x" * 300_000), (4, "plain")]
+    want = {i: tok.encode(t, add_special_tokens=False).ids for i, t in texts}
+    assert {r.doc_id: r.n_tokens for r in token_counts(rows(spark, texts), bpe).collect()} == {i: len(v) for i, v in want.items()}
+    got = defaultdict(list)
+    for r in sorted(pack_documents(rows(spark, texts), bpe, with_ids=True).collect(), key=lambda r: r.start):
+        got[r.doc_id] += r.ids
+    assert got == {i: v + [1] for i, v in want.items()}
+
+
+def test_batches_are_balanced_by_bytes(bpe, monkeypatch):
+    from tidewire.llm import tokencount
+
+    seen = []
+    whole = Encoder.lengths
+    monkeypatch.setattr(Encoder, "lengths", lambda self, batch: (seen.append(sum(len(t.encode()) for t in batch)), whole(self, batch))[1])
+    texts = ["слово и ещё слово " * 40, "plain words here " * 40] * 50
+    tokencount._lengths_json(bpe, texts, 10_000, 1 << 16)
+    assert max(seen) <= 10_000 and min(seen[:-1]) > 7_000
 
 
 def test_costs_are_balanced():

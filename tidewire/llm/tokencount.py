@@ -2,7 +2,7 @@
 
 Texts go to an Arrow function. Inside it a long text is split at boundaries where no
 token of the vocabulary can span, the parts are dealt into batches of about equal
-bytes, each batch is encoded by the tokenizer's own library and only lengths are kept.
+UTF-8 bytes, each batch is encoded with the library's ids and only lengths are kept.
 """
 
 from __future__ import annotations
@@ -13,42 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.bytebpe import Encoder
+
 #: A place before a space that ends one word and starts the next: byte-level word
 #: patterns put a single space at the front of the word that follows it.
 _SAFE = re.compile(r"(?<=\S)(?= [^\s])")
 
-_LOADED: dict[str, object] = {}
-
-
-def _json_tokenizer(path: str):
-    if path not in _LOADED:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _LOADED[path] = Tokenizer.from_file(path)
-    return _LOADED[path]
-
-
-def _splittable(path: str) -> bool:
-    """Whether this tokenizer's words start at single spaces and nothing spans them."""
-    import json
-
-    key = f"{path}#splittable"
-    if key not in _LOADED:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
-        _LOADED[key] = (
-            spec.get("normalizer") is None
-            and pre.get("type") == "ByteLevel"
-            and not pre.get("add_prefix_space")
-            and pre.get("use_regex", True)
-            and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", []))
-        )
-    return _LOADED[key]
-
 
 def split_safely(text: str, most: int) -> list[str]:
     """Parts of about ``most`` characters whose tokens together are the text's tokens."""
@@ -65,25 +35,29 @@ def split_safely(text: str, most: int) -> list[str]:
     return parts
 
 
-def _lengths_json(path: str, texts: list[str], batch_chars: int, part_chars: int) -> list[int]:
-    tokenizer = _json_tokenizer(path)
-    parts, owner = [], []
-    for i, text in enumerate(texts):
-        for part in split_safely(text, part_chars) if _splittable(path) else [text]:
-            parts.append(part)
-            owner.append(i)
+def _lengths_json(path: str, texts: list[str], batch_bytes: int, part_chars: int) -> list[int]:
+    encoder = Encoder.of(path)
     counts = [0] * len(texts)
     batch, held, size = [], [], 0
-    for i, part in zip(owner, parts, strict=True):
-        batch.append(part)
-        held.append(i)
-        size += len(part) + 16
-        if size >= batch_chars:
-            for j, e in zip(held, tokenizer.encode_batch_fast(batch, add_special_tokens=False), strict=True):
-                counts[j] += len(e)
-            batch, held, size = [], [], 0
-    for j, e in zip(held, tokenizer.encode_batch_fast(batch, add_special_tokens=False) if batch else [], strict=True):
-        counts[j] += len(e)
+
+    def done():
+        nonlocal size
+        for j, n in zip(held, encoder.lengths(batch), strict=True):
+            counts[j] += n
+        batch.clear()
+        held.clear()
+        size = 0
+
+    for i, text in enumerate(texts):
+        for part in split_safely(text, part_chars) if encoder.splittable else [text]:
+            n = len(part) if part.isascii() else len(part.encode())
+            if batch and size + n > batch_bytes:
+                done()
+            batch.append(part)
+            held.append(i)
+            size += n
+    if batch:
+        done()
     return counts
 
 
@@ -100,7 +74,7 @@ def token_counts(
     limit: int = 1024,
     id_col: str = "doc_id",
     text_col: str = "text",
-    batch_chars: int = 1 << 20,
+    batch_bytes: int = 1 << 20,
     part_chars: int = 1 << 16,
 ) -> DataFrame:
     """One row per input row: id, n_bytes, n_tokens and over_limit (n_tokens > limit).
@@ -108,7 +82,8 @@ def token_counts(
     ``tokenizer`` is a path to a ``.json`` (tokenizers) or ``.model`` (sentencepiece)
     file. Counts are those of the library's own encoding of the whole text, without
     begin, end or other added tokens; special strings inside a text are handled as the
-    library does by default. A null text counts as empty (0 bytes, 0 tokens); a null
+    library does by default. A text of any length or make is counted whole: what has no
+    safe boundary (long white space, letters without spaces) stays one part. A null text counts as empty (0 bytes, 0 tokens); a null
     id stays null; repeated rows stay repeated; an empty table gives an empty result;
     other columns of the input are not carried.
     """
@@ -118,7 +93,7 @@ def token_counts(
         for b in batches:
             texts = b.column(1).to_pylist()
             if is_json:
-                counts = _lengths_json(tokenizer, texts, batch_chars, part_chars)
+                counts = _lengths_json(tokenizer, texts, batch_bytes, part_chars)
             else:
                 counts = _lengths_model(tokenizer, texts)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counts, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])

@@ -1,6 +1,8 @@
 """Top-k search and embedding near-duplicates against brute force."""
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tidewire.llm import embeddup, topk
 
@@ -43,17 +45,41 @@ def test_top_k_is_exact(spark):
 def test_top_k_stops_early_and_stays_right():
     rng = np.random.default_rng(0)
     x = np.floor(rng.exponential(20, size=(4000, 3)) ** 2)
-    lists = topk.Lists(np.arange(4000), x)
-    met = []
-    first = lists._first
-    lists._first = lambda at, s, k: (met.append(len(at)), first(at, s, k))[1]
-    q = np.abs(rng.normal(size=(20, 3)))
-    for i, (ids, scores) in enumerate(lists.best(np.arange(20), np.floor(256 * q), 5)):
-        s = x @ np.floor(256 * q[i])
-        s[i] = -1
-        want = np.lexsort((np.arange(4000), -s))[:5]
-        assert ids.tolist() == want.tolist() and scores.tolist() == s[want].tolist()
-    assert max(met) < 4000  # lists of uneven values are not read to their end
+    near = np.floor(256 * embeddup.unit(rng.normal(size=(3000, 32))))
+    near[:60] = near[0] + rng.integers(-2, 3, size=(60, 32))  # near copies: the norm lets their queries stop
+    for x, q in ((x, np.floor(256 * np.abs(rng.normal(size=(20, 3))))), (near, near[:20])):
+        lists = topk.Lists(np.arange(len(x)), x)
+        for i, (ids, scores) in enumerate(lists.best(np.arange(20), q, 5)):
+            s = x @ q[i]
+            s[i] = -np.inf
+            want = np.lexsort((np.arange(len(x)), -s))[:5]
+            assert ids.tolist() == want.tolist() and scores.tolist() == s[want].tolist()
+        assert lists.stopped == 20 and lists.read < 20 * x.size / 2
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 10_000), st.integers(1, 6))
+def test_no_candidate_beats_its_bound(seed, d):
+    rng = np.random.default_rng(seed)
+    x = rng.integers(-9, 10, size=(60, d)).astype(float)
+    w = rng.integers(0, 6, size=(4, d)).astype(float)
+    last = rng.integers(-6, 9, size=(4, d)).astype(float)
+    norm = float(np.sqrt((x * x).sum(axis=1).max()))
+    with np.errstate(all="raise", under="ignore", divide="ignore", invalid="ignore"):
+        limit = topk.bounds(w, last, norm)
+    for i in range(4):
+        under = x[((x <= last[i]) | (w[i] == 0)).all(axis=1)]
+        if len(under):
+            assert (under @ w[i]).max() <= limit[i] + 1e-6
+
+
+def test_a_repeated_query_is_one_query(spark):
+    rows = vectors(40) + [(7, vectors(40)[6][1]), (14, [1.0] * 12), (90, [0.0] * 12), (70, [0.0] * 12)]
+    df = frame(spark, rows)
+    got = topk.top_k(df, df.where("vec_id % 7 = 0"), 5, heads=4).collect()
+    assert sorted(map(tuple, got)) == sorted(set(brute_top(rows, lambda i: i % 7 == 0, 5)))
+    assert sorted(r["rank"] for r in got if r.query_id == 7) == [1, 2, 3, 4, 5]
+    assert sorted(r["rank"] for r in got if r.query_id == 14) == sorted([1, 2, 3, 4, 5] * 2)
 
 
 def test_top_k_edges(spark):

@@ -74,8 +74,9 @@ def near_vectors(
     *,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    tile: int = 2048,
-    sample: int = 16_384,
+    tile: int = 16_384,
+    tile_bytes: int = 8 << 20,
+    sample: int = 4_096,
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
@@ -84,36 +85,45 @@ def near_vectors(
     itself included, kept marks the row that names its component. Rows that are null,
     empty, zero, hold null or non-finite components, or have a null id link with
     nothing; vectors of different lengths don't meet. Repeated rows count each as a
-    row of its own. The axes are fitted on at most about ``sample`` vectors; any axes
-    give the same result.
+    row of its own, and other columns aren't carried. The axes are fitted on about
+    ``sample`` vectors in all; any axes give the same result. A tile holds at most
+    ``tile`` vectors and ``tile_bytes`` of them; where no direction is common to many
+    vectors every tile meets every other, so a vector is sent to as many tiles as there are.
     """
     v = F.col(vector_col)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("x"))
     valid = rows.where(F.col("vec_id").isNotNull() & usable(F.col("x")) & F.exists("x", lambda e: e != 0))
     classes = cut(valid.groupBy("x").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     dims = {r[0]: r[1] for r in classes.groupBy(F.size("x")).count().collect()}
-    total = sum(dims.values())
-    axes, middle, bits = {}, {}, max(0, min(16, math.ceil(math.log2(max(1, total / tile)))))
+    rate = F.lit(math.ceil(1_000_000 * sample / max(1, sum(dims.values()))))
+    drawn = classes.where(F.pmod(F.xxhash64("rep", F.lit("axes")), F.lit(1_000_000)) < rate).select(F.size("x").alias("d"), "x").toArrow()
+    drawn_dim = np.asarray(drawn.column("d"))
+    axes, middle, bits = {}, {}, {}
     for d, n in dims.items():
-        picked = classes.where((F.size("x") == d) & (F.pmod(F.xxhash64("rep", F.lit("axes")), F.lit(1_000_000)) <= F.lit(math.ceil(1_000_000 * sample / n))))
-        u = unit(np.array([r[0] for r in picked.select("x").limit(4 * sample).collect()] or [[1.0] * d]))
+        picked = drawn.filter(pa.array(drawn_dim == d)).column("x").combine_chunks().flatten()
+        u = unit(np.asarray(picked, np.float64).reshape(-1, d)) if len(picked) else np.eye(1, d)
         axes[d] = principal_axes(u)
         middle[d] = np.median(u @ axes[d], axis=0)
+        tiles = max(-(-n // max(1, min(tile, tile_bytes // (8 * d)))), min(8, n // 256))
+        bits[d] = min(16, max(0, math.ceil(math.log2(max(1, tiles)))))
 
     def place(batches):
         for b in batches:
-            xs = b.column(0).to_pylist()
-            cells, turned = [], []
-            for x in xs:
-                r = unit(np.array([x]))[0] @ axes[len(x)]
-                side = r[:bits] > middle[len(x)][:bits]
-                cells.append(int(side @ (1 << np.arange(len(side)))) if len(side) else 0)
-                turned.append(r[:8].tolist())
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(0), pa.array([len(x) for x in xs], pa.int32()), pa.array(cells, pa.int64()), pa.array(turned, pa.list_(pa.float64()))], names=["rep", "copies", "x", "dim", "cell", "lead"])
+            xs, length = b.column(0), np.asarray(b.column(0).value_lengths())
+            cells, lead = np.zeros(len(xs), np.int64), [None] * len(xs)
+            for d in np.unique(length):
+                at = np.flatnonzero(length == d)
+                r = unit(np.asarray(xs.take(pa.array(at)).flatten(), np.float64).reshape(-1, d)) @ axes[d]
+                side = r[:, : bits[d]] > middle[d][: bits[d]]
+                cells[at] = side @ (1 << np.arange(side.shape[1]))
+                for i, v in zip(at, r[:, :8].tolist(), strict=True):
+                    lead[i] = v
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), xs, pa.array(length, pa.int32()), pa.array(cells), pa.array(lead, pa.list_(pa.float64()))], names=["rep", "copies", "x", "dim", "cell", "lead"])
 
     placed = classes.select("x", "rep", "copies").mapInArrow(place, "rep long, copies long, x array<double>, dim int, cell long, lead array<double>")
     placed = cut(placed)
-    sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(tile))).alias("parts"))
+    fits = F.greatest(F.lit(1.0), F.least(F.lit(float(tile)), F.lit(float(tile_bytes)) / (8 * F.col("dim"))))
+    sizes = placed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n")).select("dim", "cell", F.ceil(F.col("n") / fits).alias("parts"))
     tiled = placed.join(sizes, ["dim", "cell"]).withColumn("tile", F.struct("dim", "cell", F.pmod(F.xxhash64("rep", F.lit("tile")), F.col("parts")).alias("part")))
     leads = range(8)
     boxes = tiled.groupBy("tile").agg(

@@ -34,8 +34,10 @@ def plain_similarity(a, b):
 
 
 def brute(rows, threshold=0.8):
+    """Groups of all pairs, compared through the shingles that they share."""
+    from collections import Counter, defaultdict
+
     ids = [i for i, _ in rows if i is not None]
-    text = {i: t or "" for i, t in rows if i is not None}
     parent = {i: i for i in ids}
 
     def find(i):
@@ -43,10 +45,22 @@ def brute(rows, threshold=0.8):
             i = parent[i]
         return i
 
-    for a in text:
-        for b in text:
-            if a < b and text[a].split() and text[b].split() and plain_similarity(text[a], text[b]) >= threshold:
-                x, y = find(a), find(b)
+    bags, size, where = {}, {}, defaultdict(list)
+    for i, t in rows:
+        w = (t or "").lower().split()
+        if i is not None and w:
+            k = min(5, len(w))
+            bags[i] = Counter(tuple(w[j : j + k]) for j in range(len(w) - k + 1))
+            size[i] = bags[i].total()
+    for i in sorted(bags):
+        both = Counter()
+        for s, n in bags[i].items():
+            for j, m in where[s]:
+                both[j] += min(n, m)
+            where[s].append((i, n))
+        for j, n in both.items():
+            if n / (size[i] + size[j] - n) >= threshold:
+                x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
     return {i: find(i) for i in ids}
 
@@ -83,17 +97,42 @@ def test_similarity_is_the_weighted_jaccard_of_shingles():
     assert similarity("a b a b a b a b", "a b a b a b") == pytest.approx(plain_similarity("a b a b a b a b", "a b a b a b"))
 
 
-def test_signatures_agree_as_often_as_sets_are_similar():
+def jaccard(x, wx, y, wy):
+    a, b = dict(zip(x.tolist(), wx, strict=True)), dict(zip(y.tolist(), wy, strict=True))
+    keys = a.keys() | b.keys()
+    return sum(min(a.get(k, 0), b.get(k, 0)) for k in keys) / sum(max(a.get(k, 0), b.get(k, 0)) for k in keys)
+
+
+@pytest.mark.parametrize("finest", [1.0, 0.125])
+def test_signatures_agree_as_often_as_sets_are_similar(finest):
     rng = np.random.default_rng(2)
-    for s in (0.2, 0.5, 0.8):
+    for n, low, high in ((3, 1, 1), (40, 1, 1), (900, 1, 1), (60, 1, 40), (60, 0.05, 3.0), (5, 0.2, 300.0)):
         got = []
-        for n in (3, 40, 900):
-            for _ in range(30):
-                both = int(round(2 * n * s / (1 + s)))
-                w = rng.integers(0, 1 << 63, 2 * n - both, dtype=np.uint64)
-                a, b = minhash.signatures([w[:n], w[n - both :]], 160)
-                got.append((a == b).mean() - both / (2 * n - both))
-        assert abs(np.mean(got)) < 0.02
+        for _ in range(60):
+            e = np.unique(rng.integers(0, 1 << 63, n + n // 3, dtype=np.uint64))
+            wa, wb = (np.round(rng.uniform(low, high, len(e)), 3) if high > 1 else np.ones(len(e)) for _ in "ab")
+            wb = np.where(rng.random(len(e)) < 0.7, wa, wb)
+            a, b = slice(0, n), slice(n // 3, None)
+            s = minhash.signatures([e[a], e[b]], [wa[a], wb[b]], 160, finest)
+            alone = minhash.signatures([e[b]], [wb[b]], 160, finest)
+            assert (s[1] == alone[0]).all()  # a signature depends on its own set alone
+            got.append((s[0] == s[1]).mean() - jaccard(e[a], wa[a], e[b], wb[b]))
+        assert abs(np.mean(got)) < 0.02, (n, low, high)
+
+
+def test_darts_do_not_grow_with_the_weight():
+    thrown = []
+    mix, many = minhash.mix, np.arange(1, 300_001, dtype=np.uint64)
+    try:
+        minhash.mix = lambda h: (thrown.append(h.size), mix(h))[1]
+        minhash.signatures([many], [np.ones(len(many))], 160)
+        assert sum(thrown) < 7 * len(many)  # about one dart, hashed three times, for an element
+        thrown.clear()
+        minhash.signatures([many[:1]], [np.array([1e9])], 160)
+        assert sum(thrown) < 20_000
+    finally:
+        minhash.mix = mix
+    assert (minhash.signatures([many[:0], many[:2]], [np.zeros(0), np.ones(2)], 160)[0] == 0).all()
 
 
 def test_shared_counts():
@@ -116,10 +155,24 @@ def test_groups_are_those_of_all_pairs(spark, options):
 def test_repeated_rows_and_empty_tables(spark):
     assert minhash.near_documents(frame(spark, [])).count() == 0
     got = minhash.near_documents(frame(spark, [(4, "a b c d e f"), (4, "a b c d e f"), (7, "A b c d  e f")])).collect()
-    assert sorted(map(tuple, got)) == [(4, 4, True), (4, 4, True), (7, 4, False)]
+    assert sorted(map(tuple, got)) == [(4, 4, False), (4, 4, True), (7, 4, False)]
     assert [tuple(r) for r in minhash.near_documents(frame(spark, [(1, None)])).collect()] == [(1, 1, True)]
 
 
+def test_texts_of_one_id_keep_their_links(spark):
+    a, b = "a b c d e f g h i j k l m n o p q r s t", "one two three four five six seven eight nine ten eleven twelve"
+    for rows in ([(1, a), (1, b), (2, a + " u"), (3, b + " more")], [(1, b), (3, b + " more"), (2, a + " u"), (1, a)]):
+        got = sorted(map(tuple, minhash.near_documents(frame(spark, rows)).collect()))
+        assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False)]
+
+
+def test_recall_of_real_documents(spark):
+    """Every link of all pairs is found; links of classes that differ are counted too."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    got = {r.doc_id: r.component_id for r in minhash.near_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100 + rng.randint(0, 40), 100 + rng.randint(0, 40)) for _ in range(30)] + [(None, 3), (5, None), (9, 9)]

@@ -3,21 +3,20 @@
 A document is a weighted set of five-word shingles, the weight being how often one
 occurs. Each element owns a region as wide as its weight; hashed darts fall into it in
 order of rank, each aimed at one coordinate of the signature, and a coordinate keeps
-its earliest dart. Two documents agree on a coordinate with the probability of their
-weighted Jaccard similarity. Bands of coordinates propose pairs, and the similarity of
-each proposed pair is then computed in full.
+its earliest dart. Darts are thrown up to a rank set by the set's total weight, so that
+their number doesn't grow with it. Two documents agree on a coordinate with the
+probability of their weighted Jaccard similarity. Bands of coordinates propose pairs,
+and the similarity of each proposed pair is then computed in full.
 
 Pairs aren't listed within a band's group. Members first meet a leader of their group,
-drawn at random, and whoever passes joins the leader's component. Only members of a
-group that are in different components after that meet each other: as pairs in a small
-group, and in a large one in blocks that a task compares as a whole, giving out no more
-than a spanning forest of the links it finds.
+and whoever passes joins the leader's component. Only members of a group that are in
+different components after that meet each other: as pairs in a small group, and in a
+large one in blocks that a task compares as a whole, giving out no more than a spanning
+forest of the links it finds.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -65,11 +64,10 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
-def unit_elements(words: np.ndarray, width: int = 5) -> np.ndarray:
-    """Hashes of (shingle, occurrence) pairs: a shingle of weight w has w of them.
+def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
+    """Hashes of the runs of ``width`` words, sorted, repeats included.
 
-    The Jaccard similarity of these sets is the weighted one of the shingles. A text
-    of fewer than ``width`` words is one shingle, one without words has none.
+    A text of fewer words is one shingle, one without words has none.
     """
     n = len(words)
     if not n:
@@ -79,52 +77,85 @@ def unit_elements(words: np.ndarray, width: int = 5) -> np.ndarray:
     for i in range(k):
         h = (h + words[i : i + n - k + 1]) * (GOLD + np.uint64(2 * i))
         h ^= h >> np.uint64(29)
-    h = np.sort(mix(h))
+    return np.sort(mix(h))
+
+
+def weighted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes -> distinct elements and their weights."""
+    at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    return h[at], np.diff(np.r_[at, len(h)]).astype(np.float64)
+
+
+def unit_elements(words: np.ndarray, width: int = 5) -> np.ndarray:
+    """Hashes of (shingle, occurrence) pairs: a shingle of weight w has w of them.
+
+    The Jaccard similarity of these sets is the weighted one of the shingles.
+    """
+    h = shingles(words, width)
     at = np.arange(len(h))
-    first = np.r_[True, h[1:] != h[:-1]]
-    occurrence = at - np.maximum.accumulate(np.where(first, at, 0))
-    return mix(h + occurrence.astype(np.uint64) * GOLD) if occurrence.any() else mix(h)
-
-
-def _poisson_steps(mean: float) -> np.ndarray:
-    """Cumulative probabilities of a Poisson count of 0, 1, 2, ..."""
-    k = np.arange(int(mean + 12 * np.sqrt(mean) + 24))
-    logs = k * np.log(mean) - mean - np.cumsum(np.log(np.maximum(k, 1)))
-    return np.cumsum(np.exp(logs))
-
-
-#: Ranks are cut into cells [0, 1/8), [1/8, 1/4), [1/4, 1/2), ... each up to twice the last.
-_CELLS = [(0.0, 0.125)] + [(2.0**e, 2.0**e) for e in range(-3, 14)]
-_STEPS = [_poisson_steps(width) for _, width in _CELLS]
-
-
-def signatures(sets: list[np.ndarray], k: int) -> np.ndarray:
-    """(sets, k) DartMinHash values; a set without elements has zeros."""
-    sig = np.zeros(len(sets) * k, np.uint64)
-    filled = np.zeros(len(sets) * k, bool)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    elements = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    for c, (low, width) in enumerate(_CELLS):
-        if not len(elements):
-            break
-        seed = mix(elements + np.uint64((c + 1) * int(GOLD) % 2**64))
-        u = (seed >> np.uint64(11)) * 2.0**-53
-        at = np.flatnonzero(u >= _STEPS[c][0])
-        n = np.searchsorted(_STEPS[c], u[at], side="right")
-        element = np.repeat(at, n)
-        nth = np.arange(len(element)) - np.repeat(np.cumsum(n) - n, n)
-        dart = mix(mix(seed[element] ^ _M1) + (nth + 1).astype(np.uint64) * GOLD)
-        rank = low + width * ((dart >> np.uint64(11)) * 2.0**-53)
-        place = owner[element] * k + (mix(dart ^ GOLD) % np.uint64(k)).astype(np.int64)
-        free = ~filled[place]
-        dart, rank, place = dart[free], rank[free], place[free]
-        late = np.argsort(-rank, kind="stable")  # the earliest dart is written last
-        sig[place[late]] = dart[late]
-        filled[place] = True
-        open_ = ~filled.reshape(-1, k).all(axis=1)
-        on = open_[owner]
-        elements, owner = elements[on], owner[on]
-    return sig.reshape(len(sets), k)
+    first = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
+    occurrence = at - np.maximum.accumulate(np.where(first, at, 0)) if len(h) else at
+    return mix(h + occurrence.astype(np.uint64) * GOLD)
+
+
+#: Ranks are counted in this part of one, so that their sums are exact.
+_RANK = 2.0**40
+
+
+def signatures(elements: list[np.ndarray], weights: list[np.ndarray], k: int, finest: float = 1.0) -> np.ndarray:
+    """(sets, k) DartMinHash values of sets with positive real weights; an empty set has zeros.
+
+    An element's weights are cut into strips [0, f), [f, 2f), [2f, 4f), ... with f =
+    ``finest``. In a strip, darts fall in order of rank with exponential gaps, at
+    places spread evenly over its width, all by hashes of the element, the strip and
+    the dart's number; those at places under the element's weight hit it. Any two sets
+    so see the same darts. Weights far under ``finest`` cost darts that miss.
+    """
+    sig = np.zeros(len(elements) * k, np.uint64)
+    best = np.full(len(elements) * k, np.iinfo(np.int64).max)
+    owner = np.repeat(np.arange(len(elements)), [len(e) for e in elements])
+    e = np.concatenate(elements) if elements else np.zeros(0, np.uint64)
+    w = np.concatenate(weights) if elements else np.zeros(0)
+    total = np.bincount(owner, weights=w, minlength=len(elements))
+    strips = []
+    low, width, nth, at = 0.0, finest, 1, np.arange(len(e))
+    while at.size:
+        strips.append((mix(e[at] + np.uint64(nth * int(GOLD) % 2**64)), owner[at], np.full(at.size, low), np.full(at.size, width), w[at]))
+        low, width, nth = low + width, low + width, nth + 1
+        at = at[w[at] > low]
+    key, own, low, width, w = (np.concatenate(x) for x in zip(*strips, strict=True)) if strips else (np.zeros(0, np.uint64), np.zeros(0, np.int64), *[np.zeros(0)] * 3)
+    rank, thrown = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+    limit = np.zeros(len(elements))
+    open_, more = total > 0, k * (np.log(k) + 1)
+    while open_.any():
+        # expected hits from here on: enough at first to fill nearly all, then some more where a place is free
+        limit[open_] += more / total[open_]
+        more = 2.0 * k
+        until = np.minimum(limit * _RANK, 2.0**62).astype(np.int64)
+        going = np.flatnonzero(open_[own] & (rank <= until[own]))
+        while going.size:
+            n = np.minimum(((until[own[going]] - rank[going]) * (width[going] / _RANK) * 1.1).astype(np.int64) + 1, 1 << 14)
+            here = np.repeat(going, n)
+            start = np.repeat(np.cumsum(n) - n, n)
+            number = thrown[here] + np.arange(len(here)) - start + 1
+            dart = mix(mix(key[here] ^ _M1) + number.astype(np.uint64) * GOLD)
+            u = ((dart >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+            gap = np.minimum(-np.log(u) / width[here] * _RANK, 2.0**50).astype(np.int64) + 1
+            upto = np.cumsum(gap)  # wraps, and so do the differences
+            at_rank = rank[here] + upto - np.r_[0, upto][start]
+            last = np.cumsum(n) - 1
+            rank[going], thrown[going] = at_rank[last], thrown[going] + n
+            place = low[here] + width[here] * ((mix(dart ^ _M2) >> np.uint64(11)) * 2.0**-53)
+            hit = np.flatnonzero(place < w[here])
+            dart, at_rank = dart[hit], at_rank[hit]
+            place = own[here[hit]] * k + (mix(dart ^ GOLD) % np.uint64(k)).astype(np.int64)
+            better = at_rank < best[place]
+            dart, at_rank, place = dart[better], at_rank[better], place[better]
+            late = np.argsort(-at_rank, kind="stable")  # the earliest dart is written last
+            sig[place[late]], best[place[late]] = dart[late], at_rank[late]
+            going = going[rank[going] <= until[own[going]]]
+        open_ = open_ & (best.reshape(-1, k) > until[:, None]).any(axis=1)
+    return sig.reshape(len(elements), k)
 
 
 def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
@@ -141,56 +172,54 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _sketch(width: int, bands: int, rows: int):
-    names = ["doc_id", "key", "n", "bands"]
+    names = ["doc_id", "hash", "key", "n", "bands"]
 
     def run(batches):
         for b in batches:
-            ids, keys, counts, found, sets, held = [], [], [], [], [], 0
+            keys, counts, found, sets, held = [], [], [], [], 0
 
             def out():
                 nonlocal held
-                keyed = band_keys(signatures(sets, bands * rows), bands)
-                for i, s in zip(range(len(sets)), sets, strict=True):
-                    found.append(keyed[i].tolist() if len(s) else None)
+                if sets:
+                    elements, weights = zip(*map(weighted, sets), strict=True)
+                    keyed = band_keys(signatures(list(elements), list(weights), bands * rows), bands)
+                    found.extend(keyed[i].tolist() if len(s) else None for i, s in enumerate(sets))
                 sets.clear()
                 held = 0
 
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for text in b.column(2):
                 words = word_hashes(text.as_py() or "")
-                ids.append(doc)
                 keys.append(xxhash.xxh128_digest(words.tobytes()) if len(words) else None)
-                sets.append(unit_elements(words, width))
+                sets.append(shingles(words, width))
                 counts.append(len(sets[-1]))
                 held += counts[-1]
                 if held >= 200_000 or len(sets) >= 512:
                     out()
             out()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=names)
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
-    """The pairs (a, b) whose documents' similarity reaches the threshold."""
+def _elements(width: int):
+    """(rep, text) -> (rep, n, e): the sorted unit elements of a class."""
 
     def run(batches):
-        held: OrderedDict[int, np.ndarray] = OrderedDict()
+        for b in batches:
+            sets = [np.sort(unit_elements(word_hashes(t.as_py()), width)).view(np.int64) for t in b.column(1)]
+            for lo in range(0, len(sets), 256):
+                part = sets[lo : lo + 256]
+                flat = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(x) for x in part])].astype(np.int32), np.concatenate(part))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(part)), pa.array([len(x) for x in part], pa.int64()), flat], names=["rep", "n", "e"])
 
-        def elements(doc: int, text) -> np.ndarray:
-            if doc not in held:
-                held[doc] = np.sort(unit_elements(word_hashes(text.as_py()), width))
-                while len(held) > 64:
-                    held.popitem(last=False)
-            return held[doc]
+    return run
 
-        for b in batches:
-            a_ids, b_ids = b.column(0).to_pylist(), b.column(1).to_pylist()
-            on = [similarity(elements(x, b.column(2)[i]), elements(y, b.column(3)[i])) >= threshold for i, (x, y) in enumerate(zip(a_ids, b_ids, strict=True))]
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(on)), b.column(1).filter(pa.array(on))], names=["a", "b"])
 
-    one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of classes whose similarity reaches the threshold."""
+    side = lambda p: sets.select(F.col("rep").alias(p), F.col("n").alias(f"n_{p}"), F.col("e").alias(f"e_{p}"))
+    met = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("both", F.size(F.array_intersect("e_a", "e_b")))
+    return met.where(F.col("both") >= F.lit(threshold) * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
 def shared_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -215,36 +244,35 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096)
     return out
 
 
-def _block_links(groups: DataFrame, texts: DataFrame, threshold: float, width: int, block: int) -> DataFrame:
+def _block_links(rest: DataFrame, info: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
     """(band, rep, group) -> links (a, b) between different components of a band's group.
 
-    A component larger than a block has blocks of its own, which don't meet each other.
+    info: band, group, own (members of the component there) and total (of the band). A
+    component larger than a block has blocks of its own, which don't meet each other.
+    The blocks follow from info, which has a row for a component, not for a member.
     """
-    of = ["band", "group"]
-    sizes = groups.groupBy(*of).agg(F.count(F.lit(1)).alias("own"))
-    total = sizes.groupBy("band").agg(F.sum("own").alias("total"))
     large = F.col("own") > block
-    part = lambda c, n, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.ceil(F.col(n) / F.lit(float(block))))
-    placed = groups.join(sizes, of).join(total, "band").select(
-        "band", "rep", "group",
-        F.struct(F.when(large, F.col("group")).otherwise(F.lit(None)).alias("of"), F.when(large, part("rep", "own", "rep")).otherwise(part("group", "total", "group")).alias("nth")).alias("block"),
-    )
-    blocks = placed.select("band", "block").distinct()
+    dealt = lambda c, n, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.ceil(F.col(n) / F.lit(float(block))))
+    named = lambda nth: F.struct(F.when(large, F.col("group")).alias("of"), nth.alias("nth"))
+    nth = F.explode(F.when(large, F.sequence(F.lit(0).cast("long"), F.ceil(F.col("own") / F.lit(float(block))) - 1)).otherwise(F.array(dealt("group", "total", "group"))))
+    blocks = cut(info.withColumn("nth", nth).select("band", named(F.col("nth")).alias("block")).distinct())
     met = blocks.select("band", F.col("block").alias("s")).join(blocks.select("band", F.col("block").alias("t")), "band").where("s <= t").where(F.coalesce(F.col("s.of") != F.col("t.of"), F.lit(True)))
     sides = met.select("band", "s", "t", F.explode(F.when(F.col("s") == F.col("t"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
-    sides = sides.withColumn("block", F.when(F.col("side") == 0, F.col("s")).otherwise(F.col("t")))
-    rows = placed.join(sides, ["band", "block"]).select(F.xxhash64("band", "s", "t").alias("pair"), "side", "rep", "group")
-    rows = rows.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    sides = sides.select("band", F.when(F.col("side") == 0, F.col("s")).otherwise(F.col("t")).alias("block"), F.xxhash64("band", "s", "t").alias("pair"), "side")
+    placed = rest.join(info, ["band", "group"]).select("band", "rep", "group", named(F.when(large, dealt("rep", "own", "rep")).otherwise(dealt("group", "total", "group"))).alias("block"))
+    rows = placed.join(sides, ["band", "block"]).select("pair", "side", "rep", "group").join(sets.select("rep", "e"), "rep")
 
     def compare(t: pa.Table) -> pa.Table:
         side, rep, group = (np.asarray(t.column(n)) for n in ("side", "rep", "group"))
-        sets = [unit_elements(word_hashes(x.as_py()), width) for x in t.column("text")]
+        e = t.column("e").combine_chunks()
+        flat, at = np.asarray(e.flatten()).view(np.uint64), np.r_[0, np.cumsum(np.asarray(e.value_lengths()))]
+        own = [flat[at[i] : at[i + 1]] for i in range(len(rep))]
         one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         two = two if len(two) else one
         edges = ([], [])
         if len(one):
-            shared = shared_counts([sets[i] for i in one], [sets[i] for i in two])
-            n = np.array([len(s) for s in sets], np.float64)
+            shared = shared_counts([own[i] for i in one], [own[i] for i in two])
+            n = np.array([len(s) for s in own], np.float64)
             i, j = np.nonzero(shared >= threshold * (n[one][:, None] + n[two][None] - shared))
             i, j = one[i], two[j]
             on = group[i] != group[j]
@@ -271,43 +299,57 @@ def near_documents(
     block: int = 512,
     id_col: str = "doc_id",
     text_col: str = "text",
+    with_hash: bool = False,
 ) -> DataFrame:
-    """doc_id, component_id, kept for every row.
+    """doc_id, component_id, kept for every row, and text_hash (that of Spark) if asked for.
 
     Documents with the same words in the same order (but for case and white space) are
     one class; classes link if the weighted Jaccard similarity of their shingles
     reaches the threshold and they agree on a whole band: at 0.8 and 32 bands of 5, all
-    but 3 in a million such pairs. component_id is the smallest doc_id reachable, kept
-    marks the row that bears it. Null texts and texts without words link with nothing.
-    A null id links with nothing and is kept; repeated rows of an id share its fate.
-    Groups of more than ``small`` classes are compared in blocks of ``block``.
+    but 3 in a million such pairs. Texts are taken whole, however long. component_id is
+    the smallest doc_id reachable; kept marks one row of each component, one that bears
+    this id, so that of repeated rows one is kept. Texts of one id are told apart: each
+    has its own class and component, even where two components share the smallest id.
+    Null texts and texts without words link with nothing and are kept, as are rows of a
+    null id. An empty table gives no rows; other columns aren't carried. Groups of more
+    than ``small`` classes are compared in blocks of ``block``.
     """
-    rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = cut(rows_in.where(F.col("doc_id").isNotNull()).mapInArrow(_sketch(width, bands, rows), "doc_id long, key binary, n long, bands array<long>"))
-    classes = sketched.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    text = F.col(text_col)
+    rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    sketched = rows_in.where(F.col("doc_id").isNotNull()).mapInArrow(_sketch(width, bands, rows), "doc_id long, hash long, key binary, n long, bands array<long>")
+    sketched = cut(sketched.withColumn("row", F.monotonically_increasing_id()))
+    # a class goes by a number of its own, fixed by the cut, as an id may stand for several texts
+    classes = sketched.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(F.struct("doc_id", "row", "hash")).alias("lead"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = cut(classes.select("key", "lead", "n", "bands", F.col("lead.row").alias("rep")))
     entries = classes.select("rep", "n", F.explode("bands").alias("band"))
-    shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # sums by band are cut before they meet the entries, so that a band of many entries can be split in that join
+    shared = cut(entries.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("rep"), "rep", "n")).alias("lead")).where("size > 1").select("band", "size", F.col("lead.rep").alias("other"), F.col("lead.n").alias("other_n")))
     entries = cut(entries.join(shared, "band"))
-    involved = entries.select(F.col("rep").alias("doc_id")).distinct()
-    texts = cut(rows_in.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    involved = classes.join(entries.select("rep").distinct(), "rep", "left_semi").select("lead.doc_id", "lead.hash", "rep")
+    texts = rows_in.join(involved, ["doc_id", "hash"]).select("rep", "text").dropDuplicates(["rep"])
+    sets = cut(texts.mapInArrow(_elements(width), "rep long, n long, e array<long>"))
 
     def proposed(met: DataFrame) -> DataFrame:
         """Distinct pairs of those met whose sizes allow the threshold."""
         fit = F.least("n", "other_n") >= F.greatest("n", "other_n") * F.lit(threshold)
         return met.where((F.col("rep") != F.col("other")) & fit).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
-    leader = entries.groupBy("band").agg(F.min(F.struct(F.xxhash64("rep", "band"), "rep", "n")).alias("lead"))
-    first = cut(proposed(entries.join(leader.select("band", F.col("lead.rep").alias("other"), F.col("lead.n").alias("other_n")), "band")))
-    links = cut(_verified(first, texts, threshold, width))
-    grouped = entries.join(components(links).withColumnRenamed("id", "rep"), "rep", "left").withColumn("group", F.coalesce("component", "rep"))
-    apart = grouped.groupBy("band").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1").select("band")
-    rest = cut(grouped.join(apart, "band").select("band", "rep", "n", "group", "size"))
+    first = cut(proposed(entries))
+    links = cut(_verified(first, sets, threshold))
+    grouped = cut(entries.select("band", "rep", "n", "size").join(components(links).withColumnRenamed("id", "rep"), "rep", "left").withColumn("group", F.coalesce("component", "rep")).drop("component"))
+    own = grouped.groupBy("band", "group").agg(F.count(F.lit(1)).alias("own"))
+    totals = own.groupBy("band").agg(F.sum("own").alias("total"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("band", "total")
+    info = cut(own.join(totals, "band"))
+    rest = cut(grouped.join(info.select("band").distinct(), "band", "left_semi"))
     few = rest.where(F.col("size") <= small)
     other = few.select("band", F.col("rep").alias("other"), F.col("n").alias("other_n"), F.col("group").alias("other_group"))
     last = proposed(few.join(other, "band").where("rep < other and group <> other_group")).join(first, ["a", "b"], "left_anti")
-    more = _verified(last, texts, threshold, width).unionAll(_block_links(rest.where(F.col("size") > small), texts, threshold, width, block))
-    joined = components(links.unionAll(more))
-    named = classes.select("key", "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
-    out = sketched.select("doc_id", "key").join(named, "key", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
-    out = out.unionAll(rows_in.where(F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    more = _verified(last, sets, threshold).unionAll(_block_links(rest.where(F.col("size") > small).select("band", "rep", "group"), info.where(F.col("total") > small), sets, threshold, block))
+    joined = components(links.unionAll(more)).withColumnRenamed("id", "rep")
+    placed = classes.select("key", "rep", "lead").join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    heads = placed.groupBy("component").agg(F.min("lead").alias("head"))
+    named = placed.select("key", "component").join(heads, "component").select("key", F.col("head.doc_id").alias("component_id"), F.col("head.row").alias("head"))
+    out = sketched.select("doc_id", "hash", "key", "row").join(named, "key", "left")
+    out = out.select("doc_id", "hash", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("head") == F.col("row"), F.lit(True)).alias("kept"))
+    none = rows_in.where(F.col("doc_id").isNull()).select("doc_id", "hash", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionAll(none).select("doc_id", "component_id", "kept", *([F.col("hash").alias("text_hash")] if with_hash else []))

@@ -150,18 +150,99 @@ def test_views_teach_each_other():
     y = rng.integers(0, 2, 1200)
     text, meta = ((2 * y - 1)[:, None] * 1.3 + rng.normal(size=(1200, 2)) for _ in "ab")
     seen = np.where(np.arange(1200) < 60, y, -1)
-    hold = (np.arange(1200) % 3 == 0) & (seen >= 0)
-    model = quality.cotrain(text, meta, seen, hold, rounds=4, sure=0.9, each_round=200)
+    model = quality.cotrain(text, meta, seen, quality.dealt(seen), rounds=4, sure=0.9, each_round=200)
     assert ((model.score(text, meta) >= 0.5) == y).mean() > 0.93
 
 
+def plain_logistic(x, y, ridge):
+    x = np.hstack([np.asarray(x, float), np.ones((len(x), 1))])
+    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    penalty[-1] = 1e-3
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        w = w - np.linalg.solve((x * (p * (1 - p) + 1e-12)[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
+    return w
+
+
+def plain_cotraining(docs, labels, rounds=4, sure=0.97, most=1000):
+    """The method row by row, without Spark: documents -> probability of good quality."""
+    odds = lambda w, x: np.asarray(x, float) @ w[:-1] + w[-1]
+    docs = sorted(docs)
+    text = np.array([np.concatenate([quality.shape_view(d[1]), quality.content_view(d[1])]) for d in docs], float)
+    meta = np.zeros((len(docs), 3 * quality.META_BUCKETS))
+    for i, d in enumerate(docs):
+        meta[i, quality.meta_view(d[3], d[2], d[4])] = 1
+    truth = {i: q for i, q, _ in labels}
+    turn, part = {0: 0, 1: 0}, []
+    for d in docs:
+        q = truth.get(d[0])
+        part.append(None if q is None else "tcmtt"[turn[q] % 5])
+        if q is not None:
+            turn[q] += 1
+    taught = [{i: truth[d[0]] for i, d in enumerate(docs) if part[i] == "t"} for _ in "ab"]
+    for r in range(rounds + 1):
+        fits = [plain_logistic(x[list(t)], np.array(list(t.values()), float), 1.0) for x, t in zip((text, meta), taught, strict=True)]
+        if r == rounds:
+            break
+        for v, x in enumerate((text, meta)):
+            p = 1 / (1 + np.exp(-odds(fits[v], x)))
+            other = taught[1 - v]
+            for label, c in ((1, p), (0, 1 - p)):
+                free = sorted((-c[i], i) for i in range(len(docs)) if part[i] is None and i not in other and c[i] >= sure)
+                other.update((i, label) for _, i in free[:most])
+    at = lambda k: [i for i in range(len(docs)) if part[i] == k]
+    y = lambda k: np.array([truth[docs[i][0]] for i in at(k)], float)
+    raw = [odds(fits[0], text)[:, None], odds(fits[1], meta)[:, None]]
+    cals = [plain_logistic(z[at("c")], y("c"), 1e-2) for z in raw]
+    both = np.column_stack([odds(c, z) for c, z in zip(cals, raw, strict=True)])
+    mixed = plain_logistic(both[at("m")], y("m"), 1e-2)
+    return {d[0]: 1 / (1 + np.exp(-s)) for d, s in zip(docs, odds(mixed, both), strict=True)}
+
+
+def test_scores_are_those_of_plain_cotraining(spark):
+    rng = random.Random(4)
+    docs, labels = [], []
+    for i in range(500):
+        good = rng.random() < 0.6
+        words = rng.choices(EN if good or rng.random() < 0.3 else DE, k=12)
+        docs.append((i, " ".join(words), "en", f"s{rng.randrange(3) if good else rng.randrange(2, 5)}", rng.randrange(400)))
+        if i % 2:
+            labels.append((i, int(good), 0))
+    want = plain_cotraining(docs, labels)
+    df = frame(spark, docs)
+    got = {r.doc_id: r.score for r in quality.score(df, quality.fit(df, label_frame(spark, labels))).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in got) < 2e-3
+    assert np.std(list(want.values())) > 0.1
+
+
+def test_text_content_is_seen(spark):
+    # same shape and metadata: only the words tell the classes apart
+    rng = random.Random(8)
+    good, bad = ["alpha", "gamma", "delta", "omega"], ["prize", "money", "click", "lucky"]
+    docs = [(i, " ".join(rng.choices(good if i % 2 else bad, k=20)), "en", "s", 120) for i in range(400)]
+    df = frame(spark, docs)
+    got = {r.doc_id: r.kept for r in quality.score(df, quality.fit(df, label_frame(spark, [(i, i % 2, 0) for i in range(200)]))).collect()}
+    assert all(got[i] == bool(i % 2) for i in got)
+
+
+def test_a_hot_id_is_one_row_of_the_sample(spark):
+    docs, labels = graded(60)
+    df = frame(spark, docs + [(1, "the same row", "en", "s", 1)] * 3000 + [(None, "no id", "en", "s", 1)] * 3000)
+    model = quality.fit(df, label_frame(spark, labels), sample=100)
+    assert model is not None and quality.score(df, model).count() == 6060
+
+
 def test_quality_edges(spark):
     docs, labels = graded(60)
     df = frame(spark, docs + [(None, None, None, None, None), (500, "", None, None, None), (500, "", None, None, None), (501, "w" * 50_000, "en", "s", 1)])
     for rows in ([], [(1, 1, 0)], [(i, 1, 0) for i in range(40)]):
-        model = quality.fit(df, label_frame(spark, rows))
-        assert model is None and {r.score for r in quality.score(df, model).collect()} == {1.0}
+        with pytest.warns(UserWarning, match="both classes"):
+            model = quality.fit(df, label_frame(spark, rows))
+        with pytest.raises(ValueError):
+            quality.fit(df, label_frame(spark, rows), strict=True)
+        assert model is None and {(r.score, r.kept) for r in quality.score(df, model).collect()} == {(None, True)}
         assert quality.keep_good(df, model).count() == df.count()
+    assert quality.fit(df, label_frame(spark, [(0, 0, 0), (1, 1, 0)])) is not None
     model = quality.fit(df, label_frame(spark, labels))
     assert quality.score(df, model).count() == 64
     none = frame(spark, [])

@@ -1,14 +1,16 @@
 """Quality classifier by co-training.
 
-Two classifiers see different views of a document: one the shape of its text, one its
-page metadata (source, language, declared length). Over some rounds each gives the
-other the documents it is sure of as pseudo-labels. Their calibrated log odds are then
-combined, and every document is scored over its whole text.
+Two classifiers see different views of a document: one its text content (its words and
+pairs of words, hashed, beside numbers on its shape), one its page metadata (source,
+language, declared length). Over some rounds each gives the other the documents it is
+sure of as pseudo-labels. Their calibrated log odds are then combined, and every
+document is scored over its whole text.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 import zlib
 from dataclasses import dataclass
 
@@ -17,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.minhash import GOLD, mix, word_hashes
 from tidewire.operators.checkpoints import cut
 
-TEXT_FEATURES = 14
+SHAPE = 14
+WORD_BUCKETS = 512
 META_BUCKETS = 64
 SCALE = 1_000_000
 
@@ -29,7 +33,7 @@ for _c in range(256):
     _KIND[_c] = 7 if _c >= 128 else 1 if _ch.islower() else 2 if _ch.isupper() else 3 if _ch.isdigit() else 5 if _ch == "\n" else 4 if _ch.isspace() else 6 if _ch in ".,;:'\"?-()" else 0
 
 
-def text_view(text: str) -> np.ndarray:
+def shape_view(text: str) -> np.ndarray:
     """Numbers on the shape of one whole text."""
     raw = np.frombuffer(text.encode(), dtype=np.uint8)
     n = max(1, len(raw))
@@ -51,6 +55,24 @@ def text_view(text: str) -> np.ndarray:
     ])
 
 
+def content_view(text: str) -> np.ndarray:
+    """The words and pairs of neighbouring words of one whole text, by hash bucket, as a vector of length one."""
+    words = word_hashes(text)
+    pairs = mix(words[1:] * GOLD + words[:-1]) if len(words) > 1 else words[:0]
+    n = np.bincount((np.concatenate([mix(words), pairs]) % np.uint64(WORD_BUCKETS)).astype(np.int64), minlength=WORD_BUCKETS)
+    x = np.log1p(n.astype(np.float32))
+    size = np.sqrt(x @ x)
+    return x / size if size else x
+
+
+def text_view(texts: list[str]) -> np.ndarray:
+    """(texts, features): the text view, whose size doesn't depend on the texts."""
+    out = np.zeros((len(texts), SHAPE + WORD_BUCKETS), np.float32)
+    for i, t in enumerate(texts):
+        out[i, :SHAPE], out[i, SHAPE:] = shape_view(t), content_view(t)
+    return out
+
+
 def meta_view(source: str | None, lang: str | None, n_chars: int | None) -> list[int]:
     """Places that are 1 in the metadata view: source, language and length buckets."""
     bucket = lambda kind, value: zlib.crc32(f"{kind}:{value}".encode()) % META_BUCKETS
@@ -62,25 +84,48 @@ def _sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last weight is the intercept."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25, start: np.ndarray | None = None) -> np.ndarray:
+    """Ridge logistic regression; the last weight is the intercept.
+
+    Newton steps, each solved by conjugate gradients, so that no matrix of features by
+    features is made; a step that raises the loss is halved.
+    """
+    penalty = np.full(x.shape[1] + 1, ridge)
     penalty[-1] = 1e-3
+    times = lambda w: (x @ w[:-1].astype(x.dtype)).astype(np.float64) + w[-1]
+    back = lambda r: np.append((r.astype(x.dtype) @ x).astype(np.float64), r.sum())
+    loss = lambda w, z: np.logaddexp(0.0, np.where(y > 0, -z, z)).sum() + 0.5 * (penalty * w) @ w
+    w = np.zeros(x.shape[1] + 1) if start is None else start.copy()
+    z = times(w)
+    now = loss(w, z)
     for _ in range(steps):
-        p = _sigmoid(x @ w)
-        slope = x.T @ (p - y) + penalty * w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(curve, slope)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+        p = _sigmoid(z)
+        slope, curve = back(p - y) + penalty * w, np.maximum(p * (1 - p), 1e-9)
+        step, r = np.zeros_like(w), slope.copy()
+        d, size = r.copy(), r @ r
+        goal = 1e-8 * size
+        for _ in range(60):
+            if size <= goal or not size:
+                break
+            hd = back(curve * times(d)) + penalty * d
+            a = size / (d @ hd)
+            step, r = step + a * d, r - a * hd
+            size, before = r @ r, size
+            d = r + size / before * d
+        for _ in range(30):
+            z = times(w - step)
+            then = loss(w - step, z)
+            if then <= now:
+                break
+            step = step / 2
+        gain, now, w = now - then, min(now, then), w - step
+        if gain <= 1e-7 * (abs(now) + 1e-9) or np.abs(step).max() < 1e-6:
             break
     return w
 
 
 def _odds(w: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return x @ w[:-1] + w[-1]
+    return (x @ w[:-1].astype(x.dtype)).astype(np.float64) + w[-1]
 
 
 @dataclass
@@ -99,23 +144,35 @@ class CoTrained:
         return _sigmoid(_odds(self.mix, np.column_stack([a, b])))
 
 
-def cotrain(text_x: np.ndarray, meta_x: np.ndarray, y: np.ndarray, hold: np.ndarray, rounds: int = 4, sure: float = 0.97, each_round: int = 1000) -> CoTrained | None:
-    """y: 0, 1, or -1 for no label. hold: rows kept from training, for calibration.
+def dealt(y: np.ndarray) -> np.ndarray:
+    """A part for each row with a label, by turns within its class: 0 trains, 1 calibrates, 2 mixes; -1 has no label.
+
+    Three of five train. A class of one or two rows, too few to deal, is in all parts (3).
+    """
+    part = np.full(len(y), -1)
+    for label in (0, 1):
+        at = np.flatnonzero(y == label)
+        part[at] = np.array([0, 1, 2, 0, 0])[np.arange(len(at)) % 5] if len(at) > 2 else 3
+    return part
+
+
+def cotrain(text_x: np.ndarray, meta_x: np.ndarray, y: np.ndarray, part: np.ndarray, rounds: int = 4, sure: float = 0.97, each_round: int = 1000) -> CoTrained | None:
+    """y: 0, 1, or -1 for no label. part: see dealt(); each part calibrates or mixes rows it hasn't been fitted on.
 
     In a round each view gives the other at most ``each_round`` of the unlabelled rows
-    of either class that it is sure of. None if a class lacks labels on either side.
+    of either class that it is sure of. None if a class has no label.
     """
     known = y >= 0
-    train, test = known & ~hold, known & hold
-    if any(len(np.unique(y[m])) < 2 for m in (train, test)):
+    if len(np.unique(y[known])) < 2:
         return None
+    train, test, last = (known & ((part == p) | (part == 3)) for p in (0, 1, 2))
     ys = [np.where(train, y, -1), np.where(train, y, -1)]
     views = [text_x, meta_x]
     fits = [None, None]
     for r in range(rounds + 1):
         for v in (0, 1):
             use = ys[v] >= 0
-            fits[v] = logistic(views[v][use], ys[v][use].astype(float))
+            fits[v] = logistic(views[v][use], ys[v][use].astype(float), start=fits[v])
         if r == rounds:
             break
         for v in (0, 1):
@@ -125,14 +182,14 @@ def cotrain(text_x: np.ndarray, meta_x: np.ndarray, y: np.ndarray, hold: np.ndar
                 at = np.flatnonzero(free & (confident >= sure))
                 at = at[np.argsort(-confident[at], kind="stable")[:each_round]]
                 ys[1 - v][at] = label
-    truth = y[test].astype(float)
-    cals = [logistic(_odds(fits[v], views[v][test])[:, None], truth, ridge=1e-2) for v in (0, 1)]
-    both = np.column_stack([_odds(cals[v], _odds(fits[v], views[v][test])[:, None]) for v in (0, 1)])
-    return CoTrained(*fits, *cals, logistic(both, truth, ridge=1e-2))
+    odds = [_odds(fits[v], views[v]).astype(np.float64) for v in (0, 1)]
+    cals = [logistic(odds[v][test][:, None], y[test].astype(float), ridge=1e-2) for v in (0, 1)]
+    both = np.column_stack([_odds(cals[v], odds[v][last][:, None]) for v in (0, 1)])
+    return CoTrained(*fits, *cals, logistic(both, y[last].astype(float), ridge=1e-2))
 
 
 def _spread(places: list[list[int]]) -> np.ndarray:
-    x = np.zeros((len(places), 3 * META_BUCKETS))
+    x = np.zeros((len(places), 3 * META_BUCKETS), np.float32)
     for i, at in enumerate(places):
         x[i, at] = 1.0
     return x
@@ -145,86 +202,96 @@ def _picked(docs: DataFrame) -> DataFrame:
     return docs.select(col("doc_id", "long"), F.coalesce(F.col("text"), F.lit("")).alias("text"), col("source", "string"), col("lang", "string"), col("n_chars", "long"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 24_000, least: int = 2_000) -> CoTrained | None:
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 24_000, least: int = 2_000, strict: bool = False) -> CoTrained | None:
     """Fit on about ``sample`` documents (all, if fewer) drawn by a hash of the id.
 
-    Half of them have a label: those train and calibrate, a fifth of them by another
-    hash. However many documents have none, labelled ones are drawn at a rate of their
-    own, one for both classes, or a higher one for a class that would fall under
-    ``least``; the scores are set back by what that adds to the odds. The other half,
-    without a label, are the pool for pseudo-labels. Only features reach the driver. A
-    document with several labels takes their mean, rounded; null labels don't count.
+    Half of them have a label: those train, calibrate and mix, see dealt(). However many
+    documents have none, labelled ones are drawn at a rate of their own, one for both
+    classes, or a higher one for a class that would fall under ``least``; the scores are
+    set back by what that adds to the odds. The other half, without a label, are the
+    pool for pseudo-labels. Only features reach the driver, of one row for an id: of
+    repeated ids the first by text. A document with several labels takes their mean,
+    rounded; null labels and null ids don't count.
+
+    Where a class has no label there is nothing to learn: the result is None, with a
+    warning, or with ``strict`` a ValueError.
     """
-    known = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     known = cut(known.groupBy("doc_id").agg((F.round(F.avg("quality")) > 0).cast("int").alias("quality")))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
     counts = {r[0]: r[1] for r in ids.join(known, "doc_id", "left").groupBy("quality").count().collect()}
-    labelled = counts.get(0, 0) + counts.get(1, 0)
-    both = sample / 2 / max(1, labelled)
-    rates = {q: min(1.0, max(both, least / max(1, counts.get(q, 0)))) for q in (0, 1)}
+    if not counts.get(0) or not counts.get(1):
+        if counts and strict:
+            raise ValueError("documents of either class must have labels")
+        if counts:
+            warnings.warn("no documents with labels of both classes: quality is not scored", stacklevel=2)
+        return None
+    both = sample / 2 / (counts[0] + counts[1])
+    rates = {q: min(1.0, max(both, least / counts[q])) for q in (0, 1)}
     pool = min(1.0, sample / 2 / max(1, counts.get(None, 0)))
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(SCALE))
     upto = lambda rate: F.lit(math.ceil(SCALE * rate))
     # about half a sample of ids, so that no text is shuffled to meet its label
     picked = F.broadcast(known.where(place < F.when(F.col("quality") == 1, upto(rates[1])).otherwise(upto(rates[0]))))
-    rest = _picked(docs).where(place < upto(pool)).join(known.where(place < upto(pool)), "doc_id", "left_anti")
+    rest = _picked(docs).where(F.col("doc_id").isNotNull() & (place < upto(pool))).join(known.where(place < upto(pool)), "doc_id", "left_anti")
     rows = _picked(docs).join(picked, "doc_id").unionByName(rest.withColumn("quality", F.lit(None).cast("int")))
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "source", "lang", "n_chars", "quality")).alias("r")).select("doc_id", "r.*")
 
     def view(batches):
         for b in batches:
-            cols = b.to_pydict()
-            text = [text_view(t).tolist() for t in cols["text"]]
-            meta = [meta_view(*x) for x in zip(cols["source"], cols["lang"], cols["n_chars"], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(text, pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.int32())), b.column(b.schema.get_field_index("quality"))], names=["doc_id", "text", "meta", "quality"])
-
-    got = rows.mapInArrow(view, "doc_id long, text array<double>, meta array<int>, quality int").toArrow().sort_by("doc_id").to_pydict()
-    if not got["doc_id"]:
-        return None
-    y = np.array([-1 if q is None else int(q > 0) for q in got["quality"]])
-    hold = np.array([zlib.crc32(f"hold:{i}".encode()) % 5 == 0 for i in got["doc_id"]])
-    model = cotrain(np.array(got["text"]), _spread(got["meta"]), y, hold)
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                cols = part.select(["text", "source", "lang", "n_chars"]).to_pydict()
+                text = pa.FixedSizeListArray.from_arrays(text_view(cols["text"]).ravel(), SHAPE + WORD_BUCKETS).cast(pa.list_(pa.float32()))
+                meta = [meta_view(*x) for x in zip(cols["source"], cols["lang"], cols["n_chars"], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), text, pa.array(meta, pa.list_(pa.int32())), part.column("quality")], names=["doc_id", "text", "meta", "quality"])
+
+    got = rows.mapInArrow(view, "doc_id long, text array<float>, meta array<int>, quality int").toArrow().sort_by("doc_id")
+    text = np.asarray(got.column("text").combine_chunks().flatten()).reshape(got.num_rows, -1)
+    y = np.array([-1 if q is None else int(q > 0) for q in got.column("quality").to_pylist()])
+    model = cotrain(text, _spread(got.column("meta").to_pylist()), y, dealt(y))
     if model is not None:
         model.mix[-1] -= math.log(rates[1] / rates[0])
     return model
 
 
+def _scores(model: CoTrained, rows: pa.RecordBatch) -> np.ndarray:
+    """Of rows with text, source, lang and n_chars, some at a time."""
+    out = np.zeros(rows.num_rows)
+    for lo in range(0, rows.num_rows, 256):
+        cols = rows.slice(lo, 256).select(["text", "source", "lang", "n_chars"]).to_pydict()
+        text = text_view([t or "" for t in cols.pop("text")])
+        out[lo : lo + 256] = model.score(text, _spread([meta_view(*x) for x in zip(*cols.values(), strict=True)]))
+    return out
+
+
 def score(docs: DataFrame, model: CoTrained | None, *, threshold: float = 0.3) -> DataFrame:
     """One row per input row: doc_id, score (probability of good quality), kept.
 
     A document goes only where it is likelier bad by more than two to one, so that an
     odd but clean one stays.
 
-    Without a model (no labels of both classes) every score is 1. Null and empty texts
-    are scored like others; a null id stays null; repeated rows stay; missing metadata
-    columns count as null; other columns aren't carried.
+    Without a model (no labels of both classes) nothing is told: scores are null and all
+    rows are kept. Null and empty texts are scored like others, long ones over their
+    whole; a null id stays null; repeated rows stay; missing metadata columns count as
+    null; other columns aren't carried; an empty table gives no rows.
     """
 
     def run(batches):
         for b in batches:
-            texts, cols = b.column(1), b.select(["source", "lang", "n_chars"]).to_pydict()
-            if model is None or not len(texts):
-                scores = [1.0] * len(texts)
-            else:
-                text = np.array([text_view(t.as_py()) for t in texts])
-                meta = _spread([meta_view(*x) for x in zip(*cols.values(), strict=True)])
-                scores = model.score(text, meta)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            scores = pa.nulls(b.num_rows, pa.float64()) if model is None else pa.array(_scores(model, b), pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), scores], names=["doc_id", "score"])
 
-    return _picked(docs).mapInArrow(run, "doc_id long, score double").withColumn("kept", F.col("score") >= F.lit(threshold))
+    return _picked(docs).mapInArrow(run, "doc_id long, score double").withColumn("kept", F.coalesce(F.col("score") >= F.lit(threshold), F.lit(True)))
 
 
 def keep_good(docs: DataFrame, model: CoTrained | None, *, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, all columns, whose score reaches the threshold; see score()."""
+    """The rows of docs, all columns, that score() keeps; docs has source, lang and n_chars."""
     if model is None:
         return docs
 
     def run(batches):
         for b in batches:
-            rows = b.select(["text", "source", "lang", "n_chars"]).to_pydict()
-            if not rows["text"]:
-                continue
-            text = np.array([text_view(t or "") for t in rows.pop("text")])
-            kept = model.score(text, _spread([meta_view(*x) for x in zip(*rows.values(), strict=True)])) >= threshold
-            yield b.filter(pa.array(kept))
+            yield b.filter(pa.array(_scores(model, b) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -22,6 +22,8 @@ from tidewire.llm.topk import usable
 
 #: Rounding of a rotated product is far below this; such pairs are compared again.
 SLACK = 1e-9
+#: And that of one in single precision.
+ROUGH = 1e-4
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -45,11 +47,19 @@ def linked(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, ste
     cuts = list(range(step, d, step)) + [d]
     left_a, left_b = (np.sqrt(np.maximum(0.0, np.cumsum((r * r)[:, ::-1], axis=1)[:, ::-1])) for r in (ra, rb))
     suffix = lambda s, at: s[:, at] if at < d else np.zeros(len(s))
+    # the leading product of every pair is rough, in half the bytes; what may go on is computed in full
+    first = cuts[0]
+    rough_a, rough_b = ra[:, :first].astype(np.float32), rb[:, :first].astype(np.float32).T
+    rest_a, rest_b = (suffix(s, first).astype(np.float32) for s in (left_a, left_b))
     for lo in range(0, len(ra), rows):
         part = ra[lo : lo + rows]
-        dense, at = part[:, : cuts[0]] @ rb[:, : cuts[0]].T, 0
-        i, j = np.nonzero(dense + suffix(left_a, cuts[0])[lo : lo + rows, None] * suffix(left_b, cuts[0])[None] >= threshold - SLACK)
-        got = dense[i, j]
+        dense, at = rough_a[lo : lo + rows] @ rough_b, 0
+        dense += rest_a[lo : lo + rows, None] * rest_b[None]
+        i, j = np.nonzero(dense >= np.float32(threshold - ROUGH))
+        if len(i) > dense.size // 8:
+            got = (part[:, :first] @ rb[:, :first].T)[i, j]
+        else:
+            got = np.einsum("nd,nd->n", part[i, :first], rb[j, :first])
         while at + 1 < len(cuts) and len(i):
             s, at = cuts[at], at + 1
             e = cuts[at]

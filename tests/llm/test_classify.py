@@ -55,6 +55,24 @@ def test_expected_counts_add_up():
     assert got == pytest.approx({0: 2 * (b + c) / t, 1: 2 * a / t, 2: 2 * c / t, 3: 2 * (a + c) / t, 4: 2 * b / t})
 
 
+def test_letters_are_letters():
+    assert langid.words_of("½ ² ①Ⅷ 12 _a_ x²y Ǆ it's") == ["▁a", "▁x", "▁y", "▁ǆ", "▁it", "▁s"]
+
+
+def test_scripts_without_spaces_are_learned(spark, pieces):
+    rng = random.Random(3)
+    texts = [("".join(rng.choices("abcde" if k % 2 else "vwxyz", k=300)), "la" if k % 2 else "lz") for k in range(60)]
+    out = langid.identify(frame(spark, [(k, t, lang, "s", 1) for k, (t, lang) in enumerate(texts)] + [(99, "½ ² ①", "la", "s", 1)]), pieces).collect()
+    assert {r.doc_id: r.lang_pred for r in out} == {**{k: lang for k, (_, lang) in enumerate(texts)}, 99: "und"}
+    assert langid.expected_counts(langid.vocabulary(pieces), [1 / 9e4] * len(langid.vocabulary(pieces)), 1e-7, Counter(langid.learned_parts(["日" * 5000])))
+
+
+def test_too_many_languages(spark, pieces, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 3)
+    with pytest.raises(ValueError, match="languages"):
+        langid.identify(frame(spark, [(i, "some text", f"l{i}", "s", 1) for i in range(40)]), pieces)
+
+
 def test_long_words_do_not_underflow(pieces):
     names = langid.vocabulary(pieces)
     scorer = langid.Unigrams(names, np.full((len(names), 3), 1 / len(names)))

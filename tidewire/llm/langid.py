@@ -14,6 +14,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,10 @@ from tidewire.llm.common import keep_cache
 
 MARK = "▁"
 _WORD = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")  # a word may hold signs like ½ and ² too
 LONGEST = 256  #: a longer run of letters is scored in parts of this length
+PART = 32  #: and learned from in parts of this one
+MOST_LANGS = 512
 _VOCAB: dict[str, list[str]] = {}
 
 
@@ -39,8 +43,9 @@ def vocabulary(path: str) -> list[str]:
 def words_of(text: str) -> list[str]:
     """The marked words of a text, runs of over LONGEST letters in parts."""
     out = []
-    for w in _WORD.findall(text.lower()):
-        out += [MARK + w] if len(w) <= LONGEST else [MARK * (i == 0) + w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
+    for found in _WORD.findall(text.lower()):
+        for w in [found] if found.isalpha() else _LETTERS.findall(found):
+            out += [MARK + w] if len(w) <= LONGEST else [MARK * (i == 0) + w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
     return out
 
 
@@ -164,6 +169,11 @@ class Unigrams:
         return self.of(words).sum(axis=0)
 
 
+def learned_parts(words: list[str]) -> list[str]:
+    """Words in parts of at most PART characters, whose probabilities can't underflow."""
+    return [w[i : i + PART] for w in words for i in range(0, len(w), PART)]
+
+
 def expected_counts(pieces: list[str], probs: np.ndarray, unknown: float, words: Counter) -> dict[int, float]:
     """Expected uses of each piece in the words of one language, given its probabilities."""
     ids, reach, out = {p: i for i, p in enumerate(pieces)}, max(map(len, pieces), default=1), Counter()
@@ -200,7 +210,9 @@ def expected_counts(pieces: list[str], probs: np.ndarray, unknown: float, words:
 def _sample(docs: DataFrame, per_lang: int, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], DataFrame | None]:
     """The languages in order, and (lang, text) of about ``per_lang`` documents of each."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col).cast("string")).count().collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col).cast("string")).count().limit(MOST_LANGS + 1).collect()}
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages to learn: is {lang_col} a language?")
     langs = sorted(counts)
     if not langs:
         return langs, None
@@ -215,6 +227,8 @@ def fit(docs: DataFrame, model: str, *, per_lang: int = 400, rounds: int = 2, sm
     Fits on about ``per_lang`` documents of each language (all, if fewer), drawn by a
     hash of the id; that bounds what a round reads in and the driver gets, at most a
     count for each piece and language. Rows with a null text or language are left out.
+    Long words are learned in parts. More than MOST_LANGS languages raise a ValueError,
+    as the model, pieces by languages, goes to every task.
     """
     pieces = vocabulary(model)
     langs, sample = _sample(docs, per_lang, id_col, text_col, lang_col)
@@ -230,7 +244,7 @@ def fit(docs: DataFrame, model: str, *, per_lang: int = 400, rounds: int = 2, sm
             words: dict[str, Counter] = {}
             for b in batches:
                 for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    words.setdefault(lang, Counter()).update(w for w in words_of(text.as_py()) if len(w) <= 64)
+                    words.setdefault(lang, Counter()).update(learned_parts(words_of(text.as_py())))
             names = vocabulary(model)
             for lang, held in words.items():
                 found = expected_counts(names, now[:, at[lang]].tolist(), 1e-7, held)
@@ -354,8 +368,9 @@ def predict(docs: DataFrame, fitted, model: str, *, id_col: str = "doc_id", text
     ``und`` with score 0 where the text is null or has no letter, or nothing was
     learned. The score is the language's posterior with log odds divided by the square
     root of the number of words, so that it says something for long texts too. Equal
-    likelihoods go to the first language by name. Null ids and repeated rows are kept;
-    other columns aren't carried.
+    likelihoods go to the first language by name. Texts count whole, a long run of
+    letters in parts. Null ids and repeated rows are kept; other columns aren't carried;
+    an empty table gives no rows.
     """
     predicted = _predictor(fitted, model)
 

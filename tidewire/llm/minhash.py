@@ -17,6 +17,8 @@ forest of the links it finds.
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -82,8 +84,10 @@ def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
 
 def weighted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes -> distinct elements and their weights."""
-    at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-    return h[at], np.diff(np.r_[at, len(h)]).astype(np.float64)
+    if not len(h):
+        return h, np.zeros(0)
+    at = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
+    return h[at[:-1]], (at[1:] - at[:-1]).astype(np.float64)
 
 
 def unit_elements(words: np.ndarray, width: int = 5) -> np.ndarray:
@@ -98,63 +102,82 @@ def unit_elements(words: np.ndarray, width: int = 5) -> np.ndarray:
     return mix(h + occurrence.astype(np.uint64) * GOLD)
 
 
-#: Ranks are counted in this part of one, so that their sums are exact.
-_RANK = 2.0**40
+def _poisson_steps(mean: float) -> np.ndarray:
+    """Cumulative probabilities of a Poisson count of 0, 1, 2, ..."""
+    k = np.arange(int(mean + 12 * np.sqrt(mean) + 24))
+    logs = k * np.log(mean) - mean - np.cumsum(np.log(np.maximum(k, 1)))
+    return np.cumsum(np.exp(logs))
+
+
+#: Ranks, times the width of a strip, are cut into cells [0, 1/8), [1/8, 1/4), [1/4, 1/2), ... each up to twice the last.
+_CELLS = [(0.0, 0.125)] + [(2.0**e, 2.0**e) for e in range(-3, 14)]
+_STEPS = [_poisson_steps(width) for _, width in _CELLS]
 
 
 def signatures(elements: list[np.ndarray], weights: list[np.ndarray], k: int, finest: float = 1.0) -> np.ndarray:
     """(sets, k) DartMinHash values of sets with positive real weights; an empty set has zeros.
 
     An element's weights are cut into strips [0, f), [f, 2f), [2f, 4f), ... with f =
-    ``finest``. In a strip, darts fall in order of rank with exponential gaps, at
-    places spread evenly over its width, all by hashes of the element, the strip and
-    the dart's number; those at places under the element's weight hit it. Any two sets
-    so see the same darts. Weights far under ``finest`` cost darts that miss.
+    ``finest``, and a strip's ranks into cells of like area, in each of which a hash of
+    element, strip and cell says how many darts fall, and further hashes where; those at
+    places under the element's weight hit it. Any two sets so see the same darts. A set
+    goes through the cells up to a rank that its total weight sets, and on only while a
+    coordinate is free. Weights far under ``finest`` cost darts that miss.
     """
     sig = np.zeros(len(elements) * k, np.uint64)
-    best = np.full(len(elements) * k, np.iinfo(np.int64).max)
+    best = np.full(len(elements) * k, np.inf)
     owner = np.repeat(np.arange(len(elements)), [len(e) for e in elements])
     e = np.concatenate(elements) if elements else np.zeros(0, np.uint64)
     w = np.concatenate(weights) if elements else np.zeros(0)
     total = np.bincount(owner, weights=w, minlength=len(elements))
-    strips = []
-    low, width, nth, at = 0.0, finest, 1, np.arange(len(e))
+    with np.errstate(divide="ignore"):
+        goal = k * np.log(k) / total  # with so many hits expected, most coordinates have one
+    low, width, at, levels = 0.0, finest, np.arange(len(e)), []
     while at.size:
-        strips.append((mix(e[at] + np.uint64(nth * int(GOLD) % 2**64)), owner[at], np.full(at.size, low), np.full(at.size, width), w[at]))
-        low, width, nth = low + width, low + width, nth + 1
+        levels.append((mix(e[at] + np.uint64((len(levels) + 1) * int(_M2) % 2**64)), owner[at], low, width, w[at]))
+        low, width = low + width, low + width
         at = at[w[at] > low]
-    key, own, low, width, w = (np.concatenate(x) for x in zip(*strips, strict=True)) if strips else (np.zeros(0, np.uint64), np.zeros(0, np.int64), *[np.zeros(0)] * 3)
-    rank, thrown = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-    limit = np.zeros(len(elements))
-    open_, more = total > 0, k * (np.log(k) + 1)
+
+    def throw(level, c: int, on: np.ndarray):
+        """The darts of a cell of the strips of sets that are on."""
+        key, own, low, width, weight = level
+        at = np.arange(len(own)) if on.all() else np.flatnonzero(on[own])
+        seed = mix(key[at] + np.uint64((c + 1) * int(GOLD) % 2**64))
+        u = (seed >> np.uint64(11)) * 2.0**-53
+        some = np.flatnonzero(u >= _STEPS[c][0])
+        at, seed, n = at[some], seed[some], np.searchsorted(_STEPS[c], u[some], side="right")
+        here = np.repeat(np.arange(len(at)), n)
+        nth = np.arange(len(here)) - np.repeat(np.cumsum(n) - n, n)
+        dart = mix(mix(seed[here] ^ _M1) + (nth + 1).astype(np.uint64) * GOLD)
+        rank = (_CELLS[c][0] + _CELLS[c][1] * ((dart >> np.uint64(11)) * 2.0**-53)) / width
+        here = at[here]
+        part = weight[here] < low + width
+        if part.any():
+            part = np.flatnonzero(part)
+            place = low + width * ((mix(dart[part] ^ _M2) >> np.uint64(11)) * 2.0**-53)
+            hit = np.ones(len(dart), bool)
+            hit[part] = place < weight[here[part]]
+            dart, rank, here = dart[hit], rank[hit], here[hit]
+        place = own[here] * k + (mix(dart ^ GOLD) % np.uint64(k)).astype(np.int64)
+        np.minimum.at(best, place, rank)
+        first = np.flatnonzero(rank == best[place])
+        sig[place[first]] = dart[first]
+
+    open_ = total > 0
+    done = np.zeros((len(levels), len(elements)), int)  # cells gone through
+    ends = np.array([low + width for low, width in _CELLS])
     while open_.any():
-        # expected hits from here on: enough at first to fill nearly all, then some more where a place is free
-        limit[open_] += more / total[open_]
-        more = 2.0 * k
-        until = np.minimum(limit * _RANK, 2.0**62).astype(np.int64)
-        going = np.flatnonzero(open_[own] & (rank <= until[own]))
-        while going.size:
-            n = np.minimum(((until[own[going]] - rank[going]) * (width[going] / _RANK) * 1.1).astype(np.int64) + 1, 1 << 14)
-            here = np.repeat(going, n)
-            start = np.repeat(np.cumsum(n) - n, n)
-            number = thrown[here] + np.arange(len(here)) - start + 1
-            dart = mix(mix(key[here] ^ _M1) + number.astype(np.uint64) * GOLD)
-            u = ((dart >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-            gap = np.minimum(-np.log(u) / width[here] * _RANK, 2.0**50).astype(np.int64) + 1
-            upto = np.cumsum(gap)  # wraps, and so do the differences
-            at_rank = rank[here] + upto - np.r_[0, upto][start]
-            last = np.cumsum(n) - 1
-            rank[going], thrown[going] = at_rank[last], thrown[going] + n
-            place = low[here] + width[here] * ((mix(dart ^ _M2) >> np.uint64(11)) * 2.0**-53)
-            hit = np.flatnonzero(place < w[here])
-            dart, at_rank = dart[hit], at_rank[hit]
-            place = own[here[hit]] * k + (mix(dart ^ GOLD) % np.uint64(k)).astype(np.int64)
-            better = at_rank < best[place]
-            dart, at_rank, place = dart[better], at_rank[better], place[better]
-            late = np.argsort(-at_rank, kind="stable")  # the earliest dart is written last
-            sig[place[late]], best[place[late]] = dart[late], at_rank[late]
-            going = going[rank[going] <= until[own[going]]]
-        open_ = open_ & (best.reshape(-1, k) > until[:, None]).any(axis=1)
+        covered = np.full(len(elements), np.inf)
+        for i, level in enumerate(levels):
+            until = np.minimum(np.searchsorted(ends, goal * level[3], side="left") + 1, len(_CELLS))
+            for c in range(done[i][open_].min(), until[open_].max()):
+                on = open_ & (done[i] <= c) & (c < until)
+                if on.any():
+                    throw(level, c, on)
+                    done[i][on] = c + 1
+            covered = np.minimum(covered, np.where(done[i] > 0, ends[done[i] - 1] / level[3], 0.0))
+        open_ = open_ & (best.reshape(-1, k) > covered[:, None]).any(axis=1) & (done < len(_CELLS)).all(axis=0)
+        goal = np.where(open_, covered * 1.001, goal)
     return sig.reshape(len(elements), k)
 
 
@@ -201,25 +224,35 @@ def _sketch(width: int, bands: int, rows: int):
     return run
 
 
-def _elements(width: int):
-    """(rep, text) -> (rep, n, e): the sorted unit elements of a class."""
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if both else 0.0
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
+    """The pairs (a, b) of classes whose similarity reaches the threshold.
+
+    Texts travel, as they pack far better than hashes do; a task keeps the elements of
+    the last classes it has seen, and the pairs of a class come together.
+    """
 
     def run(batches):
-        for b in batches:
-            sets = [np.sort(unit_elements(word_hashes(t.as_py()), width)).view(np.int64) for t in b.column(1)]
-            for lo in range(0, len(sets), 256):
-                part = sets[lo : lo + 256]
-                flat = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(x) for x in part])].astype(np.int32), np.concatenate(part))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(part)), pa.array([len(x) for x in part], pa.int64()), flat], names=["rep", "n", "e"])
+        held: OrderedDict[int, np.ndarray] = OrderedDict()
 
-    return run
+        def elements(rep: int, text) -> np.ndarray:
+            if rep not in held:
+                held[rep] = np.sort(unit_elements(word_hashes(text.as_py()), width))
+                while len(held) > 64:
+                    held.popitem(last=False)
+            return held[rep]
 
+        for b in batches:
+            a_ids, b_ids = b.column(0).to_pylist(), b.column(1).to_pylist()
+            on = [similarity(elements(x, b.column(2)[i]), elements(y, b.column(3)[i])) >= threshold for i, (x, y) in enumerate(zip(a_ids, b_ids, strict=True))]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(on, pa.bool_())), b.column(1).filter(pa.array(on, pa.bool_()))], names=["a", "b"])
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of classes whose similarity reaches the threshold."""
-    side = lambda p: sets.select(F.col("rep").alias(p), F.col("n").alias(f"n_{p}"), F.col("e").alias(f"e_{p}"))
-    met = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("both", F.size(F.array_intersect("e_a", "e_b")))
-    return met.where(F.col("both") >= F.lit(threshold) * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+    side = lambda p: texts.select(F.col("rep").alias(p), F.col("text").alias(f"text_{p}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def shared_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -244,7 +277,7 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096)
     return out
 
 
-def _block_links(rest: DataFrame, info: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
+def _block_links(rest: DataFrame, info: DataFrame, texts: DataFrame, threshold: float, width: int, block: int) -> DataFrame:
     """(band, rep, group) -> links (a, b) between different components of a band's group.
 
     info: band, group, own (members of the component there) and total (of the band). A
@@ -260,13 +293,11 @@ def _block_links(rest: DataFrame, info: DataFrame, sets: DataFrame, threshold: f
     sides = met.select("band", "s", "t", F.explode(F.when(F.col("s") == F.col("t"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
     sides = sides.select("band", F.when(F.col("side") == 0, F.col("s")).otherwise(F.col("t")).alias("block"), F.xxhash64("band", "s", "t").alias("pair"), "side")
     placed = rest.join(info, ["band", "group"]).select("band", "rep", "group", named(F.when(large, dealt("rep", "own", "rep")).otherwise(dealt("group", "total", "group"))).alias("block"))
-    rows = placed.join(sides, ["band", "block"]).select("pair", "side", "rep", "group").join(sets.select("rep", "e"), "rep")
+    rows = placed.join(sides, ["band", "block"]).select("pair", "side", "rep", "group").join(texts, "rep")
 
     def compare(t: pa.Table) -> pa.Table:
         side, rep, group = (np.asarray(t.column(n)) for n in ("side", "rep", "group"))
-        e = t.column("e").combine_chunks()
-        flat, at = np.asarray(e.flatten()).view(np.uint64), np.r_[0, np.cumsum(np.asarray(e.value_lengths()))]
-        own = [flat[at[i] : at[i + 1]] for i in range(len(rep))]
+        own = [unit_elements(word_hashes(x.as_py()), width) for x in t.column("text")]
         one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         two = two if len(two) else one
         edges = ([], [])
@@ -326,8 +357,7 @@ def near_documents(
     shared = cut(entries.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("rep"), "rep", "n")).alias("lead")).where("size > 1").select("band", "size", F.col("lead.rep").alias("other"), F.col("lead.n").alias("other_n")))
     entries = cut(entries.join(shared, "band"))
     involved = classes.join(entries.select("rep").distinct(), "rep", "left_semi").select("lead.doc_id", "lead.hash", "rep")
-    texts = rows_in.join(involved, ["doc_id", "hash"]).select("rep", "text").dropDuplicates(["rep"])
-    sets = cut(texts.mapInArrow(_elements(width), "rep long, n long, e array<long>"))
+    texts = cut(rows_in.join(involved, ["doc_id", "hash"]).select("rep", "text").dropDuplicates(["rep"]))
 
     def proposed(met: DataFrame) -> DataFrame:
         """Distinct pairs of those met whose sizes allow the threshold."""
@@ -335,7 +365,7 @@ def near_documents(
         return met.where((F.col("rep") != F.col("other")) & fit).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
     first = cut(proposed(entries))
-    links = cut(_verified(first, sets, threshold))
+    links = cut(_verified(first, texts, threshold, width))
     grouped = cut(entries.select("band", "rep", "n", "size").join(components(links).withColumnRenamed("id", "rep"), "rep", "left").withColumn("group", F.coalesce("component", "rep")).drop("component"))
     own = grouped.groupBy("band", "group").agg(F.count(F.lit(1)).alias("own"))
     totals = own.groupBy("band").agg(F.sum("own").alias("total"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("band", "total")
@@ -344,7 +374,7 @@ def near_documents(
     few = rest.where(F.col("size") <= small)
     other = few.select("band", F.col("rep").alias("other"), F.col("n").alias("other_n"), F.col("group").alias("other_group"))
     last = proposed(few.join(other, "band").where("rep < other and group <> other_group")).join(first, ["a", "b"], "left_anti")
-    more = _verified(last, sets, threshold).unionAll(_block_links(rest.where(F.col("size") > small).select("band", "rep", "group"), info.where(F.col("total") > small), sets, threshold, block))
+    more = _verified(last, texts, threshold, width).unionAll(_block_links(rest.where(F.col("size") > small).select("band", "rep", "group"), info.where(F.col("total") > small), texts, threshold, width, block))
     joined = components(links.unionAll(more)).withColumnRenamed("id", "rep")
     placed = classes.select("key", "rep", "lead").join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     heads = placed.groupBy("component").agg(F.min("lead").alias("head"))

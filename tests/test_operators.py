@@ -202,9 +202,29 @@ def test_snapshots_count_when_complete(spark, tmp_path):
     os.remove(os.path.join(path, "v=2", "_SUCCESS"))
     assert state.read_snapshot(spark, path, schema).collect() == [(1, "a", None)]
     bad = spark.createDataFrame([(1,)], "why long")
+    two, manifest = str(tmp_path / "t"), str(tmp_path / "m")
     with pytest.raises(ValueError):
-        state.commit_all({path: base}, [bad])
-    assert state.commit_all({path: base}, [bad.limit(0)]) == {path: 2}
+        state.commit_all({path: base, two: base}, [bad], manifest)
+    broken = base.withColumn("v", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        state.commit_all({path: base, two: broken}, [bad.limit(0)], manifest)  # the first table is written, none is named
+    assert state.read_committed(spark, path, schema, manifest).count() == state.read_committed(spark, two, schema, manifest).count() == 0
+    assert state.commit_all({path: base, two: base}, [bad.limit(0)], manifest) == 1
+    with pytest.raises(Exception, match="lost"):
+        state.commit_all({path: base.limit(0), two: broken}, [], manifest)
+    assert state.read_committed(spark, path, schema, manifest).collect() == state.read_committed(spark, two, schema, manifest).collect() == [(1, "a", None)]
+    assert state.commit_all({path: base.limit(0)}, [], manifest) == 2
+    assert state.read_committed(spark, path, schema, manifest).count() == 0 and state.read_committed(spark, two, schema, manifest).count() == 1
+
+
+def test_a_cluster_names_its_checkpoint_folder(spark):
+    from types import SimpleNamespace
+
+    from tidewire.operators import checkpoints
+
+    bare = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: {}, master="spark://x:7077")
+    with pytest.raises(ValueError, match="checkpoint"):
+        checkpoints.cut(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=bare)))
 
 
 def test_cache_and_journal(spark, tmp_path):
@@ -212,6 +232,8 @@ def test_cache_and_journal(spark, tmp_path):
     cache = spark.createDataFrame(rows, "bucket string, key string, cached_at string, expires_at string, value string").withColumns({c: F.col(c).cast("timestamp") for c in ("cached_at", "expires_at")})
     assert {r.key for r in state.prune_cache(cache, {"b": 3}).collect()} == {"k5", "k6", "k7"}
     assert state.prune_cache(cache, {"z": 3}).count() == 8
+    unnamed = cache.limit(2).withColumn("bucket", F.lit(None).cast("string"))
+    assert state.prune_cache(cache.unionByName(unnamed), {"b": 3}).count() == 5
     keys = spark.createDataFrame([("b", "k0"), ("b", "k1"), ("b", "nope")], "bucket string, key string")
     assert {r.key: (r.outcome, r.value) for r in state.get_live(cache, keys, "2026-01-09").collect()} == {"k0": ("hit", "v0"), "k1": ("expired", None), "nope": ("miss", None)}
     path = str(tmp_path / "j")
@@ -229,6 +251,8 @@ def test_feeds(spark, tmp_path):
     assert (row.title, row.link, row.body, row.domain, row.image_url) == ("A & B", "https://x.org/n/1", "short", "x.org", "https://x.org/i.jpg")
     assert row.article_id.startswith("rss-") and str(row.published) == "2026-01-05 10:00:00"
     assert [r.missing for r in feeds.rejects(e).collect()] == ["link"]
+    (tmp_path / "c.xml").write_text(good.replace("short", "long " * (feeds.FEED_BYTES // 5 + 1)))
+    assert feeds.read_feeds(spark, str(tmp_path)).count() == 2
 
 
 def test_scorer_answers_are_checked(spark):
@@ -268,3 +292,19 @@ def test_streams(spark, tmp_path):
     q = stories.counts(stream()).writeStream.format("memory").queryName("days").outputMode("append").option("checkpointLocation", str(tmp_path / "e")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {str(r.start)[:10]: r.n for r in spark.table("days").collect()}["2026-01-01"] == 3
+
+
+def test_a_batch_that_failed_midway_keeps_its_stories(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "stories")
+    batch = spark.createDataFrame([(1, "k1", "Storm hits the coast", "https://x.org/a/1")], "article_id long, event_key string, headline string, url string")
+    whole = state.write_snapshot
+    monkeypatch.setattr(state, "write_snapshot", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        stories.resolve_into(out)(batch, 0)
+    monkeypatch.setattr(state, "write_snapshot", whole)
+    for _ in range(2):
+        stories.resolve_into(out)(batch, 0)
+    later = batch.withColumn("article_id", F.lit(2).cast("long"))
+    stories.resolve_into(out)(later, 1)
+    got = {r.article_id: r.story_id for r in spark.read.parquet(f"{out}/resolved").collect()}
+    assert got[1] == got[2] and state.read_snapshot(spark, f"{out}/stories", stories.STORIES).count() == 1

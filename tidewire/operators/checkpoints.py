@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; only where that is unset,
-    as in local tests, is a temporary folder taken.
+    The cluster names the folder in ``spark.checkpoint.dir``. Only a local session may
+    leave it unset, as in tests, and gets a temporary folder: executors elsewhere
+    wouldn't see it, so there it is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidewire-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidewire-checkpoint-"))
     return df.checkpoint()

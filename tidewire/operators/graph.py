@@ -31,19 +31,24 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def flatten_aliases(aliases: DataFrame, active: DataFrame, most: int = 40) -> DataFrame:
+def flatten_aliases(aliases: DataFrame, active: DataFrame) -> DataFrame:
     """(alias, target) chains -> (alias, target) with active terminal targets.
 
-    Chains are halved in each round. Cycles, self-links, aliases that are active
-    themselves and targets that aren't active are left out.
+    An alias has one target: of several, the smallest. Chains are halved in each round,
+    so after as many rounds as the logarithm of their number what still moves is, or
+    leads into, a cycle. Cycles, self-links, aliases that are active themselves and
+    targets that aren't active are left out.
     """
-    now = cut(aliases.where("alias <> target").select("alias", "target"))
-    for _ in range(most):
+    now = cut(aliases.where("alias <> target").groupBy("alias").agg(F.min("target").alias("target")))
+    rounds = max(1, now.count()).bit_length() + 1
+    for _ in range(rounds):
         step = now.select(F.col("alias").alias("target"), F.col("target").alias("further"))
         joined = now.join(step, "target", "left").select("alias", F.coalesce("further", "target").alias("target"), F.col("further").isNotNull().alias("moved"))
         now = cut(joined.where("alias <> target"))
         if now.where("moved").isEmpty():
             break
+    else:
+        now = now.where("not moved")
     on = active.select(F.col("id").alias("target"))
     return now.select("alias", "target").join(on, "target", "left_semi").join(active.select(F.col("id").alias("alias")), "alias", "left_anti").select("alias", "target")
 

@@ -135,7 +135,8 @@ def repair(stories: DataFrame, aliases: DataFrame, most: int = 16) -> tuple[Data
     stories: story_id long, titles and urls arrays, custom and priority ints. Each round
     joins stories on shared keys, takes components, unites arrays and keeps the primary:
     most custom, then highest priority, then lowest id. Merged ids become aliases.
-    A repaired registry comes back unchanged.
+    A repaired registry comes back unchanged; one that ``most`` rounds don't settle is an
+    error, as nothing may be published from it.
     """
     now, renamed = cut(stories), cut(aliases.select("alias", "target"))
     for _ in range(most):
@@ -154,6 +155,8 @@ def repair(stories: DataFrame, aliases: DataFrame, most: int = 16) -> tuple[Data
         gone = placed.select("root", F.col("story_id").alias("alias")).join(merged.select("root", F.col("story_id").alias("target")), "root").where("alias <> target").select("alias", "target")
         renamed = cut(renamed.unionAll(gone).distinct())
         now = merged.select("story_id", "titles", "urls", "custom", "priority")
+    else:
+        raise ValueError(f"the registry did not settle in {most} rounds")
     return now, graph.flatten_aliases(renamed, now.select(F.col("story_id").alias("id")))
 
 

@@ -77,5 +77,4 @@ def health(stories: DataFrame) -> DataFrame:
     keys = stories.select("story_id", F.explode("event_keys").alias("k"))
     shared = keys.groupBy("k").agg(F.countDistinct("story_id").alias("n")).agg(F.count_if(F.col("n") > 1).alias("shared_keys"))
     own = stories.agg(F.count(F.lit(1)).alias("stories"), F.count_if(F.size("titles") == 0).alias("untitled"), F.sum(F.size("event_keys") - F.size(supported_keys(F.col("event_keys"), F.col("titles")))).alias("unsupported_keys"))
-    # one row each
-    return own.join(F.broadcast(shared), F.lit(True)).withColumn("status", F.when((F.col("untitled") + F.col("unsupported_keys") + F.col("shared_keys")) == 0, "clean").otherwise("blocked"))
+    return own.withColumn("shared_keys", shared.scalar()).withColumn("status", F.when((F.col("untitled") + F.col("unsupported_keys") + F.col("shared_keys")) == 0, "clean").otherwise("blocked"))

@@ -23,11 +23,12 @@ FEED_BYTES = 4_000_000
 def read_feeds(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
     """Entries of all feed documents under a path, with the file and a place in order.
 
-    Documents that can't be parsed give no entries; missing elements are null.
+    Documents that can't be parsed or have over FEED_BYTES give no entries; missing
+    elements are null.
     """
     raw = spark.read.format("xml").schema(ENTRY).option("rowTag", row_tag).option("mode", "DROPMALFORMED").load(path)
     at = F.col("_metadata.file_path")
-    return raw.select("*", at.alias("feed"), F.monotonically_increasing_id().alias("pos"))
+    return raw.where(F.col("_metadata.file_size") <= FEED_BYTES).select("*", at.alias("feed"), F.monotonically_increasing_id().alias("pos"))
 
 
 def body(content: Column, summary: Column) -> Column:

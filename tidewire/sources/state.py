@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tidewire.functions import fixed
 from tidewire.operators.ordered import first_by
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions of a snapshot, in order."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -25,20 +25,25 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(p.getName()[2:]) for p in done if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
-def write_snapshot(df: DataFrame, path: str) -> int:
-    """Write the next version; it counts once its success marker is there."""
-    found = _versions(df.sparkSession, path)
-    version = (found[-1] if found else 0) + 1
+def write_snapshot(df: DataFrame, path: str, version: int | None = None) -> int:
+    """Write the next version, or the one given; it counts once its success marker is there."""
+    if version is None:
+        found = versions(df.sparkSession, path)
+        version = (found[-1] if found else 0) + 1
     df.write.mode("overwrite").parquet(f"{path}/v={version}")
     return version
 
 
 def read_snapshot(spark: SparkSession, path: str, schema, version: int | None = None) -> DataFrame:
     """The newest complete version, or an empty table; columns it lacks come as null."""
-    found = _versions(spark, path)
+    found = versions(spark, path)
     if not found or (version is not None and version not in found):
         return spark.createDataFrame([], schema)
-    df = spark.read.parquet(f"{path}/v={version or found[-1]}")
+    return _shaped(spark, f"{path}/v={version or found[-1]}", schema)
+
+
+def _shaped(spark: SparkSession, folder: str, schema) -> DataFrame:
+    df = spark.read.parquet(folder)
     fields = schema.fields if hasattr(schema, "fields") else spark.createDataFrame([], schema).schema.fields
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
 
@@ -54,7 +59,7 @@ def prune_cache(cache: DataFrame, limits: dict[str, int] | None = None) -> DataF
     most = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))])
     kept = first_by(cache, ["bucket"], [F.desc("cached_at"), F.asc("key")], max(limits.values()), rank="__r")
     limited = kept.where(F.col("__r") <= F.element_at(most, F.col("bucket"))).drop("__r")
-    return limited.unionByName(cache.where(~F.col("bucket").isin(*limits)))
+    return limited.unionByName(cache.where(~F.coalesce(F.col("bucket").isin(*limits), F.lit(False))))
 
 
 def get_live(cache: DataFrame, keys: DataFrame, reference) -> DataFrame:
@@ -80,18 +85,31 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).limit(0).count()
-    except AnalysisException:
-        return False
-    return True
+MANIFEST = "path string, number int"
+
 
+def commit_all(updates: dict[str, DataFrame], checks: list[DataFrame], manifest: str) -> int:
+    """Publish all tables or none; returns the number of the commit.
 
-def commit_all(updates: dict[str, DataFrame], checks: list[DataFrame]) -> dict[str, int]:
-    """Write all tables or none: every check must be empty before the first write."""
+    Every check must be empty. The tables are then written to folders that nothing
+    names, and one manifest, itself a snapshot, names them all at once: a failure before
+    that leaves readers with the last commit, and the next try writes over what is left.
+    """
     for c in checks:
         bad = c.limit(1).collect()
         if bad:
             raise ValueError(f"nothing was written: {bad[0].asDict()}")
-    return {path: write_snapshot(df, path) for path, df in updates.items()}
+    spark = next(iter(updates.values())).sparkSession
+    found = versions(spark, manifest)
+    number = (found[-1] if found else 0) + 1
+    named = {r.path: r.number for r in read_snapshot(spark, manifest, MANIFEST).collect()}
+    for path, df in updates.items():
+        df.write.mode("overwrite").parquet(f"{path}/c={number}")
+        named[path] = number
+    return write_snapshot(spark.createDataFrame(sorted(named.items()), MANIFEST).coalesce(1), manifest, number)
+
+
+def read_committed(spark: SparkSession, path: str, schema, manifest: str) -> DataFrame:
+    """A table as the last commit left it, or an empty one; columns it lacks come as null."""
+    numbers = [r.number for r in read_snapshot(spark, manifest, MANIFEST).where(F.col("path") == path).collect()]
+    return _shaped(spark, f"{path}/c={numbers[0]}", schema) if numbers else spark.createDataFrame([], schema)

@@ -38,15 +38,19 @@ def resolve_into(path: str):
     """A foreachBatch function: resolve a batch against the last snapshot, then write the next.
 
     Within a batch, articles that share an event key without a story found the same new
-    one. A batch is known by its number, so one that runs again changes nothing.
+    one. The snapshot bears the batch's number, and is what makes the batch done: one
+    that failed midway runs again over the snapshot before it and writes the same, one
+    that is done changes nothing.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         done = f"{path}/resolved/batch={number}"
-        if state.exists(spark, done):
+        versions = state.versions(spark, f"{path}/stories")
+        if number + 1 in versions:
             return
-        stories = state.read_snapshot(spark, f"{path}/stories", STORIES)
+        before = [v for v in versions if v <= number]
+        stories = state.read_snapshot(spark, f"{path}/stories", STORIES, before[-1] if before else 0)
         arrived = keys(batch).dropDuplicates(["article_id"])
         found = identity.cascade(arrived, stories).join(arrived, "article_id")
         group = F.coalesce(F.when(F.col("event_key") != "", F.col("event_key")), F.concat(F.lit("#"), F.col("article_id").cast("string")))
@@ -58,7 +62,7 @@ def resolve_into(path: str):
         out = found.where("story_id is not null").select(*new.columns).unionByName(new)
         out.write.mode("overwrite").parquet(done)
         written = spark.read.schema(RESOLVED).parquet(done)
-        state.write_snapshot(stories.unionByName(written.select("story_id", "event_key", "title_key", "url")).distinct(), f"{path}/stories")
+        state.write_snapshot(stories.unionByName(written.select("story_id", "event_key", "title_key", "url")).distinct(), f"{path}/stories", number + 1)
 
     return run
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import fixed, text
 from tidewire.operators import graph
 from tidewire.operators.checkpoints import cut
 from tidewire.operators.ordered import first_by
+from tidewire.operators.pairs import meet, ranked
 
 
 def event_family(title: Column) -> Column:
@@ -32,20 +33,64 @@ def story_category(c: Column) -> Column:
     return out.otherwise("general")
 
 
+def _timeline_rows(entries: DataFrame) -> DataFrame:
+    return entries.select("story_id", "entry_id", "event_key", text.headline_key(F.col("title")).alias("key"), text.timeline_tokens(F.col("title")).alias("tokens"), event_family(F.col("title")).alias("family"))
+
+
+def close_entries(rows: DataFrame) -> DataFrame:
+    """Pairs of entries of a story whose titles share a token: story_id, a, b (a < b), continues, spared.
+
+    continues: they share enough to be one event. spared: their families are known and
+    differ, but they share too much to conflict.
+    """
+    sets = ranked(rows.select(F.struct("story_id", "entry_id").alias("id"), "tokens"), 1).join(rows.select(F.struct("story_id", "entry_id").alias("id"), "family"), "id").withColumn("story_id", F.col("id.story_id"))
+    met = meet(sets, sets, ["story_id"], F.col("l_id.entry_id") < F.col("r_id.entry_id"))
+    shared, share = F.size(F.array_intersect("l_tokens", "r_tokens")), text.overlap(F.col("l_tokens"), F.col("r_tokens"))
+    other = (F.col("l_family") != "unknown") & (F.col("r_family") != "unknown") & (F.col("l_family") != F.col("r_family"))
+    return met.select("story_id", F.col("l_id.entry_id").alias("a"), F.col("r_id.entry_id").alias("b"), (((shared >= 2) & (share >= 0.30)) | (share >= 0.50)).alias("continues"), (other & ((share >= 0.20) | (shared >= 2))).alias("spared"))
+
+
 def timeline_pairs(entries: DataFrame) -> DataFrame:
     """(story_id, entry_id, title, event_key) -> later entries with continuity and conflict against all earlier ones.
 
-    Titles continue when equal, or by token overlap; families conflict when both are
-    known, differ and share next to nothing. Pairs form within a story only.
+    An entry continues one of its event key, of its title, or whose title shares enough
+    tokens. It conflicts with one of another known family whose title shares next to
+    nothing. Only entries that share a token meet; keys and titles go by their first
+    entry, and conflicts by counting the earlier entries of other families, less those
+    that share too much.
+    """
+    t = _timeline_rows(entries)
+    close = close_entries(t).groupBy("story_id", F.col("b").alias("entry_id")).agg(F.max("continues").alias("near"), F.count_if("spared").alias("spared"))
+    before = Window.partitionBy("story_id").orderBy("entry_id").rowsBetween(Window.unboundedPreceding, -1)
+    kin = Window.partitionBy("story_id", "family").orderBy("entry_id").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.col("family") != "unknown"
+    out = t.withColumns({"others": F.count_if(known).over(before), "earlier": F.count(F.lit(1)).over(before)}).withColumn("others", F.when(known, F.col("others") - F.count(F.lit(1)).over(kin)).otherwise(0))
+    for c in ("event_key", "key"):
+        out = out.withColumn(f"first_{c}", F.min("entry_id").over(Window.partitionBy("story_id", c)))
+    out = out.where("earlier > 0").join(close, ["story_id", "entry_id"], "left")
+    same = (F.col("first_event_key") < F.col("entry_id")) | (F.col("first_key") < F.col("entry_id"))
+    out = out.withColumns({"continues": F.coalesce(same, F.lit(False)) | F.coalesce("near", F.lit(False)), "conflicts": F.col("others") > F.coalesce("spared", F.lit(0))})
+    return out.select("story_id", "entry_id", "continues", "conflicts", (~F.col("continues") & F.col("conflicts")).alias("reject"))
+
+
+def timeline_parts(entries: DataFrame) -> DataFrame:
+    """(story_id, entry_id, title, event_key) -> story_id, entry_id, part, torn.
+
+    part is the first entry of those that continue one another; torn says whether two
+    entries of the story conflict. See timeline_pairs() for both.
     """
-    t = entries.select("story_id", "entry_id", "event_key", text.headline_key(F.col("title")).alias("key"), text.timeline_tokens(F.col("title")).alias("tokens"), event_family(F.col("title")).alias("family"))
-    a, b = (t.select("story_id", *[F.col(c).alias(f"{p}_{c}") for c in ("entry_id", "event_key", "key", "tokens", "family")]) for p in "ab")
-    pairs = a.join(b, "story_id").where("a_entry_id < b_entry_id")
-    shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    share = text.overlap(F.col("a_tokens"), F.col("b_tokens"))
-    continues = (F.col("a_event_key") == F.col("b_event_key")) | (F.col("a_key") == F.col("b_key")) | ((shared >= 2) & (share >= 0.30)) | (share >= 0.50)
-    conflict = (F.col("a_family") != "unknown") & (F.col("b_family") != "unknown") & (F.col("a_family") != F.col("b_family")) & (share < 0.20) & (shared < 2)
-    return pairs.groupBy("story_id", F.col("b_entry_id").alias("entry_id")).agg(F.max(continues).alias("continues"), F.max(conflict).alias("conflicts")).withColumn("reject", ~F.col("continues") & F.col("conflicts"))
+    t = _timeline_rows(entries)
+    close = cut(close_entries(t))
+    links = [close.where("continues").select("a", "b")]
+    for c in ("event_key", "key"):
+        first = F.min("entry_id").over(Window.partitionBy("story_id", c))
+        links.append(t.where(F.col(c).isNotNull()).select(first.alias("a"), F.col("entry_id").alias("b")).where("a < b"))
+    parts = graph.components(links[0].unionAll(links[1]).unionAll(links[2])).withColumnRenamed("id", "entry_id")
+    kin = t.where("family <> 'unknown'").groupBy("story_id", "family").agg(F.count(F.lit(1)).alias("n"))
+    apart = kin.groupBy("story_id").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
+    torn = apart.join(close.groupBy("story_id").agg(F.count_if("spared").alias("spared")), "story_id", "left").select("story_id", (F.col("pairs") > F.coalesce("spared", F.lit(0))).alias("torn"))
+    placed = t.select("story_id", "entry_id").join(parts, "entry_id", "left").join(torn, "story_id", "left")
+    return placed.select("story_id", "entry_id", F.coalesce("component", "entry_id").alias("part"), F.coalesce("torn", F.lit(False)).alias("torn"))
 
 
 #: Weights of the shares of each kind of evidence; these make .88 of a score, titles .07 and event keys .05.

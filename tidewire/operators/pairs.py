@@ -17,64 +17,104 @@ def distinct_sets(df: DataFrame) -> DataFrame:
     return df.select("id", F.array_sort("tokens").alias("tokens")).groupBy("tokens").agg(F.collect_list("id").alias("ids"))
 
 
-def ranked(df: DataFrame, least: int) -> DataFrame:
-    """(id, tokens) -> id, tokens by rarity, and prefix: all but the ``least - 1`` commonest.
-
-    Two sets that share ``least`` tokens share one in their prefixes, whatever the order;
-    ordering by rarity keeps common tokens out of the join keys. The prefix holds hashes,
-    which join and intersect faster; tokens that share one only meet once more.
+def ranked(df: DataFrame, least: int, share: float = 0.0) -> DataFrame:
+    """(id, tokens) -> id, tokens by rarity, and what of them to look up: prefix and index.
+
+    Two sets that share ``least`` tokens share one in their prefixes, all but the
+    ``least - 1`` commonest, whatever the order; ordering by rarity keeps common tokens
+    out of the join keys. Where the smaller of two sets must share ``share`` of itself,
+    its index, shorter still, shares one with the prefix of the larger. Both hold
+    hashes, which join and intersect faster; tokens that share one only meet once more.
     """
     each = df.select("id", F.explode("tokens").alias("token"))
     counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     sets = each.join(counts, "token").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda t: t["token"]).alias("tokens"))
-    prefix = F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.size("tokens") - (least - 1)))
-    return sets.withColumn("prefix", F.transform(prefix, lambda t: F.xxhash64(t)))
+    first = lambda most: F.transform(F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.size("tokens") - most + 1)), lambda t: F.xxhash64(t))
+    # rounding up a little less, so that a share that is just met isn't lost
+    return sets.withColumns({"prefix": first(F.lit(least)), "index": first(F.greatest(F.lit(least), F.ceil(F.size("tokens") * share - 1e-9).cast("int")))})
 
 
-def meet(left: DataFrame, right: DataFrame, keys=(), condition=None) -> DataFrame:
-    """Pairs of ranked rows that share a prefix token and ``keys``: each once, at the first such token.
+def meet(left: DataFrame, right: DataFrame, keys=(), condition=None, by: str = "prefix") -> DataFrame:
+    """Pairs of ranked rows that share ``keys`` and a token of the left's prefix and the right's ``by``: each once, at the first such token.
 
     Columns come back as l_* and r_*. The sets travel with the tokens, so that pairs need
     neither a distinct nor a join to get them.
     """
-    side = lambda df, p: df.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in keys], F.explode("prefix").alias("token"))
-    met = side(left, "l").join(side(right, "r"), ["token", *keys])
+    side = lambda df, p, c: df.select(*keys, *[F.col(x).alias(f"{p}_{x}") for x in df.columns if x not in keys], F.explode(c).alias("token"))
+    met = side(left, "l", "prefix").join(side(right, "r", by), ["token", *keys])
     if condition is not None:
         met = met.where(condition)
-    return met.where(F.get(F.array_intersect("l_prefix", "r_prefix"), F.lit(0)) == F.col("token")).drop("token", "l_prefix", "r_prefix")
+    return met.where(F.get(F.array_intersect("l_prefix", f"r_{by}"), F.lit(0)) == F.col("token")).drop("token", "l_prefix", "r_prefix", "l_index", "r_index")
 
 
-def similar_sets(df: DataFrame, least: int) -> DataFrame:
-    """(id, tokens) -> pairs with at least ``least`` shared tokens, with containment and Jaccard."""
-    sets = ranked(df, least)
-    met = meet(sets, sets, condition=F.col("l_id") < F.col("r_id")).withColumn("shared", F.size(F.array_intersect("l_tokens", "r_tokens")).cast("long"))
+def _smaller_right():
+    """Of two rows the smaller, or of equal ones the first, is on the right."""
     a, b = F.size("l_tokens"), F.size("r_tokens")
-    out = met.where(F.col("shared") >= least)
-    return out.select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), "shared", (F.col("shared") / F.least(a, b)).alias("containment"), (F.col("shared") / (a + b - F.col("shared"))).alias("jaccard"))
+    return (b < a) | ((b == a) & (F.col("r_id") < F.col("l_id")))
+
 
+def similar_sets(df: DataFrame, least: int, share: float = 0.0) -> DataFrame:
+    """(id, tokens) -> pairs with at least ``least`` shared tokens, with containment and Jaccard.
 
-def top_candidates(df: DataFrame, window_days: int, least_shared: int, k: int) -> DataFrame:
-    """(id, tokens, day) -> each row's ``k`` best earlier rows within the window.
+    ``share`` is the least containment that is asked for: a promise that makes keys rarer.
+    """
+    sets = ranked(df, least, share)
+    met = meet(sets, sets, condition=_smaller_right(), by="index").withColumn("shared", F.size(F.array_intersect("l_tokens", "r_tokens")).cast("long"))
+    a, b = F.size("l_tokens"), F.size("r_tokens")
+    out = met.where((F.col("shared") >= least) & (F.col("shared") / F.least(a, b) >= share))
+    return out.select(F.least("l_id", "r_id").alias("left_id"), F.greatest("l_id", "r_id").alias("right_id"), "shared", (F.col("shared") / F.least(a, b)).alias("containment"), (F.col("shared") / (a + b - F.col("shared"))).alias("jaccard"))
+
+
+def linked_sets(df: DataFrame, least: int, share: float, strong) -> DataFrame:
+    """(id, tokens) -> id, set_id, n_sets, n_ids, nearest: one row for each row.
+
+    Rows of equal tokens are one set, known by its smallest id. n_sets counts the other
+    sets that ``strong`` (a condition on containment and jaccard) links to it, n_ids the
+    rows they and its own other rows make, nearest is the linked set of the highest
+    Jaccard similarity. Pairs are compared, and counted, between sets alone.
+    """
+    keyed = df.select("id", F.array_sort("tokens").alias("tokens"))
+    sets = keyed.groupBy("tokens").agg(F.min("id").alias("set_id"), F.count(F.lit(1)).alias("own"))
+    links = similar_sets(sets.select(F.col("set_id").alias("id"), "tokens"), least, share).where(strong)
+    ends = links.select(F.explode(F.array(F.struct(F.col("left_id").alias("set_id"), F.col("right_id").alias("other")), F.struct(F.col("right_id").alias("set_id"), F.col("left_id").alias("other")))).alias("e"), "jaccard").select("e.*", "jaccard")
+    sizes = sets.select(F.col("set_id").alias("other"), F.col("own").alias("n"))
+    told = ends.join(sizes, "other").groupBy("set_id").agg(F.count(F.lit(1)).alias("n_sets"), F.sum("n").alias("n"), F.max_by("other", F.struct(F.bround("jaccard", 9), -F.col("other"))).alias("nearest"))
+    out = sets.join(told, "set_id", "left").select("tokens", "set_id", F.coalesce("n_sets", F.lit(0)).alias("n_sets"), (F.coalesce("n", F.lit(0)) + F.col("own") - 1).alias("n_ids"), "nearest")
+    return keyed.join(out, "tokens").drop("tokens")
+
+
+def top_candidates(df: DataFrame, window_days: int, least_shared: int, least_score: float, k: int) -> DataFrame:
+    """(id, tokens, day) -> each row's ``k`` best earlier rows within the window, from ``least_score`` on.
 
     Blocked on rare shared tokens and on spans of days: a row meets its own span and the
-    ones beside it, so the band predicate is part of the equality join.
+    ones beside it, so the band predicate is part of the equality join. No score is over
+    the containment, so that ``least_score`` makes keys rarer too.
     """
     span = window_days + 1
-    sets = ranked(df, least_shared).join(df.select("id", "day"), "id").withColumn("slot", F.floor(F.unix_date("day") / span))
-    probes = sets.withColumn("slot", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)))
+    sets = ranked(df, least_shared, least_score).join(df.select("id", "day"), "id").withColumn("slot", F.floor(F.unix_date("day") / span))
+    near = sets.withColumn("slot", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)))
     gap = F.abs(F.datediff("l_day", "r_day"))
-    met = meet(probes, sets, ["slot"], (F.col("r_id") < F.col("l_id")) & (gap <= window_days)).withColumn("shared", F.size(F.array_intersect("l_tokens", "r_tokens")))
+    met = meet(near, sets, ["slot"], _smaller_right() & (gap <= window_days), by="index").withColumn("shared", F.size(F.array_intersect("l_tokens", "r_tokens")))
     a, b, n = F.size("l_tokens"), F.size("r_tokens"), F.col("shared")
     score = F.bround(0.72 * (n / F.least(a, b)) + 0.28 * (n / (a + b - n)), 4)
-    scored = met.where(n >= least_shared).select(F.col("l_id").alias("probe_id"), F.col("r_id").alias("candidate_id"), gap.cast("int").alias("day_gap"), score.alias("score"))
-    best = first_by(scored, ["probe_id"], [F.desc("score"), F.asc("day_gap"), F.desc("candidate_id")], k, rank="rank")
+    scored = met.where(n >= least_shared).select(F.greatest("l_id", "r_id").alias("probe_id"), F.least("l_id", "r_id").alias("candidate_id"), gap.cast("int").alias("day_gap"), score.alias("score"))
+    best = first_by(scored.where(F.col("score") >= least_score), ["probe_id"], [F.desc("score"), F.asc("day_gap"), F.desc("candidate_id")], k, rank="rank")
     return best.select("probe_id", F.col("rank").cast("int").alias("rank"), "candidate_id", "score", "day_gap")
 
 
-def two_sided(left: DataFrame, right: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+def meet_by_size(left: DataFrame, right: DataFrame) -> DataFrame:
+    """As meet() of two tables, the smaller set of a pair looked up by its index."""
+    a, b = F.size("l_tokens"), F.size("r_tokens")
+    one = meet(left, right, condition=b <= a, by="index")
+    two = meet(right, left, condition=b < a, by="index")
+    turned = two.select(*[F.col(f"{'r' if c[0] == 'l' else 'l'}{c[1:]}").alias(c) for c in one.columns])
+    return one.unionAll(turned)
+
+
+def two_sided(left: DataFrame, right: DataFrame, least: int, share: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """Two tables (id, tokens), ranked by rarity in both together."""
     both = left.select(F.struct(F.lit(0).alias("side"), "id").alias("id"), "tokens").unionAll(right.select(F.struct(F.lit(1).alias("side"), "id").alias("id"), "tokens"))
-    sets = ranked(both, least)
+    sets = ranked(both, least, share)
     return tuple(sets.where(F.col("id.side") == n).withColumn("id", F.col("id.id")) for n in (0, 1))
 
 

@@ -255,28 +255,35 @@ SELECT article_id, 'rss-' || substr(sha256(lower(source || '|' || headline || '|
 
 
 def overlapping_titles(spark, sf_dir):
-    """Pairs of articles whose headlines overlap strongly: 4 shared tokens, and .70 of the smaller or .55 of both."""
+    """The articles whose headlines overlap each one's strongly: 4 shared tokens, and .70 of the smaller or .55 of both.
+
+    One row for an article: its set of tokens (by the first article that has it), the
+    sets and articles linked to it, and the nearest set. Jaccard of .55 is a containment
+    of .55 at least.
+    """
     a = articles(spark, sf_dir).select(F.col("article_id").alias("id"), text.title_tokens(F.col("headline")).alias("tokens"))
-    return pairs.similar_sets(a, 4).where("containment >= 0.70 or jaccard >= 0.55").select("left_id", "right_id", "shared", F.bround("containment", 4).alias("containment"), F.bround("jaccard", 4).alias("jaccard"))
+    return pairs.linked_sets(a, 4, 0.55, "containment >= 0.70 or jaccard >= 0.55").select(F.col("id").alias("article_id"), "set_id", "n_sets", "n_ids", "nearest")
 
 
-OVERLAP_SQL = f"""WITH {ARTICLES_SQL}, t AS (SELECT article_id AS id, list_distinct({_TITLE('headline')}) AS t FROM articles),
-p AS (SELECT l.id AS left_id, r.id AS right_id, {_SHARED('l.t', 'r.t')} AS shared, len(l.t) AS a, len(r.t) AS b FROM t l JOIN t r ON l.id < r.id)
-SELECT left_id, right_id, shared, round_even(shared / least(a, b), 4) AS containment, round_even(shared / (a + b - shared), 4) AS jaccard
-FROM p WHERE shared >= 4 AND (shared / least(a, b) >= 0.70 OR shared / (a + b - shared) >= 0.55)"""
+OVERLAP_SQL = f"""WITH {ARTICLES_SQL}, t AS (SELECT article_id AS id, list_sort(list_distinct({_TITLE('headline')})) AS t FROM articles),
+s AS (SELECT t, min(id) AS set_id, count(*) AS own FROM t GROUP BY t),
+p AS (SELECT l.set_id, r.set_id AS other, r.own AS n, {_SHARED('l.t', 'r.t')} AS shared, len(l.t) AS a, len(r.t) AS b FROM s l JOIN s r ON l.set_id <> r.set_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY round(shared / (a + b - shared), 9) DESC, other) AS rn FROM p WHERE shared >= 4 AND (shared / least(a, b) >= 0.70 OR shared / (a + b - shared) >= 0.55)),
+g AS (SELECT set_id, count(*) AS n_sets, sum(n) AS n, max(other) FILTER (rn = 1) AS nearest FROM k GROUP BY 1)
+SELECT t.id AS article_id, s.set_id, coalesce(g.n_sets, 0) AS n_sets, CAST(coalesce(g.n, 0) + s.own - 1 AS BIGINT) AS n_ids, g.nearest FROM t JOIN s USING (t) LEFT JOIN g ON g.set_id = s.set_id"""
 
 
 def recent_candidates(spark, sf_dir):
-    """The 4 best earlier articles, within 7 days, for each article: blended content overlap, then day gap, then id."""
-    a = articles(spark, sf_dir).select(F.col("article_id").alias("id"), text.title_tokens(F.concat_ws(" ", "headline", "source_title")).alias("tokens"), F.to_date("published_at").alias("day"))
-    return pairs.top_candidates(a, window_days=7, least_shared=5, k=4)
+    """The 4 best earlier articles, within 7 days and from .5 on, for each article: blended headline overlap, then day gap, then id."""
+    a = articles(spark, sf_dir).select(F.col("article_id").alias("id"), text.title_tokens(F.col("headline")).alias("tokens"), F.to_date("published_at").alias("day"))
+    return pairs.top_candidates(a, window_days=7, least_shared=5, least_score=0.5, k=4)
 
 
-CANDIDATES_SQL = f"""WITH {ARTICLES_SQL}, t AS (SELECT article_id AS id, list_distinct({_TITLE("(headline || ' ' || source_title)")}) AS t, CAST(published_at AS DATE) AS day FROM articles),
+CANDIDATES_SQL = f"""WITH {ARTICLES_SQL}, t AS (SELECT article_id AS id, list_distinct({_TITLE('headline')}) AS t, CAST(published_at AS DATE) AS day FROM articles),
 p AS (SELECT l.id AS probe_id, r.id AS candidate_id, abs(date_diff('day', l.day, r.day)) AS gap, {_SHARED('l.t', 'r.t')} AS shared, len(l.t) AS a, len(r.t) AS b
   FROM t l JOIN t r ON r.id < l.id AND abs(date_diff('day', l.day, r.day)) <= 7),
 s AS (SELECT *, round_even(0.72 * (shared / least(a, b)) + 0.28 * (shared / (a + b - shared)), 4) AS score FROM p WHERE shared >= 5),
-k AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, gap, candidate_id DESC) AS rank FROM s)
+k AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, gap, candidate_id DESC) AS rank FROM s WHERE score >= 0.5)
 SELECT probe_id, CAST(rank AS INTEGER) AS rank, candidate_id, score, CAST(gap AS INTEGER) AS day_gap FROM k WHERE rank <= 4"""
 
 

@@ -251,15 +251,15 @@ SOURCES_SQL = f"WITH {pp._WEB_SQL} SELECT page_id, CASE WHEN domain <> '' THEN '
 def _cards_and_stories(spark, sf_dir):
     a = articles(spark, sf_dir).withColumn("title", F.concat_ws(" ", "source_title", (F.col("article_id") % 7).cast("string")))
     a = a.withColumn("slug", F.concat(F.lit("s"), (F.col("article_id") % 83).cast("string"))).withColumn("url", F.concat(F.when(F.col("article_id") % 2 == 0, F.lit("https://x.org/live/")).otherwise(F.lit("https://x.org/news/")), (F.col("article_id") % 61).cast("string")))
-    stories = a.where("article_id % 3 = 0 and article_id % 5 < 3").select(F.expr("article_id div 3").alias("story_id"), "slug", "url", "title")
-    cards = a.where("article_id % 3 = 1").select("article_id", F.when(F.col("article_id") % 4 != 0, F.expr("(article_id - 1) div 3")).alias("story_id"), F.when(F.col("article_id") % 10 == 1, F.lit("")).otherwise(F.col("slug")).alias("slug"), F.when(F.col("article_id") % 6 == 1, F.lit("")).otherwise(F.col("url")).alias("url"), "title")
+    stories = a.where("article_id % 2 = 0").select(F.expr("article_id div 2").alias("story_id"), "slug", "url", "title")
+    cards = a.where("article_id % 2 = 1").select("article_id", F.when(F.col("article_id") % 8 != 1, F.expr("(article_id - 1) div 2")).alias("story_id"), F.when(F.col("article_id") % 10 == 1, F.lit("")).otherwise(F.col("slug")).alias("slug"), F.when(F.col("article_id") % 6 == 1, F.lit("")).otherwise(F.col("url")).alias("url"), "title")
     return cards, stories
 
 
 _CS_SQL = f"""{ARTICLES_SQL}, x AS (SELECT article_id AS id, source_title || ' ' || (article_id % 7) AS title, 's' || (article_id % 83) AS slug, CASE WHEN article_id % 2 = 0 THEN 'https://x.org/live/' ELSE 'https://x.org/news/' END || (article_id % 61) AS url FROM articles),
 k AS (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS tkey FROM x),
-st AS (SELECT id // 3 AS story_id, slug, url, title, tkey FROM k WHERE id % 3 = 0 AND id % 5 < 3),
-cd AS (SELECT id AS article_id, CASE WHEN id % 4 <> 0 THEN (id - 1) // 3 END AS story_id, CASE WHEN id % 10 = 1 THEN '' ELSE slug END AS slug, CASE WHEN id % 6 = 1 THEN '' ELSE url END AS url, title, tkey FROM k WHERE id % 3 = 1)"""
+st AS (SELECT id // 2 AS story_id, slug, url, title, tkey FROM k WHERE id % 2 = 0),
+cd AS (SELECT id AS article_id, CASE WHEN id % 8 <> 1 THEN (id - 1) // 2 END AS story_id, CASE WHEN id % 10 = 1 THEN '' ELSE slug END AS slug, CASE WHEN id % 6 = 1 THEN '' ELSE url END AS url, title, tkey FROM k WHERE id % 2 = 1)"""
 
 
 def ranking_identity(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.functions import fixed, text
-from tidewire.operators import ranking, routing
+from tidewire.operators import ordered, ranking, routing
 from tidewire.plans import articles as ap
 from tidewire.plans import stories as sp
 from tidewire.sources.views import ARTICLES_SQL, REFERENCE, _quoted, articles, table
@@ -46,12 +46,13 @@ SELECT article_id, u = v OR ({ap._SHARED('s', 't')} >= 3 AND {ap._SHARED('s', 't
 
 
 def hero_uniqueness(spark, sf_dir):
-    """Heroes of each source's newest article: which other section already leads with the same story."""
-    h = articles(spark, sf_dir).where("article_id % 9 = 0").select("article_id", F.col("category_key").alias("section"), F.when(F.col("article_id") % 2 == 0, F.floor(F.col("article_id") / 40)).alias("story_id"), F.col("source_title").alias("headline"))
+    """The newest article of each source in a section leads it: which other section already leads with the same story."""
+    newest = ordered.first_by(articles(spark, sf_dir), ["source", "category_key"], [F.desc("published_at"), F.desc("article_id")])
+    h = newest.select("article_id", F.col("category_key").alias("section"), F.when(F.col("article_id") % 2 == 0, F.floor(F.col("article_id") / 40)).alias("story_id"), F.col("source_title").alias("headline"))
     return routing.unique_heroes(h, "article_id").select("article_id", "section", "taken_by")
 
 
-UNIQUE_SQL = f"""WITH {ARTICLES_SQL}, h AS (SELECT article_id, category_key AS section, CASE WHEN article_id % 2 = 0 THEN CAST(article_id // 40 AS VARCHAR) ELSE 'title:' || trim(regexp_replace(lower(source_title), '[^a-z0-9]+', ' ', 'g')) END AS i FROM articles WHERE article_id % 9 = 0),
+UNIQUE_SQL = f"""WITH {ARTICLES_SQL}, w AS (SELECT *, row_number() OVER (PARTITION BY source, category_key ORDER BY published_at DESC, article_id DESC) AS rn FROM articles), h AS (SELECT article_id, category_key AS section, CASE WHEN article_id % 2 = 0 THEN CAST(article_id // 40 AS VARCHAR) ELSE 'title:' || trim(regexp_replace(lower(source_title), '[^a-z0-9]+', ' ', 'g')) END AS i FROM w WHERE rn = 1),
 f AS (SELECT *, first_value(section) OVER (PARTITION BY i ORDER BY article_id) AS f FROM h) SELECT article_id, section, CASE WHEN f <> section THEN f END AS taken_by FROM f"""
 
 

@@ -294,18 +294,19 @@ def depth_backfill(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     have = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
-    gap = c.join(have, "c_custkey", "left").select("c_custkey", "c_nationkey", (8 - F.coalesce("n", F.lit(0))).alias("gap")).where((F.col("gap") > 0) & (F.col("c_custkey") % 10 == 0))
+    gap = c.join(have, "c_custkey", "left").select("c_custkey", "c_nationkey", (8 - F.coalesce("n", F.lit(0))).alias("gap")).where("gap > 0")
     pool = o.join(c.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey").where("o_totalprice < 60000").select("c_nationkey", "o_custkey", "o_orderkey", "o_orderdate")
-    best = ordered.first_by(pool, ["c_nationkey"], [F.desc("o_orderdate"), F.asc("o_orderkey")], 40, rank="r")
+    # a customer takes eight at most, and has fewer than eight orders to leave out
+    best = ordered.first_by(pool, ["c_nationkey"], [F.desc("o_orderdate"), F.asc("o_orderkey")], 15, rank="r")
     met = gap.join(best, "c_nationkey").where("o_custkey <> c_custkey")
     filled = met.withColumn("slot", F.row_number().over(Window.partitionBy("c_custkey").orderBy("r"))).where("slot <= gap")
     return filled.select("c_custkey", F.col("slot").cast("int").alias("slot"), "o_orderkey")
 
 
 BACKFILL_SQL = """WITH h AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1),
-g AS (SELECT c_custkey, c_nationkey, 8 - coalesce(n, 0) AS gap FROM customer LEFT JOIN h ON o_custkey = c_custkey WHERE c_custkey % 10 = 0 AND 8 - coalesce(n, 0) > 0),
+g AS (SELECT c_custkey, c_nationkey, 8 - coalesce(n, 0) AS gap FROM customer LEFT JOIN h ON o_custkey = c_custkey WHERE 8 - coalesce(n, 0) > 0),
 p AS (SELECT c_nationkey, o_custkey, o_orderkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice < 60000),
-m AS (SELECT g.c_custkey, g.gap, p.o_orderkey, row_number() OVER (PARTITION BY g.c_custkey ORDER BY r) AS slot FROM g JOIN p USING (c_nationkey) WHERE r <= 40 AND o_custkey <> g.c_custkey)
+m AS (SELECT g.c_custkey, g.gap, p.o_orderkey, row_number() OVER (PARTITION BY g.c_custkey ORDER BY r) AS slot FROM g JOIN p USING (c_nationkey) WHERE o_custkey <> g.c_custkey)
 SELECT c_custkey, CAST(slot AS INTEGER) AS slot, o_orderkey FROM m WHERE slot <= gap"""
 
 
@@ -317,7 +318,7 @@ def story_components(spark, sf_dir):
     a = articles(spark, sf_dir).select(F.col("article_id").alias("id"), text.title_tokens(F.col("headline")).alias("tokens"))
     classes = distinct_sets(a).select(F.array_min("ids").alias("id"), "tokens", "ids")
     same = classes.select(F.col("id").alias("a"), F.explode("ids").alias("b"))
-    near = similar_sets(classes.select("id", "tokens"), 8).where("jaccard >= 0.8").select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
+    near = similar_sets(classes.select("id", "tokens"), 8, 0.8).where("jaccard >= 0.8").select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
     found = graph.components(same.unionAll(near))
     return a.select("id").join(found, "id", "left").select(F.col("id").alias("article_id"), F.coalesce("component", "id").alias("story_root"))
 

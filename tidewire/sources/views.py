@@ -35,6 +35,10 @@ HEADLINES = [
 ]
 
 
+#: And as many words of the text itself, so that headlines differ as much as texts do.
+OWN_WORDS = 9
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,7 +49,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     bank = text.strings(HEADLINES)
     n = len(HEADLINES)
     cats = text.strings(fixed.CATEGORIES)
-    own = F.array_join(F.slice(F.split(text.collapse(F.col("text")), " "), 1, 3), " ")
+    own = F.array_join(F.slice(F.split(text.collapse(F.col("text")), " "), 1, OWN_WORDS), " ")
     return docs.select(
         F.col("doc_id").alias("article_id"),
         F.concat(F.get(bank, (F.col("doc_id") % n).cast("int")), F.lit(" "), own).alias("headline"),
@@ -66,7 +70,7 @@ def _quoted(values) -> str:
 ARTICLES_SQL = f"""articles AS (
   SELECT doc_id AS article_id,
     list_extract({_quoted(HEADLINES)}, CAST(doc_id % {len(HEADLINES)} AS INTEGER) + 1) || ' ' ||
-      array_to_string(list_slice(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), 1, 3), ' ') AS headline,
+      array_to_string(list_slice(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), 1, {OWN_WORDS}), ' ') AS headline,
     list_extract({_quoted(HEADLINES)}, CAST((doc_id * 7 + 3) % {len(HEADLINES)} AS INTEGER) + 1) AS source_title,
     text AS body, source,
     list_extract({_quoted(fixed.CATEGORIES)}, CAST(doc_id % 7 AS INTEGER) + 1) AS category_key,

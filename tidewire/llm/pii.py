@@ -76,8 +76,9 @@ PATTERNS = {
 _NUMBERS = ("ssn", "phone", "ip", "street", "card")
 #: One pattern for all. What starts with a digit, + or ( is looked at only there.
 ANY = "|".join([*(f"(?:{PATTERNS[k]})" for k in ("email", "secret", "iban", "ip6")), rf"(?=[\d+(])(?:{'|'.join(PATTERNS[k] for k in _NUMBERS)})", f"(?:{PATTERNS['name']})"])
-#: A text without a digit, an @, one of these words or one of these names has no entity.
+#: A text without a digit, an @, one of these words or, after two capitals, one of these names has no entity.
 HINT_WORDS = ["password", "passwd", "pwd", "secret", "token", "api_key", "api-key", "apikey", "ghp_", "sk-", "xox", "akia", "asia"]
+HINT_CAPITALS = r"\p{Lu}[\p{L}'’-]+\.? \p{Lu}"
 HINT_NAMES = rf"(?<![\p{{L}}\p{{N}}])(?:(?=[A-ZА-ЯЁ])(?:{_TITLE}|{_GIVEN}|{_SHOUTED})\.? |(?:{_CUE}) {_WORD} )"
 
 
@@ -86,7 +87,7 @@ def hinted(text: Column) -> Column:
     low, out = F.lower(text), text.rlike("[0-9@]")
     for w in HINT_WORDS:
         out = out | F.contains(low, F.lit(w))
-    return out | text.rlike(HINT_NAMES)
+    return out | (text.rlike(HINT_CAPITALS) & text.rlike(HINT_NAMES))
 
 
 def mentions(text: Column) -> Column:

@@ -20,19 +20,27 @@ def event_family(title: Column) -> Column:
     return out.otherwise("unknown")
 
 
+#: Words of event types and titles that put a story in a broad category, in order.
+CATEGORY_WORDS = [
+    ("crime_public_safety", ("crash", "arrest", "shoot", "missing person", "animal rescue", "crime")), ("government", ("meeting", "government", "budget", "ordinance", "commission", "council")),
+    ("sports", ("baseball", "football", "basketball", "game", "mets", "cardinals")), ("weather", ("storm", "hurricane", "tornado", "weather", "flood")),
+    ("business", ("business", "development", "company", "store", "restaurant")),
+]
+
+
 def story_category(c: Column) -> Column:
     """The resolver's broad category of event types and title."""
-    rules = [
-        ("crime_public_safety", ("crash", "arrest", "shoot", "missing person", "animal rescue", "crime")), ("government", ("meeting", "government", "budget", "ordinance", "commission", "council")),
-        ("sports", ("baseball", "football", "basketball", "game", "mets", "cardinals")), ("weather", ("storm", "hurricane", "tornado", "weather", "flood")),
-        ("business", ("business", "development", "company", "store", "restaurant")),
-    ]
     low, out = F.lower(c), F.when(F.lit(False), "")
-    for name, words in rules:
+    for name, words in CATEGORY_WORDS:
         out = out.when(text.contains_any(low, words), name)
     return out.otherwise("general")
 
 
+def broad_key(key: Column) -> Column:
+    """Whether an event key names a class of events rather than one."""
+    return key.rlike(r"^(?:fire|traffic-crash|missing-person)(?:-[a-z-]+)?$|^unknown-event$")
+
+
 def _timeline_rows(entries: DataFrame) -> DataFrame:
     return entries.select("story_id", "entry_id", "event_key", text.headline_key(F.col("title")).alias("key"), text.timeline_tokens(F.col("title")).alias("tokens"), event_family(F.col("title")).alias("family"))
 
@@ -158,20 +166,28 @@ def _tagged(kind: str):
     return lambda x: F.concat(F.lit(f"{kind}:"), x)
 
 
+def first_tier(articles: DataFrame, hits: DataFrame, key: str = "article_id") -> DataFrame:
+    """(key), and hits (key, tier, story_id) -> each article's first tier and its story; tier 9 without one."""
+    best = hits.where("story_id is not null").groupBy(key).agg(F.min(F.struct("tier", "story_id")).alias("b"))
+    return articles.select(key).join(best, key, "left").select(key, F.coalesce("b.tier", F.lit(9)).alias("tier"), F.col("b.story_id").alias("story_id"))
+
+
+def owned(articles: DataFrame, stories: DataFrame, key: str, tier: int, id_col: str = "article_id") -> DataFrame:
+    """Hits of articles on the one story that has their value of key; a value of several stories gives none."""
+    owners = stories.where(F.col(key) != "").groupBy(key).agg(F.min("story_id").alias("story_id"), F.countDistinct("story_id").alias("n")).where("n = 1").drop("n")
+    rows = articles.where(F.size(F.split("title_key", " ")) >= 4) if key == "title_key" else articles.where(F.col(key) != "")
+    return rows.join(owners, key).select(id_col, F.lit(tier).alias("tier"), "story_id")
+
+
 def cascade(articles: DataFrame, stories: DataFrame) -> DataFrame:
     """The story of each article by the first tier that gives exactly one: event key, exact title, source URL.
 
     A tier with more than one story gives none, and the next tier is asked. What no tier
-    resolves is a new story (tier 9, null story).
+    resolves is a new story (tier 9, null story). The tiers after these need more than
+    keys; see incidents.resolve_reports().
     """
-    tiers = []
-    for n, key in enumerate(("event_key", "title_key", "url"), 1):
-        owners = stories.where(F.col(key) != "").groupBy(key).agg(F.min("story_id").alias("story_id"), F.countDistinct("story_id").alias("n")).where("n = 1").drop("n")
-        rows = articles.where(F.col(key) != "") if key != "title_key" else articles.where(F.size(F.split("title_key", " ")) >= 4)
-        tiers.append(rows.join(owners, key).select("article_id", "story_id", F.lit(n).alias("tier")))
-    hits = tiers[0].unionAll(tiers[1]).unionAll(tiers[2])
-    best = hits.groupBy("article_id").agg(F.min(F.struct("tier", "story_id")).alias("b"))
-    return articles.select("article_id").join(best, "article_id", "left").select("article_id", F.coalesce("b.tier", F.lit(9)).alias("tier"), F.col("b.story_id").alias("story_id"))
+    hits = [owned(articles, stories, key, n) for n, key in enumerate(("event_key", "title_key", "url"), 1)]
+    return first_tier(articles, hits[0].unionAll(hits[1]).unionAll(hits[2]))
 
 
 def repair(stories: DataFrame, aliases: DataFrame, most: int = 16) -> tuple[DataFrame, DataFrame]:

@@ -298,3 +298,34 @@ def _torn(title: Column, key: Column, titles: Column, events: Column) -> Column:
         return ~F.exists(titles, on) & F.exists(titles, off)
 
     return ~F.array_contains(events, key) & text.bind(F.struct(mine.alias("t"), family.alias("f")), lambda m: told_by(m["t"], m["f"]))
+
+
+# -- the whole cascade -------------------------------------------------------------------
+
+
+def resolve_reports(reports: DataFrame, stories: DataFrame, entries: DataFrame) -> DataFrame:
+    """(report_id, tier, story_id): the story of each report by the first of seven tiers that gives one.
+
+    1 event key (one event's, not a class of them), 2 exact title, 3 source URL, 4
+    incident signature, 5 unified evidence, 6 follow-up, 7 structured evidence; 9 is a
+    new story. reports: report_id, title, url, event_key, facts, locations, agencies,
+    types, entities, published; stories: story_id, title, titles, events, published
+    (array), the same arrays; entries: the stories' reports one by one, with story_id.
+    """
+    keyed = lambda df: df.withColumn("title_key", text.headline_key(F.col("title")))
+    r, e = keyed(reports), keyed(entries)
+    hits = [identity.owned(r.withColumn("event_key", F.when(identity.broad_key(F.col("event_key")), "").otherwise(F.col("event_key"))), e, "event_key", 1, "report_id"), identity.owned(r, e, "title_key", 2, "report_id")]
+    sources = identity.source_match(reports.select(F.col("report_id").alias("article_id"), "url", "title"), entries.select("story_id", "url", "title"))
+    hits.append(sources.select(F.col("article_id").alias("report_id"), F.lit(3).alias("tier"), "story_id"))
+    one = reports.withColumns({"titles": F.array("title"), "published": F.array("published")})
+    hits.append(incident_match(one, stories, entries.select("story_id", "title")).select("report_id", F.lit(4).alias("tier"), "story_id"))
+    more = F.array_join(F.concat("facts", "entities"), " ")
+    proof = lambda df, key: df.select(key, told.evidence(F.col("title"), more, F.col("locations"), F.col("agencies"), F.col("published")).alias("e"))
+    hits.append(unified_match(proof(reports, "report_id"), proof(entries, "story_id")).select("report_id", F.lit(5).alias("tier"), "story_id"))
+    hits.append(relationships(reports, stories).where("relationship = 'follow_up'").select("report_id", F.lit(6).alias("tier"), "story_id"))
+    known = stories.withColumnRenamed("story_id", "id").withColumn("title_tokens", F.array_distinct(F.flatten(F.transform("titles", text.resolver_tokens))))
+    hits.append(identity.resolve(reports.withColumnRenamed("report_id", "id"), known).select(F.col("article_id").alias("report_id"), F.lit(7).alias("tier"), "story_id"))
+    every = hits[0]
+    for more_hits in hits[1:]:
+        every = every.unionAll(more_hits)
+    return identity.first_tier(reports, every, "report_id")

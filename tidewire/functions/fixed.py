@@ -459,3 +459,21 @@ ADVISORY_MILESTONES = {
     "election_result": r"\belected\b|\bwins? (?:the )?(?:election|race|seat|primary)\b|\bwon (?:the )?(?:election|race|seat|primary)\b|\bdeclared (?:the )?winner\b",
     "funding": r"\b(?:awarded|receives?|received|secures?|secured) (?:a |an |the )?(?:\$[\d.,]+ )?(?:grant|funding)\b|\bgrant (?:awarded|approved|funded)\b|\bfunding (?:approved|awarded|secured)\b",
 }
+
+# Fixed values of identity authority: outcomes, tiers, kinds of key with what they prove.
+VERIFIED, POSSIBLE, NEW = "same_event_verified", "possible_relationship", "new_story"
+EXACT_TIER, HARD_TIER, CANDIDATE_TIER, CONFLICT_TIER, THIN_TIER = "exact_identity", "hard_composite_identity", "candidate_only", "conflict", "insufficient_evidence"
+EXACT_KEYS = [("source:", "exact_source_url"), ("custom-event:", "exact_custom_event_key"), ("weather:", "exact_weather_event_key")]
+
+# Fixed values of exclusions and of stale heroes.
+SOCIAL_MARKERS = ["facebook.com", "instagram.com", "x.com", "twitter.com", "tiktok.com", "reddit.com", "youtube.com", "youtu.be", "threads.net", "nextdoor.com"]
+LOW_VALUE_TITLE = r"^expert (?:breaks down|explains)\b|^what to know\b|^watch(?: below|:)|^video:\s*|^photos?:\s*|^opinion:\s*|^analysis:\s*|^live updates?\b|^a happy ending\b"
+RETROSPECTIVE_STOP = ["the", "and", "for", "with", "from", "after", "before", "into", "news", "update", "says", "said", "earlier", "reported"]
+FOLLOWING = ["follow_up", "follow-up", "related"]
+UNRESOLVED = ["legacy_unresolved", "recent_unresolved", "quarantined_live_mismatch"]
+FRESH_PHRASES = [
+    "today", "this morning", "this afternoon", "this evening", "hours ago", "minutes ago", "just announced", "just released", "breaking",
+    "moments ago", "earlier today", "announced today", "arrested today", "ruled today", "confirmed today",
+]
+STALE_PHRASES = ["yesterday", "two days ago", "three days ago", "earlier this week", "last week", "days ago", "happened on", "occurred on", "took place on"]
+RECOVERY_HOURS, LEAD_RECOVERY_HOURS, RECOVERY_TRIES, EXPANSIONS = 48, 72, 10, 3

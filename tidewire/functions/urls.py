@@ -68,3 +68,8 @@ def source_type(dom: Column) -> Column:
     for d in fixed.DISCOVERY_DOMAINS:
         inside = inside | (dom == d) | dom.endswith("." + d)
     return F.when((dom == fixed.AGGREGATOR) | dom.endswith("." + fixed.AGGREGATOR), "aggregator").when(inside, "discovery_only").when(dom != "", "full_source").otherwise("unknown")
+
+
+def bare(c: Column) -> Column:
+    """An address without closing slashes, query and fragment, in lower case."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), "/+$", ""), "[?#].*$", "")

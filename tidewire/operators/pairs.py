@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions import fixed, text
+from tidewire.functions import fixed, text, urls
 from tidewire.operators.ordered import first_by
 
 
@@ -119,16 +119,20 @@ def two_sided(left: DataFrame, right: DataFrame, least: int, share: float = 0.0)
 
 
 def archive_match(probes: DataFrame, archive: DataFrame) -> DataFrame:
-    """The first archive row of the best tier for each probe: 2 same story, 3 same signature.
+    """The first archive row of the best tier for each probe: 1 same source address, 2 same story, 3 same signature.
 
-    Signatures match on 4 shared tokens, 2 of them outside the vocabulary courts share.
+    An address goes before a story id, which may be poisoned; it needs a path of over 10
+    characters. Signatures match on 4 shared tokens, 2 of them outside the vocabulary
+    courts share.
     """
+    address = lambda df, key: df.select(key, urls.bare(F.col("url")).alias("u")).where(F.length(F.regexp_replace("u", "^https?://[^/]+", "")) > 10)
+    by_url = address(probes, "article_id").join(address(archive, "pos"), "u").select("article_id", "pos", F.lit(1).alias("tier"))
     by_story = probes.join(archive.select("pos", "story_id"), "story_id").select("article_id", "pos", F.lit(2).alias("tier"))
     a, b = two_sided(probes.where(F.size("tokens") >= 3).select(F.col("article_id").alias("id"), "tokens"), archive.select(F.col("pos").alias("id"), "tokens"), 4)
     shared = F.array_intersect("l_tokens", "r_tokens")
     matched = meet(a, b).where((F.size(shared) >= 4) & (F.size(F.array_except(shared, text.strings(fixed.LEGAL_FRAME))) >= 2))
     by_title = matched.select(F.col("l_id").alias("article_id"), F.col("r_id").alias("pos"), F.lit(3).alias("tier"))
-    best = first_by(by_story.unionAll(by_title), ["article_id"], [F.asc("tier"), F.asc("pos")])
+    best = first_by(by_url.unionAll(by_story).unionAll(by_title), ["article_id"], [F.asc("tier"), F.asc("pos")])
     return best.select("article_id", "tier", F.col("pos").alias("archive_id"))
 
 

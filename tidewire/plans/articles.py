@@ -288,15 +288,17 @@ SELECT probe_id, CAST(rank AS INTEGER) AS rank, candidate_id, score, CAST(gap AS
 
 
 def archive_lookup(spark, sf_dir):
-    """The archived article each probe belongs to: by story id, then by headline signature; the first in archive order."""
-    a = articles(spark, sf_dir)
-    archive = a.where("article_id % 2 = 0").select(F.col("article_id").alias("pos"), F.floor(F.col("article_id") / 10).alias("story_id"), text.signature_tokens(F.col("headline")).alias("tokens"))
-    probes = a.where("article_id % 2 = 1").select("article_id", F.floor(F.col("article_id") / 15).alias("story_id"), text.signature_tokens(F.concat_ws(" ", "headline", "source_title")).alias("tokens"))
+    """The archived article each probe belongs to: by source address, story id, then headline signature; the first in archive order."""
+    n = F.col("article_id")
+    url = F.concat(F.lit("https://News.org/stories/"), F.when(n % 3 == 0, F.concat(F.lit("g"), F.floor(n / 14).cast("string"))).otherwise(n.cast("string")), F.when(n % 2 == 0, "/").otherwise("?from=feed"))
+    a = articles(spark, sf_dir).withColumn("url", F.when(n % 5 != 0, url))
+    archive = a.where("article_id % 2 = 0").select("url", F.col("article_id").alias("pos"), F.floor(F.col("article_id") / 10).alias("story_id"), text.signature_tokens(F.col("headline")).alias("tokens"))
+    probes = a.where("article_id % 2 = 1").select("article_id", "url", F.floor(F.col("article_id") / 15).alias("story_id"), text.signature_tokens(F.concat_ws(" ", "headline", "source_title")).alias("tokens"))
     return pairs.archive_match(probes, archive)
 
 
 ARCHIVE_SQL = f"""WITH {ARTICLES_SQL}, s AS (SELECT article_id, list_distinct({_SIGNATURE('headline')}) AS t, list_distinct({_SIGNATURE("(headline || ' ' || source_title)")}) AS u FROM articles),
-m AS (SELECT p.article_id, a.article_id AS pos, CASE WHEN p.article_id // 15 = a.article_id // 10 THEN 2
+m AS (SELECT p.article_id, a.article_id AS pos, CASE WHEN p.article_id % 5 <> 0 AND a.article_id % 5 <> 0 AND p.article_id % 3 = 0 AND a.article_id % 3 = 0 AND p.article_id // 14 = a.article_id // 14 THEN 1 WHEN p.article_id // 15 = a.article_id // 10 THEN 2
     WHEN len(p.u) >= 3 AND {_SHARED('p.u', 'a.t')} >= 4 AND len(list_filter(list_intersect(p.u, a.t), lambda x: NOT list_contains({_quoted(fixed.LEGAL_FRAME)}, x))) >= 2 THEN 3 END AS tier
   FROM s p JOIN s a ON p.article_id % 2 = 1 AND a.article_id % 2 = 0),
 b AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY tier, pos) AS rn FROM m WHERE tier IS NOT NULL)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewire.plans import articles, identity, incidents, pages, routing, stories, surface
+from tidewire.plans import articles, identity, incidents, pages, recovery, routing, stories, surface
 
-_ALL = {**pages.QUERIES, **articles.QUERIES, **stories.QUERIES, **identity.QUERIES, **surface.QUERIES, **routing.QUERIES, **incidents.QUERIES}
+_ALL = {**pages.QUERIES, **articles.QUERIES, **stories.QUERIES, **identity.QUERIES, **surface.QUERIES, **routing.QUERIES, **incidents.QUERIES, **recovery.QUERIES}
 
 
 def flagship(spark, sf_dir):

@@ -477,3 +477,13 @@ FRESH_PHRASES = [
 ]
 STALE_PHRASES = ["yesterday", "two days ago", "three days ago", "earlier this week", "last week", "days ago", "happened on", "occurred on", "took place on"]
 RECOVERY_HOURS, LEAD_RECOVERY_HOURS, RECOVERY_TRIES, EXPANSIONS = 48, 72, 10, 3
+
+# Publishers by name with their domains; words that content lookup leaves out.
+TRUSTED_PUBLISHERS = {
+    "Reuters": ["reuters.com"], "AP": ["apnews.com"], "BBC": ["bbc.com", "bbc.co.uk", "bbci.co.uk"], "NPR": ["npr.org"], "The Guardian": ["theguardian.com"],
+    "CNN": ["cnn.com"], "NBC News": ["nbcnews.com"], "CBS News": ["cbsnews.com"], "ABC News": ["abcnews.go.com"], "Fox News": ["foxnews.com"], "USA Today": ["usatoday.com"],
+    "Politico": ["politico.com"], "Axios": ["axios.com"], "The Hill": ["thehill.com"], "The Verge": ["theverge.com"], "Ars Technica": ["arstechnica.com"], "TechCrunch": ["techcrunch.com"],
+    "Variety": ["variety.com"], "Rolling Stone": ["rollingstone.com"], "ESPN": ["espn.com"], "CBS Sports": ["cbssports.com"],
+}
+CONTENT_STOP = ["that", "this", "with", "from", "have", "been", "said", "will", "more", "also", "when", "were", "they", "their", "about", "says", "just", "after"]
+EXACT_SOURCE, EXACT_TITLE = "Exact source article identity: true", "Exact normalized title match: true"

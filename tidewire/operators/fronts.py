@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import fixed, text, urls
+from tidewire.operators.checkpoints import cut
 
 
 def tier(category: Column, headline: Column) -> Column:
@@ -88,22 +88,17 @@ def backfill(sources: DataFrame, limit: int) -> DataFrame:
     """Safe cards for each section in source order: none like one already chosen.
 
     (section, pos, article_id, tokens, url) -> chosen rows with urgency 7, 7, 7, 6, ...,
-    at least 4. Each choice depends on those before, so a section is folded in one task,
-    over rows that passed every other check.
+    at least 4. Titles are alike with 4 shared tokens that are .70 of the smaller, both
+    of 4 at least. Each choice depends on those before, so there is a round for each
+    place: the first row of every section is chosen, and what is like it goes.
     """
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        out, seen, links = [], [], set()
-        for r in rows.sort_values("pos").itertuples():
-            tokens = set(r.tokens)
-            alike = any(len(tokens & s) >= 4 and len(tokens & s) / max(1, min(len(tokens), len(s))) >= 0.70 for s in seen if len(tokens) >= 4 and len(s) >= 4)
-            if alike or (r.url and r.url in links):
-                continue
-            out.append((r.section, r.article_id, len(out) + 1, max(4, 7 - len(out) // 3)))
-            seen.append(tokens)
-            links.add(r.url)
-            if len(out) >= limit:
-                break
-        return pd.DataFrame(out, columns=["section", "article_id", "slot", "urgency"])
-
-    return sources.groupBy("section").applyInPandas(choose, "section string, article_id long, slot int, urgency int")
+    left, chosen = cut(sources.select("section", "pos", "article_id", "tokens", "url")), None
+    for slot in range(1, limit + 1):
+        head = cut(left.groupBy("section").agg(F.min(F.struct("pos", "article_id", "tokens", "url")).alias("c")))
+        row = head.select("section", F.col("c.article_id").alias("article_id"), F.lit(slot).alias("slot"), F.lit(max(4, 7 - (slot - 1) // 3)).alias("urgency"))
+        chosen = row if chosen is None else chosen.unionAll(row)
+        shared, least = F.size(F.array_intersect("tokens", "c.tokens")), F.least(F.size("tokens"), F.size("c.tokens"))
+        alike = (shared >= 4) & (shared / least >= 0.70)
+        gone = alike | ((F.col("url") != "") & (F.col("url") == F.col("c.url"))) | (F.col("article_id") == F.col("c.article_id"))
+        left = left.join(head, "section").where(~F.coalesce(gone, F.lit(False))).drop("c")
+    return chosen.select("section", "article_id", F.col("slot").cast("int").alias("slot"), F.col("urgency").cast("int").alias("urgency"))

@@ -186,7 +186,7 @@ def plain_cotraining(docs, labels, rounds=4, sure=0.97, most=1000):
     """The method row by row, without Spark: documents -> probability of good quality."""
     odds = lambda w, x: np.asarray(x, float) @ w[:-1] + w[-1]
     docs = sorted(docs)
-    text = np.array([np.concatenate([quality.shape_view(d[1]), quality.content_view(d[1])]) for d in docs], float)
+    text = np.array([np.concatenate([quality.shape_view(d[1]), quality.content_view(d[1])]) for d in docs]).astype(np.float16).astype(float)
     meta = np.zeros((len(docs), 3 * quality.META_BUCKETS))
     for i, d in enumerate(docs):
         meta[i, quality.meta_view(d[3], d[2], d[4])] = 1

@@ -66,8 +66,8 @@ def content_view(text: str) -> np.ndarray:
 
 
 def text_view(texts: list[str]) -> np.ndarray:
-    """(texts, features): the text view, whose size doesn't depend on the texts."""
-    out = np.zeros((len(texts), SHAPE + WORD_BUCKETS), np.float32)
+    """(texts, features): the text view, whose size doesn't depend on the texts, in half precision."""
+    out = np.zeros((len(texts), SHAPE + WORD_BUCKETS), np.float16)
     for i, t in enumerate(texts):
         out[i, :SHAPE], out[i, SHAPE:] = shape_view(t), content_view(t)
     return out
@@ -92,6 +92,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25,
     """
     penalty = np.full(x.shape[1] + 1, ridge)
     penalty[-1] = 1e-3
+    x = x.astype(np.float32) if x.dtype == np.float16 else x
     times = lambda w: (x @ w[:-1].astype(x.dtype)).astype(np.float64) + w[-1]
     back = lambda r: np.append((r.astype(x.dtype) @ x).astype(np.float64), r.sum())
     loss = lambda w, z: np.logaddexp(0.0, np.where(y > 0, -z, z)).sum() + 0.5 * (penalty * w) @ w
@@ -125,6 +126,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25,
 
 
 def _odds(w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float32) if x.dtype == np.float16 else x
     return (x @ w[:-1].astype(x.dtype)).astype(np.float64) + w[-1]
 
 
@@ -189,7 +191,7 @@ def cotrain(text_x: np.ndarray, meta_x: np.ndarray, y: np.ndarray, part: np.ndar
 
 
 def _spread(places: list[list[int]]) -> np.ndarray:
-    x = np.zeros((len(places), 3 * META_BUCKETS), np.float32)
+    x = np.zeros((len(places), 3 * META_BUCKETS), np.float16)
     for i, at in enumerate(places):
         x[i, at] = 1.0
     return x
@@ -202,7 +204,7 @@ def _picked(docs: DataFrame) -> DataFrame:
     return docs.select(col("doc_id", "long"), F.coalesce(F.col("text"), F.lit("")).alias("text"), col("source", "string"), col("lang", "string"), col("n_chars", "long"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 24_000, least: int = 2_000, strict: bool = False) -> CoTrained | None:
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 16_000, least: int = 2_000, strict: bool = False) -> CoTrained | None:
     """Fit on about ``sample`` documents (all, if fewer) drawn by a hash of the id.
 
     Half of them have a label: those train, calibrate and mix, see dealt(). However many
@@ -242,14 +244,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 24_000, least: int
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 cols = part.select(["text", "source", "lang", "n_chars"]).to_pydict()
-                text = pa.FixedSizeListArray.from_arrays(text_view(cols["text"]).ravel(), SHAPE + WORD_BUCKETS).cast(pa.list_(pa.float32()))
+                text = pa.array([x.tobytes() for x in text_view(cols["text"])], pa.binary())
                 meta = [meta_view(*x) for x in zip(cols["source"], cols["lang"], cols["n_chars"], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), text, pa.array(meta, pa.list_(pa.int32())), part.column("quality")], names=["doc_id", "text", "meta", "quality"])
 
-    got = rows.mapInArrow(view, "doc_id long, text array<float>, meta array<int>, quality int").toArrow().sort_by("doc_id")
-    text = np.asarray(got.column("text").combine_chunks().flatten()).reshape(got.num_rows, -1)
+    got = rows.mapInArrow(view, "doc_id long, text binary, meta array<int>, quality int").toArrow().sort_by("doc_id")
+    text = np.frombuffer(b"".join(x.as_py() for x in got.column("text")), np.float16).reshape(got.num_rows, -1)
     y = np.array([-1 if q is None else int(q > 0) for q in got.column("quality").to_pylist()])
-    model = cotrain(text, _spread(got.column("meta").to_pylist()), y, dealt(y))
+    meta = _spread(got.column("meta").to_pylist())
+    del got
+    pa.default_memory_pool().release_unused()
+    model = cotrain(text, meta, y, dealt(y))
     if model is not None:
         model.mix[-1] -= math.log(rates[1] / rates[0])
     return model

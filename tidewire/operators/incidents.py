@@ -163,16 +163,21 @@ def evidence_score(a: Column, b: Column) -> Column:
 
 
 def _evidence_keys(e: Column) -> Column:
-    """Values of which two pieces of evidence of one incident share one."""
+    """Values of which two pieces of evidence of one incident share one.
+
+    A place is never enough: a word or a concept must come with it.
+    """
     tag = lambda prefix, c: F.transform(c, lambda x: F.concat_ws("|", e["family"], F.lit(prefix), x))
     last = F.transform(e["aliases"], lambda x: F.element_at(F.split(x, " "), -1))
     names = F.when(e["family"] == "missing_person", F.concat(last, e["distinctive"])).otherwise(F.array().cast(_NONE))
     facts = F.when(e["family"] == "road_rage", F.concat(e["concepts"], e["title"])).otherwise(F.array().cast(_NONE))
-    return F.when(e["family"] == "unknown", F.array().cast(_NONE)).otherwise(F.array_distinct(F.concat(tag("p", e["people"]), tag("l", e["locations"]), tag("n", names), tag("c", facts))))
+    beside = F.when(e["family"] == "road_rage", F.array().cast(_NONE)).when(e["family"] == "animal_cruelty", e["concepts"]).when(e["family"] == "missing_person", F.concat(e["distinctive"], e["concepts"])).when(e["family"].isin(*fixed.GENERAL_FAMILIES), e["distinctive"]).otherwise(F.array().cast(_NONE))
+    placed = F.flatten(F.transform(e["locations"], lambda p: F.transform(beside, lambda w: F.concat_ws("|", p, w))))
+    return F.when(e["family"] == "unknown", F.array().cast(_NONE)).otherwise(F.array_distinct(F.concat(tag("p", e["people"]), tag("l", placed), tag("n", names), tag("c", facts))))
 
 
 def _met_evidence(left: DataFrame, right: DataFrame, days: int = 21) -> DataFrame:
-    """Pairs of rows (l_*, r_* with e) that share a key, within the days where both are dated."""
+    """Pairs of rows (l_*, r_* with e) that share a key, within the days where both are dated: each once, at the first key."""
     span = days + 1
     slot = lambda e: F.floor(F.unix_date(e["published"].cast("date")) / span)
     undated = lambda e: e["published"].isNull()
@@ -180,13 +185,15 @@ def _met_evidence(left: DataFrame, right: DataFrame, days: int = 21) -> DataFram
 
     def side(df: DataFrame, p: str, slots: Column) -> DataFrame:
         e = F.col("e")
-        out = df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns], F.explode(_evidence_keys(e)).alias("key"), slots.alias("slots"))
-        return out.select("*", F.explode("slots").alias("slot")).drop("slots")
+        hashed = F.array_sort(F.transform(_evidence_keys(e), lambda k: F.xxhash64(k)))
+        out = df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns], hashed.alias(f"{p}_keys"), slots.alias("slots"))
+        return out.select("*", F.explode(f"{p}_keys").alias("key")).select("*", F.explode("slots").alias("slot")).drop("slots")
 
     e = F.col("e")
     dated = F.when(undated(e), tags(F.lit("all"))).otherwise(tags(slot(e) - 1, slot(e), slot(e) + 1, F.lit("none")))
     known = F.when(undated(e), tags(F.lit("none"), F.lit("all"))).otherwise(tags(slot(e), F.lit("all")))
-    return side(left, "l", dated).join(side(right, "r", known), ["key", "slot"]).drop("key", "slot")
+    met = side(left, "l", dated).join(side(right, "r", known), ["key", "slot"])
+    return met.where(F.get(F.array_intersect("l_keys", "r_keys"), F.lit(0)) == F.col("key")).drop("key", "slot", "l_keys", "r_keys")
 
 
 def unified_match(reports: DataFrame, stories: DataFrame) -> DataFrame:

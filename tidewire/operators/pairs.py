@@ -40,17 +40,23 @@ def meet(left: DataFrame, right: DataFrame, keys=(), condition=None, by: str = "
     Columns come back as l_* and r_*. The sets travel with the tokens, so that pairs need
     neither a distinct nor a join to get them.
     """
-    side = lambda df, p, c: df.select(*keys, *[F.col(x).alias(f"{p}_{x}") for x in df.columns if x not in keys], F.explode(c).alias("token"))
+    side = lambda df, p, c: df.select(*keys, *[F.col(x).alias(f"{p}_{x}") for x in df.columns if x not in keys], F.posexplode(c).alias(f"{p}_at", "token"))
     met = side(left, "l", "prefix").join(side(right, "r", by), ["token", *keys])
     if condition is not None:
         met = met.where(condition)
-    return met.where(F.get(F.array_intersect("l_prefix", f"r_{by}"), F.lit(0)) == F.col("token")).drop("token", "l_prefix", "r_prefix", "l_index", "r_index")
+    return met.where(F.get(F.array_intersect("l_prefix", f"r_{by}"), F.lit(0)) == F.col("token")).drop("token", "l_prefix", "r_prefix", "l_index", "r_index", "l_at", "r_at")
 
 
-def _smaller_right():
+def _enough_left(least: int, share: float):
+    """Whether what follows the token in both sets still allows what they must share, the right one being the smaller."""
+    must = F.greatest(F.lit(least), F.ceil(F.size("r_tokens") * share - 1e-9).cast("int"))
+    return (F.size("l_tokens") - F.col("l_at") >= must) & (F.size("r_tokens") - F.col("r_at") >= must)
+
+
+def _smaller_right(least: int, share: float):
     """Of two rows the smaller, or of equal ones the first, is on the right."""
     a, b = F.size("l_tokens"), F.size("r_tokens")
-    return (b < a) | ((b == a) & (F.col("r_id") < F.col("l_id")))
+    return ((b < a) | ((b == a) & (F.col("r_id") < F.col("l_id")))) & _enough_left(least, share)
 
 
 def similar_sets(df: DataFrame, least: int, share: float = 0.0) -> DataFrame:
@@ -59,7 +65,7 @@ def similar_sets(df: DataFrame, least: int, share: float = 0.0) -> DataFrame:
     ``share`` is the least containment that is asked for: a promise that makes keys rarer.
     """
     sets = ranked(df, least, share)
-    met = meet(sets, sets, condition=_smaller_right(), by="index").withColumn("shared", F.size(F.array_intersect("l_tokens", "r_tokens")).cast("long"))
+    met = meet(sets, sets, condition=_smaller_right(least, share), by="index").withColumn("shared", F.size(F.array_intersect("l_tokens", "r_tokens")).cast("long"))
     a, b = F.size("l_tokens"), F.size("r_tokens")
     out = met.where((F.col("shared") >= least) & (F.col("shared") / F.least(a, b) >= share))
     return out.select(F.least("l_id", "r_id").alias("left_id"), F.greatest("l_id", "r_id").alias("right_id"), "shared", (F.col("shared") / F.least(a, b)).alias("containment"), (F.col("shared") / (a + b - F.col("shared"))).alias("jaccard"))
@@ -94,7 +100,7 @@ def top_candidates(df: DataFrame, window_days: int, least_shared: int, least_sco
     sets = ranked(df, least_shared, least_score).join(df.select("id", "day"), "id").withColumn("slot", F.floor(F.unix_date("day") / span))
     near = sets.withColumn("slot", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)))
     gap = F.abs(F.datediff("l_day", "r_day"))
-    met = meet(near, sets, ["slot"], _smaller_right() & (gap <= window_days), by="index").withColumn("shared", F.size(F.array_intersect("l_tokens", "r_tokens")))
+    met = meet(near, sets, ["slot"], _smaller_right(least_shared, least_score) & (gap <= window_days), by="index").withColumn("shared", F.size(F.array_intersect("l_tokens", "r_tokens")))
     a, b, n = F.size("l_tokens"), F.size("r_tokens"), F.col("shared")
     score = F.bround(0.72 * (n / F.least(a, b)) + 0.28 * (n / (a + b - n)), 4)
     scored = met.where(n >= least_shared).select(F.greatest("l_id", "r_id").alias("probe_id"), F.least("l_id", "r_id").alias("candidate_id"), gap.cast("int").alias("day_gap"), score.alias("score"))
@@ -102,11 +108,11 @@ def top_candidates(df: DataFrame, window_days: int, least_shared: int, least_sco
     return best.select("probe_id", F.col("rank").cast("int").alias("rank"), "candidate_id", "score", "day_gap")
 
 
-def meet_by_size(left: DataFrame, right: DataFrame) -> DataFrame:
+def meet_by_size(left: DataFrame, right: DataFrame, least: int, share: float) -> DataFrame:
     """As meet() of two tables, the smaller set of a pair looked up by its index."""
     a, b = F.size("l_tokens"), F.size("r_tokens")
-    one = meet(left, right, condition=b <= a, by="index")
-    two = meet(right, left, condition=b < a, by="index")
+    one = meet(left, right, condition=(b <= a) & _enough_left(least, share), by="index")
+    two = meet(right, left, condition=(b < a) & _enough_left(least, share), by="index")
     turned = two.select(*[F.col(f"{'r' if c[0] == 'l' else 'l'}{c[1:]}").alias(c) for c in one.columns])
     return one.unionAll(turned)
 

@@ -38,8 +38,10 @@ def prefix_target_examples(
     of a reply; they close the conversation in one more example of empty mask, both
     bounds null. Turns go by turn number, equal numbers by role and text; null numbers
     come first. A null role or text counts as empty, a null conv_id is a conversation
-    of its own, repeated turns stay repeated, an empty table gives no examples, and
-    other columns aren't carried.
+    of its own, so all rows without one are a single conversation; repeated turns stay
+    repeated, an empty table gives no examples, and other columns aren't carried. A
+    conversation is put together in one row, and an example holds its whole context:
+    one conversation must fit in a task, and its examples grow with the square of its turns.
     """
     conv = F.col(conv_col).cast("long")
     rows = turns.select(

@@ -105,8 +105,9 @@ def encode_pieces(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_c
     """One row per input row: id, ids array<int> and decoded string.
 
     Ids are the sentencepiece library's for the whole text, without begin or end ids;
-    decoded is its decode(ids). A null text counts as empty (no ids, empty string); a
-    null id stays null; repeated rows stay repeated; other columns aren't carried.
+    decoded is its decode(ids). Texts are encoded whole, however long. A null text
+    counts as empty (no ids, empty string); a null id stays null; repeated rows stay
+    repeated; other columns aren't carried; an empty table gives no rows.
     """
 
     def run(batches):

@@ -212,8 +212,14 @@ def plain_cotraining(docs, labels, rounds=4, sure=0.97, most=1000):
     y = lambda k: np.array([truth[docs[i][0]] for i in at(k)], float)
     raw = [odds(fits[0], text)[:, None], odds(fits[1], meta)[:, None]]
     cals = [plain_logistic(z[at("c")], y("c"), 1e-2) for z in raw]
-    both = np.column_stack([odds(c, z) for c, z in zip(cals, raw, strict=True)])
-    mixed = plain_logistic(both[at("m")], y("m"), 1e-2)
+    both = np.clip(np.column_stack([odds(c, z) for c, z in zip(cals, raw, strict=True)]), -8, 8)
+    use = [0, 1]
+    mixed = plain_logistic(both[at("m")], y("m"), 1.0)
+    if min(mixed[:2]) < 0:
+        use = [int(mixed[0] < 0)]
+        alone = plain_logistic(both[at("m")][:, use], y("m"), 1.0)
+        mixed = np.zeros(3)
+        mixed[use[0]], mixed[2] = alone
     return {d[0]: 1 / (1 + np.exp(-s)) for d, s in zip(docs, odds(mixed, both), strict=True)}
 
 

@@ -26,6 +26,7 @@ SHAPE = 14
 WORD_BUCKETS = 512
 META_BUCKETS = 64
 SCALE = 1_000_000
+SURE = 8.0  #: calibrated log odds count up to here
 
 _KIND = np.zeros(256, dtype=np.uint8)  # 0 other symbol, 1 lower, 2 upper, 3 digit, 4 space, 5 newline, 6 plain punctuation, 7 beyond ASCII
 for _c in range(256):
@@ -143,7 +144,20 @@ class CoTrained:
     def score(self, text_x: np.ndarray, meta_x: np.ndarray) -> np.ndarray:
         a = _odds(self.text_cal, _odds(self.text, text_x)[:, None])
         b = _odds(self.meta_cal, _odds(self.meta, meta_x)[:, None])
-        return _sigmoid(_odds(self.mix, np.column_stack([a, b])))
+        return _sigmoid(_odds(self.mix, np.clip(np.column_stack([a, b]), -SURE, SURE)))
+
+
+def mixed(both: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the calibrated log odds of the views, none below 0: a view that speaks against itself is left out."""
+    both = np.clip(both, -SURE, SURE)
+    w = logistic(both, y)
+    for v in (0, 1):
+        if w[v] < 0:
+            other = both.copy()
+            other[:, v] = 0.0
+            w = logistic(other, y)
+            w[v] = 0.0
+    return np.append(np.maximum(w[:-1], 0.0), w[-1])
 
 
 def dealt(y: np.ndarray) -> np.ndarray:
@@ -187,7 +201,7 @@ def cotrain(text_x: np.ndarray, meta_x: np.ndarray, y: np.ndarray, part: np.ndar
     odds = [_odds(fits[v], views[v]).astype(np.float64) for v in (0, 1)]
     cals = [logistic(odds[v][test][:, None], y[test].astype(float), ridge=1e-2) for v in (0, 1)]
     both = np.column_stack([_odds(cals[v], odds[v][last][:, None]) for v in (0, 1)])
-    return CoTrained(*fits, *cals, logistic(both, y[last].astype(float), ridge=1e-2))
+    return CoTrained(*fits, *cals, mixed(both, y[last].astype(float)))
 
 
 def _spread(places: list[list[int]]) -> np.ndarray:
@@ -270,10 +284,10 @@ def _scores(model: CoTrained, rows: pa.RecordBatch) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, model: CoTrained | None, *, threshold: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, model: CoTrained | None, *, threshold: float = 0.1) -> DataFrame:
     """One row per input row: doc_id, score (probability of good quality), kept.
 
-    A document goes only where it is likelier bad by more than two to one, so that an
+    A document goes only where it is likelier bad by more than nine to one, so that an
     odd but clean one stays.
 
     Without a model (no labels of both classes) nothing is told: scores are null and all
@@ -290,7 +304,7 @@ def score(docs: DataFrame, model: CoTrained | None, *, threshold: float = 0.3) -
     return _picked(docs).mapInArrow(run, "doc_id long, score double").withColumn("kept", F.coalesce(F.col("score") >= F.lit(threshold), F.lit(True)))
 
 
-def keep_good(docs: DataFrame, model: CoTrained | None, *, threshold: float = 0.3) -> DataFrame:
+def keep_good(docs: DataFrame, model: CoTrained | None, *, threshold: float = 0.1) -> DataFrame:
     """The rows of docs, all columns, that score() keeps; docs has source, lang and n_chars."""
     if model is None:
         return docs

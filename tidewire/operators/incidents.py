@@ -245,8 +245,11 @@ def relationships(reports: DataFrame, stories: DataFrame) -> DataFrame:
     r_parts = [F.col("r_title"), F.array_join("r_facts", " "), spaced(F.col("r_key"))]
     s_parts = [F.array_join("s_titles", " "), F.array_join("s_facts", " "), spaced(F.array_join("s_events", " "))]
     # facts of a report in no order of their own: phrases may span them, so both sides join them sorted
-    r = r.withColumns({"r_facts": F.array_sort("r_facts")}).withColumns({"r_steps": step(*r_parts), "r_phrases": phrase(*r_parts), "r_hurt": told.casualties(F.col("r_facts"))})
-    s = s.withColumns({"s_facts": F.array_sort("s_facts")}).withColumns({"s_steps": step(*s_parts), "s_phrases": phrase(*s_parts), "s_hurt": told.casualties(F.col("s_facts"))})
+    r = r.withColumns({"r_facts": F.array_sort("r_facts")}).withColumns({"r_steps": step(*r_parts), "r_phrases": phrase(*r_parts), "r_hurt": told.casualties(F.col("r_facts")), "r_told": _titled(F.col("r_title")), "r_tokens": told.relation_tokens(F.col("r_title")), "r_ktokens": told.relation_tokens(spaced(F.col("r_key")))})
+    s = s.withColumns({"s_facts": F.array_sort("s_facts")}).withColumns({"s_steps": step(*s_parts), "s_phrases": phrase(*s_parts), "s_hurt": told.casualties(F.col("s_facts")), "s_told": F.transform("s_titles", _titled), "s_tokens": told.relation_tokens(F.col("s_title")), "s_ktokens": told.relation_tokens(spaced(F.array_join("s_events", " ")))})
+
+    # computed once for a report and a story, not for each pair of them
+    r, s = cut(r), cut(s)
 
     def anchors(p: str, events: Column) -> Column:
         pair = lambda x, y: F.flatten(F.transform(F.col(f"{p}_{x}"), lambda v: F.transform(F.col(f"{p}_{y}"), lambda w: F.concat_ws("|", F.lit(f"{x}+{y}"), v, w))))
@@ -261,10 +264,10 @@ def relationships(reports: DataFrame, stories: DataFrame) -> DataFrame:
     only = lambda c, t: F.array_sort(F.filter(c, lambda x: F.substring_index(x, ":", 1) == t))
     hurt = F.exists(F.array_intersect(terms(F.col("r_hurt")), terms(F.col("s_hurt"))), lambda t: only(F.col("r_hurt"), t) != only(F.col("s_hurt"), t))
     distinct = lambda c: F.array_except(c, text.strings(fixed.COMMON_FACTS))
-    title_share = text.overlap(told.relation_tokens(F.col("r_title")), told.relation_tokens(F.col("s_title")))
+    title_share = text.overlap(F.col("r_tokens"), F.col("s_tokens"))
     fact_share = text.overlap(distinct(F.col("r_facts")), distinct(F.col("s_facts")))
-    event_share = text.overlap(told.relation_tokens(spaced(F.col("r_key"))), told.relation_tokens(spaced(F.array_join("s_events", " "))))
-    j = j.withColumns({"title_share": title_share, "fact_share": fact_share, "event_share": event_share, "hurt": hurt, "torn": _torn(F.col("r_title"), F.col("r_key"), F.col("s_titles"), F.col("s_events"))})
+    event_share = text.overlap(F.col("r_ktokens"), F.col("s_ktokens"))
+    j = j.withColumns({"title_share": title_share, "fact_share": fact_share, "event_share": event_share, "hurt": hurt, "torn": _torn(F.col("r_told"), F.col("r_key"), F.col("s_told"), F.col("s_events"))})
     j = j.withColumns({"steps": F.array_sort(F.array_except("r_steps", "s_steps")), "phrases": F.array_sort(F.array_except("r_phrases", "s_phrases"))})
     ts, fs, es, new_step = F.col("title_share"), F.col("fact_share"), F.col("event_share"), F.size("steps") > 0
     exact = F.array_contains("s_events", F.col("r_key"))
@@ -294,17 +297,17 @@ def relationships(reports: DataFrame, stories: DataFrame) -> DataFrame:
     )
 
 
-def _torn(title: Column, key: Column, titles: Column, events: Column) -> Column:
-    """Whether a title continues none of a story's and conflicts with one of them."""
-    mine, family = text.timeline_tokens(title), identity.event_family(title)
+def _titled(title: Column) -> Column:
+    """What of a title its timeline asks: key, tokens, family."""
+    return F.struct(text.headline_key(title).alias("k"), text.timeline_tokens(title).alias("t"), identity.event_family(title).alias("f"))
 
-    def told_by(tokens, kin):
-        shared, share = (lambda t: F.size(F.array_intersect(tokens, t))), (lambda t: text.overlap(tokens, t))
-        on = lambda x: (text.headline_key(title) == text.headline_key(x)) | text.bind(text.timeline_tokens(x), lambda t: ((shared(t) >= 2) & (share(t) >= 0.30)) | (share(t) >= 0.50))
-        off = lambda x: text.bind(F.struct(text.timeline_tokens(x).alias("t"), identity.event_family(x).alias("f")), lambda y: (kin != "unknown") & (y["f"] != "unknown") & (y["f"] != kin) & (share(y["t"]) < 0.20) & (shared(y["t"]) < 2))
-        return ~F.exists(titles, on) & F.exists(titles, off)
 
-    return ~F.array_contains(events, key) & text.bind(F.struct(mine.alias("t"), family.alias("f")), lambda m: told_by(m["t"], m["f"]))
+def _torn(mine: Column, key: Column, theirs: Column, events: Column) -> Column:
+    """Whether a title continues none of a story's and conflicts with one of them."""
+    shared, share = (lambda x: F.size(F.array_intersect(mine["t"], x["t"]))), (lambda x: text.overlap(mine["t"], x["t"]))
+    on = lambda x: (mine["k"] == x["k"]) | ((shared(x) >= 2) & (share(x) >= 0.30)) | (share(x) >= 0.50)
+    off = lambda x: (mine["f"] != "unknown") & (x["f"] != "unknown") & (x["f"] != mine["f"]) & (share(x) < 0.20) & (shared(x) < 2)
+    return ~F.array_contains(events, key) & F.exists(theirs, off) & ~F.exists(theirs, on)
 
 
 # -- the whole cascade -------------------------------------------------------------------

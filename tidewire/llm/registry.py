@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 import public_tokenizers
 
-from tidewire.llm import chat, embeddup, langid, minhash, pii, quality, topk
+from tidewire.llm import chat, collocations, embeddup, infill, langid, minhash, pii, quality, topk, urlfilter
 from tidewire.llm.common import table
 from tidewire.llm.packing import pack_documents
 from tidewire.llm.sentencepieces import piece_digests
@@ -57,6 +57,22 @@ def op10_language(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    return infill.infill_digests(table(spark, sf_dir, "documents"))
+
+
+#: the query's rules; a URL that one of them decides is a labelled one
+URL_RULES = ["allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/"]
+
+
+def op12_url_filter(spark, sf_dir):
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"), [urlfilter.parse_rule(r) for r in URL_RULES])
+
+
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_topk_search": op1_topk_search,
@@ -69,6 +85,9 @@ def queries():
         "op8_sentencepiece": op8_sentencepiece,
         "op9_quality": op9_quality,
         "op10_language": op10_language,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_url_filter": op12_url_filter,
+        "op13_collocations": op13_collocations,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -137,5 +156,61 @@ FROM embeddings d LEFT JOIN c ON c.a = d.vec_id LEFT JOIN n ON n.a = d.vec_id
 """
 
 
+#: Cuts and forms from the contract alone; a text is restored to itself.
+OP11_SQL = """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents
+), h AS (
+  SELECT *, CAST('0x' || x[1:8] AS BIGINT) % (n + 1) AS u, CAST('0x' || x[9:16] AS BIGINT) % (n + 1) AS v,
+    CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM t
+), c AS (
+  SELECT *, least(u, v) AS p, abs(u - v) AS m,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h
+), o AS (
+  SELECT *, substring(text, 1, p) AS prefix, substring(text, p + 1, m) AS middle, substring(text, p + m + 1) AS suffix FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(p AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(m AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM o
+"""
+
+#: All n-grams counted by a plain GROUP BY.
+OP13_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, k, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) s(k))
+), f AS (
+  SELECT lang, k, array_to_string(g, ' ') AS phrase, g, count(*) AS f FROM grams GROUP BY lang, k, g
+), often AS (SELECT * FROM f WHERE f >= 30),
+sizes AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+cuts AS (
+  SELECT lang, k, phrase, g, f AS a, unnest(range(1, k)) AS cut_at FROM often WHERE k > 1
+), scored AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.cut_at, l.f AS l, r.f AS r, 2000000::HUGEINT * c.a // (l.f::HUGEINT + r.f) AS score
+  FROM cuts c JOIN often l ON l.lang = c.lang AND l.g = c.g[1:c.cut_at] JOIN often r ON r.lang = c.lang AND r.g = c.g[c.cut_at + 1:]
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut_at) = 1
+), longer AS (
+  SELECT lang, f, array_to_string(g[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, f, g, size, unnest(range(1, k - size + 2)) AS i FROM often, (VALUES (2), (3)) s(size) WHERE size < k)
+), within AS (
+  SELECT lang, phrase, max(f) AS f FROM longer GROUP BY lang, phrase
+), ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank
+  FROM lowest s LEFT JOIN within i ON i.lang = s.lang AND i.phrase = s.phrase WHERE i.f IS NULL OR 100::HUGEINT * i.f < 80::HUGEINT * s.a
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql():
-    return {"op1_topk_search": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op6_chat": OP6_SQL}
+    return {"op1_topk_search": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op6_chat": OP6_SQL, "op11_fill_in_middle": OP11_SQL, "op13_collocations": OP13_SQL}

@@ -43,8 +43,14 @@ def one(spark):
         (text.word_count, None, 0),
         (urls.domain, "https://WWW.Example.com:8080/x", "example.com"),
         (urls.cache_url, "HTTP://Ex.com//a//b/?utm_source=x&b=2&a&ref=y#top", "http://ex.com/a/b/?b=2&a="),
-        (urls.identity_url, "https://Ex.com:443/a//b/?z=1&utm_id=4&b=2#x", "https://ex.com/a/b?b=2&z=1"),
+        (urls.identity_url, "https://Ex.com:443/a//b/?z=1&utm_id=4&b=2#x", "https://ex.com/a/b?b=2&utm_id=4&z=1"),
         (urls.identity_url, "https://ex.com/feed/item", ""),
+        (urls.identity_url, "https://ex.com/news/story-1?oc=5&x=1", "https://ex.com/news/story-1?x=1"),
+        (urls.identity_url, "https://ex.com/news/story-1?x=1&output=amp", "https://ex.com/news/story-1?x=1"),
+        (urls.identity_url, "https://ex.com/news/story-1?utm_id=9&UTM_Source=a&utm_term=b&utm_medium=c&utm_campaign=d&utm_content=e", "https://ex.com/news/story-1?utm_id=9"),
+        (urls.identity_url, "https://ex.com/news/story-1?fbclid=1&gclid=2&mc_cid=3&mc_eid=4&ocid=5", "https://ex.com/news/story-1?ocid=5"),
+        (urls.cache_url, "https://ex.com/a?oc=5&ocid=1&output=2&utm_id=3&ref=4", "https://ex.com/a?oc=5&output=2"),
+        (urls.ranking_url, "https://ex.com/a?oc=5&ocid=1&output=2&utm_id=3&ref=4", "https://ex.com/a?ocid=1&output=2&ref=4"),
         (urls.identity_url, "https://ex.com/one", ""),
         (urls.identity_url, "ftp://ex.com/a/b", ""),
         (urls.archive_url, " HTTPS://Ex.com/A/?q=1 ", "https://ex.com/a/"),

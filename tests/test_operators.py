@@ -251,8 +251,18 @@ def test_feeds(spark, tmp_path):
     assert (row.title, row.link, row.body, row.domain, row.image_url) == ("A & B", "https://x.org/n/1", "short", "x.org", "https://x.org/i.jpg")
     assert row.article_id.startswith("rss-") and str(row.published) == "2026-01-05 10:00:00"
     assert [r.missing for r in feeds.rejects(e).collect()] == ["link"]
-    (tmp_path / "c.xml").write_text(good.replace("short", "long " * (feeds.FEED_BYTES // 5 + 1)))
-    assert feeds.read_feeds(spark, str(tmp_path)).count() == 2
+
+
+def test_feeds_keep_what_is_whole(spark, tmp_path):
+    item = "<item><title>T{}</title><link>https://x.org/n/{}</link><description>d</description></item>"
+    # the cut falls within the third entry, or within a letter of two bytes
+    head = "<rss><channel>" + item.format(0, 0) + item.format(1, 1)
+    (tmp_path / "a.xml").write_text(head + "<item><title>" + "é" * feeds.FEED_BYTES + "</title></item>" + item.format(3, 3) + "</channel></rss>")
+    (tmp_path / "b.xml").write_text("<rss><channel>" + item.format(0, 0) + "<item><title>bad & <b></title></item>" + '<item\nrdf:about="u">' + "<title>third</title></item >" + "</channel></rss>")
+    (tmp_path / "c.xml").write_text("")
+    (tmp_path / "d.xml").write_text("<itemize><title>no entry</title></itemize>")
+    got = [(r.feed[-5:], r.pos, r.title) for r in feeds.read_feeds(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [("a.xml", 0, "T0"), ("a.xml", 1, "T1"), ("b.xml", 0, "T0"), ("b.xml", 2, "third")]
 
 
 def test_scorer_answers_are_checked(spark):

@@ -140,7 +140,7 @@ MEASURES = r"\b(?:amendment|proposition|measure|resolution|ordinance|referendum|
 
 # URL keys, feed paths and source types.
 CACHE_TRACKING = ["gclid", "fbclid", "mc_cid", "mc_eid", "ocid", "cmpid", "ref", "ref_src"]
-IDENTITY_TRACKING = ["utm_campaign", "utm_content", "utm_id", "utm_medium", "utm_source", "utm_term", "fbclid", "gclid", "mc_cid", "mc_eid"]
+IDENTITY_TRACKING = ["oc", "output", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term", "fbclid", "gclid", "mc_cid", "mc_eid"]
 RANKING_TRACKING = ["oc", "gclid", "fbclid"]
 FEED_SEGMENTS = ["feed", "feeds", "rss"]
 FEED_FILE = r"\.(?:rss|xml|atom)/?$"

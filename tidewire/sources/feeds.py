@@ -21,14 +21,20 @@ FEED_BYTES = 4_000_000
 
 
 def read_feeds(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
-    """Entries of all feed documents under a path, with the file and a place in order.
+    """Entries of all feed documents under a path, with the file and their place in it.
 
-    Documents that can't be parsed or have over FEED_BYTES give no entries; missing
-    elements are null.
+    Of a document over FEED_BYTES its first FEED_BYTES are read, and what is whole in
+    them; an entry cut off there or never closed, and one that can't be parsed, is left
+    out, while the others stay. Missing elements are null. ``pos`` counts the entries of
+    a document from 0. Text is UTF-8.
     """
-    raw = spark.read.format("xml").schema(ENTRY).option("rowTag", row_tag).option("mode", "DROPMALFORMED").load(path)
-    at = F.col("_metadata.file_path")
-    return raw.where(F.col("_metadata.file_size") <= FEED_BYTES).select("*", at.alias("feed"), F.monotonically_increasing_id().alias("pos"))
+    files = spark.read.format("binaryFile").load(path)
+    text_ = F.substring(F.col("content"), 1, FEED_BYTES).cast("string")
+    whole = F.regexp_extract_all(text_, F.lit(rf"(?s)<{row_tag}(?:\s[^>]*)?>.*?</{row_tag}\s*>"), F.lit(0))
+    found = files.select(F.col("path").alias("feed"), F.posexplode(whole).alias("pos", "xml"))
+    entry = F.from_xml("xml", T.StructType([*ENTRY.fields, T.StructField("_broken", T.StringType())]), {"columnNameOfCorruptRecord": "_broken"})
+    read = found.select(entry.alias("e"), "feed", F.col("pos").cast("long").alias("pos"))
+    return read.where(F.col("e").isNotNull() & F.col("e._broken").isNull()).select(*[F.col(f"e.`{f.name}`").alias(f.name) for f in ENTRY.fields], "feed", "pos")
 
 
 def body(content: Column, summary: Column) -> Column:

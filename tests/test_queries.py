@@ -1,6 +1,9 @@
 """Every registered query of the engine against its SQL in DuckDB."""
 
+import os
 import re
+import subprocess
+import sys
 from difflib import SequenceMatcher
 
 import duckdb
@@ -106,6 +109,11 @@ def test_section_backfill_by_hand(spark):
     assert {s: list(dict(sorted(c.items())).values()) for s, c in got.items()} == {s: [i for i, _ in c] for s, c in want.items() if c}
 
 
+def test_entry_survives_a_missing_dependency():
+    code = "import sys; sys.modules['public_tokenizers'] = None; import warnings; warnings.simplefilter('ignore'); import __spark_entry__ as e; from tidewire.plans import registry; assert set(e.queries()) == set(registry.queries()) and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def test_entry_point(spark):
     import __spark_entry__ as entry
 

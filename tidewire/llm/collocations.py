@@ -10,15 +10,16 @@ exactly by their words. Scores, cuts and subsumption are joins over the frequent
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.llm.common import plain_binary
 from tidewire.operators.checkpoints import cut
 
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -26,9 +27,8 @@ _END = re.compile(b"[.,;:!?\n-\r]")
 
 #: bytes of lower-cased text: A-Z become a-z, others stay
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_KIND = np.zeros(256, np.uint8)
-_KIND[[0x20, 0x09]] = 1
-_KIND[list(PIECE_ENDS)] = 2
+#: of each byte: 0 in a word, 1 between words, 2 at the end of a piece
+_KIND = bytes(2 if c in PIECE_ENDS else 1 if c in b" \t" else 0 for c in range(256))
 
 ROWS = 2
 #: a row of the sketch has at least 2 ** _LEAST_BITS cells and at most 2 ** most_bits
@@ -43,6 +43,10 @@ _PARTS = 64
 _MOST_COUNT = 127
 
 
+#: of the polynomial that hashes a word; words that collide only make the sketch count more
+_BASE = np.uint64(0xD1342543DE82EF95)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(31))
     x = x * np.uint64(0x9E3779B97F4A7C15)
@@ -54,13 +58,13 @@ class Words:
 
     def __init__(self, text: bytes):
         text = text.translate(_LOWER)
-        kind = _KIND[np.frombuffer(text, np.uint8)]
+        kind = np.frombuffer(text.translate(_KIND), np.uint8)
         inside = kind == 0
         edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
         starts, ends = edges[::2], edges[1::2]
         offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
-        letters = np.frombuffer(text, np.uint8)[inside]
-        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters.tobytes())])
+        letters = text.translate(None, b" \t" + PIECE_ENDS)
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
         coded = words.dictionary_encode()
         self.table: pa.Array = coded.dictionary
         self.ids = coded.indices.to_numpy().astype(np.int64)
@@ -72,8 +76,14 @@ class Words:
 
     def hashes(self, lang: str, most: int) -> list[np.ndarray]:
         """Of phrases of 1 to ``most`` words from each position on, whether in one piece or not."""
-        seed = xxhash.xxh64_intdigest(lang.encode()) & 0xFFFFFFFF
-        first = np.array([xxhash.xxh64_intdigest(w, seed) for w in self.table.to_pylist()], np.uint64)[self.ids]
+        offsets, letters = plain_binary(self.table)
+        lengths = np.diff(offsets)
+        powers = np.full(int(lengths.max(initial=0)), _BASE, np.uint64)
+        powers[:1] = 1
+        powers = np.cumprod(powers, dtype=np.uint64)
+        terms = (letters.astype(np.uint64) + np.uint64(1)) * powers[np.arange(len(letters)) - np.repeat(offsets[:-1], lengths)]
+        known = np.add.reduceat(terms, offsets[:-1]) if len(lengths) else np.zeros(0, np.uint64)
+        first = _mix(known ^ np.uint64(zlib.crc32(lang.encode()) << 16))[self.ids]
         out = [first]
         for k in range(2, most + 1):
             before = out[-1][: max(0, len(first) - k + 1)]
@@ -120,13 +130,13 @@ def _packed(cells: list[np.ndarray], block_bits: int, least: int):
     every = every[first]
     block = (every >> every.dtype.type(block_bits)).astype(np.int64)
     at = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
+    place = (every & every.dtype.type((1 << block_bits) - 1)).astype(np.uint32)
+    gaps = np.diff(place, prepend=np.uint32(0))
+    gaps[at[:-1]] = place[at[:-1]]
+    planes = [(gaps >> np.uint32(8 * i)).astype(np.uint8).tobytes() for i in range((block_bits + 7) // 8)]  # the higher nearly vanish
+    planes.append(counts.tobytes())
     small = zstandard.ZstdCompressor(level=1)
-    out = []
-    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        place = (every[lo:hi] & every.dtype.type((1 << block_bits) - 1)).astype("<u4")
-        gaps = np.diff(place, prepend=place.dtype.type(0))
-        planes = gaps.view(np.uint8).reshape(-1, 4).T  # high bytes are mostly zero, so they nearly vanish
-        out.append(small.compress(planes.tobytes() + counts[lo:hi].tobytes()))
+    out = [small.compress(b"".join(p[lo:hi] for p in planes)) for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(block[at[:-1]], pa.int64()), pa.array(out, pa.binary())], names=["block", "cells"])
 
 
@@ -162,10 +172,10 @@ def _sketch(texts: DataFrame, bits: int, most: int, least: int) -> np.ndarray:
         for b in batches:
             for block, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = np.frombuffer(open_.decompress(packed), np.uint8)
-                n = len(raw) // 5
-                place = np.cumsum(np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view("<u4").ravel(), dtype=np.int64)
+                planes = raw.reshape((block_bits + 7) // 8 + 1, -1)
+                place = np.cumsum(sum(p.astype(np.int64) << (8 * i) for i, p in enumerate(planes[:-1])))
                 held = sums.setdefault(block, np.zeros(1 << block_bits, np.uint8))
-                held[place] = np.minimum(held[place] + raw[4 * n :], least)
+                held[place] = np.minimum(held[place] + planes[-1], least)
         for block, held in sums.items():
             if (reached := held >= least).any():
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(reached, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])

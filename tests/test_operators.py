@@ -42,7 +42,7 @@ def test_components_and_aliases(spark):
     active = spark.createDataFrame([(11,), (20,)], "id long")
     assert sorted(map(tuple, graph.flatten_aliases(aliases, active).collect())) == [(1, 11), (2, 11), (3, 11), (10, 11)]
     lineage = spark.createDataFrame([(1, 50), (3, 50), (7, 51)], "id long, root long")
-    assert {r.id: r.component for r in graph.lineage_safe(e, lineage).collect()} == {7: 7, 8: 7}
+    assert {r.id: r.component for r in graph.lineage_safe(e, lineage).collect()} == {1: 1, 2: 1, 7: 7, 8: 7}
 
 
 def test_similar_sets_are_those_of_all_pairs(spark):

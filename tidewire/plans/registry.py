@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewire.plans import activation, articles, identity, incidents, pages, recovery, routing, stories, surface
+from tidewire.plans import activation, articles, identity, incidents, pages, recovery, repair, routing, stories, surface
 
-_ALL = {**pages.QUERIES, **articles.QUERIES, **stories.QUERIES, **identity.QUERIES, **surface.QUERIES, **routing.QUERIES, **incidents.QUERIES, **recovery.QUERIES, **activation.QUERIES}
+_ALL = {**pages.QUERIES, **articles.QUERIES, **stories.QUERIES, **identity.QUERIES, **surface.QUERIES, **routing.QUERIES, **incidents.QUERIES, **recovery.QUERIES, **activation.QUERIES, **repair.QUERIES}
 
 
 def flagship(spark, sf_dir):

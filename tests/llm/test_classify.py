@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -64,21 +65,92 @@ def test_scripts_without_spaces_are_learned(spark, pieces):
     texts = [("".join(rng.choices("abcde" if k % 2 else "vwxyz", k=300)), "la" if k % 2 else "lz") for k in range(60)]
     out = langid.identify(frame(spark, [(k, t, lang, "s", 1) for k, (t, lang) in enumerate(texts)] + [(99, "½ ² ①", "la", "s", 1)]), pieces).collect()
     assert {r.doc_id: r.lang_pred for r in out} == {**{k: lang for k, (_, lang) in enumerate(texts)}, 99: "und"}
-    assert langid.expected_counts(langid.vocabulary(pieces), [1 / 9e4] * len(langid.vocabulary(pieces)), 1e-7, Counter(langid.learned_parts(["日" * 5000])))
 
 
-def test_too_many_languages(spark, pieces, monkeypatch):
-    monkeypatch.setattr(langid, "MOST_LANGS", 3)
-    with pytest.raises(ValueError, match="languages"):
-        langid.identify(frame(spark, [(i, "some text", f"l{i}", "s", 1) for i in range(40)]), pieces)
+def test_many_languages(spark, pieces):
+    docs = [(i, " ".join([f"w{chr(97 + i % 26)}{chr(97 + i // 26)}"] * 9), f"l{i:04}", "s", 1) for i in range(600)]
+    langs, probs = langid.fit(frame(spark, docs), pieces, rounds=1)
+    assert langs == [d[2] for d in docs] and probs.shape[1] == 600 and np.allclose(probs.sum(axis=0), 1)
 
 
-def test_long_words_do_not_underflow(pieces):
+def plain_forward(word, prob, reach, unknown=1e-7):
+    """Log of the sum over all segmentations, as a plain sum in logarithms."""
+    alpha = [0.0]
+    for j in range(1, len(word) + 1):
+        ways = [alpha[i] + np.log(prob[word[i:j]]) for i in range(max(0, j - reach), j) if word[i:j] in prob]
+        if word[j - 1 : j] not in prob:
+            ways.append(alpha[j - 1] + np.log(unknown))
+        alpha.append(np.logaddexp.reduce(ways))
+    return alpha[-1]
+
+
+def test_long_words_are_summed_whole(pieces):
+    names = langid.vocabulary(pieces)
+    rng = np.random.default_rng(0)
+    probs = rng.dirichlet(np.ones(len(names)), 2).T
+    scorer = langid.Unigrams(names, probs)
+    reach = max(map(len, names))
+    letters = "".join(rng.choice(list("etaoinshrdlu"), 1000))
+    words = [*langid.words_of(letters + " plain"), *langid.words_of("q" * 3000), *langid.words_of("日" * 400)]
+    assert list(map(len, words)) == [1001, 6, 3001, 401]
+    for lang in (0, 1):
+        prob = dict(zip(names, probs[:, lang], strict=True))
+        assert scorer.forward(words)[:, lang] == pytest.approx([plain_forward(w, prob, reach) for w in words])
+
+
+def test_long_words_are_learned_whole():
+    pieces, probs = ["▁", "▁a", "a", "b", "ab", "aba"], [0.1, 0.3, 0.2, 0.15, 0.2, 0.05]
+    short, long = "▁" + "abab" * 7, "▁" + "abab" * 9  # a plain sum, and one in logarithms
+    assert len(short) <= langid.SHORT < len(long)
+    for word in (short, long, "▁" + "ab" * 3000):
+        got = langid.expected_counts(pieces, probs, 1e-7, Counter({word: 3}))
+        assert sum(n * len(pieces[k]) for k, n in got.items()) == pytest.approx(3 * len(word))  # every letter is in a piece
+    # the derivative of the likelihood gives the same counts
+    for word in (short, long):
+        got = langid.expected_counts(pieces, probs, 1e-7, Counter({word: 1}))
+        for k in range(len(pieces)):
+            up = dict(zip(pieces, probs, strict=True))
+            up[pieces[k]] *= 1 + 1e-6
+            change = (plain_forward(word, up, 3) - plain_forward(word, dict(zip(pieces, probs, strict=True)), 3)) / 1e-6
+            assert got.get(k, 0) == pytest.approx(change, abs=1e-3)
+
+
+def test_identify_equals_a_plain_version(spark, pieces):
+    rng = random.Random(11)
+    docs = [(i, " ".join(rng.choices(EN if i % 2 else DE, k=rng.randint(1, 7))) + rng.choice(["", " " + "".join(rng.choices("enhaus", k=40))]), "en" if i % 2 else "de", "s", 1) for i in range(40)]
+    docs += [(100, None, "en", "s", 1), (101, "", None, "s", 1), (102, "12 34", "de", "s", 1), (103, "das haus", None, "s", 1)]
     names = langid.vocabulary(pieces)
-    scorer = langid.Unigrams(names, np.full((len(names), 3), 1 / len(names)))
-    words = langid.words_of("q" * 5000 + " plain")
-    assert max(map(len, words)) <= langid.LONGEST + 1
-    assert np.isfinite(scorer.forward(words)).all() and (scorer.forward(words)[:-1] < -400).any()
+    start = np.array([1.0 / (10 + i) for i in range(len(names))])
+    reach, langs = max(map(len, names)), ["de", "en"]
+    prob = {k: dict(zip(names, start / start.sum(), strict=True)) for k in langs}
+    out = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, *_ in docs}
+    for _ in range(2):
+        for k in langs:
+            uses = Counter()
+            for i, t, lang, *_ in docs:
+                if lang == k and t and not out[i]:
+                    for w in langid.words_of(t):
+                        whole = plain_forward(w, prob[k], reach)
+                        ahead = [plain_forward(w[:j], prob[k], reach) if j else 0.0 for j in range(len(w) + 1)]
+                        behind = [0.0] * (len(w) + 1)
+                        for j in range(len(w) - 1, -1, -1):
+                            ways = [np.log(prob[k][w[j:e]]) + behind[e] for e in range(j + 1, min(len(w), j + reach) + 1) if w[j:e] in prob[k]]
+                            behind[j] = np.logaddexp.reduce([*ways, *([] if w[j] in prob[k] else [np.log(1e-7) + behind[j + 1]])])
+                        for j in range(len(w)):
+                            for e in range(j + 1, min(len(w), j + reach) + 1):
+                                if w[j:e] in prob[k]:
+                                    uses[w[j:e]] += np.exp(ahead[j] + np.log(prob[k][w[j:e]]) + behind[e] - whole)
+            fresh = np.array([0.5 + uses[p] for p in names])
+            prob[k] = dict(zip(names, fresh / fresh.sum(), strict=True))
+    got = {r.doc_id: r for r in langid.identify(frame(spark, docs), pieces).collect()}
+    for i, t, *_ in docs:
+        words = langid.words_of(t or "")
+        if not words:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        total = np.array([sum(plain_forward(w, prob[k], reach) for w in words) for k in langs])
+        assert got[i].lang_pred == langs[int(np.argmax(total))] and got[i].held_out == out[i]
+        assert got[i].score == pytest.approx(1 / np.exp((total - total.max()) / np.sqrt(len(words))).sum(), abs=1e-5)
 
 
 def test_languages_are_told(spark, pieces):

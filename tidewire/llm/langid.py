@@ -19,13 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import keep_cache
+from tidewire.operators.checkpoints import cut
 
 MARK = "▁"
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTERS = regex.compile(r"\p{L}+")  # a word may hold signs like ½ and ² too
-LONGEST = 256  #: a longer run of letters is scored in parts of this length
-PART = 32  #: and learned from in parts of this one
-MOST_LANGS = 512
+SHORT = 32  #: the segmentations of a word up to this length can't underflow when summed
 _VOCAB: dict[str, list[str]] = {}
 
 
@@ -41,11 +40,10 @@ def vocabulary(path: str) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    """The marked words of a text, runs of over LONGEST letters in parts."""
+    """The marked words of a text, each whole."""
     out = []
     for found in _WORD.findall(text.lower()):
-        for w in [found] if found.isalpha() else _LETTERS.findall(found):
-            out += [MARK + w] if len(w) <= LONGEST else [MARK * (i == 0) + w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
+        out += [MARK + w for w in ([found] if found.isalpha() else _LETTERS.findall(found))]
     return out
 
 
@@ -99,6 +97,7 @@ class Unigrams:
         self.reach = max(map(len, pieces), default=1)
         self.langs = probs.shape[1]
         self.table: dict[str, int] = {}
+        self.letters = 0  # of the words in the table
         self.most = max(10_000, 1_000_000 // max(1, self.langs))
         self.scores = np.zeros((0, self.langs))
 
@@ -114,51 +113,58 @@ class Unigrams:
         return out
 
     def _forward(self, ws: list[str]) -> np.ndarray:
-        """As forward(), of words from the longest to the shortest."""
-        top, n = len(ws[0]), len(ws)
+        """As forward(), of words from the longest to the shortest.
+
+        A place is reached from no further than the longest piece, so only so many places
+        are held, in a ring, however long a word is.
+        """
+        top, n, ring = len(ws[0]), len(ws), self.reach + 1
         lengths = np.array([len(w) for w in ws])
-        chars = np.frombuffer("".join(w.ljust(top) for w in ws).encode("utf-32-le"), np.uint32).reshape(n, top).astype(np.int64)
-        longer = [int(np.searchsorted(-lengths, -k, side="right")) for k in range(top + 2)]  # words of length k or more
-        alpha = np.zeros((top + self.reach + 1, n, self.langs))
+        chars = np.frombuffer("".join(w.ljust(top) for w in ws).encode("utf-32-le"), np.uint32).reshape(n, top)
+        longer = np.searchsorted(-lengths, -np.arange(top + 2), side="right").tolist()  # words of length k or more
+        alpha = np.zeros((ring, n, self.langs))
         alpha[0] = 1.0
         logs, out = np.zeros((n, self.langs)), np.zeros((n, self.langs))
         for i in range(top + 1):
             ends = slice(longer[i + 1], longer[i])
-            out[ends] = np.log(np.maximum(alpha[i, ends], 1e-300)) + logs[ends]
+            if ends.start < ends.stop:
+                out[ends] = np.log(np.maximum(alpha[i % ring, ends], 1e-300)) + logs[ends]
             m = longer[i + 1]
             if not m:
                 break
             if i and i % 8 == 0:
-                low = alpha[i, :m] < 1e-120
+                low = alpha[i % ring, :m] < 1e-120
                 if low.any():
                     factor = np.where(low, 1e120, 1.0)
-                    alpha[i : i + self.reach + 1, :m] *= factor
+                    alpha[:, :m] *= factor
                     logs[:m] -= np.log(factor)
-            here, on, node = alpha[i], np.arange(m), np.zeros(m, np.int64)
+            here, on, node = alpha[i % ring, :m].copy(), np.arange(m), np.zeros(m, np.int64)
+            alpha[i % ring] = 0.0
             for k in range(1, self.reach + 1):
                 inside = int(np.searchsorted(on, longer[i + k])) if i + k <= top else 0
                 on, node = on[:inside], node[:inside]
                 if not inside:
                     break
-                node = self.trie.step(node, chars[on, i + k - 1])
+                node = self.trie.step(node, chars[on, i + k - 1].astype(np.int64))
                 piece = np.where(node >= 0, self.trie.piece[node], -1)
                 hit = piece >= 0
                 at = on[hit]
-                alpha[i + k, at] += here[at] * self.probs[piece[hit]]
+                alpha[(i + k) % ring, at] += here[at] * self.probs[piece[hit]]
                 if k == 1:
                     at = on[~hit]
-                    alpha[i + 1, at] += here[at] * self.unknown
+                    alpha[(i + 1) % ring, at] += here[at] * self.unknown
                 on, node = on[node >= 0], node[node >= 0]
         return out
 
     def add(self, texts_words: list[list[str]]) -> None:
         """Score the words that the table lacks; empty it first when it is full."""
-        if len(self.table) > self.most:
-            self.table, self.scores = {}, np.zeros((0, self.langs))
+        if len(self.table) > self.most or self.letters > 32 * self.most:
+            self.table, self.scores, self.letters = {}, np.zeros((0, self.langs)), 0
         new = list({w for ws in texts_words for w in ws if w not in self.table})
         if new:
             self.table.update(zip(new, range(len(self.scores), len(self.scores) + len(new)), strict=True))
             self.scores = np.vstack([self.scores, self.forward(new)])
+            self.letters += sum(map(len, new))
 
     def of(self, words: list[str]) -> np.ndarray:
         """(words, languages): the scores of words that add() has met."""
@@ -169,35 +175,51 @@ class Unigrams:
         return self.of(words).sum(axis=0)
 
 
-def learned_parts(words: list[str]) -> list[str]:
-    """Words in parts of at most PART characters, whose probabilities can't underflow."""
-    return [w[i : i + PART] for w in words for i in range(0, len(w), PART)]
+def _log_sum(values: list[float]) -> float:
+    top = max(values)
+    return top + math.log(sum(math.exp(v - top) for v in values))
+
+
+def _spans(w: str, ids: dict[str, int], reach: int, probs: list[float], unknown: float) -> list[list[tuple[int, int, float]]]:
+    """For each place in a word, the pieces that end there: (start, piece or -1, probability)."""
+    out: list[list[tuple[int, int, float]]] = [[]]
+    for j in range(1, len(w) + 1):
+        own = []
+        for i in range(max(0, j - reach), j):
+            k = ids.get(w[i:j])
+            if k is not None:
+                own.append((i, k, probs[k]))
+            elif i == j - 1:
+                own.append((i, -1, unknown))
+        out.append(own)
+    return out
 
 
 def expected_counts(pieces: list[str], probs: np.ndarray, unknown: float, words: Counter) -> dict[int, float]:
-    """Expected uses of each piece in the words of one language, given its probabilities."""
+    """Expected uses of each piece in the words of one language, given its probabilities.
+
+    Over all segmentations of each whole word. Those of short words are summed as they
+    are; of longer ones their logarithms, which can't underflow.
+    """
     ids, reach, out = {p: i for i, p in enumerate(pieces)}, max(map(len, pieces), default=1), Counter()
     for w, times in words.items():
-        n = len(w)
-        spans = [[] for _ in range(n + 1)]
-        alpha = [0.0] * (n + 1)
-        alpha[0] = 1.0
-        for j in range(1, n + 1):
-            total = 0.0
-            for i in range(max(0, j - reach), j):
-                k = ids.get(w[i:j])
-                if k is not None:
-                    p = probs[k]
-                    spans[j].append((i, k, p))
-                    total += alpha[i] * p
-                elif i == j - 1:
-                    spans[j].append((i, -1, unknown))
-                    total += alpha[i] * unknown
-            alpha[j] = total
-        if alpha[n] <= 0.0:
+        n, spans = len(w), _spans(w, ids, reach, probs, unknown)
+        if n > SHORT:
+            forward, backward = [0.0] * (n + 1), [[] for _ in range(n)] + [[0.0]]
+            for j in range(1, n + 1):
+                forward[j] = _log_sum([forward[i] + math.log(p) for i, _, p in spans[j]])
+            for j in range(n, 0, -1):
+                rest = _log_sum(backward[j])
+                backward[j] = []
+                for i, k, p in spans[j]:
+                    backward[i].append(rest + math.log(p))
+                    if k >= 0:
+                        out[k] += times * math.exp(forward[i] + math.log(p) + rest - forward[n])
             continue
-        beta = [0.0] * (n + 1)
-        beta[n] = 1.0
+        alpha = [1.0] + [0.0] * n
+        for j in range(1, n + 1):
+            alpha[j] = sum(alpha[i] * p for i, _, p in spans[j])
+        beta = [0.0] * n + [1.0]
         for j in range(n, 0, -1):
             share = beta[j] * times / alpha[n]
             for i, k, p in spans[j]:
@@ -209,16 +231,14 @@ def expected_counts(pieces: list[str], probs: np.ndarray, unknown: float, words:
 
 def _sample(docs: DataFrame, per_lang: int, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], DataFrame | None]:
     """The languages in order, and (lang, text) of about ``per_lang`` documents of each."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col).cast("string")).count().limit(MOST_LANGS + 1).collect()}
-    if len(counts) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages to learn: is {lang_col} a language?")
-    langs = sorted(counts)
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    counts = cut(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    langs = sorted(r.lang for r in counts.select("lang").collect())
     if not langs:
         return langs, None
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1_000_000, math.ceil(1_000_000 * per_lang / counts[k]))))])
-    sample = labelled.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("langid")), F.lit(1_000_000)) < share[F.col(lang_col).cast("string")])
-    return langs, sample.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    share = F.least(F.lit(1_000_000), F.ceil(F.lit(1_000_000) * per_lang / F.col("n")))
+    drawn = labelled.join(counts, "lang").where(F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1_000_000)) < share)
+    return langs, drawn.select("lang", "text")
 
 
 def fit(docs: DataFrame, model: str, *, per_lang: int = 400, rounds: int = 2, smoothing: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
@@ -227,8 +247,8 @@ def fit(docs: DataFrame, model: str, *, per_lang: int = 400, rounds: int = 2, sm
     Fits on about ``per_lang`` documents of each language (all, if fewer), drawn by a
     hash of the id; that bounds what a round reads in and the driver gets, at most a
     count for each piece and language. Rows with a null text or language are left out.
-    Long words are learned in parts. More than MOST_LANGS languages raise a ValueError,
-    as the model, pieces by languages, goes to every task.
+    Words are learned from whole, however long. The model, pieces by languages, reaches
+    the driver and every task, so its size grows with the number of languages alone.
     """
     pieces = vocabulary(model)
     langs, sample = _sample(docs, per_lang, id_col, text_col, lang_col)
@@ -236,7 +256,7 @@ def fit(docs: DataFrame, model: str, *, per_lang: int = 400, rounds: int = 2, sm
     probs = np.tile((start / start.sum())[:, None], (1, max(1, len(langs))))
     if not langs:
         return langs, probs
-    at = {k: i for i, k in enumerate(langs)}
+    at, sample = {k: i for i, k in enumerate(langs)}, cut(sample)
     for _ in range(rounds):
         now = probs.astype(np.float64)
 
@@ -244,7 +264,7 @@ def fit(docs: DataFrame, model: str, *, per_lang: int = 400, rounds: int = 2, sm
             words: dict[str, Counter] = {}
             for b in batches:
                 for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    words.setdefault(lang, Counter()).update(learned_parts(words_of(text.as_py())))
+                    words.setdefault(lang, Counter()).update(words_of(text.as_py()))
             names = vocabulary(model)
             for lang, held in words.items():
                 found = expected_counts(names, now[:, at[lang]].tolist(), 1e-7, held)
@@ -368,9 +388,9 @@ def predict(docs: DataFrame, fitted, model: str, *, id_col: str = "doc_id", text
     ``und`` with score 0 where the text is null or has no letter, or nothing was
     learned. The score is the language's posterior with log odds divided by the square
     root of the number of words, so that it says something for long texts too. Equal
-    likelihoods go to the first language by name. Texts count whole, a long run of
-    letters in parts. Null ids and repeated rows are kept; other columns aren't carried;
-    an empty table gives no rows.
+    likelihoods go to the first language by name. Texts and words count whole, however
+    long. Null ids and repeated rows are kept; other columns aren't carried; an empty
+    table gives no rows.
     """
     predicted = _predictor(fitted, model)
 
@@ -389,6 +409,11 @@ def held_out(id_col: str = "doc_id"):
 
 
 def identify(docs: DataFrame, model: str, **fit_options) -> DataFrame:
-    """Fit on what isn't held out, predict all: id, held_out, lang_pred, score."""
+    """Fit on what isn't held out, predict all: id, held_out, lang_pred, score.
+
+    Null texts, languages and ids, empty and long texts, repeated rows, extra columns and
+    empty tables are as in fit() and predict(); a row without an id is held out, and
+    repeated ids are held out or learned from together.
+    """
     fitted = fit(docs.where(~held_out()), model, **fit_options)
     return predict(docs, fitted, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

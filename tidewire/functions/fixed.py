@@ -136,6 +136,11 @@ REFUSAL = (
     r"\byou.ve only provided the headlines\b|\bas an ai(?: language model)?\b|\bi would need you to provide (?:the )?(?:full text|source|article)\b"
 )
 HERO_WORDS, CARD_WORDS, CARD_MOST_WORDS, SOURCE_WORDS, FULL_SOURCE_WORDS, BRIEF_WORDS = 120, 60, 140, 80, 140, 40
+# Blocks and sentences of a page that are no article text, and the most words that are kept.
+LD_JSON = r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
+ARTICLE, PARAGRAPH = r"(?is)<article[^>]*>(.*?)</article>", r"(?is)<p[^>]*>(.*?)</p>"
+PAGE_JUNK = ["subscribe", "sign up", "cookie", "advertisement", "all rights reserved", "privacy policy", "newsletter", "download our app", "manage preferences"]
+ARTICLE_MOST_WORDS = 2500
 MEASURES = r"\b(?:amendment|proposition|measure|resolution|ordinance|referendum|initiative|house bill|senate bill|bill)\s+(?:no\.?\s*)?[a-z0-9-]+\b"
 
 # URL keys, feed paths and source types.

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 DUPLICATE, UPDATE, NEW, HOLD = "duplicate_use_existing_canonical", "update_existing_canonical", "new_story", "hold"
 SAME_EVENT_LEAST, NEW_LEAST = 0.82, 0.65
@@ -11,10 +15,70 @@ SAME_EVENT_LEAST, NEW_LEAST = 0.82, 0.65
 DECISION = "selected_candidate_slug string, same_real_world_event boolean, material_new_update boolean, independently_newsworthy_followup boolean, confidence double, recommended_action string, novel_facts array<string>"
 
 
-def tolerant_json(c: Column) -> Column:
-    """The outermost braces of a text: code fences and commentary around them dropped."""
-    bare = F.regexp_replace(F.coalesce(c, F.lit("")), r"```(?:json)?", "")
-    return F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
+def mended(raw: str) -> str | None:
+    """A JSON value at the start of a text, without commas that lead nowhere, closed where the text ends too soon."""
+    out, ends, quoted, escaped = [], [], False, False
+    for ch in raw:
+        if quoted:
+            out.append(ch)
+            quoted, escaped = escaped or ch != '"', not escaped and ch == "\\"
+            continue
+        if ch in "}]":
+            while out and (out[-1].isspace() or out[-1] == ","):
+                out.pop()
+            if not ends or ends.pop() != ch:
+                return None
+        elif ch in "{[":
+            ends.append("}" if ch == "{" else "]")
+        quoted = ch == '"'
+        out.append(ch)
+        if not ends:
+            return "".join(out)
+    text = "".join(out[:-1] if escaped else out) + '"' * quoted
+    closing = "".join(reversed(ends))
+    while text:  # what was begun last may not be whole: a key, a number, a word
+        bare = text.rstrip().rstrip(",")
+        for tail in ("", "null" if bare.endswith(":") else ":null"):
+            try:
+                json.loads(bare + tail + closing)
+                return bare + tail + closing
+            except ValueError:
+                continue
+        text = bare[: max(bare.rfind(","), 0)]
+    return None
+
+
+def first_object(raw: str | None) -> str | None:
+    """The first JSON object in a model's reply, as JSON: commentary, fences and braces of prose around it don't matter.
+
+    What reads as it stands comes first; only where nothing does, a reply with trailing
+    commas or one that was cut short is mended.
+    """
+    raw = (raw or "").strip()
+    if raw.startswith("```"):
+        raw = raw.split("```")[1].strip()
+        raw = raw[4:] if raw.lower().startswith("json") else raw
+    starts = [i for i, ch in enumerate(raw) if ch == "{"]
+    for at in starts:
+        try:
+            value, _ = json.JSONDecoder().raw_decode(raw, at)
+            return json.dumps(value)
+        except ValueError:
+            continue
+    for at in starts:
+        found = mended(raw[at:])
+        try:
+            value = json.loads(found) if found else None
+        except ValueError:
+            continue
+        if value:
+            return json.dumps(value)
+    return None
+
+
+@F.pandas_udf(StringType())
+def tolerant_json(replies: pd.Series) -> pd.Series:
+    return replies.map(first_object, na_action="ignore")
 
 
 def validated(df: DataFrame, response: str, slugs: str) -> DataFrame:

@@ -116,6 +116,28 @@ def page_text(spark, sf_dir):
 PAGE_TEXT_SQL = f"WITH {_WEB_SQL} SELECT page_id, title, CAST(n_words AS BIGINT) AS n_words, sha256(body) AS body_sha256 FROM w"
 
 
+def article_texts(spark, sf_dir):
+    """Which rule gives a page's article text, with its words and digest."""
+    t = table(spark, sf_dir, "pages").select("page_id", pages.article_text(F.col("html")).alias("t")).select("page_id", "t.rule", "t.text")
+    return t.select("page_id", "rule", pages.space_words(F.col("text")).cast("long").alias("n_words"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def _cleaned(expr: str) -> str:
+    visible = _plain(f"regexp_replace(regexp_replace({expr}, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')")
+    parts = f"string_split(regexp_replace({visible}, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1))"
+    kept = f"list_filter({parts}, lambda s: len(list_filter(string_split(s, ' '), lambda w: w <> '')) >= 5 AND len(list_filter({_quoted(fixed.PAGE_JUNK)}, lambda j: contains(lower(s), j))) = 0)"
+    return f"array_to_string(list_slice(list_filter(string_split(array_to_string({kept}, ' '), ' '), lambda w: w <> ''), 1, {fixed.ARTICLE_MOST_WORDS}), ' ')"
+
+
+_LD = fixed.LD_JSON.replace("'", "''")
+ARTICLE_TEXTS_SQL = f"""WITH b AS (SELECT page_id, html, list_filter(list_transform(regexp_extract_all(html, '{_LD}', 1), lambda x: json_extract_string(try_cast(x AS JSON), '$.articleBody')), lambda x: x <> '') AS bodies,
+  CASE WHEN regexp_matches(html, '{fixed.ARTICLE}') THEN regexp_extract(html, '{fixed.ARTICLE}', 1) ELSE html END AS scope FROM pages),
+c AS (SELECT page_id, list_filter(list_transform(bodies, lambda x: {_cleaned('x')}), lambda x: len(string_split(x, ' ')) >= {fixed.FULL_SOURCE_WORDS}) AS told, {_cleaned(f"array_to_string(regexp_extract_all(scope, '{fixed.PARAGRAPH}', 1), ' ')")} AS blocks FROM b),
+t AS (SELECT page_id, CASE WHEN len(told) > 0 THEN 'json_ld' WHEN blocks <> '' AND len(string_split(blocks, ' ')) >= {fixed.SOURCE_WORDS} THEN 'paragraphs' ELSE 'none' END AS rule, told, blocks FROM c),
+x AS (SELECT page_id, rule, CASE rule WHEN 'json_ld' THEN told[1] WHEN 'paragraphs' THEN blocks ELSE '' END AS text FROM t)
+SELECT page_id, rule, CAST(CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) END AS BIGINT) AS n_words, sha256(text) AS text_sha256 FROM x"""
+
+
 def depth_gate(spark, sf_dir):
     """Pages in and out of the depth gate (full or summary, 80 words) by domain, with a histogram of what fails."""
     w = web_pages(spark, sf_dir).select("domain", "n_words").withColumn("quality", pages.quality(F.col("n_words"), F.lit(False)))
@@ -208,6 +230,7 @@ QUERIES = {
     "url_forms": (url_forms, URL_FORMS_SQL),
     "domain_rollup": (domain_rollup, DOMAIN_ROLLUP_SQL),
     "page_text": (page_text, PAGE_TEXT_SQL),
+    "article_texts": (article_texts, ARTICLE_TEXTS_SQL),
     "depth_gate": (depth_gate, DEPTH_GATE_SQL),
     "unique_owner_index": (unique_owner_index, UNIQUE_OWNER_SQL),
     "source_profile": (source_profile, SOURCE_PROFILE_SQL),

@@ -59,3 +59,19 @@ def test_article_text_takes_the_first_rule_that_suffices(spark):
         assert r.k != "junk" or "subscribe" not in r.t.text
     long = spark.createDataFrame([("<p>" + WORDS * 400 + "</p>",)], "html string").select(pages.article_text(F.col("html")).alias("t")).first()
     assert len(long.t.text.split()) == fixed.ARTICLE_MOST_WORDS
+
+
+def test_titles_that_hold_each_other(spark):
+    import random
+
+    from tidewire.operators import substrings
+
+    rng = random.Random(2)
+    say = lambda n: "".join(rng.choice("ab cd") for _ in range(n))
+    heads = [(i, say(rng.choice([0, 2, 5, 9, 30, 70]))) for i in range(60)] + [(90, None), (91, "Storm HITS the coast"), (92, "x" * 60)] + [(i, "hot one here") for i in range(100, 130)]
+    bank = [(i, say(rng.choice([0, 1, 3, 6, 7, 12, 60]))) for i in range(80)] + [(200, None), (201, "hits the"), (202, "big storm hits the coast at night"), (203, "x" * 50 + "y"), (204, "hot one here"), (205, "hot one here")]
+    low = lambda v: (v or "").lower()[:50]
+    want = {i: min((e for e, t in bank if low(h) and low(t) and (low(h) in low(t) or low(t) in low(h))), default=None) for i, h in heads}
+    got = substrings.first_title(spark.createDataFrame(heads, "id long, headline string"), spark.createDataFrame(bank, "entry_id long, title string"))
+    assert {r.id: r.entry_id for r in got.collect()} == want and want[91] is not None and want[92] == 203
+    assert "CartesianProduct" not in got._jdf.queryExecution().executedPlan().toString() and "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.functions import fixed, text
-from tidewire.operators import activation
+from tidewire.operators import activation, substrings
 from tidewire.plans import articles as ap
 from tidewire.plans import incidents as ip
 from tidewire.sources.views import ARTICLES_SQL, _quoted, articles, table
@@ -100,6 +100,20 @@ CONTENT_SQL = f"""WITH {ARTICLES_SQL}, t AS (SELECT article_id AS id, source, {_
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY shared DESC, entry_id) AS rank FROM p WHERE shared >= 2) SELECT id, CAST(rank AS INTEGER) AS rank, entry_id, shared FROM r WHERE rank <= 5"""
 
 
+def image_titles(spark, sf_dir):
+    """The first entry whose title lies in each text's opening: titles are the third to sixth words of texts."""
+    whole = text.collapse(F.col("body"))
+    a = articles(spark, sf_dir).select("article_id", whole.alias("whole"))
+    caption = F.array_join(F.slice(F.split("whole", " "), 3, 4), " ")
+    return substrings.first_title(a.select(F.col("article_id").alias("id"), F.col("whole").alias("headline")), a.select(F.col("article_id").alias("entry_id"), caption.alias("title")))
+
+
+IMAGE_TITLES_SQL = f"""WITH {ARTICLES_SQL}, w AS (SELECT article_id, {ap._SPACE('body')} AS whole FROM articles),
+h AS (SELECT article_id AS id, lower(left(whole, 50)) AS h, lower(left(array_to_string(string_split(whole, ' ')[3:6], ' '), 50)) AS t FROM w),
+m AS (SELECT a.h, min(b.id) AS entry_id FROM (SELECT DISTINCT h FROM h WHERE h <> '') a JOIN h b ON b.t <> '' AND (contains(a.h, b.t) OR contains(b.t, a.h)) GROUP BY a.h)
+SELECT id, entry_id FROM h LEFT JOIN m USING (h)"""
+
+
 def archive_cleanup(spark, sf_dir):
     """The archive row that each report is a duplicate of, itself if it is none."""
     r = ip.reports(spark, sf_dir)
@@ -140,6 +154,7 @@ QUERIES = {
     "assignment_plans": (assignment_plans, PLANS_SQL),
     "classified_sources": (classified_sources, CLASSIFIED_SQL),
     "content_matches": (content_matches, CONTENT_SQL),
+    "image_titles": (image_titles, IMAGE_TITLES_SQL),
     "archive_cleanup": (archive_cleanup, CLEANUP_SQL),
     "small_values": (small_values, SMALL_SQL),
     "event_stories": (event_stories, EVENTS_SQL),

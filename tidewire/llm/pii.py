@@ -34,7 +34,8 @@ FIRST = {
     ("f", "cyrillic"): ["Анна", "Мария", "Елена", "Ольга", "Наталья", "Татьяна", "Ирина", "Светлана"],
 }
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora"], "u": ["Dr", "Prof"]}
-NO_NAMES = ["A", "All", "Also", "An", "And", "Are", "As", "At", "But", "By", "Can", "For", "From", "Had", "Has", "Have", "He", "Her", "His", "How", "I", "If", "In", "Is", "It", "Its", "My", "No", "Not", "Of", "On", "Or", "Our", "She", "So", "That", "The", "Their", "They", "This", "To", "Us", "Was", "We", "Were", "When", "Who", "Will", "With", "You", "Your"]
+NO_NAMES = ["A", "All", "Also", "An", "And", "Are", "As", "At", "But", "By", "Can", "For", "From", "Had", "Has", "Have", "He", "Her", "His", "How", "I", "If", "In", "Is", "It", "Its", "My", "No", "Not", "Of", "On", "Or", "Our", "She", "So", "That", "The", "Their", "They", "This", "To", "Us", "Was", "We", "Were", "When", "Who", "Will", "With", "You", "Your", "New", "San", "Los", "Las", "Valued", "Customer", "Customers", "Sir", "Madam", "Team", "Support", "Sales", "Office", "Department", "Service", "University", "Station", "Street", "Avenue", "Ave", "Road", "Rd", "Boulevard", "Blvd", "Drive", "Square", "Terrace"]
+PARTICLES = ["van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "la", "le", "ten", "ter", "bin", "ibn", "el", "al"]
 CUES = ["met", "met with", "contact", "Contact", "contact:", "Contact:", "Dear", "Hello", "Hi", "named", "called", "name is", "name:", "Name:", "author:", "Author:", "Attn:", "signed", "Signed", "Sincerely,", "Regards,", "regards,", "I am", "I'm", "spoke to", "spoke with", "ask for", "interview with", "interviewed"]
 STREETS = ["Street", "St", "Avenue", "Ave", "Road", "Rd", "Lane", "Ln", "Boulevard", "Blvd", "Drive", "Court", "Square", "Terrace"]
 SYLLABLES = {
@@ -54,22 +55,23 @@ _TITLE = "|".join(t for titles in TITLES.values() for t in titles)
 _WORD = r"\p{Lu}[\p{L}'’-]+"
 _SURNAME = rf"(?!(?:{'|'.join(NO_NAMES)})(?![\p{{L}}'’-])){_WORD}"
 _CAPS = rf"(?!(?:{'|'.join(w.upper() for w in NO_NAMES)})(?![\p{{L}}'’-]))\p{{Lu}}[\p{{Lu}}'’-]+(?!\p{{L}})"
+_OF = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}"
 _CUE = "|".join(CUES)
 _STREET = "|".join(STREETS)
 _HEX = "[0-9A-Fa-f]{1,4}"
 #: By kind, in order of precedence at one place of a text.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,255}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63})+",
-    "secret": r"""(?<=[=:"'\s])(?<=[=:]\s{0,3}["']?)(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?)[A-Za-z0-9+/_.~-]{8,}=*|(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9_])(?:ghp_|sk-|xox[abp]-)[A-Za-z0-9_-]{16,}""",
+    "secret": r"""(?<=[=:"'\s])(?<=[=:]\s{0,3}["']?)(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?)[A-Za-z0-9+/_.~-]{8,}=*|(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9_])(?:ghp_|sk-|xox[abp]-)[A-Za-z0-9_-]{16,}|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|(?<=-)(?<=PRIVATE KEY-----\s{0,2})[A-Za-z0-9+/=\s]{16,}(?=-----END)""",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip6": rf"(?<![\w:.])(?=[0-9A-Fa-f]{{1,4}}:[0-9A-Fa-f:]{{3}})(?=[A-Fa-f:]{{0,36}}\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![\w:])",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
+    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])|(?<=(?i:ssn|social security number)[ :#]{1,3})\d{3} \d{2} \d{4}(?!\d)",
+    "phone": r"(?<![\d+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])|(?<![\d+.-])1[.-]\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])|(?<![\d+.-])0\d{2} \d{4} \d{4}(?!\d)",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "street": rf"(?<![\p{{L}}\p{{N}}.,])\d{{1,5}} (?:\p{{Lu}}\p{{Ll}}+ ){{1,3}}(?:{_STREET})(?![\p{{L}}\p{{N}}])",
-    "card": r"(?<![\d.])\d{4}(?:[ -]\d{4}){3}(?!\d)|(?<![\d.])\d{13,19}(?!\d)",
+    "card": r"(?<![\d.])\d{4}(?:[ -]\d{4}){3}(?!\d)|(?<![\d.])3[47]\d{2}[ -]\d{6}[ -]\d{5}(?!\d)|(?<![\d.])\d{13,19}(?!\d)",
     "name": (
-        rf"(?=[A-ZА-ЯЁ])(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLE})\.? (?:{_SURNAME} )?{_SURNAME}|(?:{_GIVEN}) {_SURNAME}|(?:{_SHOUTED}) {_CAPS}"
+        rf"(?=[A-ZА-ЯЁ])(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLE})\.? (?:{_SURNAME} )?{_OF}{_SURNAME}|(?:{_GIVEN}) {_OF}{_SURNAME}|(?:{_SHOUTED}) {_CAPS}"
         rf"|(?<=(?<![\p{{L}}\p{{N}}])(?:{_CUE}) ){_SURNAME} {_SURNAME}|{_SURNAME} {_SURNAME}(?= [<(][^\s@<>()]{{1,64}}@))"
     ),
 }
@@ -77,8 +79,8 @@ _NUMBERS = ("ssn", "phone", "ip", "street", "card")
 #: One pattern for all. What starts with a digit, + or ( is looked at only there.
 ANY = "|".join([*(f"(?:{PATTERNS[k]})" for k in ("email", "secret", "iban", "ip6")), rf"(?=[\d+(])(?:{'|'.join(PATTERNS[k] for k in _NUMBERS)})", f"(?:{PATTERNS['name']})"])
 #: A text without a digit, an @, one of these words or, after two capitals, one of these names has no entity.
-HINT_WORDS = ["password", "passwd", "pwd", "secret", "token", "api_key", "api-key", "apikey", "ghp_", "sk-", "xox", "akia", "asia"]
-HINT_CAPITALS = r"\p{Lu}[\p{L}'’-]+\.? \p{Lu}"
+HINT_WORDS = ["password", "passwd", "pwd", "secret", "token", "api_key", "api-key", "apikey", "ghp_", "sk-", "xox", "akia", "asia", "eyj", "private key"]
+HINT_CAPITALS = rf"\p{{Lu}}[\p{{L}}'’-]+\.? {_OF}\p{{Lu}}"
 HINT_NAMES = rf"(?<![\p{{L}}\p{{N}}])(?:(?=[A-ZА-ЯЁ])(?:{_TITLE}|{_GIVEN}|{_SHOUTED})\.? |(?:{_CUE}) {_WORD} )"
 
 
@@ -101,8 +103,8 @@ def kind_of(mention: Column) -> Column:
     for kind in ("iban", "ssn", "phone", "ip", "card"):
         out = out.when(mention.rlike(f"^(?:{PATTERNS[kind]})$"), F.lit(kind))
     out = out.when(mention.rlike("^[0-9A-Fa-f]+:[0-9A-Fa-f:]+$"), F.lit("ip6")).when(mention.rlike(f"^{PATTERNS['street']}$"), F.lit("street"))
-    # a name was told by what stands around it
-    return out.when(mention.rlike(rf"^(?:(?:{_TITLE})\.? )?{_WORD}(?: {_WORD})?$"), F.lit("name")).otherwise(F.lit("secret"))
+    # a name was told by what stands around it, and has two words at least; a secret has no space
+    return out.when(mention.rlike(rf"^(?:(?:{_TITLE})\.? )?(?:{_WORD} )?{_OF}{_WORD}$") & F.contains(mention, F.lit(" ")), F.lit("name")).otherwise(F.lit("secret"))
 
 
 def _digits(c: Column) -> Column:
@@ -146,7 +148,7 @@ def _parts(mention: Column, kind: Column) -> Column:
     d = _digits(mention)
     canon = (
         F.when(kind.isin("email", "ip6"), F.lower(mention))
-        .when(kind == "phone", F.when(mention.startswith("+"), d).otherwise(F.concat(F.lit("1"), d)))
+        .when(kind == "phone", F.when(mention.startswith("+") | d.startswith("0") | ((F.length(d) == 11) & d.startswith("1")), d).otherwise(F.concat(F.lit("1"), d)))
         .when(kind.isin("card", "ssn"), d)
         .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
         .otherwise(mention)
@@ -161,7 +163,7 @@ def _parts(mention: Column, kind: Column) -> Column:
     gender = F.when(title.isin(TITLES["m"]), F.lit("m")).when(title.isin(TITLES["f"]), F.lit("f")).when(listed("m"), F.lit("m")).when(listed("f"), F.lit("f")).when(F.lower(last).rlike(f"{_HIS}а$"), F.lit("f")).otherwise(F.lit("u"))
 
     def word(w, i):
-        k = F.when((i == 0) & titled, F.lit("title")).when(i < F.size(words) - 1, F.concat(F.lit("first_"), gender)).otherwise(F.lit("surname"))
+        k = F.when(((i == 0) & titled) | w.isin(PARTICLES), F.lit("title")).when(i < F.size(words) - 1, F.concat(F.lit("first_"), gender)).otherwise(F.lit("surname"))
         whole = F.concat_ws(" ", F.lower(w), _his(last))
         return part(k, F.when(k == "title", w).when(k == "surname", _his(w)).otherwise(whole), w)
 
@@ -182,7 +184,7 @@ def _drawn(kind: Column, canon: Column, attempt: Column, stream: Column) -> Colu
     pick = lambda letters, b: F.substring(F.lit(letters), b % len(letters) + 1, F.lit(1))
     script = lambda c: F.when(c.rlike("[Ѐ-ӿ]"), F.lit("cyrillic")).otherwise(F.lit("latin"))
     code = F.when(canon.rlike(f"^(?:{SHORT_CODES[:3]})"), 1).when(canon.rlike(f"^(?:{SHORT_CODES})"), 2).otherwise(3)
-    keep = F.when(kind == "card", 1).when(kind == "phone", code).when(kind == "iban", 4).when((kind == "secret") & canon.rlike("^(?:AKIA|ASIA|ghp_|xox)"), 4).when((kind == "secret") & canon.startswith("sk-"), 3).otherwise(0)
+    keep = F.when(kind == "card", 1).when(kind == "phone", code).when(kind == "iban", 4).when((kind == "secret") & canon.rlike("^(?:AKIA|ASIA|ghp_|xox)"), 4).when((kind == "secret") & canon.rlike("^(?:sk-|eyJ)"), 3).otherwise(0)
     hexadecimal = canon.rlike("^[0-9a-f]+$") | (kind == "ip6")
     at = F.length(canon) - F.length(F.substring_index(canon, "@", -1))  # place of the @, 0 without one
     top = F.length(canon) - F.length(F.substring_index(canon, ".", -1))

@@ -240,7 +240,7 @@ def test_views_teach_each_other():
     y = rng.integers(0, 2, 1200)
     text, meta = ((2 * y - 1)[:, None] * 1.3 + rng.normal(size=(1200, 2)) for _ in "ab")
     seen = np.where(np.arange(1200) < 60, y, -1)
-    model = quality.cotrain(text, meta, seen, quality.dealt(seen), rounds=4, sure=0.9, each_round=200)
+    model = quality.cotrain(text, meta, seen, quality.dealt(seen), rounds=4, sure=0.9)
     assert ((model.score(text, meta) >= 0.5) == y).mean() > 0.93
 
 
@@ -254,7 +254,7 @@ def plain_logistic(x, y, ridge):
     return w
 
 
-def plain_cotraining(docs, labels, rounds=4, sure=0.97, most=1000):
+def plain_cotraining(docs, labels, rounds=4, sure=0.97):
     """The method row by row, without Spark: documents -> probability of good quality."""
     odds = lambda w, x: np.asarray(x, float) @ w[:-1] + w[-1]
     docs = sorted(docs)
@@ -278,8 +278,7 @@ def plain_cotraining(docs, labels, rounds=4, sure=0.97, most=1000):
             p = 1 / (1 + np.exp(-odds(fits[v], x)))
             other = taught[1 - v]
             for label, c in ((1, p), (0, 1 - p)):
-                free = sorted((-c[i], i) for i in range(len(docs)) if part[i] is None and i not in other and c[i] >= sure)
-                other.update((i, label) for _, i in free[:most])
+                other.update((i, label) for i in range(len(docs)) if part[i] is None and i not in other and c[i] >= sure)
     at = lambda k: [i for i in range(len(docs)) if part[i] == k]
     y = lambda k: np.array([truth[docs[i][0]] for i in at(k)], float)
     raw = [odds(fits[0], text)[:, None], odds(fits[1], meta)[:, None]]

@@ -172,11 +172,11 @@ def dealt(y: np.ndarray) -> np.ndarray:
     return part
 
 
-def cotrain(text_x: np.ndarray, meta_x: np.ndarray, y: np.ndarray, part: np.ndarray, rounds: int = 4, sure: float = 0.97, each_round: int = 1000) -> CoTrained | None:
+def cotrain(text_x: np.ndarray, meta_x: np.ndarray, y: np.ndarray, part: np.ndarray, rounds: int = 4, sure: float = 0.97) -> CoTrained | None:
     """y: 0, 1, or -1 for no label. part: see dealt(); each part calibrates or mixes rows it hasn't been fitted on.
 
-    In a round each view gives the other at most ``each_round`` of the unlabelled rows
-    of either class that it is sure of. None if a class has no label.
+    In a round each view gives the other all the unlabelled rows that it is sure of.
+    None if a class has no label.
     """
     known = y >= 0
     if len(np.unique(y[known])) < 2:
@@ -195,9 +195,7 @@ def cotrain(text_x: np.ndarray, meta_x: np.ndarray, y: np.ndarray, part: np.ndar
             p = _sigmoid(_odds(fits[v], views[v]))
             free = (ys[1 - v] < 0) & ~known
             for label, confident in ((1, p), (0, 1 - p)):
-                at = np.flatnonzero(free & (confident >= sure))
-                at = at[np.argsort(-confident[at], kind="stable")[:each_round]]
-                ys[1 - v][at] = label
+                ys[1 - v][free & (confident >= sure)] = label
     odds = [_odds(fits[v], views[v]).astype(np.float64) for v in (0, 1)]
     cals = [logistic(odds[v][test][:, None], y[test].astype(float), ridge=1e-2) for v in (0, 1)]
     both = np.column_stack([_odds(cals[v], odds[v][last][:, None]) for v in (0, 1)])
@@ -218,14 +216,14 @@ def _picked(docs: DataFrame) -> DataFrame:
     return docs.select(col("doc_id", "long"), F.coalesce(F.col("text"), F.lit("")).alias("text"), col("source", "string"), col("lang", "string"), col("n_chars", "long"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 16_000, least: int = 2_000, strict: bool = False) -> CoTrained | None:
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 16_000, least: int = 2_000, unlabelled: int | None = None, strict: bool = False) -> CoTrained | None:
     """Fit on about ``sample`` documents (all, if fewer) drawn by a hash of the id.
 
     Half of them have a label: those train, calibrate and mix, see dealt(). However many
     documents have none, labelled ones are drawn at a rate of their own, one for both
     classes, or a higher one for a class that would fall under ``least``; the scores are
-    set back by what that adds to the odds. The other half, without a label, are the
-    pool for pseudo-labels. Only features reach the driver, of one row for an id: of
+    set back by what that adds to the odds. About ``unlabelled`` documents without a
+    label (half of ``sample``, if not given) are the pool for pseudo-labels. Only features reach the driver, of one row for an id: of
     repeated ids the first by text. A document with several labels takes their mean,
     rounded; null labels and null ids don't count.
 
@@ -244,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 16_000, least: int
         return None
     both = sample / 2 / (counts[0] + counts[1])
     rates = {q: min(1.0, max(both, least / counts[q])) for q in (0, 1)}
-    pool = min(1.0, sample / 2 / max(1, counts.get(None, 0)))
+    pool = min(1.0, (sample / 2 if unlabelled is None else unlabelled) / max(1, counts.get(None, 0)))
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(SCALE))
     upto = lambda rate: F.lit(math.ceil(SCALE * rate))
     # about half a sample of ids, so that no text is shuffled to meet its label

@@ -87,10 +87,10 @@ def test_lexical_features(spark):
 
     want = {"url_length": len(url), "host_length": len(host), "path_length": len(path), "query_length": 9, "host_depth": 3, "path_depth": 3, "host_digits": 2 / 17, "path_digits": 1 / 13, "host_entropy": entropy(host), "path_entropy": entropy(path), "n_params": 3, "n_hyphens": 1, "has_fragment": 1}
     assert {k: one[k] for k in want} == pytest.approx(want)
-    assert [one[k] for k in urlfilter.SUFFIXES] == ["com", "example99.com", "a-b.example99.com", "html"]
+    assert [one[k] for k in urlfilter.SUFFIXES] == ["com", "example99.com", "a-b.example99.com", "html", "x1", "com/x1"]
     for r in rest:
         assert [r[k] for k in urlfilter.LEXICAL] == [0.0] * len(urlfilter.LEXICAL)
-        assert [r[k] for k in urlfilter.SUFFIXES] == [None] * 4
+        assert [r[k] for k in urlfilter.SUFFIXES] == [None] * 5 + [""]
 
 
 def test_trees_tell_held_out_urls(spark):

@@ -4,7 +4,8 @@ A rule names a host, with all its subdomains, and the start of a path; the longe
 fits decides. URLs that a rule decides are the labelled ones: the trees are trained on a
 bounded sample of them, drawn by a hash of the URL, and judge the URLs that no rule fits.
 Features are lengths, depths, digit ratios, entropies, parameter counts and statistics of
-suffixes (of the host and of the path's last segment). All of it is Spark SQL and Spark's
+suffixes (of the host, alone and with the path's first segment, and of the path's last
+segment). All of it is Spark SQL and Spark's
 own trees.
 """
 
@@ -34,7 +35,7 @@ LEXICAL = (
     "url_length", "host_length", "path_length", "query_length", "host_depth", "path_depth", "host_digits",
     "path_digits", "host_entropy", "path_entropy", "n_params", "n_hyphens", "has_fragment",
 )
-SUFFIXES = ("last_label", "last_two", "last_three", "extension")
+SUFFIXES = ("last_label", "last_two", "last_three", "extension", "segment", "place")
 
 
 def parse_rule(text: str) -> Rule:
@@ -108,7 +109,8 @@ def lexical(df: DataFrame, url: str, host: str, path: str) -> DataFrame:
         "has_fragment": F.contains(u, F.lit("#")),
     }
     suffix = lambda k: F.when(F.size(labels) >= k, F.concat_ws(".", F.slice(labels, -k, k)))
-    ends = {"last_label": suffix(1), "last_two": suffix(2), "last_three": suffix(3), "extension": F.nullif(F.regexp_extract(last, r"\.([A-Za-z0-9]{1,8})$", 1), F.lit(""))}
+    ends = {"last_label": suffix(1), "last_two": suffix(2), "last_three": suffix(3), "extension": F.nullif(F.regexp_extract(last, r"\.([A-Za-z0-9]{1,8})$", 1), F.lit("")), "segment": F.get(segments, F.lit(0))}
+    ends["place"] = F.concat_ws("/", ends["last_label"], ends["segment"])
     return df.select("*", *(v.cast("double").alias(k) for k, v in values.items()), *(ends[k].alias(k) for k in SUFFIXES))
 
 
@@ -122,7 +124,7 @@ class Filter:
 def _rates(df: DataFrame, stats: DataFrame, prior: float, fold: Column | None) -> DataFrame:
     """df with a smoothed rate of blocked URLs for each suffix; those of row's own fold are left out.
 
-    ``stats`` has at most four rows for a labelled URL of the bounded sample, so it can be broadcast.
+    ``stats`` has at most six rows for a labelled URL of the bounded sample, so it can be broadcast.
     """
     for kind in SUFFIXES:
         own = stats.where(F.col("kind") == kind).select(F.col("suffix").alias("__suffix"), F.col("n").alias("__n"), F.col("blocked").alias("__blocked"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import text
-from tidewire.operators import graph, identity, ordered, repair, surface
+from tidewire.operators import activation, graph, identity, ordered, repair, surface
 from tidewire.plans import registry
 from tidewire.plans.repair import registry_entries
 
@@ -281,3 +281,13 @@ def test_first_seen_folds_chains_in_few_checkpoints(spark, monkeypatch):
     assert len(cuts) <= 20
     got = ordered.first_seen(df.where("k < 16"), "g", "k", ["a", "b"], most=6).collect()  # too long for a task: rounds go on
     assert {(r.g, r.k) for r in got} == {(g, k) for g, k in want if k < 16}
+
+
+def test_activation_is_rolled_back_beyond_its_limit(spark):
+    places = [("a", 0, 1, "", "One two three four", False), ("a", 1, 2, "", "Five six seven eight", False), ("a", 2, 3, "", "One two three four", False), ("a", 3, 4, "", "One two three four", True), ("b", 0, 5, "", "Nine ten eleven twelve", False)]
+    df = spark.createDataFrame(places, "section string, pos int, item_id int, url string, title string, custom boolean")
+    recs = spark.createDataFrame([("", "one two three four!", True), ("", "Nine ten eleven twelve", False)], "url string, title string, enforceable boolean")
+    at = lambda **o: {r.item_id: (r.action, r.new_pos) for r in activation.activate(df, recs, **o).collect()}
+    stay = {1: ("kept", 0), 2: ("kept", 1), 3: ("kept", 2), 4: ("kept", 3), 5: ("kept", 0)}
+    assert at(mode="enforce", most=2) == {1: ("removed", None), 2: ("promoted", 0), 3: ("removed", None), 4: ("kept", 1), 5: ("kept", 0)}
+    assert at(mode="enforce", most=1) == at(mode="shadow", most=9) == stay  # one recommendation, two placements

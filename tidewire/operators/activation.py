@@ -34,16 +34,16 @@ def activate(placements: DataFrame, recommendations: DataFrame, *, mode: str, mo
 
     A recommendation (url, title, enforceable) matches an item by source address or
     title, never a custom one. A removed hero's place goes to the section's first card,
-    before cards are removed, so that this card stays. Outside mode "enforce", or with
-    more than ``most`` enforceable recommendations, nothing moves.
+    before cards are removed, so that this card stays. Outside mode "enforce" nothing
+    moves; with more than ``most`` enforceable recommendations, or where more than
+    ``most`` placements would go, everything is rolled back to where it stood.
     """
     on = recommendations.where("enforceable")
-    armed = (mode == "enforce") and on.limit(most + 1).count() <= most
     by = lambda df, c, name: df.where(F.col(c) != "").select(c).distinct().withColumn(name, F.lit(True))
     keyed = lambda df: df.withColumns({"u": F.coalesce(urls.identity_url(F.col("url")), F.lit("")), "t": title_identity(F.col("title"))})
     rec = keyed(on).select("u", "t")
     j = keyed(placements).join(by(rec, "u", "by_url"), "u", "left").join(by(rec, "t", "by_title"), "t", "left")
-    hit = F.lit(armed) & ~F.col("custom") & (F.coalesce("by_url", F.lit(False)) | F.coalesce("by_title", F.lit(False)))
+    hit = F.lit(mode == "enforce") & ~F.col("custom") & (F.coalesce("by_url", F.lit(False)) | F.coalesce("by_title", F.lit(False)))
     w = Window.partitionBy("section")
     out = j.withColumn("hit", hit).withColumns({"heroless": F.max((F.col("pos") == 0) & F.col("hit")).over(w), "next": F.min(F.when(F.col("pos") > 0, F.col("pos"))).over(w)})
     raised = F.col("heroless") & (F.col("pos") == F.col("next"))
@@ -51,7 +51,10 @@ def activate(placements: DataFrame, recommendations: DataFrame, *, mode: str, mo
     out = out.withColumn("action", action)
     order = Window.partitionBy("section").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     place = F.when(F.col("action") == "kept", F.when(F.col("pos") == 0, 0).otherwise(F.count_if((F.col("action") == "kept") & (F.col("pos") > 0)).over(order))).when(F.col("action") == "promoted", 0)
-    return out.select("section", "pos", "item_id", "action", place.cast("int").alias("new_pos"))
+    moved = cut(out.select("section", "pos", "item_id", "action", place.cast("int").alias("new_pos")))
+    gone, asked = moved.agg(F.count_if(F.col("action") == "removed")).scalar(), on.agg(F.count(F.lit(1))).scalar()
+    back = (gone > most) | (asked > most)
+    return moved.select("section", "pos", "item_id", F.when(back, "kept").otherwise(F.col("action")).alias("action"), F.when(back, F.col("pos").cast("int")).otherwise(F.col("new_pos")).alias("new_pos"))
 
 
 def mode_for(requested: str, healthy: bool, regressed: bool) -> tuple[str, list[str]]:

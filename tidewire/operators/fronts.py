@@ -100,5 +100,5 @@ def backfill(sources: DataFrame, limit: int) -> DataFrame:
         shared, least = F.size(F.array_intersect("tokens", "c.tokens")), F.least(F.size("tokens"), F.size("c.tokens"))
         alike = (shared >= 4) & (shared / least >= 0.70)
         gone = alike | ((F.col("url") != "") & (F.col("url") == F.col("c.url"))) | (F.col("article_id") == F.col("c.article_id"))
-        left = left.join(head, "section").where(~F.coalesce(gone, F.lit(False))).drop("c")
+        left = cut(left.join(head, "section").where(~F.coalesce(gone, F.lit(False))).drop("c"))
     return chosen.select("section", "article_id", F.col("slot").cast("int").alias("slot"), F.col("urgency").cast("int").alias("urgency"))

@@ -75,3 +75,17 @@ def test_titles_that_hold_each_other(spark):
     got = substrings.first_title(spark.createDataFrame(heads, "id long, headline string"), spark.createDataFrame(bank, "entry_id long, title string"))
     assert {r.id: r.entry_id for r in got.collect()} == want and want[91] is not None and want[92] == 203
     assert "CartesianProduct" not in got._jdf.queryExecution().executedPlan().toString() and "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_cleaned(spark):
+    from tidewire.functions import cleanup
+
+    summary = 'By John Smith The <b>mayor</b> said "no" &amp; left\\ https://x.org/a?b Read more at our site\nNext line stays [+120 chars] gone\nClick here to see'
+    draft = "Good morning, # Title\n**Bold** and *soft* and _low_ [site](http://x) \n- first\n* second\n\n\n\nEnd"
+    told = "The fire burned. Officials have not said why. It spread.\n\nNo details were given. Done."
+    df = spark.createDataFrame([(summary, draft, told), (None, None, None), ("", "", "")], "s string, d string, t string")
+    rows = df.select(cleanup.summary(F.col("s")).alias("s"), cleanup.without_markdown(F.col("d")).alias("d"), cleanup.without_absence(F.col("t")).alias("t")).collect()
+    assert rows[0].s == "The mayor said 'no' left Next line stays"
+    assert rows[0].d == "Title\nBold and soft and low site \nfirst\nsecond\n\nEnd"
+    assert rows[0].t == "The fire burned. It spread. Done."
+    assert tuple(rows[1]) == tuple(rows[2]) == ("", "", "")

@@ -136,6 +136,18 @@ REFUSAL = (
     r"\byou.ve only provided the headlines\b|\bas an ai(?: language model)?\b|\bi would need you to provide (?:the )?(?:full text|source|article)\b"
 )
 HERO_WORDS, CARD_WORDS, CARD_MOST_WORDS, SOURCE_WORDS, FULL_SOURCE_WORDS, BRIEF_WORDS = 120, 60, 140, 80, 140, 40
+# Noise of summaries, words of absence, greetings.
+SUMMARY_NOISE = [
+    r"(?i)read more.*$", r"(?i)click here.*$", r"(?i)continue reading.*$", r"(?i)\[\+\d+ chars\].*$", r"(?i)^by [A-Z][a-z]+ [A-Z][a-z]+", r"(?i)related articles?:.*$", r"(?i)also read:.*$",
+    r"(?i)share this:.*$", r"(?i)follow us.*$", r"&amp;|&lt;|&gt;|&quot;|&#\d+;",
+]
+ABSENCE = [
+    "no information was", "no details were", "no details have", "details were not", "details have not", "details are not", "has not been confirmed", "have not been confirmed",
+    "was not disclosed", "were not disclosed", "it remains unclear", "it is unclear", "remains unknown", "officials have not", "has not responded", "did not respond",
+    "not immediately available", "not yet available", "could not be reached", "could not be confirmed", "no official statement", "no statement has", "reporting is ongoing", "investigation is ongoing",
+]
+GREETINGS = ["good morning.", "good afternoon.", "good evening.", "good morning,", "good afternoon,", "good evening,"]
+
 # Blocks and sentences of a page that are no article text, and the most words that are kept.
 LD_JSON = r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
 ARTICLE, PARAGRAPH = r"(?is)<article[^>]*>(.*?)</article>", r"(?is)<p[^>]*>(.*?)</p>"

@@ -65,7 +65,7 @@ PATTERNS = {
     "secret": r"""(?<=[=:"'\s])(?<=[=:]\s{0,3}["']?)(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?)[A-Za-z0-9+/_.~-]{8,}=*|(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9_])(?:ghp_|sk-|xox[abp]-)[A-Za-z0-9_-]{16,}|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|(?<=-)(?<=PRIVATE KEY-----\s{0,2})[A-Za-z0-9+/=\s]{16,}(?=-----END)""",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip6": rf"(?<![\w:.])(?=[0-9A-Fa-f]{{1,4}}:[0-9A-Fa-f:]{{3}})(?=[A-Fa-f:]{{0,36}}\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![\w:])",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])|(?<=(?i:ssn|social security number)[ :#]{1,3})\d{3} \d{2} \d{4}(?!\d)",
+    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])|\d{3} \d{2} \d{4}(?!\d)(?<=(?i:ssn|social security number)[ :#]{1,3}\d{3} \d{2} \d{4})",
     "phone": r"(?<![\d+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])|(?<![\d+.-])1[.-]\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])|(?<![\d+.-])0\d{2} \d{4} \d{4}(?!\d)",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "street": rf"(?<![\p{{L}}\p{{N}}.,])\d{{1,5}} (?:\p{{Lu}}\p{{Ll}}+ ){{1,3}}(?:{_STREET})(?![\p{{L}}\p{{N}}])",
@@ -99,7 +99,7 @@ def mentions(text: Column) -> Column:
 
 
 def kind_of(mention: Column) -> Column:
-    out = F.when(mention.rlike("@"), F.lit("email"))
+    out = F.when(mention.rlike("@"), F.lit("email")).when(mention.rlike(r"^\d{3} \d{2} \d{4}$"), F.lit("ssn"))
     for kind in ("iban", "ssn", "phone", "ip", "card"):
         out = out.when(mention.rlike(f"^(?:{PATTERNS[kind]})$"), F.lit(kind))
     out = out.when(mention.rlike("^[0-9A-Fa-f]+:[0-9A-Fa-f:]+$"), F.lit("ip6")).when(mention.rlike(f"^{PATTERNS['street']}$"), F.lit("street"))

@@ -76,7 +76,7 @@ def authorizes(decision: Column, slug: Column, target: Column) -> Column:
 def safe_duplicate(events: Column, quarantined: Column, relations: Column) -> Column:
     """Whether a story may lend its identity to a duplicate: not set aside, no class of events, no follow-ups."""
     follows = F.exists(relations, lambda r: F.lower(F.trim(r)).isin(*fixed.FOLLOWING))
-    return ~quarantined & ~F.exists(events, identity.broad_key) & ~follows
+    return ~quarantined & ~F.exists(events, identity.class_key) & ~follows
 
 
 def retrospective_exclusions(title: Column, source: Column, url: Column) -> Column:

@@ -31,3 +31,52 @@ def test_digests_of_letters_alone_are_no_classes(spark, tmp_path):
     folder = _documents(spark, tmp_path, [(n, "Some text of a few words", "en", "src1", 24) for n in [*letters, 12, 24, 7, 8]])
     got, want = _against_sql(spark, folder, "exclusions")
     assert got == want
+
+
+def _sets(n: int = 400):
+    """Sets of a common core, some of whose words are their own: most links rest on the core alone."""
+    import random
+
+    rng = random.Random(5)
+    cores = [[f"c{k}_{i}" for i in range(7)] for k in range(3)]
+    own = [f"w{i}" for i in range(60)]
+    return [(i, sorted(set(rng.sample(cores[i % 3], rng.randint(4, 7)) + rng.sample(own, rng.randint(0, 6))))) for i in range(n)]
+
+
+def test_links_on_common_tokens_are_counted_by_classes(spark):
+    from tidewire.operators import graph, pairs
+
+    rows = _sets()
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    tokens = {i: frozenset(t) for i, t in rows}
+    firsts, own = {}, {}
+    for i, t in tokens.items():
+        firsts.setdefault(t, i)
+        own[firsts[t]] = own.get(firsts[t], 0) + 1
+    for common in (40, 10**9):  # with heavy tokens, and without
+        got = {r.id: (r.set_id, r.n_sets, r.n_ids, r.nearest) for r in pairs.linked_sets(df, 4, 0.70, "containment >= 0.70 or jaccard >= 0.55", common=common).collect()}
+        want = {}
+        for i, t in tokens.items():
+            me, linked = firsts[t], []
+            for u, other in firsts.items():
+                s, least, every = len(t & u), min(len(t), len(u)), len(t | u)
+                if other != me and s >= 4 and (s / least >= 0.70 or s / every >= 0.55):
+                    linked.append((-round(s / every, 9), other))
+            want[i] = (me, len(linked), sum(own[o] for _, o in linked) + own[me] - 1, min(linked)[1] if linked else None)
+        assert got == want
+        sets = spark.createDataFrame([(i, sorted(t)) for t, i in firsts.items()], "id long, tokens array<string>")
+        edges = pairs.joined_sets(sets, 5, 1.2 / 1.6, "jaccard >= 0.6", wide=0.6, common=common)
+        found = {r.id: r.component for r in graph.components(edges).collect()}
+        leader = {i: i for i in firsts.values()}
+
+        def top(x, leader=leader):
+            while leader[x] != x:
+                x = leader[x]
+            return x
+
+        for t, i in firsts.items():
+            for u, other in firsts.items():
+                if other > i and len(t & u) >= 5 and len(t & u) / len(t | u) >= 0.6:
+                    x, y = sorted((top(i), top(other)))
+                    leader[y] = x
+        assert {i: found.get(i, i) for i in leader} == {i: top(i) for i in leader}

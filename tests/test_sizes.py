@@ -80,3 +80,12 @@ def test_links_on_common_tokens_are_counted_by_classes(spark):
                     x, y = sorted((top(i), top(other)))
                     leader[y] = x
         assert {i: found.get(i, i) for i in leader} == {i: top(i) for i in leader}
+
+
+def test_images_told_alike_are_met_once(spark):
+    from tidewire.operators import surface
+
+    bank = spark.createDataFrame([(3, ["dog", "show"]), (1, ["show", "dog"]), (2, ["cat", "show"])], "image_id long, tokens array<string>")
+    assert sorted((r.id, tuple(r.tokens)) for r in surface.firsts(bank).collect()) == [(1, ("dog", "show")), (2, ("cat", "show"))]
+    cards = spark.createDataFrame([(9, "us", ["show", "dog", "new"])], "id long, category_key string, tokens array<string>")
+    assert [(r.id, r.image_id) for r in surface.image_match(cards, bank).collect()] == [(9, 1)]

@@ -89,3 +89,21 @@ def test_images_told_alike_are_met_once(spark):
     assert sorted((r.id, tuple(r.tokens)) for r in surface.firsts(bank).collect()) == [(1, ("dog", "show")), (2, ("cat", "show"))]
     cards = spark.createDataFrame([(9, "us", ["show", "dog", "new"])], "id long, category_key string, tokens array<string>")
     assert [(r.id, r.image_id) for r in surface.image_match(cards, bank).collect()] == [(9, 1)]
+
+
+def test_equal_evidence_is_met_once(spark):
+    from pyspark.sql import functions as F
+
+    from tidewire.functions import incidents as told
+    from tidewire.operators import graph, incidents
+
+    title = "Road rage driver used PIT maneuver, family SUV into fence in Ohio"
+    df = spark.createDataFrame([(i, title) for i in range(1, 61)], "story_id long, title string")
+    none = F.array().cast("array<string>")
+    e = df.select("story_id", told.evidence(F.col("title"), F.lit("vehicle struck"), F.array(F.lit("Ohio")), none, F.lit("2026-01-03").cast("timestamp")).alias("e"))
+    links = incidents.unified_links(e)
+    assert links.count() == 59
+    assert {(r.id, r.component) for r in graph.components(links).collect()} == {(i, 1) for i in range(1, 61)}
+    asked = e.where("story_id < 3").withColumnRenamed("story_id", "report_id")
+    assert [(r.ambiguous, r.story_id) for r in incidents.unified_match(asked, e).collect()] == [(True, None)] * 2
+    assert [(r.ambiguous, r.story_id) for r in incidents.unified_match(asked, e.where("story_id = 7")).collect()] == [(False, 7)] * 2

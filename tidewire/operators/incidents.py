@@ -192,7 +192,8 @@ def _met_evidence(left: DataFrame, right: DataFrame, days: int = 21) -> DataFram
     e = F.col("e")
     dated = F.when(undated(e), tags(F.lit("all"))).otherwise(tags(slot(e) - 1, slot(e), slot(e) + 1, F.lit("none")))
     known = F.when(undated(e), tags(F.lit("none"), F.lit("all"))).otherwise(tags(slot(e), F.lit("all")))
-    met = side(left, "l", dated).join(side(right, "r", known), ["key", "slot"])
+    # keys are made from a few numbers of a row, so that a side's size is guessed far too small: it must not be broadcast
+    met = side(left, "l", dated).join(side(right, "r", known).hint("merge"), ["key", "slot"])
     return met.where(F.get(F.array_intersect("l_keys", "r_keys"), F.lit(0)) == F.col("key")).drop("key", "slot", "l_keys", "r_keys")
 
 
@@ -202,8 +203,14 @@ def unified_match(reports: DataFrame, stories: DataFrame) -> DataFrame:
     reports: report_id, e; stories: story_id, e, one row for each title of a story. Where
     a second story comes within .03 of the first none is given.
     """
-    pairs = _met_evidence(reports, stories).withColumn("score", evidence_score(F.col("l_e"), F.col("r_e")))
-    best = pairs.where("score >= 0.86").groupBy(F.col("l_report_id").alias("report_id"), F.col("r_story_id").alias("story_id")).agg(F.max("score").alias("score"))
+    # equal pieces of evidence are met once; of the stories that have one only the last two can be a first and a second
+    asked, r = _known_by(reports, "report_id")
+    held, s = _known_by(stories, "story_id")
+    last = first_by(held.select("known", "story_id").distinct(), ["known"], [F.desc("story_id")], 2)
+    pairs = _met_evidence(r, s).withColumn("score", evidence_score(F.col("l_e"), F.col("r_e"))).where("score >= 0.86")
+    found = pairs.select(F.col("l_known").alias("asked"), F.col("r_known").alias("known"), "score").join(last, "known").groupBy("asked", "story_id").agg(F.max("score").alias("score"))
+    found = first_by(found, ["asked"], [F.desc("score"), F.desc("story_id")], 2)
+    best = asked.select("report_id", F.col("known").alias("asked")).join(found, "asked").groupBy("report_id", "story_id").agg(F.max("score").alias("score"))
     two = first_by(best, ["report_id"], [F.desc("score"), F.desc("story_id")], 2, rank="rank")
     out = two.groupBy("report_id").agg(F.max(F.when(F.col("rank") == 1, F.col("story_id"))).alias("story_id"), F.max("score").alias("confidence"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"))
     near = F.coalesce(F.round(F.col("second"), 6) >= F.round(F.col("confidence") - 0.03, 6), F.lit(False))
@@ -211,9 +218,25 @@ def unified_match(reports: DataFrame, stories: DataFrame) -> DataFrame:
 
 
 def unified_links(stories: DataFrame) -> DataFrame:
-    """Pairs (a, b) of stories with a piece of evidence in common; stories: story_id, e."""
-    met = _met_evidence(stories, stories).where("l_story_id < r_story_id")
-    return met.where(evidence_score(F.col("l_e"), F.col("r_e")) >= 0.86).select(F.col("l_story_id").alias("a"), F.col("r_story_id").alias("b")).distinct()
+    """Pairs (a, b) of stories that make the same components as all that have a piece of evidence in common; stories: story_id, e.
+
+    Equal pieces are met once: their stories all hang on the first of them where the
+    piece fits another, or itself.
+    """
+    held, s = _known_by(stories, "story_id")
+    met = _met_evidence(s, s).where("l_known <= r_known")
+    linked = cut(met.where(evidence_score(F.col("l_e"), F.col("r_e")) >= 0.86).select("l_known", "r_known"))
+    first = held.groupBy("known").agg(F.min("story_id").alias("first"))
+    on = linked.select(F.explode(F.array("l_known", "r_known")).alias("known")).distinct()
+    star = held.join(on, "known").join(first, "known").select(F.col("story_id").alias("a"), F.col("first").alias("b"))
+    of = lambda p, name: first.select(F.col("known").alias(f"{p}_known"), F.col("first").alias(name))
+    return star.unionAll(linked.join(of("l", "a"), "l_known").join(of("r", "b"), "r_known").select("a", "b")).where("a <> b").distinct()
+
+
+def _known_by(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(key, e) with the digest that tells its evidence, and each different piece once: known, e."""
+    told = cut(df.select(key, "e", F.sha2(F.to_json("e"), 256).alias("known")))
+    return told.select(key, "known"), told.groupBy("known").agg(F.any_value("e").alias("e"))
 
 
 # -- relationships -----------------------------------------------------------------------

@@ -230,7 +230,8 @@ def unified_links(stories: DataFrame) -> DataFrame:
     on = linked.select(F.explode(F.array("l_known", "r_known")).alias("known")).distinct()
     star = held.join(on, "known").join(first, "known").select(F.col("story_id").alias("a"), F.col("first").alias("b"))
     of = lambda p, name: first.select(F.col("known").alias(f"{p}_known"), F.col("first").alias(name))
-    return star.unionAll(linked.join(of("l", "a"), "l_known").join(of("r", "b"), "r_known").select("a", "b")).where("a <> b").distinct()
+    edges = star.unionAll(linked.join(of("l", "a"), "l_known").join(of("r", "b"), "r_known").select("a", "b"))
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _known_by(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,6 @@
 """Repair of a registry against plain folds in Python."""
 
+import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -291,3 +292,41 @@ def test_activation_is_rolled_back_beyond_its_limit(spark):
     stay = {1: ("kept", 0), 2: ("kept", 1), 3: ("kept", 2), 4: ("kept", 3), 5: ("kept", 0)}
     assert at(mode="enforce", most=2) == {1: ("removed", None), 2: ("promoted", 0), 3: ("removed", None), 4: ("kept", 1), 5: ("kept", 0)}
     assert at(mode="enforce", most=1) == at(mode="shadow", most=9) == stay  # one recommendation, two placements
+
+
+def test_timeline_parts_without_the_pairs_of_a_story(spark, monkeypatch):
+    """Parts and conflicts are those of all pairs, but no pairs of a story are listed."""
+    monkeypatch.setattr(identity, "close_entries", lambda rows: pytest.fail("pairs of a story are listed"))
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    heads = ["storm floods coast town homes", "fire burns barn valley farm", "council votes budget school roads"]
+    rows = []
+    for n in range(240):
+        story = n % 6
+        head = heads[0] if story < 2 else rng.choice(heads)  # the first stories hold one headline with other words behind
+        if story == 4:
+            head = rng.choice(heads).split()[0]
+        tail = rng.sample(words, rng.randint(0, 9)) + (["fire"] if story == 1 and n % 5 == 0 else [])
+        rows.append((story, n, " ".join([head, *tail]) if n % 17 else None, rng.choice([None, f"k{n % 40}"])))
+    df = spark.createDataFrame(rows, "story_id long, entry_id long, title string, event_key string")
+    t = {r.entry_id: r for r in identity._timeline_rows(df).collect()}
+    link, torn = {n: n for n in t}, set()
+
+    def find(x):
+        while link[x] != x:
+            x = link[x]
+        return x
+
+    for x, y in itertools.combinations(t.values(), 2):
+        if x.story_id != y.story_id:
+            continue
+        a, b = set(x.tokens), set(y.tokens)
+        n, share = len(a & b), len(a & b) / max(1, min(len(a), len(b)))
+        if (x.event_key and x.event_key == y.event_key) or x.key == y.key or (n >= 2 and share >= 0.3) or share >= 0.5:
+            lo, hi = sorted((find(x.entry_id), find(y.entry_id)))
+            link[hi] = lo
+        if "unknown" not in (x.family, y.family) and x.family != y.family and n < 2 and share < 0.2:
+            torn.add(x.story_id)
+    got = {r.entry_id: (r.part, r.torn) for r in identity.timeline_parts(df).collect()}
+    assert got == {n: (find(n), r.story_id in torn) for n, r in t.items()}
+    assert 0 < len(torn) < 6

@@ -86,24 +86,96 @@ def timeline_pairs(entries: DataFrame) -> DataFrame:
     return out.select("story_id", "entry_id", "continues", "conflicts", (~F.col("continues") & F.col("conflicts")).alias("reject"))
 
 
+#: Entries of a family of a story among which a conflict is looked for before all are counted.
+_TRIED = 6
+#: Holders of a token in a story up to which they are met first.
+_FEW = 64
+
+
+def _run_links(sets: DataFrame) -> DataFrame:
+    """Links (a, b) of a story's sets that share a run of tokens, in order of rarity, as long as the larger of them needs.
+
+    Every two sets of a run continue one another, so all are linked with the first of
+    them. Sets that share as much in several places are left to :func:`_across`.
+    """
+    n = F.size("tokens")
+    need = F.greatest(F.least(n, F.lit(2)), F.ceil(n * 0.30 - 1e-9).cast("int"))
+    runs = F.flatten(F.transform(F.sequence(need, F.least(n, need + 2)), lambda k: F.transform(F.sequence(F.lit(0), n - k), lambda i: F.array_join(F.slice("tokens", i + 1, k), " "))))
+    each = sets.select(F.col("id.story_id").alias("story_id"), F.col("id.entry_id").alias("b"), F.explode(runs).alias("run"))
+    return each.select(F.min("b").over(Window.partitionBy("story_id", "run")).alias("a"), "b").where("a < b").distinct()
+
+
+def _across(sets: DataFrame, few: bool) -> DataFrame:
+    """Links (a, b) between parts of a story: parts with sets that share enough, by tokens that few of its sets hold or by the others.
+
+    sets: story_id, part, tokens and what ranked() takes of them. Of the sets of a token
+    the part that has most of them doesn't meet itself, so that where nearly all are of
+    one part only the others are met.
+    """
+    torn = sets.groupBy("story_id").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("story_id")
+    own = sets.join(torn, "story_id", "left_semi")
+    side = lambda p, by: own.select("story_id", F.col("part").alias(f"{p}_part"), F.col("tokens").alias(f"{p}_tokens"), F.explode(by).alias("token"))
+    small, large = side("r", "index"), side("l", "prefix")
+    held = large.groupBy("story_id", "token", F.col("l_part").alias("part")).agg(F.count(F.lit(1)).alias("n")).groupBy("story_id", "token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.max_by("part", F.struct("n", "part")).alias("most"))
+    met_by = cut(held.where((F.col("parts") > 1) & (F.col("n") <= _FEW if few else F.col("n") > _FEW)).select("story_id", "token", "most"))
+    small, large = small.join(met_by, ["story_id", "token"]), large.join(met_by.select("story_id", "token", F.col("most").alias("l_most")), ["story_id", "token"])
+    beside = small.where("r_part <> most").join(large.drop("l_most"), ["story_id", "token"]).where("l_part <> r_part").drop("most")
+    within = small.where("r_part = most").drop("most").join(large.where("l_part <> l_most").drop("l_most"), ["story_id", "token"])
+    met = beside.unionByName(within).where(F.size("r_tokens") <= F.size("l_tokens"))
+    shared, share = F.size(F.array_intersect("l_tokens", "r_tokens")), text.overlap(F.col("l_tokens"), F.col("r_tokens"))
+    return met.where(((shared >= 2) & (share >= 0.30)) | (share >= 0.50)).select(F.least("l_part", "r_part").alias("a"), F.greatest("l_part", "r_part").alias("b")).distinct()
+
+
+def _parts(t: DataFrame) -> DataFrame:
+    """Timeline rows -> entry_id, part: the first entry of those that continue one another, directly or through others."""
+    named = t.select("story_id", "entry_id", F.array_sort("tokens").alias("tokens"), *("event_key", "key"))
+    # equal titles, keys and sets hang on their first entry
+    links = [named.where(F.col(c).isNotNull() if c != "tokens" else F.size(c) > 0).select(F.min("entry_id").over(Window.partitionBy("story_id", c)).alias("a"), F.col("entry_id").alias("b")).where("a < b") for c in ("event_key", "key", "tokens")]
+    once = named.where("size(tokens) > 0").groupBy("story_id", "tokens").agg(F.min("entry_id").alias("entry_id"))
+    sets = cut(ranked(once.select(F.struct("story_id", "entry_id").alias("id"), "tokens"), 1, 0.30))
+    found = graph.components(links[0].unionAll(links[1]).unionAll(links[2]).unionAll(_run_links(sets)))
+    placed = cut(named.select("story_id", "entry_id").join(found.withColumnRenamed("id", "entry_id"), "entry_id", "left").select("story_id", "entry_id", F.coalesce("component", "entry_id").alias("part")))
+    sets = sets.select("id.*", "tokens", "prefix", "index")
+    for few in (True, False):
+        links = cut(_across(sets.join(placed.drop("story_id"), "entry_id"), few))
+        if not links.isEmpty():
+            joined = graph.components(links).withColumnRenamed("id", "part")
+            placed = cut(placed.join(joined, "part", "left").select("story_id", "entry_id", F.coalesce("component", "part").alias("part")))
+    return placed.select("entry_id", "part")
+
+
+def _conflicts(t: DataFrame) -> DataFrame:
+    """Timeline rows -> story_id of the stories of which two entries conflict.
+
+    A conflict among the first entries of each family is enough. Where there is none,
+    entries that hold the two commonest tokens of their story can't conflict with one
+    another, so only those that lack one meet the others.
+    """
+    known = t.where("family <> 'unknown'").select("story_id", "entry_id", "family", "tokens")
+    apart = known.groupBy("story_id").agg((F.min("family") < F.max("family")).alias("differ")).where("differ").select("story_id")
+    known = cut(known.join(apart, "story_id", "left_semi"))
+    side = lambda df, p: df.select("story_id", F.col("family").alias(f"{p}_family"), F.col("tokens").alias(f"{p}_tokens"))
+    shared, share = F.size(F.array_intersect("l_tokens", "r_tokens")), text.overlap(F.col("l_tokens"), F.col("r_tokens"))
+    against = lambda a, b: side(a, "l").join(side(b, "r"), "story_id").where("l_family <> r_family").where((shared < 2) & (share < 0.20)).select("story_id").distinct()
+    tried = first_by(known, ["story_id", "family"], [F.asc("entry_id")], _TRIED)
+    seen = cut(against(tried, tried))
+    left = known.join(seen, "story_id", "left_anti")
+    counts = left.select("story_id", F.explode("tokens").alias("token")).groupBy("story_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    core = first_by(counts, ["story_id"], [F.desc("n"), F.asc("token")], 2).groupBy("story_id").agg(F.collect_list("token").alias("core"))
+    outside = left.join(core, "story_id", "left").where(F.coalesce((F.size("core") < 2) | (F.size(F.array_except("core", "tokens")) > 0), F.lit(True)))
+    return seen.unionAll(against(outside, left))
+
+
 def timeline_parts(entries: DataFrame) -> DataFrame:
     """(story_id, entry_id, title, event_key) -> story_id, entry_id, part, torn.
 
     part is the first entry of those that continue one another; torn says whether two
-    entries of the story conflict. See timeline_pairs() for both.
+    entries of the story conflict. See timeline_pairs() for both. Neither lists the pairs
+    of a story: parts are joined through what many share first, and then only across.
     """
-    t = _timeline_rows(entries)
-    close = cut(close_entries(t))
-    links = [close.where("continues").select("a", "b")]
-    for c in ("event_key", "key"):
-        first = F.min("entry_id").over(Window.partitionBy("story_id", c))
-        links.append(t.where(F.col(c).isNotNull()).select(first.alias("a"), F.col("entry_id").alias("b")).where("a < b"))
-    parts = graph.components(links[0].unionAll(links[1]).unionAll(links[2])).withColumnRenamed("id", "entry_id")
-    kin = t.where("family <> 'unknown'").groupBy("story_id", "family").agg(F.count(F.lit(1)).alias("n"))
-    apart = kin.groupBy("story_id").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
-    torn = apart.join(close.groupBy("story_id").agg(F.count_if("spared").alias("spared")), "story_id", "left").select("story_id", (F.col("pairs") > F.coalesce("spared", F.lit(0))).alias("torn"))
-    placed = t.select("story_id", "entry_id").join(parts, "entry_id", "left").join(torn, "story_id", "left")
-    return placed.select("story_id", "entry_id", F.coalesce("component", "entry_id").alias("part"), F.coalesce("torn", F.lit(False)).alias("torn"))
+    t = cut(_timeline_rows(entries))
+    torn = _conflicts(t).select("story_id", F.lit(True).alias("torn"))
+    return t.select("story_id", "entry_id").join(_parts(t), "entry_id").join(torn, "story_id", "left").select("story_id", "entry_id", "part", F.coalesce("torn", F.lit(False)).alias("torn"))
 
 
 #: Weights of the shares of each kind of evidence; these make .88 of a score, titles .07 and event keys .05.

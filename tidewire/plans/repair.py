@@ -31,6 +31,7 @@ def registry_entries(spark, sf_dir):
         F.lower(F.regexp_extract("body", "https?://[a-zA-Z0-9./_-]+", 0)).alias("url"), F.substring(F.md5(F.left("whole", F.lit(60))), 1, 16).alias("anchor"), "source",
         F.lit(0).alias("custom"), F.least(F.lit(9), F.floor(F.length("whole") / 500)).cast("int").alias("priority"), F.size(text.words(F.col("headline"))).alias("trust"),
     )
+    told = cut(told)  # made from whole texts, and read by every pass
     lots = told.groupBy("lot").agg(F.min("entry_id").alias("story_id"))
     return told.join(lots, "lot").select("entry_id", "story_id", "title", "event_key", "url", "anchor", "source", *repair.RANK)
 

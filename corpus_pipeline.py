@@ -33,13 +33,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents in a language that can be told: with letters, not torn between languages, and in one of those learned.
 
     Null and empty texts and those without a letter go; long texts count whole; a null
-    language only isn't learned from; repeated rows share a fate. Where no document has a
+    language only isn't learned from; every other row is; repeated rows share a fate. Where no document has a
     language nothing can be told, and none stays.
     """
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = docs.select(*COLUMNS)
-    fitted = langid.fit(docs, model)
-    return langid.keep_known(docs, fitted, langid.usual(docs, fitted, model), model)
+    fitted, usual = langid.fit_all(docs, model)
+    return langid.keep_known(docs, fitted, usual, model)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -343,3 +343,24 @@ def test_quality_edges(spark):
     none = frame(spark, [])
     assert quality.score(none, quality.fit(none, label_frame(spark, labels))).count() == 0
     assert quality.score(none, model).count() == 0
+
+
+def test_language_model_learns_from_every_document(spark, monkeypatch):
+    """Counts and thresholds are those of all documents, none drawn; a sample of all of them gives the same."""
+    import public_tokenizers
+
+    import corpus_pipeline
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [(i, f"the storm came over the hills {'again ' * (i % 5)}", "en", "s", 1) for i in range(40)] + [(100 + i, "der sturm kam wieder über die hügel", "de", "s", 1) for i in range(20)]
+    rows += [(200, None, "en", "s", 1), (201, "zzz", None, "s", 1), (202, "", "xx", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    counts = {(r.lang, r.word): r.n for r in langid.word_counts(docs).collect()}
+    assert counts[("en", "▁the")] == 80 and counts[("de", "▁sturm")] == 20 and ("en", "▁zzz") not in counts
+    (langs, probs), usual = langid.fit_all(docs, model)
+    fitted = langid.fit(docs, model, per_lang=1000)
+    assert langs == fitted[0] == ["de", "en", "xx"] and np.allclose(probs, fitted[1], rtol=1e-9)
+    assert np.allclose(usual[:2], langid.usual(docs, fitted, model, per_lang=1000)[:2], rtol=1e-6, atol=1e-6)
+    assert langid.fit_all(docs.limit(0), model)[0][0] == []
+    monkeypatch.setattr(langid, "_sample", lambda *a: pytest.fail("documents are drawn"))
+    assert corpus_pipeline.language_stage(spark, docs, "").count() > 50

@@ -307,6 +307,86 @@ def usual(docs: DataFrame, fitted, model: str, *, per_lang: int = 400, id_col: s
     return out
 
 
+#: Distinct words that a task counts before it hands them on.
+_COUNTED = 200_000
+
+
+def word_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """lang, word, n: how often each word occurs in all texts of each language; null texts and languages are left out."""
+
+    def count(batches):
+        held: Counter = Counter()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), pa.array(list(held.values()), pa.int64())], names=["lang", "word", "n"])
+        for b in batches:
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                held.update((lang, w) for w in words_of(text.as_py()))
+                if len(held) > _COUNTED:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
+
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string"), F.col(text_col))
+    return labelled.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def fit_all(docs: DataFrame, model: str, *, rounds: int = 2, smoothing: float = 0.5, text_col: str = "text", lang_col: str = "lang"):
+    """fit() and usual() over all documents: ((languages, probabilities), what is usual).
+
+    Both are sums over words, so texts are read twice, for the languages and for their
+    words, and rounds go over the distinct words with their counts. At most a count for
+    each piece and language, and six sums for a language, reach the driver.
+    """
+    pieces = vocabulary(model)
+    langs = sorted(r.lang for r in docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang")).distinct().collect())
+    start = np.array([1.0 / (10 + i) for i in range(len(pieces))])
+    probs = np.tile((start / start.sum())[:, None], (1, max(1, len(langs))))
+    if not langs:
+        return (langs, probs), np.tile([0.0, np.inf], (1, 1))
+    at, words = {k: i for i, k in enumerate(langs)}, cut(word_counts(docs, text_col=text_col, lang_col=lang_col))
+
+    def by_language(b) -> dict[str, Counter]:
+        held: dict[str, Counter] = {}
+        for lang, word, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            held.setdefault(lang, Counter())[word] = n
+        return held
+
+    for _ in range(rounds):
+        now = probs.astype(np.float64)
+
+        def expect(batches, now=now):
+            names, found = vocabulary(model), {}
+            for b in batches:
+                for lang, held in by_language(b).items():
+                    mine = found.setdefault(lang, Counter())
+                    for k, n in expected_counts(names, now[:, at[lang]].tolist(), 1e-7, held).items():
+                        mine[k] += n
+            for lang, mine in found.items():
+                yield pa.RecordBatch.from_arrays([pa.array([at[lang]] * len(mine), pa.int32()), pa.array(list(mine), pa.int32()), pa.array(list(mine.values()), pa.float64())], names=["lang", "piece", "n"])
+
+        got = words.mapInArrow(expect, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
+        fresh = np.full(probs.shape, smoothing)
+        fresh[got.column("piece").to_numpy(), got.column("lang").to_numpy()] += got.column("n").to_numpy()
+        probs = fresh / fresh.sum(axis=0)
+    packed, width = probs.astype(np.float32).tobytes(), probs.shape[1]
+
+    def sums(batches):
+        for b in batches:
+            scorer = _scorer(model, packed, width)
+            for lang, held in by_language(b).items():
+                told_ = list(held)
+                scorer.add([told_])
+                own, size, n = scorer.of(told_)[:, at[lang]], np.array([len(w) for w in told_], np.float64), np.array(list(held.values()), np.float64)
+                row = [n.sum(), n @ size, n @ own, n @ (own * own), n @ (own * size), n @ (size * size)]
+                yield pa.RecordBatch.from_arrays([pa.array([at[lang]], pa.int32()), *[pa.array([float(x)]) for x in row]], names=["lang", *"ncltxs"])
+
+    out = np.tile([0.0, np.inf], (len(langs), 1))
+    for r in words.mapInArrow(sums, "lang int, n double, c double, l double, t double, x double, s double").groupBy("lang").agg(*[F.sum(x).alias(x) for x in "ncltxs"]).collect():
+        rate = r.l / r.c
+        out[r.lang] = rate, math.sqrt(max(0.0, r.t - 2 * rate * r.x + rate * rate * r.s) / r.n)
+    return (langs, probs), out
+
+
 _MODELS: dict[int, tuple[bytes, Unigrams]] = {}
 
 

@@ -10,6 +10,7 @@ SF = "/root/testdata/sf0.001"
     ("name", "step", "most"),
     [
         ("source_focus", "(?<=[.!?])", 1),
+        ("clean_texts", "regexp_replace(", 40),
     ],
 )
 def test_steps_are_taken_once(spark, name, step, most):

@@ -135,12 +135,16 @@ REFUSAL = (
     r"\bi (?:can.t|cannot) (?:responsibly )?rewrite\b|\bcould you (?:please )?(?:share|provide) (?:the )?(?:source|full text|article|material)\b|"
     r"\byou.ve only provided the headlines\b|\bas an ai(?: language model)?\b|\bi would need you to provide (?:the )?(?:full text|source|article)\b"
 )
+#: Each phrase of REFUSAL holds one of these.
+REFUSAL_NEEDS = ["i appreciate you sharing this task", "have access to ", "rewrite", "could you ", "only provided the headlines", "as an ai", "i would need you to provide "]
 HERO_WORDS, CARD_WORDS, CARD_MOST_WORDS, SOURCE_WORDS, FULL_SOURCE_WORDS, BRIEF_WORDS = 120, 60, 140, 80, 140, 40
 # Noise of summaries, words of absence, greetings.
 SUMMARY_NOISE = [
     r"(?i)read more.*$", r"(?i)click here.*$", r"(?i)continue reading.*$", r"(?i)\[\+\d+ chars\].*$", r"(?i)^by [A-Z][a-z]+ [A-Z][a-z]+", r"(?i)related articles?:.*$", r"(?i)also read:.*$",
     r"(?i)share this:.*$", r"(?i)follow us.*$", r"&amp;|&lt;|&gt;|&quot;|&#\d+;",
 ]
+#: All noise but bylines holds one of these, in any case.
+SUMMARY_NEEDS = ["read more", "click here", "continue reading", " chars]", "related article", "also read:", "share this:", "follow us", "&"]
 ABSENCE = [
     "no information was", "no details were", "no details have", "details were not", "details have not", "details are not", "has not been confirmed", "have not been confirmed",
     "was not disclosed", "were not disclosed", "it remains unclear", "it is unclear", "remains unknown", "officials have not", "has not responded", "did not respond",

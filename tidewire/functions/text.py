@@ -103,6 +103,13 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(text(c), r"\s+", " "))
 
 
+def first_words(c: Column, n: int) -> Column:
+    """The first ``n`` words of a collapsed text, parted by single spaces; what follows them is read only where the opening holds no more."""
+    said = lambda x: F.split(collapse(x), " ")
+    found = bind(said(F.substring(text(c), 1, 16 * (n + 1))), lambda w: F.when(F.size(w) > n, w).otherwise(said(c)))
+    return F.array_join(F.slice(found, 1, n), " ")
+
+
 def sentences(c: Column) -> Column:
     return F.filter(F.split(collapse(c), r"(?<=[.!?])\s+"), lambda s: s != "")
 
@@ -111,8 +118,22 @@ def word_count(c: Column) -> Column:
     return F.size(F.regexp_extract_all(text(c), F.lit(r"(?U)\w[\w’'-]*"), F.lit(0)))
 
 
+def words_upto(c: Column, most: int) -> Column:
+    """word_count() where that is at most ``most``, else a number above it.
+
+    Texts are read on only where their opening doesn't hold more words than that.
+    """
+    n = word_count(F.substring(text(c), 1, 16 * (most + 2)))
+    return bind(n, lambda seen: F.when(seen > most, seen).otherwise(word_count(c)))
+
+
 def paragraph_count(c: Column) -> Column:
-    return F.size(F.filter(F.split(text(c), r"\n\s*\n"), lambda p: word_count(p) >= 8))
+    return F.size(F.filter(F.split(text(c), r"\n\s*\n"), lambda p: words_upto(p, 7) > 7))
+
+
+def refuses(c: Column) -> Column:
+    """Whether a text in lower case talks of a refused task; a plain search for what each phrase must hold rules nearly all out."""
+    return contains_any(c, fixed.REFUSAL_NEEDS) & c.rlike(fixed.REFUSAL)
 
 
 def first_paragraph(c: Column) -> Column:

@@ -119,17 +119,18 @@ CLAIMS_SQL = f"""WITH {ARTICLES_SQL} SELECT article_id, array_to_string({_money_
 
 def quality_reasons(spark, sf_dir):
     """Why an article fails as a card: lengths, refusal, structure, and headline claims its lead lacks."""
-    a = articles(spark, sf_dir).select("article_id", "headline", "body", text.first_paragraph(F.col("body")).alias("lead"), text.word_count(F.col("body")).alias("n"))
+    a = articles(spark, sf_dir).select("article_id", "headline", "body", text.first_paragraph(F.col("body")).alias("lead"), text.words_upto(F.col("body"), fixed.CARD_MOST_WORDS).alias("n"))
     lead, n, h = F.col("lead"), F.col("n"), F.col("headline")
-    lost = lambda f: F.size(F.array_except(f(h), f(lead))) > 0
+    # a lead is searched only where the headline claims something
+    lost = lambda f: text.bind(f(h), lambda own: F.when(F.size(own) > 0, F.size(F.array_except(own, f(lead))) > 0).otherwise(False))
     checks = [
         (n < fixed.CARD_WORDS, f"body_under_{fixed.CARD_WORDS}_words"),
         (n > fixed.CARD_MOST_WORDS, f"card_body_over_{fixed.CARD_MOST_WORDS}_words"),
         (n < fixed.SOURCE_WORDS, f"source_under_{fixed.SOURCE_WORDS}_words"),
-        (F.lower("body").rlike(fixed.REFUSAL), "ai_refusal_or_task_dialogue_in_article"),
+        (text.bind(F.lower("body"), text.refuses), "ai_refusal_or_task_dialogue_in_article"),
         (text.paragraph_count(F.col("body")) < 2, "card_requires_two_paragraph_summary"),
         (text.word_count(h) < 4, "weak_or_missing_headline"),
-        (text.word_count(lead) < 20, "lead_too_thin"),
+        (text.words_upto(lead, 19) < 20, "lead_too_thin"),
         (lost(text.money_claims), "headline_money_claim_missing_from_lead"),
         (lost(text.percent_claims), "headline_percentage_claim_missing_from_lead"),
         (lost(text.states_in), "headline_jurisdiction_missing_from_lead"),

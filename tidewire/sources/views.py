@@ -49,7 +49,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     bank = text.strings(HEADLINES)
     n = len(HEADLINES)
     cats = text.strings(fixed.CATEGORIES)
-    own = F.array_join(F.slice(F.split(text.collapse(F.col("text")), " "), 1, OWN_WORDS), " ")
+    own = text.first_words(F.col("text"), OWN_WORDS)
     return docs.select(
         F.col("doc_id").alias("article_id"),
         F.concat(F.get(bank, (F.col("doc_id") % n).cast("int")), F.lit(" "), own).alias("headline"),

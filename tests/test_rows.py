@@ -14,6 +14,7 @@ SF = "/root/testdata/sf0.001"
     [
         ("source_focus", "(?<=[.!?])", 1),
         ("clean_texts", "regexp_replace(", 40),
+        ("update_composition", "regexp_extract_all(", 9),
     ],
 )
 def test_steps_are_taken_once(spark, name, step, most):

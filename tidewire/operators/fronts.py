@@ -60,28 +60,40 @@ def update_tokens(c: Column) -> Column:
     return F.array_distinct(F.transform(raw, lambda t: F.coalesce(F.element_at(table, t), t)))
 
 
-def composition_errors(headline: Column, teaser: Column, body: Column, old_headline: Column, old_body: Column, news: Column) -> Column:
-    """Why a merged update can't be published: lengths, and tokens its lead and body lack."""
-    parts = F.filter(F.transform(F.split(F.trim(text.text(body)), r"\n\s*\n+"), text.collapse), lambda p: p != "")
-    lead = F.coalesce(F.get(parts, F.lit(0)), F.lit(""))
+def composition_errors(headline: Column, teaser: Column, body: Column, old_headline: Column, old_body: Column, news: Column, old_tokens: Column | None = None) -> Column:
+    """Why a merged update can't be published: lengths, and tokens its lead and body lack.
+
+    ``old_tokens`` may bring the tokens of the old headline and body, so that the old
+    body need not be at hand.
+    """
+    split = F.filter(F.transform(F.split(F.trim(text.text(body)), r"\n\s*\n+"), text.collapse), lambda p: p != "")
     n = lambda c: F.size(F.filter(F.split(text.collapse(c), " "), lambda w: w != ""))
     words = F.size(F.regexp_extract_all(text.text(body), F.lit(r"(?U)\w+"), F.lit(0)))
-    old_head, old = update_tokens(old_headline), update_tokens(F.concat_ws(" ", old_headline, old_body))
-    new = update_tokens(news)
-    fresh, lt, bt, ht = F.array_except(new, old), update_tokens(lead), update_tokens(body), update_tokens(headline)
+    told = update_tokens(F.concat_ws(" ", old_headline, old_body)) if old_tokens is None else old_tokens
     hits = lambda a, b: F.size(F.array_intersect(a, b))
-    fresh_head = F.array_except(new, old_head)
-    checks = [
-        (n(headline) < 5, "headline_missing_or_too_short"), (F.length(text.collapse(headline)) > 180, "headline_too_long"), (n(teaser) < 12, "teaser_missing_or_too_short"),
-        (F.size(parts) < 3, "insufficient_paragraphs"), (words < 170, "body_too_short"), (words > 700, "body_too_long"), (n(lead) < 24, "lead_too_short"),
-        (F.lower(text.collapse(headline)) == F.lower(text.collapse(old_headline)), "headline_not_refreshed_for_material_update"),
-        ((F.size(fresh_head) > 0) & (hits(ht, fresh_head) == 0), "headline_missing_material_development"),
-        ((F.size(old_head) > 0) & (hits(old_head, lt) < F.least(F.lit(2), F.size(old_head))), "lead_missing_original_event_context"),
-        (F.when(F.size(fresh) > 0, hits(fresh, lt) == 0).otherwise(False), "lead_missing_new_development"),
-        ((F.size(fresh) == 0) & (hits(new, lt) < F.least(F.lit(2), F.size(new))), "lead_missing_incoming_context"),
-        (hits(old, bt) < F.least(F.lit(5), F.size(old)), "body_missing_canonical_context"), (hits(new, bt) < F.least(F.lit(5), F.size(new)), "body_missing_incoming_update"),
-    ]
-    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(r)) for c, r in checks]))
+
+    def named(parts: Column) -> Column:
+        lead = F.coalesce(F.get(parts, F.lit(0)), F.lit(""))
+        known = {"old_head": update_tokens(old_headline), "old": told, "new": update_tokens(news), "lt": update_tokens(lead), "bt": update_tokens(body), "ht": update_tokens(headline), "words": words, "lead": lead, "parts": F.size(parts)}
+        return F.struct(*[c.alias(k) for k, c in known.items()])
+
+    def judged(t: Column) -> Column:
+        old_head, old, new, lt, bt = t["old_head"], t["old"], t["new"], t["lt"], t["bt"]
+        fresh, fresh_head = F.array_except(new, old), F.array_except(new, old_head)
+        checks = [
+            (n(headline) < 5, "headline_missing_or_too_short"), (F.length(text.collapse(headline)) > 180, "headline_too_long"), (n(teaser) < 12, "teaser_missing_or_too_short"),
+            (t["parts"] < 3, "insufficient_paragraphs"), (t["words"] < 170, "body_too_short"), (t["words"] > 700, "body_too_long"), (n(t["lead"]) < 24, "lead_too_short"),
+            (F.lower(text.collapse(headline)) == F.lower(text.collapse(old_headline)), "headline_not_refreshed_for_material_update"),
+            ((F.size(fresh_head) > 0) & (hits(t["ht"], fresh_head) == 0), "headline_missing_material_development"),
+            ((F.size(old_head) > 0) & (hits(old_head, lt) < F.least(F.lit(2), F.size(old_head))), "lead_missing_original_event_context"),
+            (F.when(F.size(fresh) > 0, hits(fresh, lt) == 0).otherwise(False), "lead_missing_new_development"),
+            ((F.size(fresh) == 0) & (hits(new, lt) < F.least(F.lit(2), F.size(new))), "lead_missing_incoming_context"),
+            (hits(old, bt) < F.least(F.lit(5), F.size(old)), "body_missing_canonical_context"), (hits(new, bt) < F.least(F.lit(5), F.size(new)), "body_missing_incoming_update"),
+        ]
+        return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(r)) for c, r in checks]))
+
+    # each is computed once, however many checks ask it
+    return text.bind(text.bind(split, named), judged)
 
 
 def backfill(sources: DataFrame, limit: int) -> DataFrame:

@@ -89,11 +89,13 @@ SELECT *, NOT continues AND conflicts AS reject FROM g"""
 
 def update_composition(spark, sf_dir):
     """Why each article can't replace the one before it: the update's headline, teaser and body against both."""
+    # of the bodies only openings and tokens travel to the join
     a = articles(spark, sf_dir)
-    old = a.select((F.col("article_id") + 1).alias("article_id"), F.col("headline").alias("old_headline"), F.col("body").alias("old_body"))
-    body = F.concat_ws("\n\n", F.concat_ws(" ", "headline", "old_headline", F.substring("body", 1, 150)), F.substring("old_body", 1, 900), F.substring("body", 1, 900))
-    j = a.join(old, "article_id")
-    errors = fronts.composition_errors(F.col("headline"), F.concat_ws(" ", "headline", "source_title"), body, F.col("old_headline"), F.col("old_body"), F.concat_ws(" ", "headline", "source_title"))
+    old = a.select((F.col("article_id") + 1).alias("article_id"), F.col("headline").alias("old_headline"), F.substring("body", 1, 900).alias("old_start"), fronts.update_tokens(F.concat_ws(" ", "headline", "body")).alias("old_tokens"))
+    j = a.select("article_id", "headline", "source_title", F.substring("body", 1, 900).alias("start")).join(old, "article_id")
+    news = F.concat_ws(" ", "headline", "source_title")
+    body = F.concat_ws("\n\n", F.concat_ws(" ", "headline", "old_headline", F.substring("start", 1, 150)), "old_start", "start")
+    errors = fronts.composition_errors(F.col("headline"), news, body, F.col("old_headline"), F.lit(None).cast("string"), news, F.col("old_tokens"))
     return j.select("article_id", errors.alias("e")).select("article_id", F.when(F.size("e") == 0, "validated").otherwise("invalid_composition").alias("status"), F.array_join("e", ",").alias("errors"))
 
 

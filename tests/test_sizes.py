@@ -107,3 +107,21 @@ def test_equal_evidence_is_met_once(spark):
     asked = e.where("story_id < 3").withColumnRenamed("story_id", "report_id")
     assert [(r.ambiguous, r.story_id) for r in incidents.unified_match(asked, e).collect()] == [(True, None)] * 2
     assert [(r.ambiguous, r.story_id) for r in incidents.unified_match(asked, e.where("story_id = 7")).collect()] == [(False, 7)] * 2
+
+
+def test_duplicates_go_by_kept_rows(spark):
+    import random
+
+    from tidewire.operators import activation
+
+    rng = random.Random(3)
+    rows = [(i, sorted(set(rng.sample([f"f{i % 3}{k}" for k in range(6)], rng.randint(1, 6)) + rng.sample([f"w{k}" for k in range(9)], rng.randint(0, 2))))) for i in range(300)]
+    kept, want = [], {}
+    for i, t in rows:
+        met = [k for k, o in kept if len(set(t) & set(o)) >= 4] if len(t) >= 3 else []
+        want[i] = max(met) if met else i
+        if not met:
+            kept.append((i, t))
+    df = spark.createDataFrame(rows, "pos long, tokens array<string>")
+    for at_once in (7, 4096):
+        assert {r.pos: r.kept_pos for r in activation.kept_of_duplicates(df, at_once=at_once).collect()} == want

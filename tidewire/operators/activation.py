@@ -108,17 +108,49 @@ def content_lookup(probes: DataFrame, bank: DataFrame, most: int = 5) -> DataFra
     return first_by(met, ["id"], [F.desc("shared"), F.asc("entry_id")], most, rank="rank")
 
 
-def kept_of_duplicates(rows: DataFrame, least: int = 4, few: int = 3) -> DataFrame:
+def kept_of_duplicates(rows: DataFrame, least: int = 4, few: int = 3, at_once: int = 4096) -> DataFrame:
     """(pos, tokens) -> pos, kept_pos: itself if kept, else the last row kept before it that shares ``least`` tokens.
 
-    Rows go in order, and one of fewer than ``few`` tokens is always kept. A row's fate
-    hangs only on the earlier rows it shares tokens with, so it is settled in rounds: as
-    soon as one of those is kept it goes, and if all of them went it stays.
+    Rows go in order, and one of fewer than ``few`` tokens is always kept. Of equal
+    rows the first settles the fate of all. The first ``at_once`` rows are settled among
+    themselves, then what shares enough with those kept goes, and what is left plays
+    again, as many at once as are kept, if that is more: all rows meet kept ones only.
     """
-    links = cut(pairs.similar_sets(rows.select(F.col("pos").alias("id"), "tokens"), least).select(F.col("left_id").alias("before"), F.col("right_id").alias("pos")))
-    small = rows.where(F.size("tokens") < few).select("pos")
-    links = cut(links.join(small, "pos", "left_anti"))
-    settled = cut(rows.select("pos").join(links.select("pos").distinct(), "pos", "left_anti").withColumn("kept", F.lit(True)))
+    always = F.size("tokens") < few
+    keyed = rows.select("pos", F.array_sort("tokens").alias("tokens"))
+    sets = cut(keyed.where(F.size("tokens") >= least).groupBy("tokens", F.when(always, F.col("pos")).alias("own")).agg(F.min("pos").alias("pos")).select("pos", "tokens"))
+    left, kept, n_kept, n = sets, None, 0, sets.count()
+    while n:
+        upto = left.agg(F.percentile_approx("pos", min(1.0, max(at_once, n_kept) / n))).collect()[0][0]
+        new = _kept_in_order(cut(left.where(F.col("pos") <= upto)), least, few)
+        kept = new if kept is None else cut(kept.unionAll(new))
+        rest = left.where(F.col("pos") > upto)
+        left = cut(rest.join(_sharing(rest.where(~always), new, least).select("pos").distinct(), "pos", "left_anti"))
+        n_kept, n = kept.count(), left.count()
+    if kept is None:
+        return rows.select("pos", F.col("pos").alias("kept_pos"))
+    shared = _sharing(sets.where(~always), kept, least).groupBy("pos").agg(F.collect_list("kept").alias("kept"))
+    known = sets.join(shared, "pos").select("tokens", "kept")
+    last = F.array_max(F.filter("kept", lambda k: k < F.col("pos")))
+    return keyed.join(known, "tokens", "left").select("pos", F.coalesce(F.when(~always, last), F.col("pos")).alias("kept_pos"))
+
+
+def _sharing(sets: DataFrame, kept: DataFrame, least: int) -> DataFrame:
+    """Pairs (pos, kept) of sets and kept ones that share ``least`` tokens."""
+    named = lambda df: df.select(F.col("pos").alias("id"), "tokens")
+    met = pairs.meet(*pairs.two_sided(named(sets), named(kept), least))
+    return met.where(F.size(F.array_intersect("l_tokens", "r_tokens")) >= least).select(F.col("l_id").alias("pos"), F.col("r_id").alias("kept"))
+
+
+def _kept_in_order(sets: DataFrame, least: int, few: int) -> DataFrame:
+    """Which of some sets (pos, tokens) are kept.
+
+    A row's fate hangs only on the earlier rows it shares tokens with, so it is settled
+    in rounds: as soon as one of those is kept it goes, and if all of them went it stays.
+    """
+    links = pairs.similar_sets(sets.select(F.col("pos").alias("id"), "tokens"), least).select(F.col("left_id").alias("before"), F.col("right_id").alias("pos"))
+    links = cut(links.join(sets.where(F.size("tokens") < few).select("pos"), "pos", "left_anti"))
+    settled = cut(sets.select("pos").join(links.select("pos").distinct(), "pos", "left_anti").withColumn("kept", F.lit(True)))
     while True:
         open_ = links.join(settled.select("pos"), "pos", "left_anti")
         seen = open_.join(settled.withColumnRenamed("pos", "before"), "before", "left")
@@ -127,9 +159,7 @@ def kept_of_duplicates(rows: DataFrame, least: int = 4, few: int = 3) -> DataFra
         if new.isEmpty():
             break
         settled = cut(settled.unionAll(new))
-    last = links.join(settled.where("kept").select(F.col("pos").alias("before")), "before").groupBy("pos").agg(F.max("before").alias("last"))
-    out = settled.join(last, "pos", "left")
-    return out.select("pos", F.when(F.col("kept"), F.col("pos")).otherwise(F.col("last")).alias("kept_pos"))
+    return cut(sets.join(settled.where("kept").select("pos"), "pos").select("pos", "tokens"))
 
 
 # -- small ones --------------------------------------------------------------------------

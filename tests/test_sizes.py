@@ -138,3 +138,18 @@ def test_signatures_are_asked_only_where_nothing_surer_is_found(spark, monkeypat
     got = sorted(tuple(r) for r in pairs.archive_match(probes, archive).collect())
     assert got == [(10, 1, 3), (11, 2, 4), (12, 3, 5), (13, 3, 5)]
     assert met == [(1, 2)]  # two probes of one signature, against the two that the archive holds
+
+
+def test_pairs_meet_once_on_values_of_several_kinds(spark):
+    from pyspark.sql import functions as F
+
+    from tidewire.operators import identity, pairs
+
+    rows = [(i, [f"p{i % 2}", f"p{i % 3}"], [f"f{i % 4}"]) for i in range(12)]
+    df = spark.createDataFrame(rows, "id long, places array<string>, facts array<string>")
+    side = lambda p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
+    keys = lambda p: pairs.combined(("places", "facts"), lambda k: F.col(f"{p}_{k}"))
+    met = sorted((r.l_id, r.r_id) for r in pairs.meet_on_keys(side("l"), side("r"), keys("l"), keys("r")).collect())
+    assert met == [(a, b) for a, x, f in rows for b, y, g in rows if set(x) & set(y) and f == g]
+    # a value of one kind alone makes no pair meet where no score could be reached by it
+    assert min(len(k) for k in identity._must_share(0.78)) == 4 and min(len(k) for k in identity._must_share(0.6)) == 3

@@ -153,3 +153,18 @@ def test_pairs_meet_once_on_values_of_several_kinds(spark):
     assert met == [(a, b) for a, x, f in rows for b, y, g in rows if set(x) & set(y) and f == g]
     # a value of one kind alone makes no pair meet where no score could be reached by it
     assert min(len(k) for k in identity._must_share(0.78)) == 4 and min(len(k) for k in identity._must_share(0.6)) == 3
+
+
+def test_alternates_by_common_tokens_are_met_by_kinds(spark):
+    from tidewire.operators import surface
+
+    rows = [(i, f"s{i % 3}" if i % 7 else None, t) for i, t in _sets(300)]
+    df = spark.createDataFrame(rows, "id long, source string, tokens array<string>")
+    want = {}
+    for i, s, t in rows:
+        scored = [(-round(len({*t} & {*u}) / min(len(t), len(u)), 6), j) for j, o, u in rows if s and o and s != o and len({*t} & {*u}) >= 2]
+        if scored and -min(scored)[0] >= 0.45:
+            want[i] = min(scored)
+    for few, common in ((10, 30), (512, 40), (1, 10**9)):
+        got = {r.id: (-r.score, r.alternate_id) for r in surface.alternates(df, df, few=few, common=common).collect()}
+        assert got == want

@@ -168,3 +168,18 @@ def test_alternates_by_common_tokens_are_met_by_kinds(spark):
     for few, common in ((10, 30), (512, 40), (1, 10**9)):
         got = {r.id: (-r.score, r.alternate_id) for r in surface.alternates(df, df, few=few, common=common).collect()}
         assert got == want
+
+
+def test_content_lookup_by_common_words_is_met_by_kinds(spark):
+    from tidewire.operators import activation
+
+    rows = [(i, " ".join(t).replace("_", "x")) for i, t in _sets(300)]
+    probes, bank = rows[::2], rows[1::2] + [(900 + i, t) for i, t in rows[1:40:2]]
+    want = {}
+    for i, t in probes:
+        scored = sorted((-len({*t.split()} & {*u.split()}), j) for j, u in bank if len({*t.split()} & {*u.split()}) >= 2)
+        for rank, (n, j) in enumerate(scored[:5], 1):
+            want[i, rank] = (j, -n)
+    for few, common in ((10, 30), (512, 40), (1, 10**9)):
+        found = activation.content_lookup(spark.createDataFrame(probes, "id long, title string"), spark.createDataFrame(bank, "entry_id long, title string"), few=few, common=common)
+        assert {(r.id, r.rank): (r.entry_id, r.shared) for r in found.collect()} == want

@@ -100,12 +100,31 @@ def classified(sources: DataFrame, classes: DataFrame) -> DataFrame:
     return keyed(sources).join(known, ["link", "title_key"], "left").drop("title_key")
 
 
-def content_lookup(probes: DataFrame, bank: DataFrame, most: int = 5) -> DataFrame:
-    """probes (id, title) -> the ``most`` entries of the bank (entry_id, title) that share two words at least, by how many, then bank order."""
-    tokens = lambda c: F.array_distinct(F.filter(F.split(F.trim(F.regexp_replace(F.lower(text.text(c)), "[^a-z0-9 ]", " ")), " +"), lambda t: (t != "") & ~t.isin(*fixed.CONTENT_STOP)))
-    a, b = pairs.two_sided(probes.select("id", tokens(F.col("title")).alias("tokens")), bank.select(F.col("entry_id").alias("id"), tokens(F.col("title")).alias("tokens")), 2)
-    met = pairs.meet(a, b).select(F.col("l_id").alias("id"), F.col("r_id").alias("entry_id"), F.size(F.array_intersect("l_tokens", "r_tokens")).alias("shared")).where("shared >= 2")
-    return first_by(met, ["id"], [F.desc("shared"), F.asc("entry_id")], most, rank="rank")
+def content_lookup(probes: DataFrame, bank: DataFrame, most: int = 5, few: int = 512, common: int | None = None) -> DataFrame:
+    """probes (id, title) -> the ``most`` entries of the bank (entry_id, title) that share two words at least, by how many, then bank order.
+
+    Equal word sets are one. Sets that share only words that many hold are met by kinds
+    (the same such words), of which the first entries are enough; others meet one by one
+    where they share as much as the last that a set is sure of.
+    """
+    tokens = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(F.trim(F.regexp_replace(F.lower(text.text(c)), "[^a-z0-9 ]", " ")), " +"), lambda t: (t != "") & ~t.isin(*fixed.CONTENT_STOP))))
+    keyed = lambda df, key: df.select(key, tokens(F.col("title")).alias("tokens")).where(F.size("tokens") >= 2)
+    order = [F.desc("shared"), F.asc("entry_id")]
+    asked = cut(keyed(probes, "id"))
+    sets = cut(asked.groupBy("tokens").agg(F.min("id").alias("set_id")))
+    held = first_by(keyed(bank, "entry_id"), ["tokens"], [F.asc("entry_id")], most).groupBy("tokens").agg(F.array_sort(F.collect_list("entry_id")).alias("firsts"))
+    held = cut(held.select(F.col("firsts")[0].alias("id"), "tokens", "firsts"))
+    a, b = pairs.numbered(sets.select(F.col("set_id").alias("id"), "tokens"), held.select("id", "tokens"), few=few, common=common)
+    a, b, near = pairs.meet_heavy(a, b.join(held.select("id", "firsts"), "id"), 2)
+    known = first_by(b.where(F.col("kind").isNotNull()).select(F.col("kind").alias("r_kind"), F.explode("firsts").alias("entry_id")), ["r_kind"], [F.asc("entry_id")], most)
+    alone = cut(first_by(near.join(known, "r_kind").select("l_kind", "entry_id", F.col("n").alias("shared")), ["l_kind"], order, most))
+    floor = alone.groupBy(F.col("l_kind").alias("kind")).agg(F.when(F.count(F.lit(1)) == most, F.min("shared")).alias("floor"))
+    a = cut(a.join(floor, "kind", "left").select("id", "nos", "kind", F.coalesce("floor", F.lit(2)).alias("floor")))
+    met = pairs.meet_numbered(a.drop("kind"), b.select("id", "nos", "firsts"), 2).where("n >= l_floor").select(F.col("l_id").alias("set_id"), F.explode("r_firsts").alias("entry_id"), F.col("n").alias("shared"))
+    # an entry may come by its common words too, where it shares more
+    every = met.unionAll(a.join(alone, F.col("kind") == F.col("l_kind")).select(F.col("id").alias("set_id"), "entry_id", "shared"))
+    best = first_by(every.groupBy("set_id", "entry_id").agg(F.max("shared").alias("shared")), ["set_id"], order, most, rank="rank")
+    return asked.join(sets, "tokens").join(best, "set_id").select("id", "entry_id", "shared", "rank")
 
 
 def kept_of_duplicates(rows: DataFrame, least: int = 4, few: int = 3, at_once: int = 4096) -> DataFrame:

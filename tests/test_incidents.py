@@ -114,3 +114,16 @@ def test_independent_ids_are_fixed(spark):
 
     digest = hashlib.sha256(b"https://x.org/a\na title").hexdigest()
     assert row.story_id == f"story_{int(digest[:14], 16) + 10**16}" and row.event_key == f"independent-{digest[:16]}"
+
+
+def test_first_stories_of_an_incident_settle_what_all_would(spark):
+    from tidewire.plans import incidents as plans
+
+    arriving, known, stories = plans._sides(spark, "/root/testdata/sf0.01")
+    # no names or dates for some, and counts that agree with few others
+    n = F.col("report_id")
+    arriving = arriving.withColumns({"titles": F.array("title"), "published": F.array(F.when(n % 5 != 0, F.col("published")))})
+    stories = stories.withColumn("published", F.when(F.col("story_id") % 11 != 0, F.col("published")).otherwise(F.array().cast("array<timestamp>")))
+    found = lambda first: sorted(tuple(r) for r in incidents.incident_match(arriving, stories, known.select("story_id", "title"), first=first).collect())
+    whole = found(())
+    assert whole and found((1, 3)) == whole

@@ -29,6 +29,9 @@ def _joined(df: DataFrame) -> Column:
     return F.concat_ws(" | ", *[F.when(p != "", p) for p in parts])
 
 
+#: tasks that the animal cases of one sign and span of days are dealt to
+_DEALT = 32
+
 # -- signatures --------------------------------------------------------------------------
 
 
@@ -52,7 +55,7 @@ def _gap(a: Column, b: Column) -> Column:
     return F.array_min(F.flatten(F.transform(seconds(a), lambda x: F.transform(seconds(b), lambda y: F.abs(x - y) / 86400.0))))
 
 
-def incident_match(reports: DataFrame, stories: DataFrame, entries: DataFrame, *, days: float = 7.0) -> DataFrame:
+def incident_match(reports: DataFrame, stories: DataFrame, entries: DataFrame, *, days: float = 7.0, first: tuple[int, ...] = (64, 1024)) -> DataFrame:
     """(report_id, story_id, confidence): the story of each report's incident, if one has it.
 
     reports and stories: id, titles, published and what signatures() takes; entries:
@@ -60,7 +63,9 @@ def incident_match(reports: DataFrame, stories: DataFrame, entries: DataFrame, *
     their anchor. Animal cases must be within ``days`` and share two of: counts, a
     distinctive marker, a fourth of their words, one of them a count or a marker. Of
     several stories the one whose entries are most of them about the incident counts,
-    then the one with more of them, the surer one, the first.
+    then the one with more of them, the surer one, the first. Animal cases are met in
+    that order, first with the ``first`` stories that share a sign and a span of days;
+    those that one as sure as can be isn't found for meet more of them, at last all.
     """
     # each is read from several sides
     r = cut(signatures(reports, "report_id").where("family <> ''"))
@@ -71,45 +76,83 @@ def incident_match(reports: DataFrame, stories: DataFrame, entries: DataFrame, *
     by_anchor = r.where(F.col("r_family").isin(*exact)).join(s.where(F.col("s_family").isin(*exact)), (F.col("r_family") == F.col("s_family")) & (F.col("r_anchor") == F.col("s_anchor")))
     sure = by_anchor.select("report_id", "story_id", F.lit(0.995).alias("confidence"), F.col("r_anchor").alias("anchor"))
 
+    # how much of a story is about the incident: its entries, a death without a name taking the story's only subject
+    subject = s.where(F.col("s_family") == "named_person_death").select("story_id", F.col("s_anchor").alias("inherited"))
+    of = entries.where(F.trim("title") != "").join(subject, "story_id", "left")
+    dead = F.col("title").rlike(fixed.DEATH_CONTEXT)
+    own = told.anchor(F.col("title"), F.lit(None).cast("string"))
+    of = of.select("story_id", F.when(dead, F.coalesce(F.nullif(own, F.lit("")), F.col("inherited"), F.lit(""))).otherwise("").alias("anchor"))
+    total = cut(entries.groupBy("story_id").agg(F.count(F.lit(1)).alias("total")))
+    matching = cut(of.groupBy("story_id", "anchor").agg(F.count(F.lit(1)).alias("matching")))
+
+    def judged(hits: DataFrame) -> DataFrame:
+        j = hits.join(total, "story_id", "left").join(matching, ["story_id", "anchor"], "left").withColumn("matching", F.coalesce("matching", F.lit(0)))
+        return j.withColumn("purity", F.coalesce(F.col("matching") / F.col("total"), F.lit(0.0)))
+
     # an animal case meets others on what one of the two certain signs rests on, in spans of days
     span = F.floor(F.lit(days)).cast("int") + 1
+    n = lambda c, w: F.when(c, w).otherwise(0.0)
+    trust = lambda alike, marked, worded, dated: F.least(F.lit(0.99), F.lit(0.40) + n(alike, 0.18) + n(marked, 0.15) + n(worded, 0.14) + n(dated, 0.05))
+    certain = lambda p: F.array_intersect(f"{p}_markers", text.strings(fixed.DISTINCTIVE_MARKERS))
 
     def keyed(df: DataFrame, p: str, around: list[int]) -> DataFrame:
-        signs = F.concat(F.transform(F.array_intersect(f"{p}_markers", text.strings(fixed.DISTINCTIVE_MARKERS)), lambda m: F.concat(F.lit("m:"), m)), F.when(F.size(f"{p}_counts") > 0, F.array(F.lit("n"))).otherwise(F.array().cast(_NONE)))
+        signs = F.concat(F.transform(certain(p), lambda m: F.concat(F.lit("m:"), m)), F.when(F.size(f"{p}_counts") > 0, F.array(F.lit("n"))).otherwise(F.array().cast(_NONE)))
         times = F.filter(f"{p}_published", lambda x: x.isNotNull())
         slot = lambda x: F.floor(F.unix_date(x.cast("date")) / span)
         dated = F.flatten(F.transform(times, lambda x: F.array(*[slot(x) + d for d in around])))
-        return df.where(F.col(f"{p}_family") == "mass_animal_hoarding").select("*", F.explode(signs).alias("sign"), dated.alias("slots"))
-
-    a, b = keyed(r, "r", [-1, 0, 1]), keyed(s, "s", [0])
-    any_slot = lambda df, col: df.withColumn("slot", F.explode(F.array_distinct(col))).drop("slots")
-    undated = F.array(F.lit(None).cast("long"))
-    one = any_slot(a.where("size(slots) > 0"), F.col("slots")).join(any_slot(b.where("size(slots) > 0"), F.col("slots")), ["sign", "slot"])
-    two = a.drop("slots").withColumn("a_dated", F.size("r_published")).join(any_slot(b, F.when(F.size("slots") == 0, undated).otherwise(F.col("slots"))), "sign").where("slot is null")
-    three = any_slot(a.where("size(slots) = 0"), undated).join(b.drop("slots"), "sign")
-    met = one.select("report_id", "story_id").unionAll(two.select("report_id", "story_id")).unionAll(three.select("report_id", "story_id")).distinct()
-    j = met.join(r, "report_id").join(s, "story_id")
-    gap, shared = _gap(F.col("r_published"), F.col("s_published")), F.size(F.array_intersect("r_tokens", "s_tokens"))
-    alike = told.quantities_agree(F.col("r_counts"), F.col("s_counts"))
-    marked = F.size(F.array_intersect(F.array_intersect("r_markers", "s_markers"), text.strings(fixed.DISTINCTIVE_MARKERS))) > 0
-    worded = (text.overlap(F.col("r_tokens"), F.col("s_tokens")) >= 0.25) & (shared >= 2)
-    enough = (alike.cast("int") + marked.cast("int") + worded.cast("int") >= 2) & (alike | marked)
-    n = lambda c, w: F.when(c, w).otherwise(0.0)
-    trust = F.least(F.lit(0.99), F.lit(0.40) + n(alike, 0.18) + n(marked, 0.15) + n(worded, 0.14) + n(gap.isNotNull(), 0.05))
-    cases = j.where(enough & (gap.isNull() | (gap <= days))).select("report_id", "story_id", trust.alias("confidence"), F.col("r_anchor").alias("anchor"))
-    hits = sure.unionAll(cases)
-
-    # how much of a story is about the incident: its entries, a death without a name taking the story's only subject
-    subject = s.where(F.col("s_family") == "named_person_death").select("story_id", F.col("s_anchor").alias("inherited"))
-    of = entries.where(F.trim("title") != "").join(subject, "story_id", "left")
-    dead = F.col("title").rlike(fixed.DEATH_CONTEXT)
-    own = told.anchor(F.col("title"), F.lit(None).cast("string"))
-    of = of.select("story_id", F.when(dead, F.coalesce(F.nullif(own, F.lit("")), F.col("inherited"), F.lit(""))).otherwise("").alias("anchor"))
-    total = entries.groupBy("story_id").agg(F.count(F.lit(1)).alias("total"))
-    matching = of.groupBy("story_id", "anchor").agg(F.count(F.lit(1)).alias("matching"))
-    judged = hits.join(total, "story_id", "left").join(matching, ["story_id", "anchor"], "left").withColumn("matching", F.coalesce("matching", F.lit(0)))
-    purity = F.coalesce(F.col("matching") / F.col("total"), F.lit(0.0))
-    return first_by(judged.withColumn("purity", purity), ["report_id"], [F.desc("purity"), F.desc("matching"), F.desc("confidence"), F.asc("story_id")]).select("report_id", "story_id", "confidence")
+        return df.where(F.col(f"{p}_family") == "mass_animal_hoarding").select("*", F.explode(signs).alias("sign"), F.array_distinct(dated).alias("slots"))
+
+    def cases(j: DataFrame) -> DataFrame:
+        """The pairs that are of one incident, and how sure that is."""
+        # generated columns are computed once, where a filter would take in a projection's; the dearest come last
+        once = lambda df, **cols: df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))
+        j = once(j, gap=_gap(F.col("r_published"), F.col("s_published"))).where(F.col("gap").isNull() | (F.col("gap") <= days))
+        j = once(j, alike=told.quantities_agree(F.col("r_counts"), F.col("s_counts")), marked=F.size(F.array_intersect(certain("r"), certain("s"))) > 0).where("alike or marked")
+        j = once(j, shared=F.size(F.array_intersect("r_tokens", "s_tokens")))
+        # two shared tokens rule out empty sets
+        j = j.withColumn("worded", (F.col("shared") >= 2) & (F.col("shared") / F.least(F.size("r_tokens"), F.size("s_tokens")) >= 0.25)).where("alike and marked or worded")
+        return j.withColumn("confidence", trust(F.col("alike"), F.col("marked"), F.col("worded"), F.col("gap").isNotNull()))
+
+    a, b = keyed(r, "r", [-1, 0, 1]), cut(keyed(s, "s", [0]))
+    undated = F.array(F.lit(-(1 << 40)))
+    slotted = lambda df, slots: df.withColumn("slot", F.explode(slots)).drop("slots")
+    known = slotted(b, F.when(F.size("slots") == 0, undated).otherwise(F.col("slots")))
+    # most find their story among the first of those they could have: then no other can come before it
+    some = judged(s.where(F.col("s_family") == "mass_animal_hoarding").select("story_id", F.lit("").alias("anchor"))).select("story_id", (-F.col("purity")).alias("p"), (-F.col("matching")).alias("m"))
+    ordered = known.join(some, "story_id")
+    left = cut(a.where((F.size("slots") > 0) & (F.col("r_anchor") == "")))
+    # how sure the surest could be: the signs of reports and stories take few values, so their kinds meet
+    kind = lambda df, p: df.select(F.col(f"{p}_counts"), certain(p).alias(f"{p}_markers"), "sign", "slot")
+    asked = slotted(left, F.concat("slots", undated))
+    kinds = kind(asked, "r").distinct().join(kind(known, "s").distinct(), ["sign", "slot"])
+    alike, marked = told.quantities_agree(F.col("r_counts"), F.col("s_counts")), F.size(F.array_intersect("r_markers", "s_markers")) > 0
+    kinds = cut(kinds.withColumn("sure", F.when(alike | marked, trust(alike, marked, F.lit(True), F.lit(True))).otherwise(0.0)).groupBy("r_counts", "r_markers", "sign", "slot").agg(F.max("sure").alias("sure")))
+    most_sure = cut(asked.withColumn("r_markers", certain("r")).join(kinds, ["r_counts", "r_markers", "sign", "slot"]).groupBy("report_id").agg(F.max("sure").alias("most_sure")))
+    hits = [judged(sure)]
+    for most in first:
+        best = first_by(ordered, ["sign", "slot"], [F.asc("p"), F.asc("m"), F.asc("story_id")], most + 1, rank="at").drop("s_family", "s_anchor")
+        best = cut(best)
+        look = slotted(left, F.concat("slots", undated))
+        unseen = look.join(best.where(F.col("at") > most).select("sign", "slot", "p", "m", "story_id"), ["sign", "slot"]).groupBy("report_id").agg(F.min(F.struct("p", "m", "story_id")).alias("unseen"))
+        # few signs and spans have all rows: the reports of one are dealt to several tasks
+        dealt = best.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_DEALT - 1))))
+        met = cases(look.withColumn("part", F.pmod(F.xxhash64("report_id"), F.lit(_DEALT)).cast("int")).join(dealt.hint("merge"), ["sign", "slot", "part"]))
+        at = met.groupBy("report_id").agg(F.min(F.struct("p", "m", (-F.col("confidence")).alias("c"), "story_id")).alias("best"))
+        at = left.select("report_id").distinct().join(at, "report_id", "left").join(unseen, "report_id", "left").join(most_sure, "report_id", "left")
+        settled = F.col("unseen").isNull() | F.coalesce((-F.col("best.c") >= F.col("most_sure")) & (F.struct("best.p", "best.m", "best.story_id") <= F.col("unseen")), F.lit(False))
+        at = cut(at.withColumn("settled", settled))
+        hits.append(at.where("settled and best is not null").select("best.story_id", "report_id", (-F.col("best.c")).alias("confidence"), (-F.col("best.m")).alias("matching"), (-F.col("best.p")).alias("purity")))
+        left = cut(left.join(at.where("not settled").select("report_id"), "report_id", "left_semi"))
+    # the others meet all that they could have
+    rest = left.unionAll(a.where((F.size("slots") == 0) | (F.col("r_anchor") != "")))
+    dated = slotted(rest.where("size(slots) > 0"), F.concat("slots", undated)).join(known, ["sign", "slot"])
+    every = dated.drop("slot").unionByName(rest.where("size(slots) = 0").drop("slots").join(b.drop("slots"), "sign"))
+    hits.append(judged(cases(every).select("report_id", "story_id", "confidence", F.col("r_anchor").alias("anchor"))))
+    cols = ["report_id", "story_id", "confidence", "matching", "purity"]
+    found = hits[0].select(cols)
+    for more_hits in hits[1:]:
+        found = found.unionAll(more_hits.select(cols))
+    return first_by(found, ["report_id"], [F.desc("purity"), F.desc("matching"), F.desc("confidence"), F.asc("story_id")]).select("report_id", "story_id", "confidence")
 
 
 # -- unified evidence --------------------------------------------------------------------

@@ -130,6 +130,8 @@ def incident_match(reports: DataFrame, stories: DataFrame, entries: DataFrame, *
     most_sure = cut(asked.withColumn("r_markers", certain("r")).join(kinds, ["r_counts", "r_markers", "sign", "slot"]).groupBy("report_id").agg(F.max("sure").alias("most_sure")))
     hits = [judged(sure)]
     for most in first:
+        if left.isEmpty():
+            break
         best = first_by(ordered, ["sign", "slot"], [F.asc("p"), F.asc("m"), F.asc("story_id")], most + 1, rank="at").drop("s_family", "s_anchor")
         best = cut(best)
         look = slotted(left, F.concat("slots", undated))
